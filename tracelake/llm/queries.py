@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from tracelake.llm import lines
+from tracelake.llm import chat, decontaminate, lines
 
 QUERIES = {
+    "op3_chat_format": chat.op3_chat_format,
     "op4_line_dedup": lines.op4_line_dedup,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
 }
 ORACLES = {
+    "op3_chat_format": chat.ORACLE,
     "op4_line_dedup": lines.ORACLE,
+    "op6_decontaminate": decontaminate.ORACLE,
 }
