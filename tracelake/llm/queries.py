@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from tracelake.llm import chat, decontaminate, lines
+from tracelake.llm import chat, decontaminate, langid, lines, mixing
 
 QUERIES = {
     "op3_chat_format": chat.op3_chat_format,
     "op4_line_dedup": lines.op4_line_dedup,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op8_langid": langid.op8_langid,
+    "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
     "op3_chat_format": chat.ORACLE,
     "op4_line_dedup": lines.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
+    "op10_mixing": mixing.ORACLE,
 }
