@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tracelake.llm import chat, decontaminate, langid, lines, mixing
+from tracelake.llm import chat, decontaminate, jaccard, langid, lines, mixing
 
 QUERIES = {
+    "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op3_chat_format": chat.op3_chat_format,
     "op4_line_dedup": lines.op4_line_dedup,
     "op6_decontaminate": decontaminate.op6_decontaminate,
@@ -12,6 +13,7 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
+    "op2_jaccard_join": jaccard.ORACLE,
     "op3_chat_format": chat.ORACLE,
     "op4_line_dedup": lines.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
