@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tracelake.llm import chat, decontaminate, jaccard, langid, lines, mixing
+from tracelake.llm import chat, decontaminate, jaccard, langid, lines, mixing, tokens
 
 QUERIES = {
+    "op1_tokens": tokens.op1_tokens,
     "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op3_chat_format": chat.op3_chat_format,
     "op4_line_dedup": lines.op4_line_dedup,
