@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tracelake.llm import chat, decontaminate, jaccard, langid, lines, mixing, tokens
+from tracelake.llm import chat, decontaminate, jaccard, langid, lines, mixing, tokens, toxicity
 
 QUERIES = {
     "op1_tokens": tokens.op1_tokens,
     "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op3_chat_format": chat.op3_chat_format,
     "op4_line_dedup": lines.op4_line_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op8_langid": langid.op8_langid,
     "op10_mixing": mixing.op10_mixing,
