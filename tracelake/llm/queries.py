@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelake.llm import chat, decontaminate, jaccard, langid, lines, mixing, tokens, toxicity
+from tracelake.llm import chat, decontaminate, jaccard, langid, lines, mixing, secrets, tokens, toxicity
 
 QUERIES = {
     "op1_tokens": tokens.op1_tokens,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op8_langid": langid.op8_langid,
+    "op9_secrets": secrets.op9_secrets,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
