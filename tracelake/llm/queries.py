@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelake.llm import chat, decontaminate, jaccard, langid, lines, mixing, secrets, tokens, toxicity
+from tracelake.llm import ann, chat, decontaminate, jaccard, langid, lines, mixing, secrets, tokens, toxicity
 
 QUERIES = {
     "op1_tokens": tokens.op1_tokens,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_nearest": ann.op7_nearest,
     "op8_langid": langid.op8_langid,
     "op9_secrets": secrets.op9_secrets,
     "op10_mixing": mixing.op10_mixing,
