@@ -29,7 +29,10 @@ _FIRST = 16  # ids before order 0 has a distribution
 # logistic tables: stretch(p) = ln(p / (1 - p)) in 1/256, for p in 1/4096, and its inverse
 _p = (np.arange(4096) + 0.5) / 4096
 STRETCH = np.round(256 * np.log(_p / (1 - _p))).astype(np.int32)
-SQUASH = np.clip(np.round(32768 / (1 + np.exp(-np.arange(-2304, 2305) / 256))), 64, 32768 - 64).astype(np.int32)
+_SPAN = 2304
+SQUASH = np.clip(np.round(32768 / (1 + np.exp(-np.arange(-_SPAN, _SPAN + 1) / 256))), 64, 32768 - 64).astype(np.int32)
+#: What a confidence (of 16) changes by after a miss (halved) and after a hit (one more, up to 15).
+CHANGE = np.array([(c >> 1) - c for c in range(16)] + [min(c + 1, 15) - c for c in range(16)], np.int32)
 
 
 class _Lanes:
@@ -43,15 +46,13 @@ class _Lanes:
         self.base = self.lane * size
         self.one = np.zeros(n * size, np.int32)  # id << 4 | confidence
         self.two = np.zeros(n * size, np.int32)
-        self.p2 = np.full(n * 32, 2048, np.int32)  # by order-2 confidence, and whether order 1 agrees; of 4096 << 4
-        self.p1 = np.full(n * 32, 2048, np.int32)
-        self.p2 <<= 4
-        self.p1 <<= 4
-        self.hit1 = np.full(n * 16, 2048 << 4, np.int32)
-        self.old = np.full(n, 2048 << 4, np.int32)
-        self.w2 = np.full(n, 40000, np.int32)  # of 65536
-        self.w1 = np.full(n, 26000, np.int32)
-        self.base32, self.base16 = self.lane * 32, self.lane * 16
+        # probabilities in 1/65536: by order-2 confidence and whether order 1 agrees, by order-1 confidence, and of order-1 hits
+        self.p2, self.p1, self.hit1 = (np.full(n * 32, 1 << 15, np.int32) for _ in range(3))
+        self.old = np.full(n, 1 << 15, np.int32)
+        self.w2 = np.full(n, 2500, np.int32)  # of 4096
+        self.w1 = np.full(n, 1625, np.int32)
+        self.step = 0
+        self.base32 = self.lane * 32
         self.a = np.zeros(n, np.int64)  # the last id and the one before
         self.b = np.zeros(n, np.int64)
         self.sorted = self.start = self.count = None
@@ -79,57 +80,69 @@ class _Lanes:
         return np.where(there, at - np.repeat(self.lane << self.bits, ids.shape[1]), 0).reshape(ids.shape), there.reshape(ids.shape)
 
     def predict(self) -> None:
-        a, b = self.a, self.b
-        self.at1 = self.base + ((a * 40503 >> 4) & ((1 << TABLE_BITS) - 1))
-        self.at2 = self.base + (((a * 40503 ^ b * 60493) >> 5) & ((1 << TABLE_BITS) - 1))
-        e1, e2 = self.one[self.at1], self.two[self.at2]
+        a = self.a
+        at1 = (a * 40503 >> 4) & ((1 << TABLE_BITS) - 1)
+        at2 = ((a * 40503 ^ self.b * 60493) >> 5) & ((1 << TABLE_BITS) - 1)
+        at1 += self.base
+        at2 += self.base
+        e1, e2 = self.one.take(at1), self.two.take(at2)
+        self.at1, self.at2, self.e1, self.e2 = at1, at2, e1, e2
         self.id1, self.id2 = e1 >> 4, e2 >> 4
-        c1, c2 = e1 & 15, e2 & 15
-        agree = self.id1 == self.id2
-        self.k2 = self.base32 + (c2 * 2 + agree)
-        self.k1 = self.base32 + (c1 * 2 + agree)
-        self.kh = self.base16 + c1
-        self.agree, self.c1, self.c2 = agree, c1, c2
-        self.s2, self.s1 = STRETCH[self.p2[self.k2] >> 4], STRETCH[self.p1[self.k1] >> 4]
-        dot = (self.w2 * (self.s2 >> 2) + self.w1 * (self.s1 >> 2)) >> 14
-        self.pa = SQUASH[np.clip(dot, -2304, 2304) + 2304]
-        rest = 32768 - self.pa
+        self.c1, self.c2 = e1 & 15, e2 & 15
+        self.agree = agree = self.id1 == self.id2
+        k1 = self.base32 + self.c1
+        k2 = self.base32 + self.c2
+        k2 += 16 * agree
+        self.k1, self.k2 = k1, k2
+        self.q2, self.q1, self.qh = self.p2.take(k2), self.p1.take(k1), self.hit1.take(k1)
+        self.s2, self.s1 = STRETCH.take(self.q2 >> 4), STRETCH.take(self.q1 >> 4)
+        dot = self.w2 * self.s2
+        dot += self.w1 * self.s1
+        dot >>= 12
+        pa = SQUASH.take(dot + _SPAN, mode="clip")
+        edges = self.edges = np.empty((5, self.n), np.int64)
+        edges[0], edges[1], edges[4] = 0, pa, 32768
+        rest = 32768 - pa
         # every class that can come keeps a share; the new ids' is what is left
-        pb = np.where(agree, 0, 1 + (((rest - 3) * (self.hit1[self.kh] >> 4)) >> 12))
-        rest = rest - pb
-        po = 1 + (((rest - 2) * (self.old >> 4)) >> 12) if self.bits else 0
-        self.edges = np.empty((5, self.n), np.int64)
-        self.edges[0], self.edges[1], self.edges[4] = 0, self.pa, 32768
-        np.add(self.pa, pb, out=self.edges[2])
-        np.add(self.edges[2], po, out=self.edges[3])
+        pb = (((rest - 3) * (self.qh >> 4)) >> 12) + 1
+        pb *= ~agree
+        np.add(pa, pb, out=edges[2])
+        if self.bits:
+            rest -= pb
+            po = ((rest - 2) * (self.old >> 4)) >> 12
+            po += 1
+            np.add(edges[2], po, out=edges[3])
+        else:
+            edges[3] = edges[2]
+        self.pa = pa
 
     def learn(self, ids: np.ndarray, kind: np.ndarray) -> None:
-        hit2, hit1 = ids == self.id2, ids == self.id1
-        bit = hit2.astype(np.int32) << 12
-        error = (hit2.astype(np.int32) << 15) - self.pa
-        self.w2 += (error * (self.s2 >> 3)) >> 12
-        self.w1 += (error * (self.s1 >> 3)) >> 12
-        np.clip(self.w2, -60000, 120000, out=self.w2)
-        np.clip(self.w1, -60000, 120000, out=self.w1)
-        p = self.p2[self.k2]
-        self.p2[self.k2] = p + (((bit << 4) - p) >> 4)
-        p = self.p1[self.k1]
-        self.p1[self.k1] = p + (((bit << 4) - p) >> 4)
-        p = self.hit1[self.kh]
-        asked = (kind > 0) & ~self.agree
-        self.hit1[self.kh] = np.where(asked, p + (((hit1.astype(np.int32) << 16) - p) >> 4), p)
+        hit2, hit1 = kind == 0, ids == self.id1
+        bit = hit2 * np.int32(1 << 16)
+        self.step += 1
+        if self.step & 3 == 0:  # weights learn from every fourth id
+            error = (bit >> 1) - self.pa
+            self.w2 += (error * (self.s2 >> 3)) >> 14
+            self.w1 += (error * (self.s1 >> 3)) >> 14
+            np.clip(self.w2, -3500, 7500, out=self.w2)
+            np.clip(self.w1, -3500, 7500, out=self.w1)
+        self.p2[self.k2] = self.q2 + ((bit - self.q2) >> 4)
+        self.p1[self.k1] = self.q1 + ((bit - self.q1) >> 4)
+        self.hit1[self.k1] = self.qh + (((hit1 * np.int32(1 << 16) - self.qh) >> 4) * (~hit2 & ~self.agree))
         if self.bits:
-            p = self.old
-            self.old = np.where(kind > 1, np.clip(p + ((((kind == 2).astype(np.int32) << 16) - p) >> 5), 1024, 64512), p)
-        ids = ids.astype(np.int32)
-        self.two[self.at2] = np.where(hit2, (self.id2 << 4) | np.minimum(self.c2 + 1, 15), np.where(self.c2 > 1, (self.id2 << 4) | (self.c2 >> 1), (ids << 4) | 1))
-        self.one[self.at1] = np.where(hit1, (self.id1 << 4) | np.minimum(self.c1 + 1, 15), np.where(self.c1 > 1, (self.id1 << 4) | (self.c1 >> 1), (ids << 4) | 1))
-        self.b, self.a = self.a, ids.astype(np.int64)
+            self.old += ((((kind == 2) * np.int32(1 << 16)) - self.old) >> 5) * (kind > 1)
+            np.clip(self.old, 1024, 64512, out=self.old)
+        new = (ids.astype(np.int32) << 4) | 1
+        for table, at, e, c, hit in ((self.two, self.at2, self.e2, self.c2, hit2), (self.one, self.at1, self.e1, self.c1, hit1)):
+            after = e + CHANGE.take(c + 16 * hit)
+            np.copyto(after, new, where=(c <= 1) & ~hit)
+            table[at] = after
+        self.b, self.a = self.a, ids
 
     def shrink(self, n: int) -> None:
         """Only the first n lanes go on."""
         size = 1 << TABLE_BITS
-        for name, width in (("one", size), ("two", size), ("p2", 32), ("p1", 32), ("hit1", 16), ("old", 1), ("w2", 1), ("w1", 1), ("a", 1), ("b", 1), ("base", 1), ("base32", 1), ("base16", 1), ("lane", 1)):
+        for name, width in (("one", size), ("two", size), ("p2", 32), ("p1", 32), ("hit1", 32), ("old", 1), ("w2", 1), ("w1", 1), ("a", 1), ("b", 1), ("base", 1), ("base32", 1), ("lane", 1)):
             setattr(self, name, getattr(self, name)[: n * width])
         if self.bits:
             for name in ("sorted", "start", "count"):

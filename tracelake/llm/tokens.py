@@ -35,16 +35,26 @@ _SPACES = re.compile(r"\s\s|^\s|\s$")
 
 
 class _Pieces(dict):
-    """Ids of pieces of text, as bytes of unsigned 16-bit integers; unknown pieces are encoded when asked for."""
+    """Ids of pieces of text, as bytes of unsigned 16-bit integers; unknown pieces are encoded when asked for.
+
+    Two generations: when the young one is full it becomes the old one, so that pieces in use stay.
+    """
 
     def __init__(self, tokenizer, lead: str):
-        self.tokenizer, self.lead = tokenizer, lead
+        self.tokenizer, self.lead, self.old = tokenizer, lead, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(self.lead + piece, add_special_tokens=False).ids, "<u2").tobytes()
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = np.array(self.tokenizer.encode(self.lead + piece, add_special_tokens=False).ids, "<u2").tobytes()
         self[piece] = ids
         return ids
 
+    def age(self) -> None:
+        if len(self) > MAX_PIECES:
+            self.old = dict(self)
+            self.clear()
+
 
 class TextEncoder:
     """Encodes texts as the whole-text call does.
@@ -64,23 +74,41 @@ class TextEncoder:
         self.special = [t for t in (x.content for x in tokenizer.get_added_tokens_decoder().values()) if t]
         self.first, self.spaced = _Pieces(tokenizer, ""), _Pieces(tokenizer, " ")
         self.line = self.first["\n"]
+        #: By id: whether its text begins with a space.
+        self.leads = np.zeros(1 << 16, bool)
+        for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
+            self.leads[i] = token.startswith("\u0120")
+
+    def _meet(self, lines: list[list[str]]) -> None:
+        """Encodes all unknown pieces of lines in one call: each begins with the only space in it, so ids that begin with one part them."""
+        young, old = self.spaced, self.spaced.old
+        new = [w for w in {w for line in lines for w in line[1:]} if w not in young and w not in old]
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u2")
+            cuts = np.flatnonzero(self.leads[ids])
+            if len(cuts) == len(some):
+                data, cuts = ids.tobytes(), [*(2 * cuts).tolist(), 2 * len(ids)]
+                young.update(zip(some, (data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)), strict=True))
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        split: list[list[list[str]] | None] = []
+        for text in texts:
+            plain = text and not any(t in text for t in self.special) and not _SPACES.search(text)
+            split.append([line.split(" ") for line in text.split("\n")] if plain else None)
+        self.first.age()
+        self.spaced.age()
+        self._meet([line for lines in split if lines for line in lines])
+        first, spaced = self.first.__getitem__, self.spaced.__getitem__
+        return [self.line.join([first(line[0]) + b"".join(map(spaced, line[1:])) for line in lines]) if lines else self.encode(text) for text, lines in zip(texts, split, strict=True)]
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if any(t in text for t in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        if len(self.first) + len(self.spaced) > MAX_PIECES:
-            self.first.clear()
-            self.spaced.clear()
-        if _SPACES.search(text):
-            pieces = _BOUNDARY.split(text)
-            return self.first[pieces[0]] + b"".join(map(self.spaced.__getitem__, pieces[1:]))
-        lines = []
-        for line in text.split("\n"):
-            head, *rest = line.split(" ")
-            lines.append(self.first[head] + b"".join(map(self.spaced.__getitem__, rest)))
-        return self.line.join(lines)
+        pieces = _BOUNDARY.split(text)
+        return self.first[pieces[0]] + b"".join(map(self.spaced.__getitem__, pieces[1:]))
 
 
 @lru_cache(2)
@@ -124,8 +152,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
         size = 0
         for batch in batches:
             for own in passes(batch, "text"):
-                for doc_id, text in zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True):
-                    coded = encoder.encode(text) + end
+                for doc_id, coded in zip(own.column(0).to_pylist(), encoder.encode_all(own.column(1).to_pylist()), strict=True):
+                    coded += end
                     parts.append(coded)
                     ids_of.append(doc_id)
                     sizes.append(len(coded) // 2)
