@@ -19,8 +19,8 @@ from pyspark.sql.window import Window
 
 from tracelake.llm.common import bounded_batches, dropped, shared_path, staged
 
-NEIGHBOURS, REVERSE, ROUNDS, TREES, CELL = 20, 20, 4, 4, 160
-BEAM, EXPAND, SEEDS, MAX_HOPS = 192, 24, 64, 60
+NEIGHBOURS, REVERSE, ROUNDS, TREES, CELL = 28, 28, 6, 6, 200
+BEAM, EXPAND, SEEDS, MAX_HOPS = 320, 40, 64, 60
 TOP = 10
 #: Nodes that one worker call takes at a time, about.
 GROUP = 1500
