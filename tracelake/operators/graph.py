@@ -153,12 +153,13 @@ def find_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 5, shortest_
     """
     hop = edges.select(F.col("source_node_id").alias("at"), F.col("target_node_id").alias("next"), "edge_id")
     empty = F.array().cast("array<string>")
+    pairs = pairs.select("source", "target").distinct()
     found = [pairs.where("source = target").select("source", "target", empty.alias("path"))]
-    part = pairs.where("source <> target").select("source", "target", F.col("source").alias("at"), F.array("source").alias("seen"), empty.alias("path"))
+    # paths grow from distinct sources, whatever the number of their targets
+    part = pairs.select("source").distinct().select("source", F.col("source").alias("at"), F.array("source").alias("seen"), empty.alias("path"))
     for _ in range(max_depth):
-        part = part.join(hop, "at").where(~F.array_contains("seen", F.col("next"))).select("source", "target", F.col("next").alias("at"), F.concat("seen", F.array("next")).alias("seen"), F.concat("path", F.array("edge_id")).alias("path")).checkpoint()
-        found.append(part.where("at = target").select("source", "target", "path"))
-        part = part.where("at <> target")
+        part = part.join(hop, "at").where(~F.array_contains("seen", F.col("next"))).select("source", F.col("next").alias("at"), F.concat("seen", F.array("next")).alias("seen"), F.concat("path", F.array("edge_id")).alias("path")).checkpoint()
+        found.append(part.withColumnRenamed("at", "target").join(pairs, ["source", "target"], "left_semi").select("source", "target", "path"))
     out = union_all(*found)
     if shortest_only:
         out = out.withColumn("_m", F.min(F.size("path")).over(Window.partitionBy("source", "target"))).where(F.size("path") == F.col("_m")).drop("_m")

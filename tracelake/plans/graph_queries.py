@@ -166,9 +166,9 @@ def gra9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.zone_edges(tr.track_table(ad.trajectory_points(spark, sf_dir)), _zones(spark).where("zone_id = 'z1'")).select("source_node_id", "target_node_id")
 
 
-@query("gra10_query_nodes", f"WITH {_GRAPH} SELECT node_id, label FROM n WHERE node_type IN ('nation', 'region') AND contains(lower(label), 'an')")
+@query("gra10_query_nodes", f"WITH {_GRAPH} SELECT node_id, label FROM n WHERE node_type IN ('nation', 'region') AND contains(lower(label), 'a')")
 def gra10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gr.query_nodes(_graph(spark, sf_dir)[0], types=["nation", "region"], label="AN").select("node_id", "label")
+    return gr.query_nodes(_graph(spark, sf_dir)[0], types=["nation", "region"], label="A").select("node_id", "label")
 
 
 @query("gra11_query_edges", f"WITH {_GRAPH} SELECT edge_id FROM e WHERE s = 'nation:3'")
