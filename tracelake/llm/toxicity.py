@@ -203,11 +203,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clea
 
     Also the log of how many times the sample's odds of being toxic are those of all labelled documents."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(~held_out())
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(known, "doc_id")
     sizes = {r.toxic: (r.n, r.b) for r in docs.select("doc_id", F.octet_length("text").alias("b")).join(known, "doc_id").groupBy("toxic").agg(F.count("*").alias("n"), F.sum("b").alias("b")).collect()}
     share = {y: min(1.0, most / max(1, sizes.get(y, (0, 0))[0]), max_bytes / 2 / max(1, sizes.get(y, (0, 0))[1] or 0)) for y, most in ((1, max_toxic), (0, max_clean))}
     dice = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    chosen = rows.where(dice < F.when(F.col("toxic") == 1, int(share[1] * 1_000_000)).otherwise(int(share[0] * 1_000_000)))
+    # at most about max_toxic + max_clean ids whatever the number of labels, so their broadcast is bounded and no text is shuffled
+    ids = known.where(dice < F.when(F.col("toxic") == 1, int(share[1] * 1_000_000)).otherwise(int(share[0] * 1_000_000)))
+    chosen = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
     return [(int(r.toxic == 1), r.text) for r in chosen.select("doc_id", "toxic", "text").collect() if r.toxic in (0, 1)], float(np.log(share[1] / share[0]))
 
 
