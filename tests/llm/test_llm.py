@@ -61,8 +61,9 @@ def test_pieces_encode_like_whole_texts():
     texts = ["", "a", " lead", "trail ", "two  spaces", "a\nb", "a\n\nb", "tab\tx", "it's <|endoftext|> ok", "naïve – quote’s 12 3", "\n", " ", "x \n y", "é" * 50]
     rng = random.Random(3)
     texts += ["".join(rng.choice("ab '\n.1é ") for _ in range(40)) for _ in range(200)]
-    got = tokens.TextEncoder(path).encode_all(texts)
-    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    texts += ["no\u00a0break \u2003x", "a\u00a0 b", "tail\n", "\r\nx", "y\u0085z w"]
+    got = tokens.TextEncoder(path).encode_column(pa.array(texts), 2)
+    assert [g[:-1].tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_token_file(spark, edge, empty):

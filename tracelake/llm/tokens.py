@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,13 +26,15 @@ from tracelake.llm.common import bounded_batches, passes, shared_path
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 #: Ids of a segment, about (one longer document is a segment of its own), and ids coded in one go.
-SEGMENT_IDS, LANES_IDS = 1 << 16, 1 << 22
+SEGMENT_IDS, LANES_IDS = 1 << 16, 1 << 23
 #: Distinct pieces of text whose ids a worker remembers.
 MAX_PIECES = 200_000
 
 SEGMENT = "part int, segment int, n_ids long, doc_ids array<long>, doc_sizes array<long>, block_sizes array<int>, block_crcs array<long>, blocks array<binary>"
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
-_SPACES = re.compile(r"\s\s|^\s|\s$")
+_WS = r"[\t\n\v\f\r \x1c-\x1f\x{85}\p{Z}]"
+#: Texts with white space side by side, at either end, or other than spaces and line breaks are encoded on their own.
+_ODD = rf"{_WS}{_WS}|^{_WS}|{_WS}$|[\t\v\f\r\x1c-\x1f\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]"
 
 
 class _Pieces(dict):
@@ -79,10 +82,13 @@ class TextEncoder:
         for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
             self.leads[i] = token.startswith("\u0120")
 
-    def _meet(self, lines: list[list[str]]) -> None:
-        """Encodes all unknown pieces of lines in one call: each begins with the only space in it, so ids that begin with one part them."""
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words that follow a space, on end, and how many each has.
+
+        Unknown ones are encoded in few calls: each begins with the only space in it, so ids that begin with one part them.
+        """
         young, old = self.spaced, self.spaced.old
-        new = [w for w in {w for line in lines for w in line[1:]} if w not in young and w not in old]
+        new = [w for w in words if w not in young and w not in old]
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
             ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u2")
@@ -90,17 +96,56 @@ class TextEncoder:
             if len(cuts) == len(some):
                 data, cuts = ids.tobytes(), [*(2 * cuts).tolist(), 2 * len(ids)]
                 young.update(zip(some, (data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)), strict=True))
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        split: list[list[list[str]] | None] = []
-        for text in texts:
-            plain = text and not any(t in text for t in self.special) and not _SPACES.search(text)
-            split.append([line.split(" ") for line in text.split("\n")] if plain else None)
+        found = [young[w] for w in words]
+        return np.frombuffer(b"".join(found), "<u2"), np.array([len(x) for x in found], np.int64) // 2
+
+    def encode_column(self, texts: pa.Array, end_id: int) -> list[np.ndarray]:
+        """Each text's ids and the end id. Words are split, numbered and put together again as whole arrays."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, _ODD)
+        for t in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, t))
+        odd = pc.or_(odd, pc.equal(texts, "")).to_numpy(zero_copy_only=False)
         self.first.age()
         self.spaced.age()
-        self._meet([line for lines in split if lines for line in lines])
-        first, spaced = self.first.__getitem__, self.spaced.__getitem__
-        return [self.line.join([first(line[0]) + b"".join(map(spaced, line[1:])) for line in lines]) if lines else self.encode(text) for text, lines in zip(texts, split, strict=True)]
+        out: list = [np.append(np.frombuffer(self.encode(t.as_py()), "<u2"), np.uint16(end_id)) if o else None for t, o in zip(texts, odd, strict=True)] if odd.any() else [None] * len(texts)
+        plain = np.flatnonzero(~odd)
+        if not len(plain):
+            return out
+        lines = pc.split_pattern(texts.take(pa.array(plain)), "\n")
+        n_lines = pc.list_value_length(lines).to_numpy(zero_copy_only=False)
+        words = pc.split_pattern(lines.flatten(), " ")
+        n_words = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        code, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        begins = np.cumsum(n_words) - n_words  # each line's first word
+        is_first = np.zeros(len(code), bool)
+        is_first[begins] = True
+        # units that have ids: distinct words after a space, distinct first words, the line break and the end
+        m = len(names)
+        led, heads = np.unique(code[~is_first]), np.unique(code[is_first])
+        ids, sizes = self._ids_of(names.take(pa.array(led)).to_pylist())
+        first = [self.first[w] for w in names.take(pa.array(heads)).to_pylist()]
+        ids = np.concatenate((ids, np.frombuffer(b"".join(first) + self.line, "<u2"), np.array([end_id], "<u2")))
+        sizes = np.concatenate((sizes, np.array([len(x) // 2 for x in first], np.int64), [len(self.line) // 2, 1])).astype(np.int64)
+        place = np.zeros(2 * m, np.int64)
+        place[led] = np.arange(len(led))
+        place[m + heads] = len(led) + np.arange(len(heads))
+        # after each line comes a break, after a text's last line the end
+        n = len(code) + len(n_words)
+        line_of = np.repeat(np.arange(len(n_words)), n_words)
+        units = np.full(n, len(sizes) - 2, np.int64)
+        units[np.arange(len(code)) + line_of] = place[code + m * is_first]
+        last = np.cumsum(n_lines) - 1
+        ends = begins + n_words + np.arange(len(n_words))
+        units[ends[last]] = len(sizes) - 1
+        size = sizes[units]
+        upto = np.cumsum(size)
+        all_ids = ids[np.repeat((np.cumsum(sizes) - sizes)[units] - (upto - size), size) + np.arange(upto[-1])]
+        stop = upto[ends[last]].tolist()
+        for k, i, j in zip(plain.tolist(), [0, *stop[:-1]], stop, strict=True):
+            out[k] = all_ids[i:j]
+        return out
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -144,29 +189,28 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = text_encoder(tokenizer_path(tokenizer)), np.array([end_id], "<u2").tobytes()
+        encoder = text_encoder(tokenizer_path(tokenizer))
         part, at, held, total = TaskContext.get().partitionId(), 0, [], 0
         ids_of: list = []
         sizes: list = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
         size = 0
         for batch in batches:
             for own in passes(batch, "text"):
-                for doc_id, coded in zip(own.column(0).to_pylist(), encoder.encode_all(own.column(1).to_pylist()), strict=True):
-                    coded += end
+                for doc_id, coded in zip(own.column(0).to_pylist(), encoder.encode_column(own.column(1), end_id), strict=True):
                     parts.append(coded)
                     ids_of.append(doc_id)
-                    sizes.append(len(coded) // 2)
+                    sizes.append(len(coded))
                     size += sizes[-1]
                     if size >= SEGMENT_IDS:
-                        held.append((ids_of, sizes, np.frombuffer(b"".join(parts), "<u2")))
+                        held.append((ids_of, sizes, np.concatenate(parts)))
                         total += size
                         ids_of, sizes, parts, size = [], [], [], 0
                         if total >= LANES_IDS:
                             yield flush(held, part, at)
                             at, held, total = at + len(held), [], 0
         if parts:
-            held.append((ids_of, sizes, np.frombuffer(b"".join(parts), "<u2")))
+            held.append((ids_of, sizes, np.concatenate(parts)))
         if held:
             yield flush(held, part, at)
 
