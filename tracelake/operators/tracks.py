@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,3 +62,97 @@ def filter_detections(detections: DataFrame, min_confidence: float = 0.0, classe
         return d
     w = Window.partitionBy("video_id", "frame_number").orderBy(F.desc("confidence"), "detection_id")
     return d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_frame).drop("_r")
+
+
+HIGH, LOW, BIRTH, MAX_MISSED = 0.5, 0.1, 0.6, 30
+FIRST_IOU, SECOND_IOU = 0.2, 0.5
+
+
+class _Track:
+    """Constant-velocity Kalman filter over centre and size of a box; each of the four runs for itself."""
+
+    def __init__(self, number: int, row):
+        self.number, self.missed, self.seen = number, 0, [row]
+        self.x = [[v, 0.0] for v in _measure(row.bbox)]
+        self.p = [[100.0, 0.0, 0.0, 100.0] for _ in range(4)]
+
+    def predict(self) -> None:
+        for s, p in zip(self.x, self.p, strict=True):
+            s[0] += s[1]
+            a, b, c, d = p
+            p[:] = [a + b + c + d + 1.0, b + d, c + d, d + 0.1]
+
+    def update(self, row) -> None:
+        for s, p, z in zip(self.x, self.p, _measure(row.bbox), strict=True):
+            a, b, c, d = p
+            k0, k1, r = a / (a + 4.0), c / (a + 4.0), z - s[0]
+            s[0] += k0 * r
+            s[1] += k1 * r
+            p[:] = [(1 - k0) * a, (1 - k0) * b, c - k1 * a, d - k1 * b]
+        self.missed = 0
+        self.seen.append(row)
+
+    def box(self) -> tuple[float, float, float, float]:
+        (x, _), (y, _), (w, _), (h, _) = self.x
+        return x - w / 2, y - h / 2, max(w, 1e-3), max(h, 1e-3)
+
+
+def _measure(b) -> tuple[float, float, float, float]:
+    return b["x"] + b["width"] / 2, b["y"] + b["height"] / 2, b["width"], b["height"]
+
+
+def _overlap(a, b) -> float:
+    w = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
+    h = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
+    if w <= 0 or h <= 0:
+        return 0.0
+    return w * h / (a[2] * a[3] + b[2] * b[3] - w * h)
+
+
+def _matched(tracks: list[_Track], rows: list, least: float) -> tuple[list[tuple[_Track, object]], list[_Track], list]:
+    """Pairs by falling overlap; ties by track number, then detection."""
+    pairs = sorted((-o, t.number, r.detection_id, t, r) for t in tracks for r in rows if t.seen[-1].class_name == r.class_name and (o := _overlap(t.box(), (r.bbox["x"], r.bbox["y"], r.bbox["width"], r.bbox["height"]))) >= least) if tracks and rows else []
+    used_t, used_r, out = set(), set(), []
+    for _, number, detection, t, r in pairs:
+        if number not in used_t and detection not in used_r:
+            used_t.add(number)
+            used_r.add(detection)
+            out.append((t, r))
+    return out, [t for t in tracks if t.number not in used_t], [r for r in rows if r.detection_id not in used_r]
+
+
+def associate_tracks(detections: DataFrame) -> DataFrame:
+    """(video_id, detection_id, track_id, frame_number): detections of a video joined into tracks, frame after frame.
+
+    Confident detections are matched to predicted boxes first, then less confident ones to
+    what is left; tracks start from confident detections and end after MAX_MISSED frames
+    without any. One video is one key: association cannot be cut inside it.
+    """
+
+    def run(group):
+        rows = group.sort_values(["frame_number", "detection_id"])
+        live: list[_Track] = []
+        done: list[_Track] = []
+        n, last = 0, None
+        for frame, part in rows.groupby("frame_number", sort=True):
+            for t in live:
+                for _ in range(min(int(frame - last), MAX_MISSED + 1) if last is not None else 1):
+                    t.predict()
+                    t.missed += 1
+            last = frame
+            done += [t for t in live if t.missed > MAX_MISSED]
+            live = [t for t in live if t.missed <= MAX_MISSED]
+            seen = list(part.itertuples(index=False))
+            pairs, free, high = _matched(live, [r for r in seen if r.confidence >= HIGH], FIRST_IOU)
+            more, _, _ = _matched(free, [r for r in seen if LOW <= r.confidence < HIGH], SECOND_IOU)
+            for t, r in pairs + more:
+                t.update(r)
+            for r in high:
+                if r.confidence >= BIRTH:
+                    live.append(_Track(n, r))
+                    n += 1
+        out = [(r.video_id, r.detection_id, f"{r.video_id}-{t.number}", r.frame_number) for t in done + live for r in t.seen]
+        return pd.DataFrame(out, columns=["video_id", "detection_id", "track_id", "frame_number"])
+
+    d = detections.select("video_id", "detection_id", F.col("frame_number").cast("long").alias("frame_number"), "class_name", "confidence", "bbox")
+    return d.groupBy("video_id").applyInPandas(run, "video_id long, detection_id long, track_id string, frame_number long")
