@@ -19,7 +19,7 @@ import zlib
 
 import numpy as np
 
-BLOCK_IDS = 4096
+BLOCK_IDS = 2048
 TABLE_BITS = 10
 _P = 15  # bits of a class probability
 _LOW = np.int64(1) << np.int64(32)
@@ -77,7 +77,7 @@ class _Lanes:
         key = ids.astype(np.int64) | (self.lane << 16)[:, None]
         at = np.searchsorted(wide, key.ravel())
         there = wide[np.minimum(at, len(wide) - 1)] == key.ravel()
-        return np.where(there, at - np.repeat(self.lane << self.bits, ids.shape[1]), 0).reshape(ids.shape), there.reshape(ids.shape)
+        return np.where(there, at - np.repeat(self.lane << self.bits, ids.shape[1]), 0).astype(np.int32).reshape(ids.shape), there.reshape(ids.shape)
 
     def predict(self) -> None:
         a = self.a
