@@ -93,3 +93,60 @@ def cmp10(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = ad.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("video_id"), F.when(F.col("lang") == "de", "private").alias("availability"))
     jobs = ad.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("video_id"), F.when(F.col("quality") == 1, "complete").otherwise("failed").alias("status"))
     return le.pending_videos(d, jobs).select("video_id")
+
+
+_IV = "i AS (SELECT track_id AS video_id, event_id, event_type, pts AS s, pts + value / 100 AS e FROM p)"
+
+
+@query("eva2_event_pairs", f"""WITH {ad.POINTS}, {_IV}, j AS (SELECT g.video_id, g.event_id AS g_id, d.event_id AS p_id, greatest(least(g.e, d.e + 0.5) - greatest(g.s, d.s + 0.5), 0) AS b, greatest(g.e, d.e + 0.5) - least(g.s, d.s + 0.5) AS u FROM i g JOIN i d ON g.video_id = d.video_id AND g.event_type = d.event_type AND g.s <= d.e + 0.5 AND d.s + 0.5 <= g.e)
+SELECT video_id, g_id, p_id, round(b / u, 4) AS weight FROM j WHERE u > 0 AND b / u >= 0.5""")
+def eva2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = ad.intervals(spark, sf_dir).select(F.col("track_id").alias("video_id"), F.col("event_id").alias("id"), "event_type", "start", "end")
+    moved = i.withColumn("start", F.col("start") + 0.5).withColumn("end", F.col("end") + 0.5)
+    return va.event_pairs(i, moved).select("video_id", "g_id", "p_id", F.round("weight", 4).alias("weight"))
+
+
+@query("eva9_aggregate", """WITH c AS (SELECT doc_id % 20 AS v, count(*) FILTER (quality = 1 AND toxic = 1) AS tp, count(*) FILTER (quality = 0 AND toxic = 1) AS fp, count(*) FILTER (quality = 1 AND toxic = 0) AS fn FROM labels GROUP BY 1),
+r AS (SELECT *, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END, 4) AS p, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END, 4) AS rc FROM c)
+SELECT sum(tp)::BIGINT AS tp, round(avg(p), 3) AS macro_precision, round(sum(tp) / (sum(tp) + sum(fp)), 4) AS micro_precision, round(sum(tp) / (sum(tp) + sum(fn)), 4) AS micro_recall, count(*) AS n_videos FROM r""")
+def eva9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = ad.table(spark, sf_dir, "labels").groupBy((F.col("doc_id") % 20).alias("video_id")).agg(*(F.count_if((F.col("quality") == q) & (F.col("toxic") == t)).alias(n) for n, q, t in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0))))
+    p = lambda a, b: F.round(F.when(F.col(a) + F.col(b) > 0, F.col(a) / (F.col(a) + F.col(b))), 4)
+    r = c.withColumn("precision", p("tp", "fp")).withColumn("recall", p("tp", "fn")).withColumn("f1", p("tp", "fp"))
+    return va.aggregate_metrics(r).select("tp", F.round("macro_precision", 3).alias("macro_precision"), "micro_precision", "micro_recall", "n_videos")
+
+
+@query("inv18_gate_claims", f"""WITH {ad.POINTS}, c AS (SELECT event_id, video_id, CASE WHEN event_id % 6 = 0 THEN NULL WHEN event_id % 7 = 0 THEN -event_id - 1 ELSE event_id END AS ev FROM p)
+SELECT c.event_id AS claim_id, CASE WHEN ev IS NULL OR p.event_id IS NULL THEN 'insufficient' ELSE 'sufficient' END AS status, CASE WHEN ev IS NULL THEN 'nothing_cited' WHEN p.event_id IS NULL THEN 'evidence_missing' END AS reason FROM c LEFT JOIN p ON p.event_id = c.ev""")
+def inv18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = ad.trajectory_points(spark, sf_dir)
+    cited = F.when(F.col("event_id") % 6 == 0, F.array().cast("array<string>")).otherwise(F.array(F.when(F.col("event_id") % 7 == 0, -F.col("event_id") - 1).otherwise(F.col("event_id")).cast("string")))
+    claims = p.select(F.col("event_id").alias("claim_id"), "video_id", cited.alias("evidence_ids"), F.lit(0.0).alias("start"), F.lit(1.0).alias("end"))
+    return lo.gate_claims(claims, p.select(F.col("event_id").cast("string").alias("evidence_id"), "video_id")).select("claim_id", "status", "reason")
+
+
+@query("evt14_explain", f"""WITH {ad.POINTS} SELECT event_id, event_type || ' in z' AS what, round(pts::DECIMAL(18, 3), 2)::DECIMAL(18, 2) || 's-' || round(pts::DECIMAL(18, 3), 2)::DECIMAL(18, 2) || 's' AS "when", 'a' || track_id AS who FROM p""")
+def evt14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelake.operators.events import explain_events
+
+    e = ad.table(spark, sf_dir, "events").select("event_id", "event_type")
+    p = ad.trajectory_points(spark, sf_dir).join(e, "event_id")
+    rows = p.select("video_id", "event_id", "event_type", F.lit("z").alias("zone_name"), F.col("pts").alias("start"), F.col("pts").alias("end"), F.array(F.concat(F.lit("a"), F.col("track_id").cast("string"))).alias("participants"), F.array(F.struct(F.lit("e").alias("evidence_id"), "frame_number")).alias("event_evidence"), F.lit("m").alias("source_module"))
+    return explain_events(rows).select("event_id", "what", "when", "who")
+
+
+@query("prj8_normalize_text", r"""SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents WHERE regexp_full_match(text, '[ -~\n]*')""")
+def prj8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelake.functions.exprs import normalize_ocr
+
+    d = ad.table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[ -~\n]*\z"))
+    return d.select("doc_id", normalize_ocr(F.col("text")).alias("t"))
+
+
+@query("src4_resolve", "SELECT doc_id % 100 AS video_id, min(CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'fr' THEN 3 ELSE 4 END) AS best, count(*) AS n FROM (SELECT *, min(CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'fr' THEN 3 ELSE 4 END) OVER (PARTITION BY doc_id % 100) AS b FROM documents) WHERE b = CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'fr' THEN 3 ELSE 4 END GROUP BY 1")
+def src4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelake.sources.io import resolve_transcripts
+
+    d = ad.table(spark, sf_dir, "documents").select((F.col("doc_id") % 100).alias("video_id"), F.col("lang").alias("provider"))
+    rank = F.when(F.col("provider") == "en", 1).when(F.col("provider") == "de", 2).when(F.col("provider") == "fr", 3).otherwise(4)
+    return resolve_transcripts(d, ("en", "de", "fr")).groupBy("video_id").agg(F.min(rank).alias("best"), F.count("*").alias("n"))
