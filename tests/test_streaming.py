@@ -57,3 +57,25 @@ def test_upsert(spark, tmp_path):
     spark.createDataFrame([(2, "c")], "id long, v string").coalesce(1).write.mode("append").parquet(src)
     st.stream_upsert(stream, out, "id", str(tmp_path / "c")).awaitTermination()
     assert {tuple(r) for r in st.newest(spark.read.parquet(out), "id").collect()} == {(1, "a"), (2, "c")}
+
+
+def test_budget(spark, tmp_path):
+    from tracelake.operators.ranking import admit
+
+    df = spark.createDataFrame([("k", i, i * 0.5, 3000) for i in range(200)], "budget_key string, request_id long, t double, tokens long")
+    df.where("t < 40").coalesce(1).write.parquet(src := str(tmp_path / "b"))
+    df.where("t >= 40").coalesce(1).write.mode("append").parquet(src)
+    got = {tuple(r) for r in drained(st.stream_admit(spark.readStream.schema(df.schema).parquet(src)), tmp_path, "budget").collect()}
+    assert got == {(r.budget_key, r.request_id, r.admitted) for r in admit(df).collect()} and {a for _, _, a in got} == {True, False}
+
+
+def test_text_fusion(spark, tmp_path):
+    from tracelake.operators.fusion import fuse_text
+
+    rows = [(1, "a", i, f, x, 0.0, 20.0, 10.0, 0.5 + i / 100) for i, (f, x) in enumerate([(0, 0.0), (1, 5.0), (1, 500.0), (3, 8.0), (20, 0.0), (21, 2.0), (60, 0.0)])]
+    df = spark.createDataFrame(rows, "video_id long, normalized_text string, observation_id long, frame_number long, x double, y double, width double, height double, confidence double")
+    df.coalesce(1).write.parquet(src := str(tmp_path / "t"))
+    got = {tuple(r) for r in drained(st.stream_text_fusion(spark.readStream.schema(df.schema).parquet(src)), tmp_path, "texts").collect()}
+    batch = fuse_text(df.withColumn("pts", F.col("frame_number") * 1.0).withColumn("text", F.col("normalized_text")).withColumn("bbox", ex.box("x", "y", "width", "height")))
+    want = {(r.video_id, r.normalized_text, r.first_frame, r.last_frame, r.confidence_summary["count"], r.confidence_summary["max"]) for r in batch.collect() if r.last_frame < 60}
+    assert got == want and len(want) == 3

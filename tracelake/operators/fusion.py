@@ -12,7 +12,7 @@ from tracelake.functions.ordered import islands
 FRAME_GAP, MIN_IOU, MAX_DISTANCE, SPEECH_GAP = 5, 0.2, 60.0, 0.5
 
 
-def _compatible(a, b) -> float | None:
+def compatible(a, b) -> float | None:
     """How well two boxes agree, None if not; a missing box agrees with any."""
     if a is None or b is None:
         return 0.0
@@ -43,7 +43,7 @@ def fuse_text(ocr: DataFrame, frame_gap: int = FRAME_GAP) -> DataFrame:
         for row in group.itertuples(index=False):
             best, at = None, None
             for i, c in enumerate(clusters):
-                if row.frame_number - c["frame"] <= frame_gap and (fit := _compatible(c["box"], row.bbox)) is not None and (best is None or fit > best):
+                if row.frame_number - c["frame"] <= frame_gap and (fit := compatible(c["box"], row.bbox)) is not None and (best is None or fit > best):
                     best, at = fit, i
             if at is None:
                 at = len(clusters)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tracelake.operators.events import MIN_SPEED, ZONE_GAP
+from tracelake.operators.fusion import FRAME_GAP, compatible
+from tracelake.operators.ranking import BUDGET_SECONDS, MAX_REQUESTS, MAX_TOKENS
 
 
 def stream_clusters(events: DataFrame, gap: str = "2500 milliseconds", late: str = "10 seconds") -> DataFrame:
@@ -68,6 +70,68 @@ class _Zone(StatefulProcessor):
         pass
 
 
+class _Budget(StatefulProcessor):
+    """Times and tokens of the requests admitted in the last BUDGET_SECONDS of one budget."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", "t double, tokens long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        held = list(self.held.get()) if self.held.exists() else []
+        out = []
+        for row in pd.concat(list(rows)).sort_values(["t", "request_id"]).itertuples(index=False):
+            held = [(t, n) for t, n in held if row.t - t < BUDGET_SECONDS]
+            ok = len(held) + 1 <= MAX_REQUESTS and sum(n for _, n in held) + row.tokens <= MAX_TOKENS
+            if ok:
+                held.append((float(row.t), int(row.tokens)))
+            out.append((*key, row.request_id, ok))
+        self.held.put(held) if held else self.held.clear()
+        yield pd.DataFrame(out, columns=["budget_key", "request_id", "admitted"])
+
+    def close(self) -> None:
+        pass
+
+
+class _Texts(StatefulProcessor):
+    """Open sightings of one text in a video: first and last frame, last box, rows and best confidence."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getListState("open", "first long, last long, x double, y double, width double, height double, n long, confidence double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        held = [tuple(c) for c in self.open.get()] if self.open.exists() else []
+        out = []
+        for row in pd.concat(list(rows)).sort_values(["frame_number", "observation_id"]).itertuples(index=False):
+            out += [(*key, *c[:2], *c[6:]) for c in held if row.frame_number - c[1] > FRAME_GAP]
+            held = [c for c in held if row.frame_number - c[1] <= FRAME_GAP]
+            box = {"x": row.x, "y": row.y, "width": row.width, "height": row.height}
+            fits = [(fit, -i) for i, c in enumerate(held) if (fit := compatible(dict(zip(box, c[2:6], strict=True)), box)) is not None]
+            new = (int(row.frame_number), int(row.frame_number), *map(float, box.values()), 1, float(row.confidence))
+            if fits:
+                i = -max(fits)[1]
+                held[i] = (held[i][0], *new[1:6], held[i][6] + 1, max(held[i][7], new[7]))
+            else:
+                held.append(new)
+        self.open.put(held) if held else self.open.clear()
+        yield pd.DataFrame(out, columns=["video_id", "normalized_text", "first_frame", "last_frame", "n", "confidence"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_admit(requests: DataFrame) -> DataFrame:
+    """(budget_key, request_id, admitted) for a stream of requests (budget_key string, request_id long, t, tokens)."""
+    return requests.groupBy("budget_key").transformWithStateInPandas(_Budget(), "budget_key string, request_id long, admitted boolean", "Append", "None")
+
+
+def stream_text_fusion(ocr: DataFrame) -> DataFrame:
+    """Sightings of texts, given out when the text has a row over FRAME_GAP frames after them; what is open stays in state.
+
+    ocr: video_id, normalized_text, observation_id, frame_number, x, y, width, height, confidence.
+    """
+    return ocr.groupBy("video_id", "normalized_text").transformWithStateInPandas(_Texts(), "video_id long, normalized_text string, first_frame long, last_frame long, n long, confidence double", "Append", "None")
+
+
 def stream_motion_events(points: DataFrame) -> DataFrame:
     """started and stopped moving from a stream of points (video_id, track_id, pts, x, y); rows of a trigger may come in any order."""
     return points.groupBy("video_id", "track_id").transformWithStateInPandas(_Motion(), "video_id long, track_id long, event_type string, start double", "Append", "None")
