@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import LOWER, bounded_batches, mixed, passes, span_hashes, text_bytes, word_spans
+from tracelake.llm.common import LOWER, bounded_batches, lean, mixed, passes, span_hashes, text_bytes, word_spans
 
 WINDOW = 10
 #: Benchmark bytes in one automaton (and so in one broadcast); larger benchmarks are streamed against several.
@@ -199,7 +199,7 @@ def match_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sha
                     arrays = [*part.columns[:-3], pa.array(np.diff(first), pa.int64()), pa.array(spans, part.schema.field("spans").type), pa.array(items, part.schema.field("items").type)]
                     yield pa.RecordBatch.from_arrays(arrays, part.schema.names)
 
-        return out.mapInArrow(run, schema)
+        return out.mapInArrow(lean(run), schema)
 
     for automaton in automata(benchmark, window, shard_bytes):
         out = against(spark.sparkContext.broadcast(automaton), out)

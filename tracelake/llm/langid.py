@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import bounded_batches, passes
+from tracelake.llm.common import bounded_batches, lean, passes
 
 BITS, ORDERS, ALPHA = 16, (1, 2, 3), 0.5
 #: Labelled documents that the model is fitted on, at most; chosen by a hash of doc_id.
@@ -106,7 +106,7 @@ def fit(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, bits: int = BITS, alpha
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(own[at])], ["lang", "bucket", "n"])
 
-    rows = sample.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    rows = sample.mapInArrow(lean(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     langs = sorted(r.lang for r in rows.select("lang").distinct().limit(MAX_LANGS + 1).collect())
     if len(langs) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
@@ -144,7 +144,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataF
 
     picked = docs.select(*columns)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema)
-    out = picked.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    out = picked.mapInArrow(lean(run), f"{kinds}, lang_pred string, score double")
     return out if "text" in keep else out.drop("text")
 
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import bounded_batches, dropped, passes, shared_path
+from tracelake.llm.common import bounded_batches, dropped, lean, passes, shared_path
 
 STRIP = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 20, 3, 4, 4
@@ -49,7 +49,7 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                     keys += own
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "key"])
 
-    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, key binary")
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, key binary")
 
 
 class LineRuns:
@@ -140,7 +140,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
                     ["doc_id", "kept", "n_lines", "n_dropped", "kept_sha256"],
                 )
 
-    return docs.join(losing, "doc_id", "left").select("doc_id", "text", "keys").mapInArrow(run, "doc_id long, kept string, n_lines long, n_dropped long, kept_sha256 string")
+    return docs.join(losing, "doc_id", "left").select("doc_id", "text", "keys").mapInArrow(lean(run), "doc_id long, kept string, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

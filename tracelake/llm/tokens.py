@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracelake.llm import rangecoder
-from tracelake.llm.common import bounded_batches, passes, shared_path
+from tracelake.llm.common import bounded_batches, lean, passes, shared_path
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 #: Ids of a segment, about (one longer document is a segment of its own), and ids coded in one go.
@@ -147,6 +147,11 @@ class TextEncoder:
             out[k] = all_ids[i:j]
         return out
 
+    def forget(self) -> None:
+        """Keeps no more than the young pieces between tasks."""
+        self.first.clear()
+        self.first.old, self.spaced.old = {}, {}
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -213,9 +218,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
             held.append((ids_of, sizes, np.concatenate(parts)))
         if held:
             yield flush(held, part, at)
+        encoder.forget()
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(run, SEGMENT).write.parquet(path)
+    rows.mapInArrow(lean(run), SEGMENT).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -224,7 +230,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     A block whose ids don't have their checksum is an error.
     """
     rows = spark.read.schema(SEGMENT).parquet(path)
-    return rows.mapInArrow(_decoded, "part int, segment int, pos int, offset long, doc_id long, ids array<int>")
+    return rows.mapInArrow(lean(_decoded), "part int, segment int, pos int, offset long, doc_id long, ids array<int>")
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -280,7 +286,7 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["part", "segment", "offset", "doc_id", "n_tokens", "ids_crc32"])
 
     rows = spark.read.schema(SEGMENT).parquet(path)
-    docs = rows.mapInArrow(run, "part int, segment int, offset long, doc_id long, n_tokens long, ids_crc32 long")
+    docs = rows.mapInArrow(lean(run), "part int, segment int, offset long, doc_id long, n_tokens long, ids_crc32 long")
     # starts in two levels: of parts, of which there are as many as the writer had tasks, and of a part's segments
     sizes = rows.select("part", "segment", "n_ids")
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))

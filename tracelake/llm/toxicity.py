@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import LOWER, bounded_batches, mixed, passes, span_hashes, text_bytes, word_spans
+from tracelake.llm.common import LOWER, bounded_batches, lean, mixed, passes, span_hashes, text_bytes, word_spans
 from tracelake.llm.langid import held_out
 
 BITS, STEPS, RATE, L2 = 18, 40, 0.25, 1e-4
@@ -265,7 +265,7 @@ def tag(docs: DataFrame, model: Model, min_p: float = 0.5) -> DataFrame:
                     last = k
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array(spans, span)], ["doc_id", "score", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, spans array<struct<from_byte:long,to_byte:long,p:double>>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, score double, spans array<struct<from_byte:long,to_byte:long,p:double>>")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
