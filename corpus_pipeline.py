@@ -15,6 +15,8 @@ from tracelake.llm.common import staged
 
 #: A document is rejected if its language is this unsure.
 MIN_LANG_SCORE = 0.5
+#: Near duplicates: words of a shingle, and the least similarity of the sets in percent.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones: the one with the smallest doc_id. Documents without words all stay."""
-    found = jaccard.jaccard_join(docs)
+    found = jaccard.jaccard_join(docs, NEAR_WORDS, NEAR_PERCENT)
     keep = found.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
 

@@ -405,6 +405,55 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
 
 
+def brute_near(rows, size=5):
+    """Rows' groups by similarity 0.8 of 5-word shingles: for each row the index of the group's first; rows may repeat an id."""
+    sets = []
+    for _, text in rows:
+        w = (text or "").lower().split()
+        sets.append({tuple(w[k : k + size]) for k in range(max(len(w) - size + 1, 1))} if w else set())
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = [new if g == old else g for g in group]
+    return group
+
+
+def test_near_duplicates_take_five_words_and_four_fifths(spark):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    rows = []
+    for k in range(12):
+        base = words(rng, 88 + 3 * k, 9000).split()
+        rows.append((len(rows), " ".join(base)))
+        for at in ((20,), (20, 60), (20, 40, 60)):
+            copy = list(base)
+            for i in at:
+                copy[i] = f"changed{i}"
+            rows.append((len(rows), " ".join(copy)))
+    group = brute_near(rows)
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs_of(spark, rows), "").collect()}
+    assert got == {i for i, g in enumerate(group) if i == g}
+    # with two words changed, 100 words are linked on these terms and not on those of op2
+    sets = [{tuple(t.split()[k : k + n]) for k in range(101 - n)} for n in (5, 3) for t in (rows[16][1], rows[18][1])]
+    assert len(sets[0] & sets[1]) / len(sets[0] | sets[1]) >= 0.8 and len(sets[2] & sets[3]) / len(sets[2] | sets[3]) < 0.9
+
+
+def test_near_duplicates_of_the_given_documents(spark):
+    import os
+
+    import corpus_pipeline
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.isdir(os.path.dirname(path)):
+        pytest.skip("no test data")
+    docs = spark.read.parquet(path)
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [rows[i][0] for i, g in enumerate(brute_near(rows)) if i == g]
+
+
 def test_array_helpers():
     from tracelake.llm.common import passes, text_bytes
 
