@@ -130,6 +130,30 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch, short, light):
     assert got == brute_jaccard(rows)
 
 
+@pytest.mark.parametrize("size,percent,boundary", [(3, 90, 0), (3, 90, 29), (3, 90, 39), (5, 80, 19)])
+def test_number_of_links_does_not_depend_on_the_boundary(spark, monkeypatch, size, percent, boundary):
+    monkeypatch.setattr(jaccard, "SHORT_LIST", 8)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "subsets_left", lambda n, p: 0 if n <= boundary else 10**9)
+    chosen, light = [], jaccard.light_links
+    monkeypatch.setattr(jaccard, "light_links", lambda sets, largest, p: chosen.append(largest) or light(sets, largest, p))
+    rng, rows = random.Random(31), []
+    for n in (11, 14, 18, 20, 27, 29, 33, 38, 41):
+        base = [f"b{n}-{k}" for k in range(n + size - 1)]
+        for k in range(10):
+            copy = base[rng.randrange(2) : len(base) - rng.randrange(3)] + [f"end{rng.randrange(4)}"] * rng.randrange(2)
+            copy[-1] = copy[-1] if k % 3 else f"last{k}"
+            rows.append((len(rows), " ".join(copy)))
+    sets = {}
+    for i, text in rows:
+        w = text.split()
+        sets[i] = frozenset(tuple(w[k : k + size]) for k in range(len(w) - size + 1))
+    different = set(sets.values())
+    want = {i: sum(100 * len(x & y) >= percent * len(x | y) for y in different if y != x) for i, x in sets.items()}
+    found = {r.doc_id: r.n_links for r in jaccard.jaccard_join(docs_of(spark, rows), size, percent).collect()}
+    assert chosen == [boundary] and found == want and max(want.values()) > 3
+
+
 def test_jaccard_edge_cases(spark, edge, empty):
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard.jaccard_join(edge).collect())
     assert got == [(-1, 3, -1), (1, 0, 1), (2, 0, 2), (3, 1, 3), (3, 1, 3), (4, 97, 4), (5, 97, 4), (6, 0, 6)]

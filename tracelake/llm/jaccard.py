@@ -145,16 +145,19 @@ def subsets_left(n: int, percent: int) -> int:
     return sum(comb(n, d) for d in range(n * (100 - percent) // 100 + 1))
 
 
-def light_links(sets: DataFrame, largest: int, percent: int) -> DataFrame:
-    """Links among sets of up to `largest` elements: those that share an enumerated subset large enough for both sizes.
+def light_links(sets: DataFrame, largest: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, degrees) of the sets of up to `largest` elements: links (a, b) that connect what is linked, and each linked set's number of links (set_id, n_links).
 
     In a group of one subset of size c, sets link exactly if c is enough for their sizes,
-    so the smallest set stands for the group: it is linked to all that c allows.
+    so for links the smallest set stands for the group: it is linked to all that c allows.
+    Every linked pair is counted in the group of its whole intersection, where the elements
+    that both leave out are disjoint. Inclusion and exclusion over the parts of those
+    elements count such partners of a set without making pairs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, overlaps, keys = [], [], [], []
+            ids, sizes, overlaps, keys, left = [], [], [], [], []
             for set_id, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = mixed(np.array(own, np.int64).view(np.uint64))
                 n, total = len(own), int(own.sum(dtype=np.uint64))
@@ -165,16 +168,38 @@ def light_links(sets: DataFrame, largest: int, percent: int) -> DataFrame:
                         sizes.append(n)
                         overlaps.append(n - d)
                         keys.append((total - sum(out)) & ((1 << 64) - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(overlaps, pa.int64()), _signed(np.array(keys, np.uint64))], ["set_id", "n", "c", "key"])
+                        left.append(np.array(out, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(overlaps, pa.int64()), _signed(np.array(keys, np.uint64)), pa.array(left, pa.list_(pa.int64()))], ["set_id", "n", "c", "key", "out"])
 
-    each = sets.where(F.col("n") <= largest).select("set_id", "small").mapInArrow(lean(run), "set_id long, n long, c long, key long")
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, sums, signs = [], [], []
+            for r, out in enumerate(batch.column(4).to_pylist()):
+                for d in range(len(out) + 1):
+                    for part in combinations(out, d):
+                        rows.append(r)
+                        sums.append(sum(part) & ((1 << 64) - 1))
+                        signs.append(-1 if d % 2 else 1)
+            kept = batch.select(["set_id", "n", "c", "key"]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, _signed(np.array(sums, np.uint64)), pa.array(signs, pa.int64())], ["set_id", "n", "c", "key", "part", "sign"])
+
+    each = sets.where(F.col("n") <= largest).select("set_id", "small").mapInArrow(lean(run), "set_id long, n long, c long, key long, out array<long>")
     head = each.groupBy("c", "key").agg(F.min(F.struct("n", "set_id")).alias("h"), F.count("*").alias("k")).where("k > 1")
-    joined = each.join(head, ["c", "key"]).where(f"set_id <> h.set_id AND {100 + percent} * c >= {percent} * (n + h.n)")
-    return joined.select(F.least("set_id", "h.set_id").alias("a"), F.greatest("set_id", "h.set_id").alias("b")).distinct()
-
-
-def scanned_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of long lists: rows (token, set_id, n, sketch, prefix, block, blocks).
+    enough = f"{100 + percent} * c >= {percent} * (n + {{}})"
+    # a set that not even the smallest of its group is linked to has no link there
+    groups = staged(each.join(head.select("c", "key", "h"), ["c", "key"]).where(enough.format("h.n")).select("set_id", "n", "c", "key", "out", "h"), "subsets")
+    links = groups.where("set_id <> h.set_id").select(F.least("set_id", "h.set_id").alias("a"), F.greatest("set_id", "h.set_id").alias("b")).distinct()
+    split = staged(groups.select("set_id", "n", "c", "key", "out").mapInArrow(lean(parts), "set_id long, n long, c long, key long, part long, sign long"), "parts")
+    partners = split.groupBy("c", "key", "part", "n").agg(F.count("*").alias("k")).withColumnRenamed("n", "m")
+    counted = split.join(partners, ["c", "key", "part"]).where(enough.format("m")).groupBy("set_id").agg(F.sum(F.col("sign") * F.col("k")).alias("k"))
+    # a set that leaves nothing out of a group has counted itself there
+    itself = groups.where("size(out) = 0").select("set_id", F.lit(-1).cast("long").alias("k"))
+    degrees = counted.unionByName(itself).groupBy("set_id").agg(F.sum("k").alias("n_links")).where("n_links > 0")
+    return links, degrees
+
+
+def scanned_pairs(rows: DataFrame, percent: int, boundary: int = 0) -> DataFrame:
+    """Candidate pairs of long lists with a set of over `boundary` elements: rows (token, set_id, n, sketch, prefix, block, blocks).
 
     Each pair of blocks of a list is a group of its own of at most about 2 BLOCK rows. A
     pair leaves the list of its first common prefix token only, and only if the sketches
@@ -201,7 +226,7 @@ def scanned_pairs(rows: DataFrame, percent: int) -> DataFrame:
         for k, x in enumerate(xs.tolist()):
             to = xs[k + 1 :] if i == j else ys
             differ = np.abs(sketch[to] - sketch[x]).sum(axis=1, dtype=np.int64)
-            for y in to[(differ * (100 + percent) <= (n[to] + n[x]) * most) & (100 * np.minimum(n[to], n[x]) >= percent * np.maximum(n[to], n[x]))].tolist():
+            for y in to[(differ * (100 + percent) <= (n[to] + n[x]) * most) & (100 * np.minimum(n[to], n[x]) >= percent * np.maximum(n[to], n[x])) & (np.maximum(n[to], n[x]) > boundary)].tolist():
                 if min(prefix_of(x) & prefix_of(y)) == token:
                     a.append(min(ids[x], ids[y]))
                     b.append(max(ids[x], ids[y]))
@@ -210,8 +235,13 @@ def scanned_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return left.groupBy("token", "i", "j").applyInArrow(scan, "a long, b long")
 
 
-def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(table, links): table has doc_id, n and set_id of every document, links (a, b) every pair of different sets with 100 |A and B| >= percent |A or B|."""
+def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(table, links, degrees) of links between different sets with 100 |A and B| >= percent |A or B|.
+
+    table has doc_id, n and set_id of every document, degrees (set_id, n_links) the number of
+    links of every set that has any. links (a, b) are links that connect the same sets as
+    all of them: every one with a set above the boundary, of the others those of light_links.
+    """
     bounded_batches(docs.sparkSession)
     spark, path = docs.sparkSession, shared_path(docs.sparkSession, "sets")
     whole = set_table(docs, frequent_shingles(docs, words), words, percent)
@@ -230,17 +260,20 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     steps = sorted({x for x in range(1, MAX_LIGHT + 1) if (x + 1) * (100 - percent) // 100 > x * (100 - percent) // 100} | {MAX_LIGHT})
     cost = {x: sum(k * subsets_left(n, percent) if n <= x else scan_cost.get(n, 0) for n, k in n_sets.items()) for x in [0, *steps]}
     boundary = min(cost, key=lambda x: (cost[x], x))
-    light = light_links(sets, boundary, percent)
+    light, degrees = light_links(sets, boundary, percent)
 
-    # a light set may link to a heavy one of nearly its size: such sets go both ways
+    # a light set may link to a heavy one of nearly its size: such sets go both ways, but pairs of two light ones do not
     heavy = shared.where(f"100 * n >= {percent} * {boundary + 1}")
     short, long = heavy.where(f"size <= {SHORT_LIST}"), heavy.where(f"size > {SHORT_LIST}")
     x, y = short.select("token", F.col("set_id").alias("a"), F.col("n").alias("na")), short.select("token", F.col("set_id").alias("b"), F.col("n").alias("nb"))
-    pairs = x.join(y, "token").where(f"a < b AND {_near('na', 'nb', percent)}").select("a", "b")
+    pairs = x.join(y, "token").where(f"a < b AND greatest(na, nb) > {boundary} AND {_near('na', 'nb', percent)}").select("a", "b")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = long.join(sets.select("set_id", "sketch", "prefix"), "set_id").select("token", "set_id", "n", "sketch", "prefix", F.pmod(F.xxhash64("set_id"), blocks).cast("int").alias("block"), blocks.alias("blocks"))
-    pairs = staged(pairs.unionByName(scanned_pairs(rows, percent)).distinct(), "pairs")
-    return table, staged(light.unionByName(verified(docs, table, sets, pairs, words, percent)).distinct(), "links")
+    pairs = staged(pairs.unionByName(scanned_pairs(rows, percent, boundary)).distinct(), "pairs")
+    found = staged(verified(docs, table, sets, pairs, words, percent), "verified")
+    degrees = degrees.unionByName(found.select(F.explode(F.array("a", "b")).alias("set_id"), F.lit(1).cast("long").alias("n_links")))
+    degrees = degrees.groupBy("set_id").agg(F.sum("n_links").alias("n_links"))
+    return table, staged(light.unionByName(found).distinct(), "links"), degrees
 
 
 def _position(column: str) -> Column:
@@ -311,9 +344,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     gets the component of its set, null if no other document is in it. An empty table
     gives no rows; further columns play no part.
     """
-    table, links = jaccard_links(docs, words, percent)
+    table, links, degree = jaccard_links(docs, words, percent)
     found = components(links).withColumnRenamed("id", "set_id")
-    degree = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("n_links"))
     classes = table.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first"))
     classes = classes.join(found, "set_id", "left").join(degree, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = classes.groupBy("component").agg(F.min("first").alias("component_id"))
