@@ -17,6 +17,8 @@ from tracelake.llm.common import staged
 MIN_LANG_SCORE = 0.5
 #: Near duplicates: words of a shingle, and the least similarity of the sets in percent.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: Column of a row's own key within a stage.
+ROW = "_row"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,11 +28,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANG_SCORE)).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*names)
 
 
+def numbered(docs: DataFrame, tag: str) -> DataFrame:
+    """docs with a key of each row in ROW, written so that it stays the same: doc_id may be null or repeat."""
+    return staged(docs.withColumn(ROW, F.monotonically_increasing_id()), tag)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: the one with the smallest doc_id. Documents without words all stay."""
-    found = jaccard.jaccard_join(docs, NEAR_WORDS, NEAR_PERCENT)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each group of linked ones: the one with the smallest doc_id, without doc_id only if none has one. Rows without words all stay."""
+    names, rows = docs.columns, numbered(docs, "near-rows")
+    found = jaccard.jaccard_join(rows.select(F.col(ROW).alias("doc_id"), "text"), NEAR_WORDS, NEAR_PERCENT).select(F.col("doc_id").alias(ROW), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))
+    keep = rows.select(ROW, "doc_id").join(found, ROW).groupBy("component_id").agg(first.alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    return rows.join(keep, ROW, "left_semi").select(*names)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +49,10 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture of sources wants them; every document at least once."""
-    mixture = staged(mixing.mix(docs), "mixture")
-    copies = mixture.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
-    return docs.join(copies, "doc_id").select(*docs.columns)
+    names, rows = docs.columns, numbered(docs, "mix-rows")
+    mixture = staged(mixing.mix(rows, keep=(ROW,)), "mixture")
+    copies = mixture.select(ROW, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    return rows.join(copies, ROW).select(*names)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -465,6 +465,36 @@ def test_near_duplicates_take_five_words_and_four_fifths(spark):
     assert len(sets[0] & sets[1]) / len(sets[0] | sets[1]) >= 0.8 and len(sets[2] & sets[3]) / len(sets[2] | sets[3]) < 0.9
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    a, b, c, d = (words(rng, 60, 9000) for _ in range(4))
+    near = lambda t: " ".join([*t.split()[:-1], "other"])
+    rows = [(7, a), (7, a), (7, near(a)), (None, b), (None, c), (None, near(c)), (3, near(b)), (None, d), (7, d), (7, None), (None, ""), (None, "")]
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs_of(spark, rows), "").collect()), key=str)
+    assert len(got) == 7 and [r for r in got if r[1] in ("", None)] == [(7, None), (None, ""), (None, "")]
+    assert (3, near(b)) in got and (7, d) in got and sum(t in (a, near(a)) for _, t in got) == 1 and sum(t in (c, near(c)) for _, t in got) == 1
+    group = brute_near(rows)
+    assert len(got) == len({g if rows[i][1] else -1 - i for i, g in enumerate(group)})
+
+
+def test_mixed_of_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rows = [(5, f"text {k}", None, "web") for k in range(30)] + [(5, "same", None, "web")] * 20 + [(None, f"none {k}", None, "web") for k in range(10)] + [(k, "x" * 40, None, None) for k in range(3)]
+    docs = docs_of(spark, rows)
+    got = {}
+    for r in corpus_pipeline.mixed(spark, docs, "").collect():
+        got[r.doc_id, r.text] = got.get((r.doc_id, r.text), 0) + 1
+    wanted = {}
+    texts = mixing.mix(docs.withColumn("k", F.col("text")), keep=("k",)).collect()
+    for r in texts:
+        wanted[r.doc_id, r.k] = wanted.get((r.doc_id, r.k), 0) + r.copies
+    assert len(texts) == len(rows) and set(got) == {(i, t) for i, t, *_ in rows} and sum(got.values()) == sum(wanted.values())
+    assert all(got[key] >= sum((i, t) == key for i, t, *_ in rows) for key in got)
+
+
 def test_near_duplicates_of_the_given_documents(spark):
     import os
 

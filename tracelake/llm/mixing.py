@@ -63,8 +63,8 @@ def bisect(sources: DataFrame, target_entropy: float, max_repeats: float) -> Tem
     return Temperature(exponent, math.log(z), total, math.log(least / total), math.log(most / total))
 
 
-def mix(docs: DataFrame, tokens: Column | None = None, target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS, budget: int | None = None, seed: str = SEED) -> DataFrame:
-    """How often each document goes into the mixture: docs' columns doc_id and source, tokens, weight, budget, copies.
+def mix(docs: DataFrame, tokens: Column | None = None, target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS, budget: int | None = None, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """How often each document goes into the mixture: docs' columns doc_id and source, tokens, weight, budget, copies, and the columns `keep` of docs.
 
     A source's budget is its weight times the whole budget (default: the least at which
     every source is passed over once, so that no document is left out). It is spent in
@@ -77,7 +77,7 @@ def mix(docs: DataFrame, tokens: Column | None = None, target_entropy: float = T
     of the permutation (rows that repeat a doc_id) go by tokens; rows equal in both may
     share the last block either way. An empty table gives no rows.
     """
-    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), (estimated_tokens() if tokens is None else tokens).cast("long").alias("tokens"))
+    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), (estimated_tokens() if tokens is None else tokens).cast("long").alias("tokens"), *keep)
     rows = rows.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
     n_docs = docs.select("source").count()
     digits = max(1, min(6, math.ceil(math.log(max(n_docs, 1) / RANGE_DOCS + 1, 16))))
@@ -97,7 +97,7 @@ def mix(docs: DataFrame, tokens: Column | None = None, target_entropy: float = T
     ).withColumn("weight", F.when(F.col("total") > 0, weight)).withColumn("budget", F.when(F.col("total") > 0, share))
     placed = rows.join(ranges, ["source", "part"]).withColumn("start", F.col("part_start") + F.sum("tokens").over(in_part.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tokens"))
     copies = F.when(F.col("total") > 0, F.floor(F.col("budget") / F.col("total")) + F.when(F.col("start") < F.col("budget") % F.col("total"), 1).otherwise(0)).otherwise(1)
-    return placed.select("doc_id", "source", "tokens", "weight", "budget", copies.cast("long").alias("copies"))
+    return placed.select("doc_id", "source", "tokens", "weight", "budget", copies.cast("long").alias("copies"), *keep)
 
 
 def blocks(mixture: DataFrame, seed: str = SEED) -> DataFrame:
