@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.llm import ann, chat, components, decontaminate, jaccard, langid, lines, mixing, rangecoder, secrets, tokens, toxicity
+from tracelake.llm import ann, chat, components, decontaminate, families, jaccard, langid, lines, mixing, rangecoder, secrets, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keys string, score string, n string, tokens string"
 
@@ -136,7 +136,7 @@ def test_number_of_links_does_not_depend_on_the_boundary(spark, monkeypatch, siz
     monkeypatch.setattr(jaccard, "BLOCK", 4)
     monkeypatch.setattr(jaccard, "subsets_left", lambda n, p: 0 if n <= boundary else 10**9)
     chosen, light = [], jaccard.light_links
-    monkeypatch.setattr(jaccard, "light_links", lambda sets, largest, p: chosen.append(largest) or light(sets, largest, p))
+    monkeypatch.setattr(jaccard, "light_links", lambda sets, largest, *more: chosen.append(largest) or light(sets, largest, *more))
     rng, rows = random.Random(31), []
     for n in (11, 14, 18, 20, 27, 29, 33, 38, 41):
         base = [f"b{n}-{k}" for k in range(n + size - 1)]
@@ -154,6 +154,42 @@ def test_number_of_links_does_not_depend_on_the_boundary(spark, monkeypatch, siz
     assert chosen == [boundary] and found == want and max(want.values()) > 3
 
 
+@pytest.mark.parametrize("size,percent,block", [(3, 90, 7), (5, 80, 256)])
+def test_families_of_near_copies_against_brute_force(spark, monkeypatch, size, percent, block):
+    """Large groups of near copies, some of which share a leader and some a passage only; a group of 201 texts that all link."""
+    monkeypatch.setattr(jaccard, "SHORT_LIST", 6)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(families, "FAMILY_BLOCK", block)
+    rng, texts = random.Random(17), []
+    passage = words(rng, 60, 9000).split()
+    for n in (60, 90, 140):
+        base = words(rng, n, 9000).split()
+        for _ in range(40):
+            copy = list(base)
+            for _ in range(rng.randrange(4)):
+                copy[rng.randrange(n)] = f"x{rng.randrange(60)}"
+            texts.append(" ".join(copy[rng.randrange(3) :] + passage * (rng.random() < 0.1)))
+    texts += [" ".join(passage + words(rng, 20, 9000).split()) for _ in range(20)]
+    shared = words(rng, 60, 9000)
+    texts += [f"{shared} own{k}" for k in range(200)] + [shared]
+    rows = list(enumerate(texts)) + [(None, texts[0]), (None, f"{shared} without id")]
+    sets = [frozenset(tuple(w[k : k + size]) for k in range(len(w) - size + 1)) for w in (t.split() for t in texts)]
+    different = set(sets)
+    links = {x: {y for y in different if y != x and 100 * len(x & y) >= percent * len(x | y)} for x in different}
+    component = {}
+    for i, x in enumerate(sets):
+        ahead = [] if x in component else [x]
+        while ahead:
+            y = ahead.pop()
+            component[y] = i
+            ahead += [z for z in links[y] if z not in component]
+    led, chosen = [], jaccard.leaders
+    monkeypatch.setattr(jaccard, "leaders", lambda *a: led.append(chosen(*a).count()) or chosen(*a))
+    got = {r.doc_id: (r.n_links, r.component_id) for r in jaccard.jaccard_join(docs_of(spark, rows), size, percent).collect() if r.doc_id is not None}
+    assert got == {i: (len(links[x]), component[x]) for i, x in enumerate(sets)} and got[len(texts) - 1] == (200, component[sets[-1]])
+    assert led[0] > 200
+
+
 def test_jaccard_edge_cases(spark, edge, empty):
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard.jaccard_join(edge).collect())
     assert got == [(-1, 3, -1), (1, 0, 1), (2, 0, 2), (3, 1, 3), (3, 1, 3), (4, 97, 4), (5, 97, 4), (6, 0, 6)]
@@ -422,7 +458,8 @@ def test_pipeline_stages(spark):
         after = {r.doc_id for r in docs.select("doc_id").collect()}
         assert docs.columns == names and after <= before
         if name == "near_duplicates":
-            assert after == {i for i, _, c in brute_jaccard([(i, given[i]) for i in before]) if i == c}
+            rows = sorted((i, given[i]) for i in before)
+            assert after == {rows[k][0] for k, g in enumerate(brute_near(rows)) if k == g}
         if name == "decontaminated":
             bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
             assert all(n == 0 for _, _, n, _ in brute_hits([(r.doc_id, r.text) for r in docs.collect()], bench))

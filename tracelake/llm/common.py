@@ -11,18 +11,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass takes at a time; a longer text is a pass of its own.
 PASS_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh local one only where none is configured."""
+    """The folder that driver and executors share. Where none is configured, a local session gets a fresh one; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")
@@ -46,6 +49,28 @@ def dropped(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Scratch:
+    """Staged tables of one job, deleted by name once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(self.spark, name)
+        df.write.parquet(path)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            dropped(self.spark, *self.paths.pop(name, ()))
+
+
+def chosen_share(key: Column, share: float) -> Column:
+    """True for about that share of all 64-bit hashes, however small it is: a sample of bounded size from any number of rows."""
+    return F.lit(True) if share >= 1 else key < F.lit(int(share * 2.0**64) - (1 << 63)).cast("long")
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Lets Arrow batches end after a few MB, so that long texts don't pile up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")

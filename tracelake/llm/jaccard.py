@@ -6,8 +6,9 @@ on the hashes of their subsets (enumerated by leaving few elements out). Large s
 on the inverted lists of their prefix: the floor(n (1 - t)) + 1 first shingles in an order
 that puts corpus-wide frequent ones last. Short lists are joined; long ones are scanned in
 pairs of blocks, where count sketches bound the difference of two sets from below, so
-that only pairs that may be links leave the scan. Links are exact: every candidate's
-whole sets are intersected.
+that only pairs that may be links leave the scan. Sets that share most of their long
+lists are a family, whose links are counted without a row for each (see families). Links
+are exact: every candidate's whole sets are intersected.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import LOWER, bounded_batches, dropped, lean, mixed, passes, shared_path, span_hashes, staged, text_bytes, word_spans
+from tracelake.llm.common import LOWER, Scratch, bounded_batches, lean, mixed, passes, span_hashes, staged, text_bytes, word_spans
 from tracelake.llm.components import components
+from tracelake.llm.families import differences, family_links, leaders
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -145,7 +147,7 @@ def subsets_left(n: int, percent: int) -> int:
     return sum(comb(n, d) for d in range(n * (100 - percent) // 100 + 1))
 
 
-def light_links(sets: DataFrame, largest: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def light_links(sets: DataFrame, largest: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(links, degrees) of the sets of up to `largest` elements: links (a, b) that connect what is linked, and each linked set's number of links (set_id, n_links).
 
     In a group of one subset of size c, sets link exactly if c is enough for their sizes,
@@ -187,9 +189,9 @@ def light_links(sets: DataFrame, largest: int, percent: int) -> tuple[DataFrame,
     head = each.groupBy("c", "key").agg(F.min(F.struct("n", "set_id")).alias("h"), F.count("*").alias("k")).where("k > 1")
     enough = f"{100 + percent} * c >= {percent} * (n + {{}})"
     # a set that not even the smallest of its group is linked to has no link there
-    groups = staged(each.join(head.select("c", "key", "h"), ["c", "key"]).where(enough.format("h.n")).select("set_id", "n", "c", "key", "out", "h"), "subsets")
+    groups = scratch.put(each.join(head.select("c", "key", "h"), ["c", "key"]).where(enough.format("h.n")).select("set_id", "n", "c", "key", "out", "h"), "subsets")
     links = groups.where("set_id <> h.set_id").select(F.least("set_id", "h.set_id").alias("a"), F.greatest("set_id", "h.set_id").alias("b")).distinct()
-    split = staged(groups.select("set_id", "n", "c", "key", "out").mapInArrow(lean(parts), "set_id long, n long, c long, key long, part long, sign long"), "parts")
+    split = scratch.put(groups.select("set_id", "n", "c", "key", "out").mapInArrow(lean(parts), "set_id long, n long, c long, key long, part long, sign long"), "parts")
     partners = split.groupBy("c", "key", "part", "n").agg(F.count("*").alias("k")).withColumnRenamed("n", "m")
     counted = split.join(partners, ["c", "key", "part"]).where(enough.format("m")).groupBy("set_id").agg(F.sum(F.col("sign") * F.col("k")).alias("k"))
     # a set that leaves nothing out of a group has counted itself there
@@ -199,19 +201,20 @@ def light_links(sets: DataFrame, largest: int, percent: int) -> tuple[DataFrame,
 
 
 def scanned_pairs(rows: DataFrame, percent: int, boundary: int = 0) -> DataFrame:
-    """Candidate pairs of long lists with a set of over `boundary` elements: rows (token, set_id, n, sketch, prefix, block, blocks).
+    """Candidate pairs of long lists with a set of over `boundary` elements, other than those of one family: rows (token, set_id, n, leader, sketch, prefix, block, blocks).
 
     Each pair of blocks of a list is a group of its own of at most about 2 BLOCK rows. A
     pair leaves the list of its first common prefix token only, and only if the sketches
     let the sets differ little enough.
     """
     left = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "n", "sketch", "prefix")
+    left = left.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "n", F.coalesce("leader", F.lit(0)).alias("leader"), F.col("leader").isNotNull().alias("led"), "sketch", "prefix")
     most = 100 - percent
 
     def scan(table: pa.Table) -> pa.Table:
         token, i, j = (table.column(c)[0].as_py() for c in ("token", "i", "j"))
-        block, ids, n = (table.column(c).to_numpy() for c in ("block", "set_id", "n"))
+        block, ids, n, leader = (table.column(c).to_numpy() for c in ("block", "set_id", "n", "leader"))
+        led = np.array(table.column("led").to_pylist(), bool)
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
         prefix = table.column("prefix").combine_chunks()
         held: dict[int, frozenset] = {}
@@ -225,8 +228,9 @@ def scanned_pairs(rows: DataFrame, percent: int, boundary: int = 0) -> DataFrame
         a, b = [], []
         for k, x in enumerate(xs.tolist()):
             to = xs[k + 1 :] if i == j else ys
+            to = to[(100 * np.minimum(n[to], n[x]) >= percent * np.maximum(n[to], n[x])) & (np.maximum(n[to], n[x]) > boundary) & ~(led[x] & led[to] & (leader[to] == leader[x]))]
             differ = np.abs(sketch[to] - sketch[x]).sum(axis=1, dtype=np.int64)
-            for y in to[(differ * (100 + percent) <= (n[to] + n[x]) * most) & (100 * np.minimum(n[to], n[x]) >= percent * np.maximum(n[to], n[x])) & (np.maximum(n[to], n[x]) > boundary)].tolist():
+            for y in to[differ * (100 + percent) <= (n[to] + n[x]) * most].tolist():
                 if min(prefix_of(x) & prefix_of(y)) == token:
                     a.append(min(ids[x], ids[y]))
                     b.append(max(ids[x], ids[y]))
@@ -235,24 +239,22 @@ def scanned_pairs(rows: DataFrame, percent: int, boundary: int = 0) -> DataFrame
     return left.groupBy("token", "i", "j").applyInArrow(scan, "a long, b long")
 
 
-def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(table, links, degrees) of links between different sets with 100 |A and B| >= percent |A or B|.
 
     table has doc_id, n and set_id of every document, degrees (set_id, n_links) the number of
     links of every set that has any. links (a, b) are links that connect the same sets as
-    all of them: every one with a set above the boundary, of the others those of light_links.
+    all of them; no table has a row for every pair of a large group.
     """
     bounded_batches(docs.sparkSession)
-    spark, path = docs.sparkSession, shared_path(docs.sparkSession, "sets")
-    whole = set_table(docs, frequent_shingles(docs, words), words, percent)
-    whole.write.parquet(path)
-    whole = spark.read.schema(whole.schema).parquet(path)
-    table = staged(whole.select("doc_id", "n", "set_id"), "documents")
-    sets = staged(whole.where("n > 0").select("set_id", "n", "prefix", "sketch", "small").dropDuplicates(["set_id"]), "classes")
-    dropped(spark, path)
+    scratch = scratch or Scratch(docs.sparkSession)
+    whole = scratch.put(set_table(docs, frequent_shingles(docs, words), words, percent), "sets")
+    table = scratch.put(whole.select("doc_id", "n", "set_id"), "documents")
+    sets = scratch.put(whole.where("n > 0 AND doc_id IS NOT NULL").select("set_id", "n", "prefix", "sketch", "small").dropDuplicates(["set_id"]), "classes")
+    scratch.drop("sets")
     tokens = sets.select("set_id", "n", F.explode("prefix").alias("token"))
-    lists = tokens.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-    shared = staged(tokens.join(lists, "token").select("token", "set_id", "n", "size"), "lists")
+    lists = tokens.groupBy("token").agg(F.count("*").alias("size"), F.min("set_id").alias("head")).where("size > 1")
+    shared = scratch.put(tokens.join(lists, "token").select("token", "set_id", "n", "size", "head"), "lists")
 
     # the boundary: up to which size is it cheaper to enumerate subsets than to scan lists
     scan_cost = {r.n: r.cost for r in shared.where(F.col("n") <= MAX_LIGHT).groupBy("n").agg(F.sum("size").alias("cost")).collect()}
@@ -260,20 +262,38 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     steps = sorted({x for x in range(1, MAX_LIGHT + 1) if (x + 1) * (100 - percent) // 100 > x * (100 - percent) // 100} | {MAX_LIGHT})
     cost = {x: sum(k * subsets_left(n, percent) if n <= x else scan_cost.get(n, 0) for n, k in n_sets.items()) for x in [0, *steps]}
     boundary = min(cost, key=lambda x: (cost[x], x))
-    light, degrees = light_links(sets, boundary, percent)
+    light, light_degrees = light_links(sets, boundary, percent, scratch)
 
     # a light set may link to a heavy one of nearly its size: such sets go both ways, but pairs of two light ones do not
     heavy = shared.where(f"100 * n >= {percent} * {boundary + 1}")
     short, long = heavy.where(f"size <= {SHORT_LIST}"), heavy.where(f"size > {SHORT_LIST}")
+    led = scratch.put(leaders(long, percent), "led")
     x, y = short.select("token", F.col("set_id").alias("a"), F.col("n").alias("na")), short.select("token", F.col("set_id").alias("b"), F.col("n").alias("nb"))
     pairs = x.join(y, "token").where(f"a < b AND greatest(na, nb) > {boundary} AND {_near('na', 'nb', percent)}").select("a", "b")
+    # a list that one family has to itself is not scanned
+    named = scratch.put(long.join(led.select("set_id", "leader"), "set_id", "left").select("token", "set_id", "n", "size", "leader"), "named")
+    open_lists = named.groupBy("token").agg(F.count("leader").alias("k"), F.count("*").alias("n"), F.min("leader").alias("l"), F.max("leader").alias("h")).where("k < n OR l <> h").select("token")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = long.join(sets.select("set_id", "sketch", "prefix"), "set_id").select("token", "set_id", "n", "sketch", "prefix", F.pmod(F.xxhash64("set_id"), blocks).cast("int").alias("block"), blocks.alias("blocks"))
-    pairs = staged(pairs.unionByName(scanned_pairs(rows, percent, boundary)).distinct(), "pairs")
-    found = staged(verified(docs, table, sets, pairs, words, percent), "verified")
-    degrees = degrees.unionByName(found.select(F.explode(F.array("a", "b")).alias("set_id"), F.lit(1).cast("long").alias("n_links")))
-    degrees = degrees.groupBy("set_id").agg(F.sum("n_links").alias("n_links"))
-    return table, staged(light.unionByName(found).distinct(), "links"), degrees
+    rows = named.join(open_lists, "token").join(sets.select("set_id", "sketch", "prefix"), "set_id")
+    rows = rows.select("token", "set_id", "n", "leader", "sketch", "prefix", F.pmod(F.xxhash64("set_id"), blocks).cast("int").alias("block"), blocks.alias("blocks"))
+    pairs = scratch.put(pairs.unionByName(scanned_pairs(rows, percent, boundary)).distinct(), "pairs")
+    scratch.drop("lists", "named")
+
+    pairs = scratch.put(likely(pairs, sets.select("set_id", "n", "sketch").join(led.select("set_id", "leader"), "set_id", "left"), percent), "likely")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(led.select("set_id")).unionByName(led.select(F.col("leader").alias("set_id"))).distinct()
+    elements = scratch.put(whole_sets(docs, table, wanted, words), "elements")
+    scratch.drop("pairs", "classes")
+    found = scratch.put(overlapping(pairs, elements, percent), "verified")
+    deltas = scratch.put(differences(led, elements), "differences")
+    scratch.drop("likely", "elements")
+    within = scratch.put(family_links(deltas, percent, boundary), "families")
+    scratch.drop("differences", "led")
+    one = F.lit(1).cast("long").alias("n_links")
+    degrees = light_degrees.unionByName(found.select(F.explode(F.array("a", "b")).alias("set_id"), one)).unionByName(within.where("k IS NOT NULL").select(F.col("a").alias("set_id"), F.col("k").alias("n_links")))
+    degrees = scratch.put(degrees.groupBy("set_id").agg(F.sum("n_links").alias("n_links")), "degrees")
+    links = scratch.put(light.unionByName(found).unionByName(within.where("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "links")
+    scratch.drop("verified", "families", "subsets", "parts")
+    return table, links, degrees
 
 
 def _position(column: str) -> Column:
@@ -290,9 +310,8 @@ def id_bitmap(ids: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def verified(docs: DataFrame, table: DataFrame, sets: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets overlap enough; pairs that the sketches rule out are dropped before any set is built."""
-    own = sets.select("set_id", "n", "sketch")
+def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the sketches don't rule out and that no family holds: sets (set_id, n, sketch, leader)."""
 
     @F.pandas_udf("boolean")
     def may_link(sa, na, sb, nb):
@@ -300,13 +319,15 @@ def verified(docs: DataFrame, table: DataFrame, sets: DataFrame, pairs: DataFram
         y = np.frombuffer(b"".join(sb), np.uint8).reshape(-1, SKETCH).astype(np.int16)
         return (np.abs(x - y).sum(axis=1, dtype=np.int64) * (100 + percent) <= (na + nb) * (100 - percent)) if len(na) else na.astype(bool)
 
-    a = own.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    b = own.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    pairs = staged(pairs.join(a, "a").join(b, "b").where(may_link("sa", "na", "sb", "nb")).select("a", "b"), "likely")
-    wanted = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+    a = sets.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("leader").alias("la"))
+    b = sets.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("leader").alias("lb"))
+    return pairs.join(a, "a").join(b, "b").where("la IS NULL OR lb IS NULL OR la <> lb").where(may_link("sa", "na", "sb", "nb")).select("a", "b")
+
+
+def whole_sets(docs: DataFrame, table: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(set_id, elements) of the wanted sets, built again from one document of each."""
     first = table.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     wanted = staged(wanted.join(first, "set_id").select("doc_id", F.col("set_id").alias("want")), "wanted")
-
     bits = docs.sparkSession.sparkContext.broadcast(id_bitmap(wanted, "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,8 +339,11 @@ def verified(docs: DataFrame, table: DataFrame, sets: DataFrame, pairs: DataFram
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_hash(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["doc_id", "set_id", "elements"])
 
     ids = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text", _position("doc_id").alias("at"))
-    found = ids.mapInArrow(lean(run), "doc_id long, set_id long, elements binary").join(wanted, "doc_id").where("want = set_id").dropDuplicates(["set_id"]).select("set_id", "elements")
-    found = staged(found, "elements")
+    return ids.mapInArrow(lean(run), "doc_id long, set_id long, elements binary").join(wanted, "doc_id").where("want = set_id").dropDuplicates(["set_id"]).select("set_id", "elements")
+
+
+def overlapping(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose whole sets overlap enough."""
 
     @F.pandas_udf("boolean")
     def links(x, y):
@@ -330,7 +354,7 @@ def verified(docs: DataFrame, table: DataFrame, sets: DataFrame, pairs: DataFram
 
         return x.combine(y, one)
 
-    joined = pairs.join(found.select(F.col("set_id").alias("a"), F.col("elements").alias("ea")), "a").join(found.select(F.col("set_id").alias("b"), F.col("elements").alias("eb")), "b")
+    joined = pairs.join(elements.select(F.col("set_id").alias("a"), F.col("elements").alias("ea")), "a").join(elements.select(F.col("set_id").alias("b"), F.col("elements").alias("eb")), "b")
     return joined.where(links("ea", "eb")).select("a", "b")
 
 
@@ -344,13 +368,15 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     gets the component of its set, null if no other document is in it. An empty table
     gives no rows; further columns play no part.
     """
-    table, links, degree = jaccard_links(docs, words, percent)
-    found = components(links).withColumnRenamed("id", "set_id")
+    scratch = Scratch(docs.sparkSession)
+    table, links, degree = jaccard_links(docs, words, percent, scratch)
+    found = components(links, scratch=scratch).withColumnRenamed("id", "set_id")
     classes = table.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first"))
     classes = classes.join(found, "set_id", "left").join(degree, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = classes.groupBy("component").agg(F.min("first").alias("component_id"))
     classes = classes.join(least, "component").select("set_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = table.join(staged(classes, "members"), "set_id", "left")
+    scratch.drop("links", "degrees", "labels", "joined", "stars")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "set_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
