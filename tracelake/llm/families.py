@@ -27,10 +27,11 @@ COLUMNS = 4096
 def leaders(lists: DataFrame, percent: int) -> DataFrame:
     """(set_id, leader, blocks, block) of the sets that a leader stands for, leaders of two sets or more only.
 
-    lists: (token, set_id, n, head), head being the smallest set of the token's list. A
-    set's leader is the head of most of its lists, if that is the head of at least half of
-    its prefix; ties go to the smaller. Which leader a set has affects time and no result.
+    lists: (token, set_id, n). The smallest set of a token's list is its head. A set's
+    leader is the head of most of its lists, if that is the head of at least half of its
+    prefix; ties go to the smaller. Which leader a set has affects time and no result.
     """
+    lists = lists.join(lists.groupBy("token").agg(F.min("set_id").alias("head")), "token")
     prefix = F.floor(F.col("n") * (100 - percent) / 100) + 1
     votes = lists.groupBy("set_id", "n", F.col("head").alias("leader")).agg(F.count("*").alias("votes")).where(2 * F.col("votes") >= prefix)
     best = votes.groupBy("set_id", "n").agg(F.min(F.struct((-F.col("votes")).alias("votes"), "leader"))["leader"].alias("leader"))

@@ -36,6 +36,8 @@ MAX_FREQUENT = 200_000
 FREQUENT_DOCS = 64
 #: Inverted lists up to this length are joined, longer ones scanned in blocks of this many sets.
 SHORT_LIST, BLOCK = 48, 256
+#: Tokens by which a pair is told to have left an earlier list.
+BEFORE = 8
 SKETCH = 128
 #: Positions of the bitmap of documents whose sets are compared: 1 MB.
 BITMAP_BITS = 23
@@ -201,27 +203,28 @@ def light_links(sets: DataFrame, largest: int, percent: int, scratch: Scratch) -
 
 
 def scanned_pairs(rows: DataFrame, percent: int, boundary: int = 0) -> DataFrame:
-    """Candidate pairs of long lists with a set of over `boundary` elements, other than those of one family: rows (token, set_id, n, leader, sketch, prefix, block, blocks).
+    """Candidate pairs of long lists with a set of over `boundary` elements, other than those of one family: rows (token, set_id, n, leader, sketch, before, block, blocks).
 
     Each pair of blocks of a list is a group of its own of at most about 2 BLOCK rows. A
-    pair leaves the list of its first common prefix token only, and only if the sketches
-    let the sets differ little enough.
+    pair leaves the list of its first common prefix token, and others only if none of the
+    tokens in `before` (the BEFORE smallest of a prefix) is common; and only if the
+    sketches let the sets differ little enough.
     """
     left = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "n", F.coalesce("leader", F.lit(0)).alias("leader"), F.col("leader").isNotNull().alias("led"), "sketch", "prefix")
+    left = left.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "n", F.coalesce("leader", F.lit(0)).alias("leader"), F.col("leader").isNotNull().alias("led"), "sketch", "before")
     most = 100 - percent
 
     def scan(table: pa.Table) -> pa.Table:
-        token, i, j = (table.column(c)[0].as_py() for c in ("token", "i", "j"))
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         block, ids, n, leader = (table.column(c).to_numpy() for c in ("block", "set_id", "n", "leader"))
         led = np.array(table.column("led").to_pylist(), bool)
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
-        prefix = table.column("prefix").combine_chunks()
+        before = table.column("before").combine_chunks()
         held: dict[int, frozenset] = {}
 
-        def prefix_of(r: int) -> frozenset:
+        def before_of(r: int) -> frozenset:
             if r not in held:
-                held[r] = frozenset(prefix[r].as_py())
+                held[r] = frozenset(before[r].as_py())
             return held[r]
 
         xs, ys = np.flatnonzero(block == i), np.flatnonzero(block == j)
@@ -231,7 +234,7 @@ def scanned_pairs(rows: DataFrame, percent: int, boundary: int = 0) -> DataFrame
             to = to[(100 * np.minimum(n[to], n[x]) >= percent * np.maximum(n[to], n[x])) & (np.maximum(n[to], n[x]) > boundary) & ~(led[x] & led[to] & (leader[to] == leader[x]))]
             differ = np.abs(sketch[to] - sketch[x]).sum(axis=1, dtype=np.int64)
             for y in to[differ * (100 + percent) <= (n[to] + n[x]) * most].tolist():
-                if min(prefix_of(x) & prefix_of(y)) == token:
+                if before_of(x).isdisjoint(before_of(y)):
                     a.append(min(ids[x], ids[y]))
                     b.append(max(ids[x], ids[y]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -253,8 +256,8 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, s
     sets = scratch.put(whole.where("n > 0 AND doc_id IS NOT NULL").select("set_id", "n", "prefix", "sketch", "small").dropDuplicates(["set_id"]), "classes")
     scratch.drop("sets")
     tokens = sets.select("set_id", "n", F.explode("prefix").alias("token"))
-    lists = tokens.groupBy("token").agg(F.count("*").alias("size"), F.min("set_id").alias("head")).where("size > 1")
-    shared = scratch.put(tokens.join(lists, "token").select("token", "set_id", "n", "size", "head"), "lists")
+    lists = tokens.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
+    shared = scratch.put(tokens.join(lists, "token").select("token", "set_id", "n", "size"), "lists")
 
     # the boundary: up to which size is it cheaper to enumerate subsets than to scan lists
     scan_cost = {r.n: r.cost for r in shared.where(F.col("n") <= MAX_LIGHT).groupBy("n").agg(F.sum("size").alias("cost")).collect()}
@@ -274,8 +277,9 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, s
     named = scratch.put(long.join(led.select("set_id", "leader"), "set_id", "left").select("token", "set_id", "n", "size", "leader"), "named")
     open_lists = named.groupBy("token").agg(F.count("leader").alias("k"), F.count("*").alias("n"), F.min("leader").alias("l"), F.max("leader").alias("h")).where("k < n OR l <> h").select("token")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = named.join(open_lists, "token").join(sets.select("set_id", "sketch", "prefix"), "set_id")
-    rows = rows.select("token", "set_id", "n", "leader", "sketch", "prefix", F.pmod(F.xxhash64("set_id"), blocks).cast("int").alias("block"), blocks.alias("blocks"))
+    rows = named.join(open_lists, "token").join(sets.select("set_id", "sketch", F.array_sort("prefix").alias("prefix")), "set_id")
+    before = F.slice(F.filter("prefix", lambda t: t < F.col("token")), 1, BEFORE)
+    rows = rows.select("token", "set_id", "n", "leader", "sketch", before.alias("before"), F.pmod(F.xxhash64("set_id"), blocks).cast("int").alias("block"), blocks.alias("blocks"))
     pairs = scratch.put(pairs.unionByName(scanned_pairs(rows, percent, boundary)).distinct(), "pairs")
     scratch.drop("lists", "named")
 
@@ -339,7 +343,7 @@ def whole_sets(docs: DataFrame, table: DataFrame, wanted: DataFrame, words: int)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_hash(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["doc_id", "set_id", "elements"])
 
     ids = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text", _position("doc_id").alias("at"))
-    return ids.mapInArrow(lean(run), "doc_id long, set_id long, elements binary").join(wanted, "doc_id").where("want = set_id").dropDuplicates(["set_id"]).select("set_id", "elements")
+    return ids.mapInArrow(lean(run), "doc_id long, set_id long, elements binary").join(wanted, "doc_id").where("want = set_id").dropDuplicates(["doc_id", "set_id"]).select("set_id", "elements")
 
 
 def overlapping(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
