@@ -1,15 +1,18 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a table sorted by line hash. The lines of a new batch of documents are
-merge-joined with the newest run of every level: a line that no run holds is new (the
-anti part), any other carries its totals forward, and the batch becomes a run of its own.
-When a level holds FANOUT runs they are compacted into one run of the next level.
+A run is a table bucketed and sorted by line hash, so that merging runs shuffles nothing.
+The lines of a new batch of documents are merge-anti-joined with the runs: the lines that
+no run holds, with their totals in the batch, are the batch's own run. The others are
+repeats, kept apart with theirs. A line is thus in one run only, and its totals are its
+run's and those of its repeats. When a level holds FANOUT runs they are compacted into
+one run of the next level.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import bounded_batches, dropped, lean, passes, shared_path
+from tracelake.llm.common import bounded_batches, dropped, lean, passes, shared_dir, shared_path, staged
 
 STRIP = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 20, 3, 4, 4
@@ -52,51 +55,79 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, key binary")
 
 
+RUN = "key binary, n_docs long, last_doc long"
+
+
 class LineRuns:
-    """Runs of (key, n_docs, last_doc), newest first within and across levels; totals only grow, so a newer entry holds an older one."""
+    """Runs of (key, n_docs, last_doc) by level, and the repeats of their keys in later batches."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout, self.levels = spark, fanout, [[]]
-
-    def _write(self, df: DataFrame, level: int) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        path = shared_path(self.spark, f"run-l{level}")
-        df.sortWithinPartitions("key").write.parquet(path)
-        self.levels[level].append(path)
-
-    def merged(self) -> DataFrame:
-        """Every known key once, with its totals."""
-        paths = [p for level in self.levels for p in level]
-        schema = "key binary, n_docs long, last_doc long"
-        if not paths:
-            return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(*paths)
-        return rows if len(paths) == 1 else rows.groupBy("key").agg(F.max("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
-
-    def fresh(self, keys: DataFrame) -> DataFrame:
-        """The rows of keys that no run holds."""
-        return keys.join(self.merged().select("key"), "key", "left_anti")
+        self.spark, self.fanout = spark, fanout
+        self.levels: list[list[str]] = [[]]
+        self.repeats: list[str] = []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # files of one write to a bucket each are read as sorted as they were written
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+
+    def _table(self, df: DataFrame) -> str:
+        """Writes df, whose rows lie by key already, as a table of one sorted file for each bucket."""
+        path = shared_path(self.spark, "run")
+        name = path.rsplit("/", 1)[-1].replace("-", "_")
+        df.write.format("parquet").bucketBy(self.buckets, "key").sortBy("key").option("path", path).saveAsTable(name)
+        return name
+
+    def _drop(self, *names: str) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE {name}")
+            dropped(self.spark, f"{shared_dir(self.spark)}/{name.replace('_', '-')}")
+
+    def runs(self) -> list[DataFrame]:
+        return [self.spark.table(name) for level in self.levels for name in level]
+
+    def fresh(self, batch: DataFrame) -> DataFrame:
+        """The rows of a batch whose key no run holds."""
+        for run in self.runs():
+            batch = batch.join(run.select("key").hint("merge"), "key", "left_anti")
+        return batch
 
     def add(self, keys: DataFrame) -> None:
         """Takes (doc_id, key) rows of documents that no earlier batch held; a pair counts once."""
         batch = keys.distinct().groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        whole = self._table(batch)
+        own = self._table(self.fresh(self.spark.table(whole)))
         if any(self.levels):
-            old = self.merged().select("key", F.col("n_docs").alias("n0"), F.col("last_doc").alias("d0"))
-            batch = batch.join(old.hint("merge"), "key", "left").select("key", (F.col("n_docs") + F.coalesce("n0", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "d0").alias("last_doc"))
-        self._write(batch, 0)
+            self.repeats.append(self._table(self.spark.table(whole).join(self.spark.table(own).select("key").hint("merge"), "key", "left_anti")))
+        self._drop(whole)
+        self.levels[0].append(own)
         self.compact()
 
     def compact(self) -> None:
+        """Runs of a full level become one of the next; no key is in two of them."""
         level = 0
         while level < len(self.levels):
             if len(old := self.levels[level]) >= self.fanout:
-                rows = self.spark.read.schema("key binary, n_docs long, last_doc long").parquet(*old)
+                if len(self.levels) == level + 1:
+                    self.levels.append([])
+                rows = reduce(DataFrame.unionByName, map(self.spark.table, old))
                 self.levels[level] = []
-                self._write(rows.groupBy("key").agg(F.max("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc")), level + 1)
-                dropped(self.spark, *old)
+                self.levels[level + 1].append(self._table(rows.repartition(self.buckets, "key")))
+                self._drop(*old)
             level += 1
 
+    def often(self, min_docs: int) -> DataFrame:
+        """(key, n_docs, last_doc) of keys in at least min_docs documents."""
+        found = self.spark.createDataFrame([], RUN)
+        again = reduce(DataFrame.unionByName, map(self.spark.table, self.repeats), found)
+        again = again.groupBy("key").agg(F.sum("n_docs").alias("n0"), F.max("last_doc").alias("d0"))
+        for run in self.runs():
+            both = run.join(again, "key", "left").select("key", (F.col("n_docs") + F.coalesce("n0", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "d0").alias("last_doc"))
+            found = found.unionByName(both.where(F.col("n_docs") >= min_docs))
+        return found
+
+    def drop(self) -> None:
+        self._drop(*(name for level in self.levels for name in level), *self.repeats)
+        self.levels, self.repeats = [[]], []
+
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """Documents without their repeated lines, kept only in the largest doc_id that holds them.
@@ -113,12 +144,14 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     path = shared_path(spark, "line-keys")
     line_keys(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")).write.partitionBy("batch").parquet(path)
-    keys = spark.read.schema("doc_id long, key binary, batch int").parquet(path)
+    keys = spark.read.schema("doc_id long, key binary, batch int").parquet(path)  # batches are folders
     runs = LineRuns(spark, fanout)
     for b in range(batches):
         runs.add(keys.where(F.col("batch") == b).select("doc_id", "key"))
-    often = runs.merged().where(F.col("n_docs") >= min_docs)
-    losing = keys.join(often, "key").where("doc_id < last_doc").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    often = staged(runs.often(min_docs), "often")
+    runs.drop()
+    losing = staged(keys.join(often, "key").where("doc_id < last_doc").groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "losing")
+    dropped(spark, path)
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
