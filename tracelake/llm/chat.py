@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 #: Field paths that layouts are told apart by; others in a record are ignored.
 RECORD = "messages array<struct<role:string,content:string>>, conversations array<struct<`from`:string,value:string>>, turns array<struct<speaker:string,text:string>>, system string, prompt string, response string, completion string, instruction string, input string, output string, question string, answer string"
 PATHS = ["answer", "completion", "conversations[].from", "conversations[].value", "input", "instruction", "messages[].content", "messages[].role", "output", "prompt", "question", "response", "system", "turns[].speaker", "turns[].text"]
+#: The JSON reader's limit on the length of a string, which by default is far below that of a text.
+READER = {"maxStringLen": str(2**31 - 1)}
 #: Role names of other layouts.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
@@ -60,15 +62,16 @@ def fingerprint(record: Column) -> Column:
     return F.sha2(F.array_join(F.filter(F.array(*(F.when(held(p), F.lit(p)) for p in sorted(PATHS))), lambda x: x.isNotNull()), ","), 256)
 
 
-def canonical_turns(records: DataFrame, record: str = "record", key: str = "conv_id") -> DataFrame:
+def canonical_turns(records: DataFrame, record: str = "record", key: str = "conv_id", strict: bool = False) -> DataFrame:
     """(key, pos, role, text, layout) rows from JSON records in any of the mapped layouts.
 
     A record that is null, not JSON or of no mapped layout gives one row with null pos,
-    role, text and layout, so that nothing is lost unseen. Null roles and texts become
-    empty; role names of other layouts are translated. Rows with equal keys stay apart
-    here and are one conversation to format_turns.
+    role, text and layout, so that nothing is lost unseen; with strict it is an error,
+    which names the key. Texts may be as long as a column's value can be. Null roles and
+    texts become empty; role names of other layouts are translated. Rows with equal keys
+    stay apart here and are one conversation to format_turns. An empty table gives no rows.
     """
-    parsed = records.select(F.col(key).alias("conv_id"), F.from_json(F.col(record), RECORD).alias("r"))
+    parsed = records.select(F.col(key).alias("conv_id"), F.from_json(F.col(record), RECORD, READER).alias("r"))
     parsed = parsed.withColumn("fp", fingerprint(F.col("r")))
 
     def turns_of(m: Mapping) -> Column:
@@ -83,6 +86,9 @@ def canonical_turns(records: DataFrame, record: str = "record", key: str = "conv
     for m in MAPPINGS:
         chosen = F.col("fp").isin(m.fingerprints())
         turns, layout = F.when(chosen, turns_of(m)).otherwise(turns), F.when(chosen, F.lit(m.name)).otherwise(layout)
+    if strict:
+        unread = F.concat(F.lit("no mapped layout in record "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))
+        layout = F.when(F.col("fp").isin([p for m in MAPPINGS for p in m.fingerprints()]), layout).otherwise(F.raise_error(unread))
     names = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
     translated = F.col("layout").isin([m.name for m in MAPPINGS if m.roles])
     rows = parsed.select("conv_id", layout.alias("layout"), F.posexplode_outer(turns).alias("pos", "turn"))
@@ -123,7 +129,11 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns (array of role and text) and loss_text, from formatted and loss_spans alone."""
+    """conv_id, turns (array of role and text) and loss_text, from formatted and loss_spans alone.
+
+    An empty string has no turns; a null one gives nulls. Each row is read by itself, so
+    repeated conv_ids stay repeated; an empty table gives no rows.
+    """
     pieces = F.filter(F.split("formatted", r"<\|end\|>\n"), lambda x: x != "")
 
     def turn(x: Column) -> Column:
@@ -135,7 +145,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def conversation_records(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) rows as one JSON record for each conversation, in the messages layout."""
+    """(conv_id, turn, role, text) rows as one JSON record for each conversation, in the messages layout.
+
+    Null roles and texts become empty; rows without conv_id are one conversation; ties in
+    turn go by role, then text, a null turn first; repeated rows are turns each.
+    """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     messages = F.transform(F.sort_array(F.collect_list(turn)), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
     return rows.groupBy("conv_id").agg(messages.alias("messages")).select("conv_id", F.to_json(F.struct("messages")).alias("record"))
@@ -144,7 +158,7 @@ def conversation_records(rows: DataFrame) -> DataFrame:
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = spark.sql("SELECT -1L AS conv_id, t AS turn, r AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
-    out = read_back(format_turns(canonical_turns(conversation_records(rows.unionByName(probe)))))
+    out = read_back(format_turns(canonical_turns(conversation_records(rows.unionByName(probe)), strict=True)))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
