@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import bounded_batches, lean, passes
 
 BITS, ORDERS, ALPHA = 16, (1, 2, 3), 0.5
-#: Labelled documents that the model is fitted on, at most; chosen by a hash of doc_id.
+#: Labelled documents that n-grams are counted in, about at most; chosen by a hash of doc_id, alike many of each language.
 MAX_TRAIN_DOCS = 8000
-#: The broadcast matrix has 2**BITS rows and a column for each language: 64 MB of float32 at most.
-MAX_LANGS = 256
+#: The broadcast matrix of float32 has a row for each bucket and a column for each language. Its size is bounded: from
+#: MATRIX / 2**BITS languages on, twice as many have half as many buckets.
+MATRIX = 1 << 24
 LETTER = re.compile(r"[^\W\d_]")
 
 _A, _B = np.uint32(2654435761), np.uint32(2246822519)
@@ -81,40 +82,46 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def fit(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, bits: int = BITS, alpha: float = ALPHA) -> Model:
-    """Learns from text and lang of at most about max_docs labelled documents that are not held out."""
+    """Learns from text and lang of labelled documents that are not held out.
+
+    Priors are of all labelled documents. N-grams are counted in about max_docs of them at
+    most: an equal share of it for each language, all of a language that has fewer. Rows
+    without text, lang or doc_id teach nothing; rows that repeat a doc_id are chosen or
+    left together; without any row to learn from, every document is `und`.
+    """
     bounded_batches(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
-    n = labelled.select("doc_id").count()
-    share = min(1.0, max_docs / max(n, 1))
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("lang", "text")
+    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    langs = sorted(sizes)
+    bits = min(bits, max(1, int(np.log2(MATRIX / max(1, len(langs))))))
+    # rows hashed up to a language's limit are chosen; one row for each language is broadcast
+    limits = [(x, min((1 << 63) - 1, int(max_docs / len(langs) / n * 2.0**64) - (1 << 63))) for x, n in sizes.items()]
+    limits = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, most long"))
+    sample = labelled.join(limits, "lang").where(F.xxhash64("doc_id") <= F.col("most")).select("lang", "text")
     buckets = (1 << bits) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
-        docs_of: dict[str, int] = {}
         for batch in batches:
             for part in passes(batch, "text"):
                 langs = part.column(0).to_pylist()
                 for lang in set(langs):
                     rows = [t for x, t in zip(langs, part.column(1).to_pylist(), strict=True) if x == lang]
                     own = found.setdefault(lang, np.zeros(buckets, np.int64))
-                    docs_of[lang] = docs_of.get(lang, 0) + len(rows)
                     for bucket in ngrams(rows, bits)[0]:
                         own += np.bincount(bucket, minlength=buckets)
         for lang, own in found.items():
-            own[-1] = docs_of[lang]
+            own[-1] = 0
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(own[at])], ["lang", "bucket", "n"])
 
     rows = sample.mapInArrow(lean(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    langs = sorted(r.lang for r in rows.select("lang").distinct().limit(MAX_LANGS + 1).collect())
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
     counts = np.zeros((buckets, max(1, len(langs))))
     found = rows.toPandas()
     if len(found):
         counts[found["bucket"].to_numpy(), np.searchsorted(langs, found["lang"].to_numpy().astype(str))] = found["n"].to_numpy()
-    prior = np.log((counts[-1] + 1) / (counts[-1] + 1).sum())
+    prior = np.array([sizes[x] + 1.0 for x in langs] or [1.0])
+    prior = np.log(prior / prior.sum())
     counts = counts[:-1] + alpha
     logp = np.log(counts / counts.sum(axis=0))
     return Model(langs or ["und"], np.vstack([logp, np.zeros((1, logp.shape[1]))]).astype(np.float32), prior)

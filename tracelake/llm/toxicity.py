@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import LOWER, bounded_batches, lean, mixed, passes, span_hashes, text_bytes, word_spans
+from tracelake.llm.common import LOWER, bounded_batches, chosen_share, lean, mixed, passes, span_hashes, text_bytes, word_spans
 from tracelake.llm.langid import held_out
 
 BITS, STEPS, RATE, L2 = 18, 40, 0.25, 1e-4
 #: What the model is fitted on at most: documents of either class, and bytes of their texts. Chosen by a hash of doc_id.
 MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 1500, 2500, 8 << 20
+#: Words of a chain: a longer sentence is several chains.
+MAX_CHAIN = 256
 #: Least likelihood-ratio statistic and odds for a word to be labelled in toxic documents.
 MIN_G, MIN_ODDS = 24.0, 6.0
 
@@ -61,6 +63,8 @@ def words_of(texts: pa.Array) -> Words:
     if len(starts):
         stops = np.concatenate(([0], np.cumsum(ENDS_SENTENCE[data])))
         new[1:] |= stops[starts[1:]] > stops[ends[:-1]]
+    at = np.arange(len(starts))
+    new |= (at - np.maximum.accumulate(np.where(new, at, 0))) % MAX_CHAIN == 0
     before, after = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
     before[1:], after[:-1] = whole[:-1], whole[1:]
     before[new] = 0
@@ -205,9 +209,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clea
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(~held_out())
     sizes = {r.toxic: (r.n, r.b) for r in docs.select("doc_id", F.octet_length("text").alias("b")).join(known, "doc_id").groupBy("toxic").agg(F.count("*").alias("n"), F.sum("b").alias("b")).collect()}
     share = {y: min(1.0, most / max(1, sizes.get(y, (0, 0))[0]), max_bytes / 2 / max(1, sizes.get(y, (0, 0))[1] or 0)) for y, most in ((1, max_toxic), (0, max_clean))}
-    dice = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    key = F.xxhash64("doc_id")
     # at most about max_toxic + max_clean ids whatever the number of labels, so their broadcast is bounded and no text is shuffled
-    ids = known.where(dice < F.when(F.col("toxic") == 1, int(share[1] * 1_000_000)).otherwise(int(share[0] * 1_000_000)))
+    ids = known.where(F.when(F.col("toxic") == 1, chosen_share(key, share[1])).otherwise(chosen_share(key, share[0])))
     chosen = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
     return [(int(r.toxic == 1), r.text) for r in chosen.select("doc_id", "toxic", "text").collect() if r.toxic in (0, 1)], float(np.log(share[1] / share[0]))
 
