@@ -14,17 +14,30 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A run of at least 16 characters of keys that holds a digit.
-CANDIDATE = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*+[0-9])[A-Za-z0-9_+/\-]{16,}+={0,2}"
+from tracelake.llm.common import chosen_share, staged
+
+#: What may be a secret: the header of a private key, a value assigned to the name of a credential, a password in a
+#: link, a key of an issuer, three joined parts, or a run of at least 16 characters of keys that holds a digit.
+NAMES = r"(?:pass(?:word|wd|phrase)?|secret|token|credential|auth|api[_\-]?key|access[_\-]?key|key)"
+CANDIDATE = "|".join((
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----",
+    rf"(?<=[=:]\s{{0,2}}[\"']?)(?<=(?i:{NAMES})[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?)[^\s\"'=:]{{6,}}+={{0,2}}",
+    r"(?<=:)(?<=://[^\s/:@]{1,64}:)[^\s/:@]{3,}(?=@)",
+    r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9_\-.])[A-Za-z0-9_\-]{6,}+\.[A-Za-z0-9_\-]{6,}+\.[A-Za-z0-9_\-]{6,}+(?![.\w])",
+    r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*+[0-9])[A-Za-z0-9_+/\-]{16,}+={0,2}",
+))
 #: What stands right before a value that is assigned to a name of a credential.
-ASSIGNED = r"(?i)(pass(word|wd|phrase)?|secret|token|credential|auth|api[_\-]?key|access[_\-]?key|key)[\"']?\s*[=:]\s*[\"']?$"
+ASSIGNED = rf"(?i){NAMES}[\"']?\s*[=:]\s*[\"']?$"
 #: Formats of issuers.
-ISSUED = r"^((AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9\-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35})$"
+ISSUED = r"^((AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9\-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35}|-----BEGIN .*)$"
 #: Labelled findings that the forest is trained on, at most; and words of the dictionary.
 MAX_TRAIN, DICTIONARY_WORDS = 20_000, 500
 TREES, DEPTH, SEED = 30, 6, 11
 CONTEXT = 80
 FEATURES = ["length", "distinct", "digits", "uppers", "lowers", "hex", "turns", "turn_kinds", "covered", "slashes", "in_path", "after_scheme", "assigned", "joined", "before_length", "before_word", "before_known", "after_known", "after_joined"]
+#: Features that ask what rule_label asks. A forest that learns from those rules does without them, lest it learn the rules.
+OF_RULES = {"hex", "after_scheme", "assigned"}
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -40,7 +53,10 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY_WORDS) -> list[str]:
-    """The corpus's most frequent words of three letters or more, by documents that hold them; ties go by the word."""
+    """The corpus's most frequent words of three letters or more, by documents that hold them; ties go by the word.
+
+    Null and empty texts hold none; repeated rows count each; an empty table gives no words.
+    """
     words = docs.select(F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) >= 3))).alias("w"))
     return [r.w for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(size).collect()]
 
@@ -85,37 +101,48 @@ def rule_label() -> Column:
     )
 
 
-def train(labelled: DataFrame, max_train: int = MAX_TRAIN) -> RandomForestClassificationModel | None:
-    """A forest on labelled findings (FEATURES and label), at most about max_train of them; None unless both labels occur."""
+def train(labelled: DataFrame, max_train: int = MAX_TRAIN, names: tuple[str, ...] = tuple(FEATURES)) -> RandomForestClassificationModel | None:
+    """A forest on the features `names` of labelled findings (FEATURES and label), at most about max_train of them; None unless both labels occur.
+
+    The same names are to be given to scan. Findings without doc_id or start are hashed like any other.
+    """
     counts = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
     if len(counts) < 2:
         return None
-    dice = F.pmod(F.xxhash64("doc_id", "start"), F.lit(1_000_000))
-    limit = F.when(F.col("label") == 1, min(1.0, max_train / 2 / counts[1.0])).otherwise(min(1.0, max_train / 2 / counts[0.0])) * 1_000_000
-    sample = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(labelled.where(dice < limit)).select("x", "label")
+    key = F.xxhash64("doc_id", "start")
+    chosen = F.when(F.col("label") == 1, chosen_share(key, max_train / 2 / counts[1.0])).otherwise(chosen_share(key, max_train / 2 / counts[0.0]))
+    sample = VectorAssembler(inputCols=list(names), outputCol="x").transform(labelled.where(chosen)).select("x", "label")
     return RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(sample)
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel | None, words: list[str], min_score: float = 0.5) -> DataFrame:
-    """Every candidate of every document: doc_id, start, candidate, score (the forest's probability of a secret) and is_secret.
-
-    Without a model every candidate stays, with score 1. Null texts have no candidates;
-    repeated rows give theirs each; an empty table gives no rows; other columns are ignored.
-    """
-    found = features(candidates(docs), words)
+def score_found(found: DataFrame, model: RandomForestClassificationModel | None, min_score: float = 0.5, names: tuple[str, ...] = tuple(FEATURES)) -> DataFrame:
+    """Candidates with their features, scored as scan says."""
     if model is None:
         scored = found.withColumn("score", F.lit(1.0))
     else:
-        assembled = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(found)
+        assembled = VectorAssembler(inputCols=list(names), outputCol="x").transform(found)
         scored = model.transform(assembled).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
     return scored.select("doc_id", "start", "candidate", "score", (F.col("score") >= min_score).alias("is_secret"))
 
 
+def scan(docs: DataFrame, model: RandomForestClassificationModel | None, words: list[str], min_score: float = 0.5, names: tuple[str, ...] = tuple(FEATURES)) -> DataFrame:
+    """Every candidate of every document: doc_id, start, candidate, score (the forest's probability of a secret) and is_secret.
+
+    Without a model every candidate stays, with score 1. Null texts have no candidates;
+    repeated rows give theirs each; an empty table gives no rows; other columns are ignored.
+    """
+    return score_found(features(candidates(docs), words), model, min_score, names)
+
+
+def learned_findings(found: DataFrame) -> DataFrame:
+    """The findings that rule_label labels, of documents other than those that the fold keeps out."""
+    return found.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).withColumn("label", rule_label()).where("label IS NOT NULL")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    words = dictionary(docs)
-    # findings are learned from documents other than those that the fold keeps out
-    learn = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    labelled = features(candidates(learn), words).withColumn("label", rule_label()).where("label IS NOT NULL")
-    found = scan(docs, train(labelled), words)
-    return found.select("doc_id", "start", F.length("candidate").alias("n_chars"), F.sha2("candidate", 256).alias("candidate_sha256"), F.round("score", 6).alias("score"), "is_secret")
+    # texts are searched once; candidates with their features are few
+    found = staged(features(candidates(docs), dictionary(docs)), "findings")
+    names = tuple(n for n in FEATURES if n not in OF_RULES)
+    out = score_found(found, train(learned_findings(found), names=names), names=names)
+    return out.select("doc_id", "start", F.length("candidate").alias("n_chars"), F.sha2("candidate", 256).alias("candidate_sha256"), F.round("score", 6).alias("score"), "is_secret")
