@@ -48,14 +48,14 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture of sources wants them; every document at least once."""
+    """Documents as often as the blocks of the mixture of sources hold them, every one at least once; null and repeated doc_ids stay."""
     names, rows = docs.columns, numbered(docs, "mix-rows")
-    mixture = staged(mixing.mix(rows, keep=(ROW,)), "mixture")
-    copies = mixture.select(ROW, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    copies = mixing.blocks(mixing.mix(rows, keep=(ROW,))).select(ROW)
     return rows.join(copies, ROW).select(*names)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token file of docs, described by what is read back from it; rows without doc_id come first, repeated ones each count."""
     return tokens.token_output(docs)
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracelake.llm.common import staged
+
 #: Target entropy as a share of the largest possible, and how often a source may be repeated at most.
 TARGET_ENTROPY, MAX_REPEATS, SEED = 0.98, 2.0, "mix-1"
 ROUNDS, BITS = 5, 4
@@ -83,7 +85,7 @@ def mix(docs: DataFrame, tokens: Column | None = None, target_entropy: float = T
     digits = max(1, min(6, math.ceil(math.log(max(n_docs, 1) / RANGE_DOCS + 1, 16))))
     # two levels of prefix sums: over key ranges of a source, and within each range, so that no source is one task
     rows = rows.withColumn("part", F.substring("key", 1, digits))
-    ranges = rows.groupBy("source", "part").agg(F.sum("tokens").alias("part_tokens"))
+    ranges = staged(rows.groupBy("source", "part").agg(F.sum("tokens").alias("part_tokens")), "ranges")
     per_source = ranges.groupBy("source").agg(F.sum("part_tokens").alias("tokens"))
     t = bisect(per_source.where("tokens > 0"), target_entropy, max_repeats)
     weight = F.exp(F.lit(t.exponent) * F.log(F.col("total") / F.lit(float(max(t.total, 1)))) - F.lit(t.log_z))
@@ -101,14 +103,19 @@ def mix(docs: DataFrame, tokens: Column | None = None, target_entropy: float = T
 
 
 def blocks(mixture: DataFrame, seed: str = SEED) -> DataFrame:
-    """One row for each copy: doc_id, source, block (from 0) and the key that orders a block; copies of one document lie in different blocks."""
-    each = mixture.where("copies > 0").select("doc_id", "source", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("block"))
+    """The mixture as it is read: one row for each copy, the columns of mixture, block (from 0) and the key that orders a block.
+
+    The copies of one row lie in different blocks; each block is a permutation of its own.
+    Rows without copies are in no block; rows that repeat a doc_id have one key.
+    """
+    each = mixture.where("copies > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     return each.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.col("block").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "source", "tokens", F.round("weight", 6).alias("weight"), "budget", "copies")
+    """Every document of every block of the mixture."""
+    out = blocks(mix(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return out.select("doc_id", "source", "tokens", F.round("weight", 6).alias("weight"), "budget", "copies", "block", "key")
 
 
 ORACLE = f"""
@@ -129,7 +136,11 @@ w AS (
     floor(round(exp(x * ln(total::DOUBLE / (SELECT sum(total) FROM s)::DOUBLE) - lz) * ceil(exp(mx * (1 - x) + lz) * (SELECT sum(total) FROM s)), 3))::BIGINT AS budget
   FROM s, z WHERE total > 0
 )
+, m AS (
 SELECT doc_id, d.source, tokens, round(weight, 6) AS weight, budget,
   CASE WHEN total > 0 THEN budget // total + CASE WHEN sum(tokens) OVER (PARTITION BY d.source ORDER BY key, doc_id, tokens ROWS UNBOUNDED PRECEDING) - tokens < budget % total THEN 1 ELSE 0 END ELSE 1 END AS copies
 FROM d LEFT JOIN w ON d.source = w.source
+)
+SELECT doc_id, source, tokens, weight, budget, copies, block, md5('{SEED}:' || block::VARCHAR || ':' || coalesce(doc_id::VARCHAR, 'null')) AS key
+FROM (SELECT *, unnest(range(copies)) AS block FROM m)
 """
