@@ -373,6 +373,32 @@ def test_nearest_against_brute_force(spark):
     assert set(got) == set(range(0, 1200, 100)) and hits >= 0.95 * 120
 
 
+@pytest.mark.parametrize("large,n", [(1e6, 900), (1e3, 2000)])
+def test_recall_beside_one_huge_vector(spark, large, n):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(n, 16))
+    x[7] = large
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 50 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, n, 50):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 0.9 * 10 * len(got)
+
+
+def test_ties_of_many_vectors_go_to_the_smallest_ids(spark):
+    centre = [4.0] * 40
+    rows = [(0, centre)] + [(100 - k, [4.0 + (side if i == k % 40 else 0.0) for i in range(40)]) for k, side in enumerate([0.5] * 40 + [-0.5] * 40)]
+    rows += [(1000, [4.0 + 1e-9, *centre[1:]]), (1001, [4.0 + 2e-9, *centre[1:]])]  # nearer, by less than float32 can tell
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id) for r in ann.nearest(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    assert got == list(enumerate([1000, 1001, *range(21, 29)], 1))
+
+
 def test_nearest_of_few_rows(spark):
     kind = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0])], kind)
