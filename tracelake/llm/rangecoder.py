@@ -6,10 +6,12 @@ the next step of a block depends on its last.
 
 An id falls in one of four classes: the id that last followed the same two ids (order 2),
 the one that last followed the same id (order 1), any other id that the block has had
-(order 0), or a new one. The probability that order 2 is right is mixed in the logistic
-domain from what the confidences of the order-2 and order-1 predictions have been worth so
-far, with weights that learn; order-1 hits and ids of order 0 have adaptive probabilities
-of their own. Order 0 is the distribution of the block's ids up to the last power of two.
+(order 0), or a new one. The probability that the order-2 id is right is mixed in the
+logistic domain from three predictions: what the confidences of the order-2 and of the
+order-1 prediction have been worth so far, and how frequent the id is in the block (order
+0), with weights that learn from every id; order-1 hits and ids of order 0 have adaptive
+probabilities of their own. Among ids of order 0 the distribution is that of the block's
+ids up to the last rebuild, which is at most REBUILD ids ago.
 All arithmetic is on integers, so that every machine reads what another wrote.
 """
 
@@ -24,7 +26,7 @@ TABLE_BITS = 10
 _P = 15  # bits of a class probability
 _LOW = np.int64(1) << np.int64(32)
 _RAW_BITS = 16
-_FIRST = 16  # ids before order 0 has a distribution
+_FIRST, REBUILD = 16, 256  # ids before order 0 has a distribution, and after which it is renewed at the latest
 
 # logistic tables: stretch(p) = ln(p / (1 - p)) in 1/256, for p in 1/4096, and its inverse
 _p = (np.arange(4096) + 0.5) / 4096
@@ -51,15 +53,17 @@ class _Lanes:
         self.old = np.full(n, 1 << 15, np.int32)
         self.w2 = np.full(n, 2500, np.int32)  # of 4096
         self.w1 = np.full(n, 1625, np.int32)
+        self.w0 = np.zeros(n, np.int32)
+        self.zero = np.zeros(n * size, np.int32)  # counts of ids by their hash
         self.step = 0
         self.base32 = self.lane * 32
         self.a = np.zeros(n, np.int64)  # the last id and the one before
         self.b = np.zeros(n, np.int64)
         self.sorted = self.start = self.count = None
-        self.bits = 0
+        self.total = 0
 
     def rebuild(self, at: int) -> None:
-        """Order 0 from the first `at` ids, a power of two: slot s of the sorted ids stands for one count."""
+        """Order 0 from the first `at` ids: slot s of the sorted ids stands for one count."""
         own = np.sort(self.ids[: self.n, :at], axis=1)
         new = np.ones(own.shape, bool)
         new[:, 1:] = own[:, 1:] != own[:, :-1]
@@ -69,7 +73,7 @@ class _Lanes:
         last[:, :-1] = new[:, 1:]
         end = np.minimum.accumulate(np.where(last, slot + 1, at)[:, ::-1], axis=1)[:, ::-1]
         self.sorted, self.start, self.count = own.ravel(), start.ravel(), (end - start).ravel()
-        self.bits = at.bit_length() - 1
+        self.total = at
 
     def places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For ids (lanes, steps): their first slot in order 0, and whether they are there."""
@@ -77,7 +81,7 @@ class _Lanes:
         key = ids.astype(np.int64) | (self.lane << 16)[:, None]
         at = np.searchsorted(wide, key.ravel())
         there = wide[np.minimum(at, len(wide) - 1)] == key.ravel()
-        return np.where(there, at - np.repeat(self.lane << self.bits, ids.shape[1]), 0).astype(np.int32).reshape(ids.shape), there.reshape(ids.shape)
+        return np.where(there, at - np.repeat(self.lane * self.total, ids.shape[1]), 0).astype(np.int32).reshape(ids.shape), there.reshape(ids.shape)
 
     def predict(self) -> None:
         a = self.a
@@ -85,6 +89,8 @@ class _Lanes:
         at2 = ((a * 40503 ^ self.b * 60493) >> 5) & ((1 << TABLE_BITS) - 1)
         at1 += self.base
         at2 += self.base
+        if self.step:
+            self.zero[at1] += 1  # the last id, whose hash this is
         e1, e2 = self.one.take(at1), self.two.take(at2)
         self.at1, self.at2, self.e1, self.e2 = at1, at2, e1, e2
         self.id1, self.id2 = e1 >> 4, e2 >> 4
@@ -96,8 +102,11 @@ class _Lanes:
         self.k1, self.k2 = k1, k2
         self.q2, self.q1, self.qh = self.p2.take(k2), self.p1.take(k1), self.hit1.take(k1)
         self.s2, self.s1 = STRETCH.take(self.q2 >> 4), STRETCH.take(self.q1 >> 4)
+        seen = self.zero.take(self.base + ((self.id2.astype(np.int64) * 40503 >> 4) & ((1 << TABLE_BITS) - 1)))
+        self.s0 = STRETCH.take((np.arange(self.step + 2) * 4095) // (self.step + 1)).take(seen)
         dot = self.w2 * self.s2
         dot += self.w1 * self.s1
+        dot += self.w0 * self.s0
         dot >>= 12
         pa = SQUASH.take(dot + _SPAN, mode="clip")
         edges = self.edges = np.empty((5, self.n), np.int64)
@@ -107,7 +116,7 @@ class _Lanes:
         pb = (((rest - 3) * (self.qh >> 4)) >> 12) + 1
         pb *= ~agree
         np.add(pa, pb, out=edges[2])
-        if self.bits:
+        if self.total:
             rest -= pb
             po = ((rest - 2) * (self.old >> 4)) >> 12
             po += 1
@@ -120,16 +129,14 @@ class _Lanes:
         hit2, hit1 = kind == 0, ids == self.id1
         bit = hit2 * np.int32(1 << 16)
         self.step += 1
-        if self.step & 3 == 0:  # weights learn from every fourth id
-            error = (bit >> 1) - self.pa
-            self.w2 += (error * (self.s2 >> 3)) >> 14
-            self.w1 += (error * (self.s1 >> 3)) >> 14
-            np.clip(self.w2, -3500, 7500, out=self.w2)
-            np.clip(self.w1, -3500, 7500, out=self.w1)
+        error = (bit >> 1) - self.pa
+        for w, x in ((self.w2, self.s2), (self.w1, self.s1), (self.w0, self.s0)):
+            w += (error * (x >> 3)) >> 14
+            np.clip(w, -3500, 7500, out=w)
         self.p2[self.k2] = self.q2 + ((bit - self.q2) >> 4)
         self.p1[self.k1] = self.q1 + ((bit - self.q1) >> 4)
         self.hit1[self.k1] = self.qh + (((hit1 * np.int32(1 << 16) - self.qh) >> 4) * (~hit2 & ~self.agree))
-        if self.bits:
+        if self.total:
             self.old += ((((kind == 2) * np.int32(1 << 16)) - self.old) >> 5) * (kind > 1)
             np.clip(self.old, 1024, 64512, out=self.old)
         new = (ids.astype(np.int32) << 4) | 1
@@ -142,11 +149,11 @@ class _Lanes:
     def shrink(self, n: int) -> None:
         """Only the first n lanes go on."""
         size = 1 << TABLE_BITS
-        for name, width in (("one", size), ("two", size), ("p2", 32), ("p1", 32), ("hit1", 32), ("old", 1), ("w2", 1), ("w1", 1), ("a", 1), ("b", 1), ("base", 1), ("base32", 1), ("lane", 1)):
+        for name, width in (("one", size), ("two", size), ("zero", size), ("w0", 1), ("p2", 32), ("p1", 32), ("hit1", 32), ("old", 1), ("w2", 1), ("w1", 1), ("a", 1), ("b", 1), ("base", 1), ("base32", 1), ("lane", 1)):
             setattr(self, name, getattr(self, name)[: n * width])
-        if self.bits:
+        if self.total:
             for name in ("sorted", "start", "count"):
-                setattr(self, name, getattr(self, name)[: n << self.bits])
+                setattr(self, name, getattr(self, name)[: n * self.total])
         self.n = n
 
 
@@ -157,6 +164,11 @@ def _bounds(m: _Lanes, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, edges.take(at + m.n) - low
 
 
+def _rebuilds(t: int) -> bool:
+    """Whether order 0 is renewed before id t: at powers of two, then every REBUILD ids."""
+    return t >= _FIRST and (t % REBUILD == 0 or (t < REBUILD and t & (t - 1) == 0))
+
+
 def _order(blocks_n: np.ndarray) -> np.ndarray:
     return np.argsort(-blocks_n, kind="stable")
 
@@ -192,13 +204,13 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
             _flush(flat, low[live:], out[live:])
             ends = np.concatenate((out[live:], ends))
             low, wide, out = low[:live].copy(), wide[:live].copy(), out[:live].copy()
-        if t >= _FIRST and t & (t - 1) == 0:
+        if _rebuilds(t):
             m.rebuild(t)
-            place, there = m.places(ids[: m.n, t : min(2 * t, ids.shape[1])])
+            place, there = m.places(ids[: m.n, t : min(t + min(t, REBUILD), ids.shape[1])])
             base_t = t
         own = ids[: m.n, t].astype(np.int64)
         m.predict()
-        known = there[: m.n, t - base_t] if m.bits else np.zeros(m.n, bool)
+        known = there[: m.n, t - base_t] if m.total else np.zeros(m.n, bool)
         kind = np.where(own == m.id2, 0, np.where(own == m.id1, 1, np.where(known, 2, 3)))
         c, f = _bounds(m, kind)
         r = wide >> _P
@@ -209,13 +221,13 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         k = np.flatnonzero(kind >= 2)
         if len(k):
             raw = kind[k] == 3
-            c, f, bits = own[k], np.ones(len(k), np.int64), np.full(len(k), _RAW_BITS, np.int64)
-            if m.bits:
+            c, f, whole = own[k], np.ones(len(k), np.int64), np.full(len(k), 1 << _RAW_BITS, np.int64)
+            if m.total:
                 at = place[k, t - base_t].astype(np.int64)
                 c = np.where(raw, c, at)
-                f = np.where(raw, 1, m.count[(m.lane[k] << m.bits) + at])
-                bits = np.where(raw, _RAW_BITS, m.bits)
-            r = wide[k] >> bits
+                f = np.where(raw, 1, m.count[m.lane[k] * m.total + at])
+                whole[~raw] = m.total
+            r = wide[k] // whole
             low[k] += r * c
             wide[k] = r * f
             settle(k[wide[k] < _LOW])
@@ -263,7 +275,7 @@ def decode(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
         if live < m.n:
             m.shrink(live)
             code, wide, at = code[:live].copy(), wide[:live].copy(), at[:live].copy()
-        if t >= _FIRST and t & (t - 1) == 0:
+        if _rebuilds(t):
             m.rebuild(t)
         m.predict()
         r = wide >> _P
@@ -277,12 +289,12 @@ def decode(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
         k = np.flatnonzero(kind >= 2)
         if len(k):
             raw = kind[k] == 3
-            bits = np.where(raw, _RAW_BITS, m.bits)
-            r = wide[k] >> bits
-            v = np.minimum(code[k] // r, (np.int64(1) << bits) - 1)
+            whole = np.where(raw, 1 << _RAW_BITS, m.total)
+            r = wide[k] // whole
+            v = np.minimum(code[k] // r, whole - 1)
             c, f, got = v, np.ones(len(k), np.int64), v
-            if m.bits:
-                slot = (m.lane[k] << m.bits) + np.where(raw, 0, v)
+            if m.total:
+                slot = m.lane[k] * m.total + np.where(raw, 0, v)
                 c = np.where(raw, v, m.start[slot])
                 f = np.where(raw, 1, m.count[slot])
                 got = np.where(raw, v, m.sorted[slot])

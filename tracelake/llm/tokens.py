@@ -62,9 +62,10 @@ class _Pieces(dict):
 class TextEncoder:
     """Encodes texts as the whole-text call does.
 
-    The tokenizer never joins what a single space between two other characters parts (the
-    space goes with what follows), nor what a single line break so parts; so texts are
-    encoded piece by piece there, and pieces that were met before are not encoded again.
+    A byte-level tokenizer never joins what a single space between two other characters
+    parts (the space goes with what follows), nor what a single line break so parts; so
+    texts are encoded piece by piece there, and pieces that were met before are not encoded
+    again. Texts of tokenizers of another kind are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -73,7 +74,9 @@ class TextEncoder:
         tokenizer = Tokenizer.from_file(path)
         if tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids over 16 bits are not supported")
-        self.tokenizer = tokenizer
+        self.tokenizer, split = tokenizer, tokenizer.pre_tokenizer
+        #: Whether texts may be parted at single spaces and line breaks.
+        self.splits = tokenizer.normalizer is None and type(split).__name__ == "ByteLevel" and not split.add_prefix_space and split.use_regex
         self.special = [t for t in (x.content for x in tokenizer.get_added_tokens_decoder().values()) if t]
         self.first, self.spaced = _Pieces(tokenizer, ""), _Pieces(tokenizer, " ")
         self.line = self.first["\n"]
@@ -105,7 +108,7 @@ class TextEncoder:
         odd = pc.match_substring_regex(texts, _ODD)
         for t in self.special:
             odd = pc.or_(odd, pc.match_substring(texts, t))
-        odd = pc.or_(odd, pc.equal(texts, "")).to_numpy(zero_copy_only=False)
+        odd = pc.or_(odd, pc.equal(texts, "")).to_numpy(zero_copy_only=False) | (not self.splits)
         self.first.age()
         self.spaced.age()
         out: list = [np.append(np.frombuffer(self.encode(t.as_py()), "<u2"), np.uint16(end_id)) if o else None for t, o in zip(texts, odd, strict=True)] if odd.any() else [None] * len(texts)
@@ -155,7 +158,7 @@ class TextEncoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if any(t in text for t in self.special):
+        if not self.splits or any(t in text for t in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
         pieces = _BOUNDARY.split(text)
         return self.first[pieces[0]] + b"".join(map(self.spaced.__getitem__, pieces[1:]))
