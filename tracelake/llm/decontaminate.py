@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import LOWER, bounded_batches, lean, mixed, passes, span_hashes, text_bytes, word_spans
@@ -216,32 +216,32 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def without_spans(text: Column, spans: Column) -> Column:
+    """text with each span's bytes replaced by a space."""
+
+    def cut(data: Column) -> Column:
+        begins = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["to_byte"]))
+        ends = F.concat(F.transform(spans, lambda s: s["from_byte"]), F.array(F.octet_length(data).cast("long")))
+        pieces = F.zip_with(begins, ends, lambda a, b: F.decode(F.substr(data, (a + 1).cast("int"), (b - a).cast("int")), "UTF-8"))
+        return F.array_join(pieces, " ")
+
+    return F.get(F.transform(F.array(F.encode(text, "UTF-8")), cut), F.lit(0))  # encoded once, whatever the number of spans
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """documents without benchmark passages: hit spans are cut out, and a document goes whole
     when they cover more than max_coverage of its words. Columns as given; n_chars, if
-    there, follows the text. Clean documents stay as they are."""
+    there, follows the text. Clean documents stay as they are, null and empty texts and
+    rows without doc_id among them; repeated rows are treated each by itself; an empty
+    table gives no rows, an empty benchmark changes nothing."""
     names = docs.columns
     found = match_items(docs, benchmark, window, shard_bytes, keep=tuple(names))
-
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        def one(text, own):
-            if text is None or not len(own):
-                return text
-            data, kept, at = text.encode(), [], 0
-            for s in own:
-                kept.append(data[at : s["from_byte"]])
-                at = s["to_byte"]
-            return b" ".join([*kept, data[at:]]).decode()
-
-        return texts.combine(spans, one)
-
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    kept = found.where((n_hit <= F.lit(max_coverage) * F.col("n_words")) | (F.size("spans") == 0))
-    clean, dirty = kept.where(F.size("spans") == 0), kept.where(F.size("spans") > 0).withColumn("text", cut("text", "spans"))
+    dirty = F.size("spans") > 0
+    kept = found.where(~dirty | (n_hit <= F.lit(max_coverage) * F.col("n_words"))).withColumn("text", F.when(dirty, without_spans(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
     if "n_chars" in names:
-        dirty = dirty.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(*names).unionByName(dirty.select(*names))
+        kept = kept.withColumn("n_chars", F.when(dirty, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return kept.select(*names)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ import numpy as np
 
 BLOCK_IDS = 2048
 TABLE_BITS = 10
+SOME = 128  # lanes whose order 0 is built at a time
 _P = 15  # bits of a class probability
 _LOW = np.int64(1) << np.int64(32)
 _RAW_BITS = 16
@@ -64,24 +65,32 @@ class _Lanes:
 
     def rebuild(self, at: int) -> None:
         """Order 0 from the first `at` ids: slot s of the sorted ids stands for one count."""
-        own = np.sort(self.ids[: self.n, :at], axis=1)
-        new = np.ones(own.shape, bool)
-        new[:, 1:] = own[:, 1:] != own[:, :-1]
-        slot = np.arange(at, dtype=np.int32)
-        start = np.maximum.accumulate(np.where(new, slot, 0), axis=1)
-        last = np.ones(own.shape, bool)
-        last[:, :-1] = new[:, 1:]
-        end = np.minimum.accumulate(np.where(last, slot + 1, at)[:, ::-1], axis=1)[:, ::-1]
-        self.sorted, self.start, self.count = own.ravel(), start.ravel(), (end - start).ravel()
+        self.sorted, self.start, self.count = (np.empty((self.n, at), t) for t in (np.uint16, np.int16, np.int16))
+        slot = np.arange(at, dtype=np.int16)
+        for a in range(0, self.n, SOME):
+            own = np.sort(self.ids[a : min(a + SOME, self.n), :at], axis=1)
+            new = np.ones(own.shape, bool)
+            new[:, 1:] = own[:, 1:] != own[:, :-1]
+            start = np.maximum.accumulate(np.where(new, slot, 0), axis=1)
+            last = np.ones(own.shape, bool)
+            last[:, :-1] = new[:, 1:]
+            end = np.minimum.accumulate(np.where(last, slot + 1, at)[:, ::-1], axis=1)[:, ::-1]
+            self.sorted[a : a + SOME], self.start[a : a + SOME], self.count[a : a + SOME] = own, start, end - start
+        self.sorted, self.start, self.count = self.sorted.ravel(), self.start.ravel(), self.count.ravel()
         self.total = at
 
     def places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For ids (lanes, steps): their first slot in order 0, and whether they are there."""
-        wide = (self.sorted.reshape(self.n, -1).astype(np.int64) | (self.lane << 16)[:, None]).ravel()
-        key = ids.astype(np.int64) | (self.lane << 16)[:, None]
-        at = np.searchsorted(wide, key.ravel())
-        there = wide[np.minimum(at, len(wide) - 1)] == key.ravel()
-        return np.where(there, at - np.repeat(self.lane * self.total, ids.shape[1]), 0).astype(np.int32).reshape(ids.shape), there.reshape(ids.shape)
+        place, there = np.zeros(ids.shape, np.int16), np.zeros(ids.shape, bool)
+        held = self.sorted.reshape(self.n, -1)
+        for a in range(0, self.n, SOME):
+            own = ids[a : a + SOME]
+            lane = (np.arange(len(own), dtype=np.uint32) << np.uint32(16))[:, None]
+            wide, key = (held[a : a + SOME] | lane).ravel(), own | lane
+            at = np.searchsorted(wide, key)
+            there[a : a + SOME] = wide[np.minimum(at, len(wide) - 1)] == key
+            place[a : a + SOME] = np.where(there[a : a + SOME], at - np.arange(len(own))[:, None] * self.total, 0)
+        return place, there
 
     def predict(self) -> None:
         a = self.a
