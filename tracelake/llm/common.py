@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass takes at a time; a longer text is a pass of its own.
-PASS_BYTES = 2 << 20
+PASS_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,7 +74,7 @@ def chosen_share(key: Column, share: float) -> Column:
 def bounded_batches(spark: SparkSession) -> None:
     """Lets Arrow batches end after a few MB, so that long texts don't pile up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -28,7 +28,7 @@ TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 #: Ids of a segment, about (one longer document is a segment of its own), and ids coded in one go.
 SEGMENT_IDS, LANES_IDS = 1 << 16, 1 << 22
 #: Distinct pieces of text whose ids a worker remembers.
-MAX_PIECES = 100_000
+MAX_PIECES = 1 << 16
 
 SEGMENT = "part int, segment int, n_ids long, doc_ids array<long>, doc_sizes array<long>, block_sizes array<int>, block_crcs array<long>, blocks array<binary>"
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
