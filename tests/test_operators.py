@@ -105,9 +105,66 @@ def test_predictions_keep_null_from_empty(spark, tmp_path):
 
 
 def test_claims(spark):
-    claims = spark.createDataFrame([("c1", 1, ["e1"], 0.0, 1.0), ("c2", 1, [], 0.0, 1.0), ("c3", 1, ["e9"], 0.0, 1.0), ("c4", 2, ["e1"], 0.0, 1.0), ("c5", 1, ["e1"], 2.0, 1.0)], "claim_id string, video_id long, evidence_ids array<string>, start double, end double")
-    evidence = spark.createDataFrame([("e1", 1)], "evidence_id string, video_id long")
-    assert {r.claim_id: r.reason for r in lo.gate_claims(claims, evidence).collect()} == {"c1": None, "c2": "nothing_cited", "c3": "evidence_missing", "c4": "evidence_of_other_video", "c5": "bad_time"}
+    kind = "claim_id string, video_id long, epistemic_status string, evidence_ids array<string>, event_ids array<string>, participant_ids array<string>, start double, end double, status string"
+    rows = [("c1", 1, "x", ["e1"], [], [], 0.0, 1.0, "old"), ("c2", 1, "x", [], None, [], 0.0, 1.0, None), ("c3", 1, "x", ["e1", "e9", "f1"], [], [], 0.0, 1.0, None), ("c4", 2, "x", ["e1"], [], [], 0.0, 1.0, None), ("c5", 1, "x", None, ["v1"], ["t1"], 2.0, 1.0, None), ("c6", 1, None, ["e9"], [], [], 0.0, 1.0, None), ("c7", 1, "x", [], ["v1"], ["t9"], None, None, None), ("c8", 1, "x", [], ["v1"], ["t1"], None, None, None)]
+    evidence = spark.createDataFrame([("e1", 1), ("e1", 1), ("f1", 2)], "evidence_id string, video_id long")
+    events, tracks = spark.createDataFrame([("v1", 1)], "event_id string, video_id long"), spark.createDataFrame([("t1",)], "track_id string")
+    got = {r.claim_id: (r.reason, r.status) for r in lo.gate_claims(spark.createDataFrame(rows, kind), evidence, events, tracks).collect()}
+    lost, bad, fine = "insufficient_evidence", "rejected", "supported"
+    assert got == {"c1": (None, fine), "c2": ("nothing_cited", lost), "c3": ("evidence_unknown", lost), "c4": ("evidence_of_other_video", bad), "c5": ("inverted_time", bad), "c6": ("no_label", lost), "c7": ("participant_unknown", lost), "c8": (None, fine)}
+    assert lo.gate_claims(spark.createDataFrame([], kind), evidence, events, tracks).count() == 0
+
+
+def test_seek_finds_the_nearest_frame_however_far(spark):
+    frames = spark.createDataFrame([(1, 5, 10.0), (1, 3, 10.0), (1, 9, 20.0), (1, 1, 500.0), (2, 7, None)], "video_id long, frame_id long, pts double")
+    asked = spark.createDataFrame([(1, 1, 15.0), (2, 1, 9999.0), (3, 1, -50.0), (4, 2, 0.0), (5, 3, 0.0), (6, 1, None), (7, 1, 15.1)], "request_id long, video_id long, t double")
+    assert {r.request_id: r.frame_id for r in lo.seek(asked, frames).collect()} == {1: 3, 2: 1, 3: 3, 4: None, 5: None, 6: None, 7: 9}
+
+
+def test_upsert_keeps_the_last_write(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "id long, v string")
+    batch = spark.createDataFrame([(9, "last", 2), (9, "first", 1), (2, "c", 1)], "v0 long, v string, at int").withColumnRenamed("v0", "id")
+    assert sorted(map(tuple, io.upsert_by_key(old, batch, "id", "at").collect()), key=str) == [(1, "a"), (2, "c"), (9, "last"), (None, "n")]
+    assert io.upsert_by_key(old, batch.limit(0), "id", "at").count() == 3
+
+
+def test_null_keys_are_one_key_of_a_fold(spark):
+    from tracelake.functions.ordered import thin
+
+    rows = spark.createDataFrame([(None, float(i), i) for i in range(6)] + [(1, 0.0, 9)], "k long, t double, i long")
+    assert sorted(r.i for r in thin(rows, ["k"], "t", ["i"], 3.0).collect()) == [0, 3, 9]
+
+
+def test_edits_against_brute_force(spark):
+    import random
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    rng = random.Random(3)
+    rows = [("".join(rng.choice("abé ") for _ in range(rng.randrange(30))), "".join(rng.choice("abé ") for _ in range(rng.randrange(30)))) for _ in range(60)] + [("", "x"), ("x", ""), ("", ""), (None, "ab")]
+    for r in va.error_rates(spark.createDataFrame(rows, "ref string, hyp string")).collect():
+        a, b = r.ref or "", r.hyp or ""
+        assert r.substitutions + r.deletions + r.insertions == distance(a, b) and r.insertions - r.deletions == len(b) - len(a)
+
+
+def test_normalized_text_against_python(spark):
+    import re
+    import unicodedata
+
+    from tracelake.functions.exprs import normalize_ocr
+
+    texts = ["ﬁne  Ⅳ\u200b x", "½ ＡＢＣ\tÉ", "e\u0301 \ufeffz", "", None, "  plain text  ", "a\u200db"]
+    want = [None if t is None else re.sub(r"\s+", " ", re.sub("[\u200b\ufeff\u200c\u200d]", "", unicodedata.normalize("NFKC", t))).strip().lower() for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert [r.n for r in df.select("i", normalize_ocr(F.col("t")).alias("n")).orderBy("i").collect()] == want
+
 
 
 def test_windows_do_not_depend_on_partitions(spark):

@@ -31,6 +31,7 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callab
 
     step takes the state and a row and gives the new state and rows to emit; the state starts
     anew at each key. Keys are dealt by hash and sorted within partitions; nothing is grouped in memory.
+    Rows whose keys are null are one key of their own; equal rows keep no order among them; an empty table emits nothing.
     """
     names = [part.split()[0] for part in schema.replace("\n", " ").split(",")]
 
@@ -39,7 +40,7 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callab
         for frame in frames:
             out: list[tuple] = []
             for row in frame.itertuples(index=False):
-                key = tuple(getattr(row, k) for k in keys)
+                key = tuple(None if pd.isna(v := getattr(row, k)) else v for k in keys)
                 if key != at:
                     at, state = key, start()
                 state, rows = step(state, row)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,17 +110,23 @@ def _edits(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     """Edits between two sequences of units, counted on one best alignment; ties go to substitution, deletion, insertion."""
 
     def one(a, b):
-        row = [(j, 0, 0, j) for j in range(len(b) + 1)]
-        for x in a:
-            new = [(row[0][0] + 1, 0, row[0][2] + 1, row[0][3])]
-            for j, y in enumerate(b, 1):
-                if x == y:
-                    new.append(row[j - 1])
-                    continue
-                s, d, i = row[j - 1], row[j], new[j - 1]
-                new.append(min(((s[0] + 1, 0, (s[0] + 1, s[1] + 1, s[2], s[3])), (d[0] + 1, 1, (d[0] + 1, d[1], d[2] + 1, d[3])), (i[0] + 1, 2, (i[0] + 1, i[1], i[2], i[3] + 1))), key=lambda t: t[:2])[2])
-            row = new
-        return row[-1][1:]
+        code = {u: k for k, u in enumerate({*a, *b})}
+        x, y = (np.array([code[u] for u in s], np.int32) for s in (a, b))
+        steps = np.arange(len(y) + 1, dtype=np.int32)
+        cost = np.empty((len(x) + 1, len(y) + 1), np.int32)
+        cost[0] = steps
+        for i in range(1, len(x) + 1):  # a row at a time; insertions are a running minimum
+            best = np.minimum(cost[i - 1, 1:] + 1, cost[i - 1, :-1] + (y != x[i - 1]))
+            cost[i] = np.minimum.accumulate(np.concatenate(([i], best)) - steps) + steps
+        i, j, s, d, n = len(x), len(y), 0, 0, 0
+        while i or j:
+            if i and j and cost[i, j] == cost[i - 1, j - 1] + (x[i - 1] != y[j - 1]):
+                s, i, j = s + int(x[i - 1] != y[j - 1]), i - 1, j - 1
+            elif i and cost[i, j] == cost[i - 1, j] + 1:
+                d, i = d + 1, i - 1
+            else:
+                n, j = n + 1, j - 1
+        return s, d, n
 
     return pd.DataFrame([one(list(a), list(b)) for a, b in zip(ref, hyp, strict=True)], columns=["substitutions", "deletions", "insertions"])
 

@@ -10,28 +10,45 @@ from pyspark.sql.window import Window
 
 from tracelake.functions.ordered import range_join
 
-#: Question categories in the order in which their rules are tried; substrings of the lower-case question (fixed values).
+#: Question categories in the order in which their rules are tried: words that the lower-case question contains (fixed values).
 QUESTION_RULES = [
-    ("temporal", ["before", "after", "when", "during", "sequence"]),
-    ("spatial", ["where", "zone", "near", "inside", "left of", "right of"]),
-    ("text", ["text", "sign", "read", "written", "caption"]),
-    ("speech", ["say", "said", "speech", "speak", "spoken"]),
-    ("track", ["track", "follow", "path", "moving"]),
-    ("count", ["how many", "count", "number of"]),
-    ("evidence", ["evidence", "proof", "support"]),
-    ("object", ["object", "person", "car", "vehicle"]),
-    ("event", ["event", "happen", "occur"]),
+    ("ocr", ["ocr", "text", "license plate", "sign", "words appeared"]),
+    ("audio", ["transcript", "said", "speech", "spoken", "audio", "hear"]),
+    ("semantic", ["interact", "interaction", "why", "intent", "suspicious", "fighting", "stealing", "weapon"]),
+    ("track", ["track "]),
+    ("temporal", ["seconds", "timeline"]),
+    ("spatial", ["spatial", "near", "next to", "overlap", "zone", "vicinity"]),
+    ("relational", ["related", "neighbor", "follow", "precede", "before event", "after"]),
+    ("event", ["event"]),
+    ("object", ["car", "vehicle", "person", "dog", "object"]),
 ]
+#: Patterns of a time window, and of the track and event that a question names (fixed values); a question that has one is of that category too.
+WINDOW = r"(?i)(?:between|from)\s+(\d+(?:\.\d+)?)\s+(?:and|to)\s+(\d+(?:\.\d+)?)\s*(?:s|sec|seconds)?"
+TRACK = r"(?i)\btrack(?:_id)?\b\s*[:#]?\s*([a-zA-Z0-9_\-]+)\b"
+EVENT = r"(?i)\bevent(?:_id)?\b\s*[:#]?\s*([a-zA-Z0-9_\-]+)\b"
+PATTERNS = {"track": TRACK, "temporal": WINDOW, "event": EVENT}
+#: Labels of what a claim rests on (fixed values).
+OBSERVED, ASSOCIATED, MODELLED, NOTHING = "deterministically observed", "heuristically associated", "VLM inferred", "insufficient evidence"
+HEURISTIC, SEMANTIC = ("heuristic", "heuristic_association"), ("semantic_inference", "vlm_inference", "inferred")
 
 
 def classify_questions(questions: DataFrame) -> DataFrame:
-    """questions (request_id, question) with category (first rule that fires, else general), a time window and a track id if named."""
+    """questions (request_id, question) with category (first rule that fires, else general), time window, track and event id if named.
+
+    A null question is general and names nothing.
+    """
     q = F.lower("question")
     category = F.lit("general")
     for name, parts in reversed(QUESTION_RULES):
-        category = F.when(reduce(lambda a, b: a | b, (F.contains(q, F.lit(p)) for p in parts)), name).otherwise(category)
-    num = lambda p: F.regexp_extract(q, p, 1).try_cast("double")
-    return questions.select("*", category.alias("category"), num(r"(?:between|from)\s+(\d+(?:\.\d+)?)").alias("window_start"), num(r"(?:and|to)\s+(\d+(?:\.\d+)?)\s*s").alias("window_end"), F.nullif(F.regexp_extract(q, r"track\s+#?(\w+)", 1), F.lit("")).alias("track_id"))
+        fires = reduce(lambda a, b: a | b, (F.contains(q, F.lit(p)) for p in parts))
+        category = F.when(fires | q.rlike(PATTERNS[name]) if name in PATTERNS else fires, name).otherwise(category)
+    found = lambda pattern, group: F.nullif(F.regexp_extract("question", pattern, group), F.lit(""))
+    return questions.select("*", category.alias("category"), found(WINDOW, 1).try_cast("double").alias("window_start"), found(WINDOW, 2).try_cast("double").alias("window_end"), found(TRACK, 1).alias("track_id"), found(EVENT, 1).alias("event_id"))
+
+
+def epistemic(derivation: Column) -> Column:
+    """What a derivation amounts to: inferred by a model, associated heuristically, else (null too) observed."""
+    return F.when(derivation.isin(*SEMANTIC), MODELLED).when(derivation.isin(*HEURISTIC), ASSOCIATED).otherwise(OBSERVED)
 
 
 def search_window(requests: DataFrame, rows: DataFrame, span: tuple[str, str], match: Column | None = None, limit: int | None = None, key: str = "node_id") -> DataFrame:
@@ -63,11 +80,20 @@ def lookup(requests: DataFrame, rows: DataFrame, key: str, fallback: DataFrame |
     return first.withColumn("found", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
-def seek(requests: DataFrame, frames: DataFrame, reach: float = 10.0) -> DataFrame:
-    """The frame nearest to each request's t (request_id, video_id, t) within reach, the first by id of those as near."""
-    r = requests.select("request_id", "video_id", "t", F.col("t").alias("_t"))
-    near = range_join(r, frames.select("video_id", "frame_id", F.col("pts"), F.col("pts").alias("_p")), ["video_id"], ("t", "_t"), ("pts", "_p"), reach)
-    best = near.groupBy("request_id").agg(F.min_by(F.struct("frame_id", "pts"), F.struct(F.abs(F.col("pts") - F.col("t")), F.col("frame_id"))).alias("f"))
+def seek(requests: DataFrame, frames: DataFrame) -> DataFrame:
+    """The frame of its video nearest to each request's t (request_id, video_id, t), however far, the first by id of those as near; null where the video has none.
+
+    The last frame before and the first after come from running windows over requests and
+    frames together, of which each frame at one time with the smallest id is enough.
+    """
+    at = frames.where("pts IS NOT NULL").groupBy("video_id", "pts").agg(F.min("frame_id").alias("frame_id"))
+    rows = at.select("video_id", F.col("pts").alias("_t"), F.struct("pts", "frame_id").alias("_f"), F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"))
+    rows = rows.unionByName(requests.where("t IS NOT NULL").select("video_id", F.col("t").alias("_t"), F.lit(None).cast(rows.schema["_f"].dataType).alias("_f"), "request_id"))
+    w = Window.partitionBy("video_id").orderBy("_t")
+    near = rows.withColumn("_a", F.last("_f", True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_b", F.first("_f", True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))).where("request_id IS NOT NULL")
+    apart = lambda f: F.abs(F.col(f"{f}.pts") - F.col("_t"))
+    later = F.col("_a").isNull() | (apart("_b") < apart("_a")) | ((apart("_b") == apart("_a")) & (F.col("_b.frame_id") < F.col("_a.frame_id")))
+    best = near.select("request_id", F.when(later & F.col("_b").isNotNull(), F.col("_b")).otherwise(F.col("_a")).alias("f"))
     return requests.join(best, "request_id", "left").select(*requests.columns, F.col("f.frame_id").alias("frame_id"), F.col("f.pts").alias("pts"))
 
 
@@ -79,32 +105,98 @@ def compare_frames(pairs: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def build_claims(results: DataFrame, requests: DataFrame) -> DataFrame:
-    """Results (request_id, kind, result_id, label, start, confidence, derivation, evidence_ids) as claims, and an abstention for each request without any."""
-    text = F.concat(F.initcap("kind"), F.lit(" "), F.coalesce("label", F.lit("")), F.format_string(" at %.2fs", F.coalesce("start", F.lit(0.0))))
-    epistemic = F.when(F.col("derivation").isin("observed", "detected"), "observed").when(F.col("derivation").isin("semantic", "model"), "inferred").otherwise("derived")
-    made = results.select("request_id", F.concat_ws(":", "kind", "result_id").alias("claim_id"), text.alias("claim_text"), F.coalesce("confidence", F.lit(0.5)).alias("confidence"), epistemic.alias("epistemic_status"), "evidence_ids", F.lit("candidate").alias("status"))
-    none = requests.select("request_id").join(results.select("request_id").distinct(), "request_id", "left_anti")
-    return made.unionByName(none.select("request_id", F.lit("abstention").alias("claim_id"), F.lit("No evidence was found.").alias("claim_text"), F.lit(0.0).alias("confidence"), F.lit("unsupported").alias("epistemic_status"), F.array().cast("array<string>").alias("evidence_ids"), F.lit("insufficient_evidence").alias("status")))
-
-
-def gate_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """claims (claim_id, video_id, evidence_ids, start, end) with status and the first rule that fails: something cited, that exists, of the same video, at a sane time."""
-    cited = claims.select("claim_id", "video_id", F.explode("evidence_ids").alias("evidence_id")).join(evidence.select("evidence_id", F.col("video_id").alias("e_video")), "evidence_id", "left")
-    c = cited.groupBy("claim_id").agg(F.count_if(F.col("e_video").isNull()).alias("missing"), F.count_if(F.col("e_video") != F.col("video_id")).alias("foreign"))
-    j = claims.join(c, "claim_id", "left")
-    why = F.when(F.coalesce(F.size("evidence_ids"), F.lit(0)) <= 0, "nothing_cited").when(F.col("missing") > 0, "evidence_missing").when(F.col("foreign") > 0, "evidence_of_other_video").when((F.col("start") < 0) | (F.col("end") < F.col("start")), "bad_time")
-    return j.withColumn("reason", why).withColumn("status", F.when(F.col("reason").isNull(), "sufficient").otherwise("insufficient")).drop("missing", "foreign")
-
-
-def validate_claims(claims: DataFrame, evidence: DataFrame, allowed: tuple[str, ...] = ("observed", "derived", "inferred", "unsupported")) -> DataFrame:
-    """claims with every error found; the confidence of rejected ones is 0."""
-    cited = claims.select("claim_id", F.explode("evidence_ids").alias("evidence_id")).join(evidence.select("evidence_id").distinct(), "evidence_id", "left_anti").groupBy("claim_id").agg(F.count("*").alias("_lost"))
-    j = claims.join(cited, "claim_id", "left")
-    rules = {"empty_text": F.trim(F.coalesce("claim_text", F.lit(""))) == "", "confidence_range": (F.col("confidence") < 0) | (F.col("confidence") > 1), "bad_label": ~F.col("epistemic_status").isin(*allowed), "nothing_cited": F.coalesce(F.size("evidence_ids"), F.lit(0)) <= 0, "unknown_evidence": F.col("_lost") > 0}
+    """Results as claims, and an abstention for each request (request_id, video_id, question, category) that gets none.
+
+    results: request_id, kind, result_id, label, class_name, start, end, duration, speaker,
+    confidence, evidence_ids, event_ids, participant_ids. Kinds and their texts and default
+    confidences are below; other kinds make no claim, nor do events found for a semantic
+    question, which are its background only. Text and speech without evidence cite themselves.
+    """
+    k, label, none = F.col("kind"), F.coalesce("label", F.lit("")), F.array().cast("array<string>")
+    related, heard = k.isin("related_event", "temporal_neighbor", "spatial_neighbor"), k.isin("text", "speech")
+    own = F.col("result_id").cast("string")
+    texts = {
+        "event": F.format_string("Observed event '%s' at %.1fs - %.1fs", F.coalesce("label", F.concat(F.lit("Event "), F.col("class_name"))), F.coalesce("start", F.lit(0.0)), F.coalesce("end", "start", F.lit(0.0))),
+        "event_detail": F.format_string("Event %s (%s): %s", own, F.col("class_name"), label),
+        "track": F.format_string("Track %s (%s) tracked for %.2fs", own, F.col("class_name"), F.coalesce("duration", F.lit(0.0))),
+        "text": F.concat(F.lit('Detected on-screen text: "'), label, F.lit('"')),
+        "speech": F.concat(F.lit("Spoken text detected"), F.coalesce(F.concat(F.lit(" by "), F.col("speaker")), F.lit("")), F.lit(': "'), label, F.lit('"')),
+        "semantic": F.concat(F.lit("VLM semantic analysis: "), label),
+    }
+    text = F.when(related, F.concat(F.lit("Graph relation identified for "), own, F.lit(": "), F.coalesce("label", own)))
+    for kind, x in texts.items():
+        text = F.when(k == kind, x).otherwise(text)
+    default = F.when(k == "semantic", 0.82).when(related, 0.88).when(heard, 0.9).otherwise(0.95)
+    confidence = F.when(related, 0.88).when(k == "track", 0.95).otherwise(F.coalesce("confidence", default))
+    evidence = F.when(heard & (F.coalesce(F.size("evidence_ids"), F.lit(0)) <= 0), F.array(own)).otherwise(F.coalesce("evidence_ids", none))
+    events = F.when(k.isin("event", "event_detail") | related, F.array(own)).otherwise(F.coalesce("event_ids", none))
+    r = results.join(requests.select("request_id", "video_id", "category"), "request_id").where(~((k == "event") & (F.col("category") == "semantic")))
+    status = F.when((k == "semantic") & (F.size(evidence) == 0), "insufficient_evidence").otherwise("supported")
+    made = r.select(
+        "request_id", "video_id", F.concat_ws(":", "kind", own).alias("claim_id"), text.alias("claim_text"), confidence.alias("confidence"), F.when(k == "semantic", MODELLED).when(related, ASSOCIATED).otherwise(OBSERVED).alias("epistemic_status"),
+        status.alias("status"), evidence.alias("evidence_ids"), events.alias("event_ids"), F.when(k == "track", F.array(own)).otherwise(F.coalesce("participant_ids", none)).alias("participant_ids"), F.when(k != "semantic", F.col("start")).alias("start"), F.when(k != "semantic", F.coalesce("end", "start")).alias("end"),
+    ).where("claim_text IS NOT NULL")
+    left = requests.join(made.select("request_id").distinct(), "request_id", "left_anti")
+    sorry = F.format_string("No canonical evidence or events found in video '%s' satisfying query '%s'", F.col("video_id").cast("string"), F.col("question"))
+    nothing = left.select("request_id", "video_id", F.lit("abstention").alias("claim_id"), sorry.alias("claim_text"), F.lit(0.0).alias("confidence"), F.lit("unsupported assertion").alias("epistemic_status"), F.lit("insufficient_evidence").alias("status"), none.alias("evidence_ids"), none.alias("event_ids"), none.alias("participant_ids"), F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end"))
+    return made.unionByName(nothing)
+
+
+def gate_claims(claims: DataFrame, evidence: DataFrame, events: DataFrame, tracks: DataFrame) -> DataFrame:
+    """claims (claim_id, video_id, epistemic_status, evidence_ids, event_ids, participant_ids, start, end) with status and the first rule that fails.
+
+    evidence (evidence_id, video_id) holds every id that may be cited: evidence, texts,
+    segments, frames; events (event_id, video_id) and tracks (track_id) likewise, as
+    strings. Rules in order: a label; something cited; each evidence id, then each event
+    id, known and of the claim's video; times not negative and in order; participants
+    known. What is unknown or missing is insufficient_evidence, what is of another video
+    or at a wrong time is rejected; reason is null for supported claims.
+    """
+    none = F.array().cast("array<string>")
+
+    def cited(column: str, rule: int, known: DataFrame, key: str, name: str) -> DataFrame:
+        each = claims.select("claim_id", "video_id", F.posexplode(column).alias("pos", "id"))
+        at = known.groupBy(F.col(key).cast("string").alias("id")).agg((F.min("video_id") if "video_id" in known.columns else F.lit(None).cast("long")).alias("v"), F.lit(True).alias("there"))
+        j = each.join(at, "id", "left").select("claim_id", "pos", F.when(F.col("there").isNull(), f"{name}_unknown").when(F.col("v") != F.col("video_id"), f"{name}_of_other_video").alias("reason"))
+        return j.where("reason IS NOT NULL").select("claim_id", F.lit(rule).alias("rule"), "pos", "reason")
+
+    size = lambda c: F.size(F.coalesce(c, none))
+    plain = F.when(F.coalesce("epistemic_status", F.lit("")) == "", F.struct(F.lit(1).alias("rule"), F.lit("no_label").alias("reason"))).when(size("evidence_ids") + size("event_ids") == 0, F.struct(F.lit(2).alias("rule"), F.lit("nothing_cited").alias("reason"))).when((F.col("start") < 0) | (F.col("end") < 0), F.struct(F.lit(5).alias("rule"), F.lit("negative_time").alias("reason"))).when(F.col("start") > F.col("end"), F.struct(F.lit(5).alias("rule"), F.lit("inverted_time").alias("reason")))
+    issues = claims.select("claim_id", plain.alias("p")).where("p IS NOT NULL").select("claim_id", "p.rule", F.lit(0).alias("pos"), "p.reason")
+    issues = reduce(DataFrame.unionByName, (issues, cited("evidence_ids", 3, evidence, "evidence_id", "evidence"), cited("event_ids", 4, events, "event_id", "event"), cited("participant_ids", 6, tracks.select("track_id"), "track_id", "participant")))
+    first = issues.groupBy("claim_id").agg(F.min(F.struct("rule", "pos", "reason"))["reason"].alias("reason"))
+    bad = F.col("reason").isin("negative_time", "inverted_time") | F.endswith("reason", F.lit("of_other_video"))
+    return claims.drop("status", "reason").join(first, "claim_id", "left").withColumn("status", F.when(F.col("reason").isNull(), "supported").when(bad, "rejected").otherwise("insufficient_evidence"))
+
+
+def validate_claims(claims: DataFrame, evidence: DataFrame | None = None, events: DataFrame | None = None, participants: DataFrame | None = None, allowed: tuple[str, ...] = (OBSERVED, ASSOCIATED, MODELLED, NOTHING)) -> DataFrame:
+    """claims with every error found, in the order of the rules; those with any are rejected and their confidence is 0.
+
+    claims: claim_id, video_id, expected_video_id, confidence, epistemic_status, status,
+    start, end, evidence_ids, event_ids, participant_ids. evidence (evidence_id), events
+    (event_id) and participants (participant_id) are the known ids as strings; what is not
+    given is not checked. Supported claims have to cite evidence. A null confidence is out of range.
+    """
+    j = claims
+    for column, known in (("evidence_ids", evidence), ("event_ids", events), ("participant_ids", participants)):
+        name = f"_lost_{column}"
+        if known is None:
+            j = j.withColumn(name, F.lit(None).cast("long"))
+        else:
+            lost = claims.select("claim_id", F.explode(column).alias("id")).join(known.select(F.col(known.columns[0]).cast("string").alias("id")).distinct(), "id", "left_anti")
+            j = j.join(lost.groupBy("claim_id").agg(F.count("*").alias(name)), "claim_id", "left")
+    supported = F.col("status") == "supported"
+    rules = {
+        "other_video": ~F.col("video_id").eqNullSafe(F.col("expected_video_id")), "confidence_range": ~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)), "no_label": F.coalesce("epistemic_status", F.lit("")) == "",
+        "bad_label": (F.coalesce("epistemic_status", F.lit("")) != "") & ~F.col("epistemic_status").isin(*allowed), "negative_time": F.col("start") < 0, "inverted_time": F.col("end") < F.col("start"),
+        "nothing_cited": supported & (F.coalesce(F.size("evidence_ids"), F.lit(0)) <= 0), "unknown_evidence": supported & (F.col("_lost_evidence_ids") > 0), "unknown_event": F.col("_lost_event_ids") > 0, "unknown_participant": F.col("_lost_participant_ids") > 0,
+    }
     errors = F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in rules.items())), lambda x: x.isNotNull())
-    return j.withColumn("errors", errors).withColumn("confidence", F.when(F.size("errors") > 0, 0.0).otherwise(F.col("confidence"))).drop("_lost")
+    j = j.withColumn("errors", errors)
+    bad = F.size("errors") > 0
+    return j.withColumn("confidence", F.when(bad, 0.0).otherwise(F.col("confidence"))).withColumn("status", F.when(bad, "rejected").otherwise(F.col("status"))).withColumn("epistemic_status", F.when(bad & (F.coalesce("epistemic_status", F.lit("")) == ""), NOTHING).otherwise(F.col("epistemic_status"))).drop("_lost_evidence_ids", "_lost_event_ids", "_lost_participant_ids")
 
 
 def claim_summary(claims: DataFrame) -> DataFrame:
     """Per request: mean confidence, whether all claims are supported or any lacks evidence, and the answer text in claim order."""
-    return claims.groupBy("request_id").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("mean_confidence"), F.bool_and(F.col("status") == "sufficient").alias("fully_supported"), F.bool_or(F.col("status") == "insufficient").alias("any_insufficient"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("claim_id", "claim_text"))), lambda x: x["claim_text"]), " ").alias("answer"))
+    return claims.groupBy("request_id").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("mean_confidence"), F.bool_and(F.col("status") == "supported").alias("fully_supported"), F.bool_or(F.col("status") == "insufficient_evidence").alias("any_insufficient"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("claim_id", "claim_text"))), lambda x: x["claim_text"]), " ").alias("answer"))

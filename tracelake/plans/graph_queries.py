@@ -96,13 +96,12 @@ def fus1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("video_id", "observation_id", "text", "first_frame", "last_frame", F.size("supporting_observation_ids").alias("n"), F.round("confidence_summary.mean", 4).alias("mean_confidence"))
 
 
-@query("fus2_fuse_transcripts", f"""WITH {ad.SEGMENTS}, q AS (SELECT video_id, segment_id, "start" AS a, "end" AS b, left(text, 3) AS text, 'x' AS language FROM s), l AS (
-  SELECT *, lag(b) OVER w AS pb, lag(text) OVER w AS pt FROM q WINDOW w AS (PARTITION BY video_id ORDER BY a, b, segment_id)
-), i AS (SELECT *, sum(CASE WHEN coalesce(a - pb <= 0.5 AND (text = pt OR (a < pb AND (contains(text, pt) OR contains(pt, text)))), false) THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY a, b, segment_id) AS g FROM l)
+@query("fus2_fuse_transcripts", f"""WITH {ad.SEGMENTS}, q AS (SELECT video_id, segment_id, "start" AS a, "end" AS b, text, language FROM s), l AS (
+  SELECT *, lag(b) OVER w AS pb, lag(text) OVER w AS pt, lag(language) OVER w AS pl FROM q WINDOW w AS (PARTITION BY video_id ORDER BY a, b, segment_id)
+), i AS (SELECT *, sum(CASE WHEN coalesce(language = pl AND a - pb <= 0.5 AND (text = pt OR (a < pb AND (contains(text, pt) OR contains(pt, text)))), false) THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY a, b, segment_id) AS g FROM l)
 SELECT video_id, min(segment_id) AS segment_id, min(a) AS "start", max(b) AS "end", arg_max(text, length(text) * 1000000 - segment_id) AS text, count(*) AS n_segments FROM i GROUP BY video_id, g""")
 def fus2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = ad.transcript_segments(spark, sf_dir).withColumn("text", F.left("text", F.lit(3))).withColumn("language", F.lit("x"))
-    return fu.fuse_transcripts(s).select("video_id", "segment_id", "start", "end", "text", "n_segments")
+    return fu.fuse_transcripts(ad.transcript_segments(spark, sf_dir)).select("video_id", "segment_id", "start", "end", "text", "n_segments")
 
 
 @query("fus3_confidence_summary", f"WITH {ad.POINTS} SELECT video_id, round(avg(confidence), 4) AS mean, min(confidence) AS min, max(confidence) AS max, count(*) AS count FROM p GROUP BY video_id")

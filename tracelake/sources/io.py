@@ -93,9 +93,17 @@ def verify_fingerprints(found: DataFrame, manifest: DataFrame) -> DataFrame:
     return j.withColumn("result", F.when(F.col("actual").isNull(), "FILE_NOT_FOUND").when(F.col("actual") == F.col("sha256"), "OK").otherwise("MISMATCH"))
 
 
-def upsert_by_key(existing: DataFrame, batch: DataFrame, key: str) -> DataFrame:
-    """existing with the rows of batch in place of those of the same key: an anti-join and a union, so that existing is not sorted."""
-    return existing.join(batch.select(key).distinct(), key, "left_anti").unionByName(batch.dropDuplicates([key]))
+def upsert_by_key(existing: DataFrame, batch: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """existing with the rows of batch in place of those of the same key: an anti-join and a union, so that existing is not sorted.
+
+    Of a key's rows in the batch the last write wins: the largest by `order`, a column of
+    the batch only, which is dropped; ties and a batch without order go by the largest row.
+    A null key matches no other row.
+    """
+    names = existing.columns
+    row = F.struct(*(F.col(c) for c in names))
+    last = batch.groupBy(key).agg((F.max_by(row, F.struct(order, row)) if order else F.max(row)).alias("_row")).select("_row.*")
+    return existing.join(batch.select(key).distinct(), key, "left_anti").select(*names).unionByName(last)
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
