@@ -131,7 +131,7 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch, short, light):
     assert got == brute_jaccard(rows)
 
 
-@pytest.mark.parametrize("size,percent,boundary", [(3, 90, 0), (3, 90, 29), (3, 90, 39), (5, 80, 19)])
+@pytest.mark.parametrize("size,percent,boundary", [(3, 90, 0), (3, 90, 39), (5, 80, 19)])
 def test_number_of_links_does_not_depend_on_the_boundary(spark, monkeypatch, size, percent, boundary):
     monkeypatch.setattr(jaccard, "SHORT_LIST", 8)
     monkeypatch.setattr(jaccard, "BLOCK", 4)
@@ -191,6 +191,25 @@ def test_families_of_near_copies_against_brute_force(spark, monkeypatch, size, p
     assert led[0] > 200
 
 
+def test_long_sets_against_brute_force(spark):
+    """Sets beyond the coarse sketch, of unlike sizes, near and far; sketches never differ by more than the sets."""
+    rng = random.Random(23)
+    rows = []
+    for n in (900, 1300, 2300, 5000):
+        base = words(rng, n, 5000).split()
+        for changes in (0, n // 120, n // 50, n // 12):
+            copy = list(base)
+            for _ in range(changes):
+                copy[rng.randrange(n)] = f"x{rng.randrange(99)}"
+            rows.append((len(rows), " ".join(copy[: n - rng.randrange(60)])))
+    assert {(r.doc_id, r.component_id) for r in jaccard.jaccard_join(docs_of(spark, rows)).collect()} == {(i, c) for i, _, c in brute_jaccard(rows)}
+    draw = np.random.default_rng(1)
+    for _ in range(40):
+        x, y = (np.unique(draw.integers(0, 30_000, draw.integers(1, 9000)).astype(np.uint64)) for _ in range(2))
+        p, q = (jaccard.sketch_of(s, jaccard.fine_width(len(s)) or jaccard.SKETCH) for s in (x, y))
+        assert jaccard.sketch_distance(p, q) <= len(np.setxor1d(x, y))
+
+
 def test_jaccard_edge_cases(spark, edge, empty):
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard.jaccard_join(edge).collect())
     assert got == [(-1, 3, -1), (1, 0, 1), (2, 0, 2), (3, 1, 3), (3, 1, 3), (4, 97, 4), (5, 97, 4), (6, 0, 6)]

@@ -18,6 +18,7 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,7 +39,8 @@ FREQUENT_DOCS = 64
 SHORT_LIST, BLOCK = 48, 256
 #: Tokens by which a pair is told to have left an earlier list.
 BEFORE = 8
-SKETCH = 128
+#: Counters of a sketch. Sets of over FINE elements a counter have a finer one too, of at least one counter for FINE elements.
+SKETCH, FINE = 128, 8
 #: Positions of the bitmap of documents whose sets are compared: 1 MB.
 BITMAP_BITS = 23
 #: Largest set size that subsets may be enumerated for.
@@ -71,6 +73,24 @@ def set_hash(elements: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(elements.tobytes()) - (1 << 63)
 
 
+def sketch_of(elements: np.ndarray, width: int) -> bytes:
+    """How many elements fall to each of width counters, a power of two. The counters of two sets differ by no more than the sets do."""
+    return np.minimum(np.bincount((elements & np.uint64(width - 1)).astype(np.int64), minlength=width), 255).astype(np.uint8).tobytes()
+
+
+def fine_width(n: int) -> int:
+    return 1 << max(0, (n - 1) // FINE).bit_length() if n > FINE * SKETCH else 0
+
+
+def sketch_distance(p: bytes, q: bytes) -> int:
+    """The difference of two sketches, of which the wider is folded."""
+    x, y = (np.frombuffer(s, np.uint8).astype(np.int32) for s in (p, q))
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x.reshape(2, -1).sum(axis=0)
+    return int(np.abs(x - y).sum())
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
@@ -104,7 +124,7 @@ def frequent_shingles(docs: DataFrame, words: int, min_docs: int = FREQUENT_DOCS
 
 
 def set_table(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, set_id, prefix, sketch, small): one row per document; set_id null and arrays empty without words."""
+    """(doc_id, n, set_id, prefix, sketch, fine, small): one row per document; set_id null and arrays empty without words."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +134,7 @@ def set_table(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -
                 code, at = shingles(part.column(1), words)
                 where = np.minimum(np.searchsorted(often, code), max(len(often) - 1, 0))
                 common = often[where] == code if len(often) else np.zeros(len(code), bool)
-                sizes, ids, prefixes, sketches, small = [], [], [], [], []
+                sizes, ids, prefixes, sketches, fine, small = [], [], [], [], [], []
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                     own = code[a:b]
                     rare = np.unique(own[~common[a:b]])
@@ -125,19 +145,21 @@ def set_table(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -
                         ids.append(None)
                         prefixes.append([])
                         sketches.append(b"")
+                        fine.append(b"")
                         small.append([])
                         continue
                     whole = np.sort(own)
                     ids.append(set_hash(whole))
                     prefixes.append(own[: n * (100 - percent) // 100 + 1].view(np.int64))
-                    sketches.append(np.minimum(np.bincount((own & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes())
+                    sketches.append(sketch_of(own, SKETCH))
+                    fine.append(sketch_of(own, width) if (width := fine_width(n)) else b"")
                     small.append(whole.view(np.int64) if n <= MAX_LIGHT else [])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(small, pa.list_(pa.int64()))],
-                    ["doc_id", "n", "set_id", "prefix", "sketch", "small"],
+                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(fine, pa.binary()), pa.array(small, pa.list_(pa.int64()))],
+                    ["doc_id", "n", "set_id", "prefix", "sketch", "fine", "small"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, n long, set_id long, prefix array<long>, sketch binary, small array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, n long, set_id long, prefix array<long>, sketch binary, fine binary, small array<long>")
 
 
 def _near(n: str, m: str, percent: int) -> str:
@@ -253,7 +275,7 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, s
     scratch = scratch or Scratch(docs.sparkSession)
     whole = scratch.put(set_table(docs, frequent_shingles(docs, words), words, percent), "sets")
     table = scratch.put(whole.select("doc_id", "n", "set_id"), "documents")
-    sets = scratch.put(whole.where("n > 0 AND doc_id IS NOT NULL").select("set_id", "n", "prefix", "sketch", "small").dropDuplicates(["set_id"]), "classes")
+    sets = scratch.put(whole.where("n > 0 AND doc_id IS NOT NULL").select("set_id", "n", "prefix", "sketch", "fine", "small").dropDuplicates(["set_id"]), "classes")
     scratch.drop("sets")
     tokens = sets.select("set_id", "n", F.explode("prefix").alias("token"))
     lists = tokens.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
@@ -283,7 +305,7 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, s
     pairs = scratch.put(pairs.unionByName(scanned_pairs(rows, percent, boundary)).distinct(), "pairs")
     scratch.drop("lists", "named")
 
-    pairs = scratch.put(likely(pairs, sets.select("set_id", "n", "sketch").join(led.select("set_id", "leader"), "set_id", "left"), percent), "likely")
+    pairs = scratch.put(likely(pairs, sets.select("set_id", "n", "sketch", "fine").join(led.select("set_id", "leader"), "set_id", "left"), percent), "likely")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(led.select("set_id")).unionByName(led.select(F.col("leader").alias("set_id"))).distinct()
     elements = scratch.put(whole_sets(docs, table, wanted, words), "elements")
     scratch.drop("pairs", "classes")
@@ -315,17 +337,24 @@ def id_bitmap(ids: DataFrame, column: str) -> np.ndarray:
 
 
 def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that the sketches don't rule out and that no family holds: sets (set_id, n, sketch, leader)."""
+    """The pairs that the sketches don't rule out and that no family holds: sets (set_id, n, sketch, fine, leader)."""
 
     @F.pandas_udf("boolean")
-    def may_link(sa, na, sb, nb):
+    def may_link(sa, na, sb, nb, fa, fb):
+        if not len(na):
+            return na.astype(bool)
         x = np.frombuffer(b"".join(sa), np.uint8).reshape(-1, SKETCH).astype(np.int16)
         y = np.frombuffer(b"".join(sb), np.uint8).reshape(-1, SKETCH).astype(np.int16)
-        return (np.abs(x - y).sum(axis=1, dtype=np.int64) * (100 + percent) <= (na + nb) * (100 - percent)) if len(na) else na.astype(bool)
-
-    a = sets.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("leader").alias("la"))
-    b = sets.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("leader").alias("lb"))
-    return pairs.join(a, "a").join(b, "b").where("la IS NULL OR lb IS NULL OR la <> lb").where(may_link("sa", "na", "sb", "nb")).select("a", "b")
+        most = ((na + nb) * (100 - percent)).to_numpy()
+        out = np.abs(x - y).sum(axis=1, dtype=np.int64) * (100 + percent) <= most
+        for k in np.flatnonzero(out).tolist():
+            if fa[k] and fb[k]:
+                out[k] = sketch_distance(fa[k], fb[k]) * (100 + percent) <= most[k]
+        return pd.Series(out)
+
+    a = sets.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("fine").alias("fa"), F.col("leader").alias("la"))
+    b = sets.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("fine").alias("fb"), F.col("leader").alias("lb"))
+    return pairs.join(a, "a").join(b, "b").where("la IS NULL OR lb IS NULL OR la <> lb").where(may_link("sa", "na", "sb", "nb", "fa", "fb")).select("a", "b")
 
 
 def whole_sets(docs: DataFrame, table: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
