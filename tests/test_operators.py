@@ -185,3 +185,52 @@ def test_streams_agree_with_batch(spark, tmp_path):
     q.awaitTermination()
     got = sorted(r.n_events for r in spark.table("clusters").collect())
     assert got == [1, 1, 4]
+
+
+def test_named_lookups(spark):
+    from tracelake.operators import entities as en
+
+    tracks = spark.createDataFrame([(1, 2.0, 3.456, "car"), (2, None, None, "dog")], "track_id long, first_seconds double, last_seconds double, class_name string")
+    asked = spark.createDataFrame([(10, 1), (11, 2), (12, 9), (13, None)], "request_id long, track_id long")
+    assert {(r.request_id, r.duration, r.found) for r in en.lookup_tracks(asked, tracks).collect()} == {(10, 1.46, True), (11, 0.0, True), (12, None, False), (13, None, False)}
+    assert en.lookup_tracks(asked.limit(0), tracks).count() == 0
+    d = spark.createDataFrame([(7, 5, "RedCar"), (7, 6, "tree"), (8, 7, "car")], "video_id long, detection_id long, class_name string")
+    r = spark.createDataFrame([(1, 7, "5", None), (2, 7, "1", None), (3, 7, None, "car"), (4, 8, None, None), (5, 9, None, "car"), (6, 7, "99", None)], "request_id long, video_id long, object_id string, class_part string")
+    assert {tuple(x) for x in en.lookup_objects(r, d, tracks).collect()} == {(1, "detection", "5", "RedCar"), (2, "track", "1", "car"), (3, "detection", "5", "RedCar"), (4, "detection", "7", "car")}
+    nodes = spark.createDataFrame([(7, f"n{i:03d}", "event", "Walk" if i % 2 else None) for i in range(200)], "video_id long, node_id string, node_type string, label string")
+    q = spark.createDataFrame([(1, 7, None, None), (2, 7, "event", "WAL"), (3, 7, "track", None), (4, None, None, None)], "request_id long, video_id long, node_type string, label string")
+    got = {}
+    for x in en.query_graph(q, nodes).collect():
+        got.setdefault(x.request_id, []).append(x.node_id)
+    assert {k: sorted(v) for k, v in got.items()} == {1: [f"n{i:03d}" for i in range(50)], 2: [f"n{i:03d}" for i in range(1, 100, 2)]}
+
+
+def test_normal_forms(spark):
+    import re
+    import unicodedata
+
+    texts = ["", None, "ﬁne​  x⁠", " A b ", "Ça, va?", "﻿q　w"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: (r.a, r.b) for r in df.select("i", ex.normalize_transcript(F.col("text")).alias("a"), ex.normalize_eval(F.col("text"), strip_punctuation=True).alias("b")).collect()}
+    for i, t in enumerate(texts):
+        if t is None:
+            assert got[i] == (None, None)
+            continue
+        n = unicodedata.normalize("NFKC", t)
+        a = " ".join(re.sub("[​﻿⁠]", "", n).split())
+        b = " ".join("".join(c for c in n.lower() if not unicodedata.category(c).startswith("P")).split())
+        assert got[i] == (a, b), t
+
+
+def test_lint_corpus(spark):
+    from tracelake.operators.evaluation import lint_corpus, qa_abstention
+
+    found = spark.createDataFrame([(1, 10, 10, 30.0, 5), (2, 10, 11, 30.0, 6), (3, 10, 10, None, 5), (3, 10, 10, None, 5)], "video_id long, width int, height int, fps double, n_frames int")
+    clips = spark.createDataFrame([(1, 10, 10, 30.0, 5), (2, 10, 10, 29.97, 5)], "video_id long, width int, height int, fps double, n_frames int")
+    frames = spark.createDataFrame([(1, 0, True), (1, 1, False), (2, 0, None)], "video_id long, frame_number int, is_negative boolean")
+    boxes = spark.createDataFrame([(1, 0), (1, 0), (1, 1), (2, 0), (None, 0)], "video_id long, frame_number int")
+    assert sorted(tuple(r) for r in lint_corpus(found, clips, frames, boxes).collect()) == [(1, "negative_frame_not_empty"), (2, "fps_mismatch"), (2, "frame_count_mismatch"), (2, "size_mismatch"), (3, "unknown_clip")]
+    gt = spark.createDataFrame([(1, True), (2, False), (3, True)], "qa_id long, is_answerable boolean")
+    pred = spark.createDataFrame([(1, 0, True), (1, 1, False), (2, 0, True)], "qa_id long, position int, did_abstain boolean")
+    r = qa_abstention(gt, pred).first()
+    assert (r.tp, r.fp, r.fn, r.tn, r.missing, r.accuracy) == (1, 0, 0, 1, 1, 1.0) and r.recall_ci.high == 1.0

@@ -102,6 +102,15 @@ def prf(matches: DataFrame, gt: DataFrame, pred: DataFrame, keys: list[str] | No
     return c.select(*keys, "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_gt") - F.col("tp")).alias("fn"), F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(f1, 4).alias("f1"), wilson(F.col("tp"), F.col("n_pred")).alias("precision_ci"), wilson(F.col("tp"), F.col("n_gt")).alias("recall_ci"))
 
 
+def boundary_error(matches: DataFrame, gt: DataFrame, pred: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Per keys: matched events and the mean of their errors in seconds, each the mean of that at start and end, 4 decimals. gt, pred: id, start, end (null: the start)."""
+    keys = keys or ["video_id"]
+    side = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), F.col("start").alias(f"{p}_s"), F.coalesce("end", "start").alias(f"{p}_e"))
+    j = matches.select(*keys, "g_id", "p_id").join(side(gt, "g"), "g_id").join(side(pred, "p"), "p_id")
+    error = (F.abs(F.col("g_s") - F.col("p_s")) + F.abs(F.col("g_e") - F.col("p_e"))) / 2
+    return j.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg(error), 4).alias("mean_boundary_error"))
+
+
 _EDITS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("substitutions", "deletions", "insertions")])
 
 
@@ -143,13 +152,16 @@ def error_rates(df: DataFrame, ref: str = "ref", hyp: str = "hyp", unit: str = "
 def qa_abstention(gt: DataFrame, pred: DataFrame) -> DataFrame:
     """Confusion of abstaining (positive: unanswerable), accuracy, precision, recall and F1; questions without a prediction are counted apart.
 
-    gt: qa_id, is_answerable; pred: qa_id, did_abstain.
+    gt: qa_id, is_answerable; pred: qa_id, did_abstain and, where a question has several
+    predictions, position, of which the last counts. Wilson intervals end in _ci and are null for no trials.
     """
-    j = gt.join(pred, "qa_id", "left")
+    if "position" in pred.columns:
+        pred = pred.groupBy("qa_id").agg(F.max_by("did_abstain", "position").alias("did_abstain"))
+    j = gt.join(pred.select("qa_id", "did_abstain"), "qa_id", "left")
     c = j.agg(*(F.count_if(x).alias(n) for n, x in (("tp", ~F.col("is_answerable") & F.col("did_abstain")), ("fp", F.col("is_answerable") & F.col("did_abstain")), ("fn", ~F.col("is_answerable") & ~F.col("did_abstain")), ("tn", F.col("is_answerable") & ~F.col("did_abstain")), ("missing", F.col("did_abstain").isNull()))))
     n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
     div = lambda a, b: F.round(F.when(b > 0, a / b), 4)
-    return c.select("*", div(F.col("tp") + F.col("tn"), n).alias("accuracy"), div(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), div(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
+    return c.select("*", div(F.col("tp") + F.col("tn"), n).alias("accuracy"), div(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), div(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"), wilson(F.col("tp") + F.col("tn"), n).alias("accuracy_ci"), wilson(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision_ci"), wilson(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall_ci"))
 
 
 def reference_integrity(cites: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -196,6 +208,23 @@ def lint_annotations(boxes: DataFrame, frames: DataFrame, classes: list[str], ma
     return reduce(DataFrame.unionByName, (found, twice, bare.withColumn("id", F.col("id").cast(found.schema["id"].dataType))))
 
 
+def lint_corpus(found: DataFrame, clips: DataFrame, frames: DataFrame, boxes: DataFrame, slack: float = 0.01) -> DataFrame:
+    """(video_id, issue) of many annotated clips: sizes, rates and frame counts that differ from the clip's, unknown clips, boxes on negative frames.
+
+    found, clips: video_id, width, height, fps, n_frames, as annotated and as they are; frames:
+    video_id, frame_number, is_negative; boxes: video_id, frame_number. Each issue once a
+    clip; a clip without annotation has none, and a null on either side is no difference.
+    """
+    c = clips.select("video_id", *(F.col(n).alias(f"_{n}") for n in ("width", "height", "fps", "n_frames")), F.lit(True).alias("_known"))
+    rules = {
+        "unknown_clip": F.col("_known").isNull(), "size_mismatch": (F.col("width") != F.col("_width")) | (F.col("height") != F.col("_height")),
+        "fps_mismatch": F.abs(F.col("fps") - F.col("_fps")) > slack, "frame_count_mismatch": F.col("n_frames") != F.col("_n_frames"),
+    }
+    plain = _issues(found.join(c, "video_id", "left"), ["video_id"], rules)
+    full = boxes.join(frames.where("is_negative").select("video_id", "frame_number"), ["video_id", "frame_number"], "left_semi").select("video_id", F.lit("negative_frame_not_empty").alias("issue"))
+    return plain.unionByName(full).distinct()
+
+
 def latency_stats(df: DataFrame, keys: list[str], value: str = "ms") -> DataFrame:
     """Mean, median, linear 95th percentile, extremes, sample deviation (0 for one) and throughput a second, 2 decimals."""
     v = F.col(value)

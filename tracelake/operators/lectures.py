@@ -89,8 +89,8 @@ def evaluate_notes(items: DataFrame, concepts: DataFrame, videos: DataFrame) ->
 
 
 def topic_index(items: DataFrame) -> DataFrame:
-    """Each concept's notes and item kinds, sorted."""
-    return items.groupBy(F.lower("keyword").alias("concept")).agg(F.sort_array(F.collect_set(F.struct("video_id", "kind"))).alias("entries"))
+    """(concept, video_id, kinds): the notes of each concept with their item kinds, sorted; one row a note, as a concept may be in all of them."""
+    return items.groupBy(F.lower("keyword").alias("concept"), "video_id").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
 
 
 def pending_videos(catalog: DataFrame, jobs: DataFrame, retry: bool = False) -> DataFrame:

@@ -156,10 +156,11 @@ def eva5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("eva6_qa_abstention", """WITH c AS (SELECT count(*) FILTER (quality = 0 AND toxic = 1) AS tp, count(*) FILTER (quality = 1 AND toxic = 1) AS fp, count(*) FILTER (quality = 0 AND toxic = 0) AS fn, count(*) FILTER (quality = 1 AND toxic = 0) AS tn FROM labels)
-SELECT tp, fp, fn, tn, 0::BIGINT AS missing, round((tp + tn) / (tp + fp + fn + tn), 4) AS accuracy, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall, round(2 * tp / (2 * tp + fp + fn), 4) AS f1 FROM c""")
+SELECT tp, fp, fn, tn, 0::BIGINT AS missing, round((tp + tn) / (tp + fp + fn + tn), 4) AS accuracy, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall, round(2 * tp / (2 * tp + fp + fn), 4) AS f1,
+round((((tp + tn) / n + 1.96 * 1.96 / (2 * n)) - 1.96 * sqrt((tp + tn) / n * (1 - (tp + tn) / n) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n), 4) AS low, round((((tp + tn) / n + 1.96 * 1.96 / (2 * n)) + 1.96 * sqrt((tp + tn) / n * (1 - (tp + tn) / n) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n), 4) AS high FROM (SELECT *, (tp + fp + fn + tn)::DOUBLE AS n FROM c)""")
 def eva6(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = ad.table(spark, sf_dir, "labels")
-    return va.qa_abstention(labels.select(F.col("doc_id").alias("qa_id"), (F.col("quality") == 1).alias("is_answerable")), labels.select(F.col("doc_id").alias("qa_id"), (F.col("toxic") == 1).alias("did_abstain")))
+    return va.qa_abstention(labels.select(F.col("doc_id").alias("qa_id"), (F.col("quality") == 1).alias("is_answerable")), labels.select(F.col("doc_id").alias("qa_id"), (F.col("toxic") == 1).alias("did_abstain"))).withColumns({"low": F.col("accuracy_ci.low"), "high": F.col("accuracy_ci.high")}).drop("accuracy_ci", "precision_ci", "recall_ci")
 
 
 @query("eva13_latency", """SELECT event_type, count(*) AS n, round(avg(value), 2) AS mean, round(quantile_cont(value, 0.5), 2) AS median, round(quantile_cont(value, 0.95), 2) AS p95, round(min(value), 2) AS min, round(max(value), 2) AS max, round(stddev_samp(value), 2) AS stdev, round(1000 * count(*) / sum(value), 2) AS throughput FROM events GROUP BY 1""")
