@@ -1,5 +1,7 @@
 """Streams give what batches give."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +81,32 @@ def test_text_fusion(spark, tmp_path):
     batch = fuse_text(df.withColumn("pts", F.col("frame_number") * 1.0).withColumn("text", F.col("normalized_text")).withColumn("bbox", ex.box("x", "y", "width", "height")))
     want = {(r.video_id, r.normalized_text, r.first_frame, r.last_frame, r.confidence_summary["count"], r.confidence_summary["max"]) for r in batch.collect() if r.last_frame < 60}
     assert got == want and len(want) == 3
+    timed = st.stream_text_fusion(spark.readStream.schema(df.schema).parquet(src), 1).writeStream.format("memory").queryName("flushed").option("checkpointLocation", str(tmp_path / "flushed")).start()
+    for _ in range(60):
+        flushed = [r[2] for r in spark.table("flushed").collect()]
+        if len(flushed) == 4:
+            break
+        time.sleep(1)
+    timed.stop()
+    assert sorted(flushed) == [0, 1, 20, 60]
+
+
+def test_association(spark, tmp_path):
+    """Two triggers give the tracks of the batch; a gap over 30 frames ends every track."""
+    from tracelake.operators.tracks import associate_tracks
+
+    boxes = [(v, f, c, 0.9 if f % 3 else 0.3, 100.0 * c + 2 * f, 5.0 * c) for v in (1, 2) for f in [*range(12), 30, 31, 70, 71] for c in (0, 1)]
+    rows = [(v, i, f, f"k{c % 2}", s, x, y, 40.0, 40.0) for i, (v, f, c, s, x, y) in enumerate(boxes)]
+    df = spark.createDataFrame(rows, "video_id long, detection_id long, frame_number long, class_name string, confidence double, x double, y double, width double, height double")
+    batch = {(r.detection_id, r.track_id) for r in associate_tracks(df.withColumn("bbox", ex.box("x", "y", "width", "height"))).collect()}
+    frames = {}
+    for i, track in batch:
+        frames.setdefault(track, []).append(rows[i][2])
+    assert len(frames) == 8 and all(max(f) < 70 or min(f) >= 70 for f in frames.values())
+    # frame 0 is too unsure to start a track; what follows of the first stretch is one track a class and video
+    assert sorted(len(f) for f in frames.values()) == [2] * 4 + [13] * 4
+    df.where("frame_number < 8").coalesce(1).write.parquet(src := str(tmp_path / "d"))
+    df.where("frame_number >= 8").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    assert {(r.detection_id, r.track_id) for r in drained(st.stream_tracks(stream), tmp_path, "tracks").collect()} == batch
+    assert associate_tracks(df.limit(0).withColumn("bbox", ex.box("x", "y", "width", "height"))).count() == 0

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracelake.functions.exprs import compass8, cx, cy, heading
-from tracelake.functions.ordered import range_join
+from tracelake.functions.ordered import islands, ordered_fold, range_join
 
 KEY = ["video_id", "track_id"]
 
@@ -72,8 +71,8 @@ class _Track:
     """Constant-velocity Kalman filter over centre and size of a box; each of the four runs for itself."""
 
     def __init__(self, number: int, row):
-        self.number, self.missed, self.seen = number, 0, [row]
-        self.x = [[v, 0.0] for v in _measure(row.bbox)]
+        self.number, self.missed, self.class_name = number, 0, row["class_name"]
+        self.x = [[v, 0.0] for v in _measure(row["bbox"])]
         self.p = [[100.0, 0.0, 0.0, 100.0] for _ in range(4)]
 
     def predict(self) -> None:
@@ -83,14 +82,13 @@ class _Track:
             p[:] = [a + b + c + d + 1.0, b + d, c + d, d + 0.1]
 
     def update(self, row) -> None:
-        for s, p, z in zip(self.x, self.p, _measure(row.bbox), strict=True):
+        for s, p, z in zip(self.x, self.p, _measure(row["bbox"]), strict=True):
             a, b, c, d = p
             k0, k1, r = a / (a + 4.0), c / (a + 4.0), z - s[0]
             s[0] += k0 * r
             s[1] += k1 * r
             p[:] = [(1 - k0) * a, (1 - k0) * b, c - k1 * a, d - k1 * b]
-        self.missed = 0
-        self.seen.append(row)
+        self.missed, self.class_name = 0, row["class_name"]
 
     def box(self) -> tuple[float, float, float, float]:
         (x, _), (y, _), (w, _), (h, _) = self.x
@@ -110,15 +108,54 @@ def _overlap(a, b) -> float:
 
 
 def _matched(tracks: list[_Track], rows: list, least: float) -> tuple[list[tuple[_Track, object]], list[_Track], list]:
-    """Pairs by falling overlap; ties by track number, then detection."""
-    pairs = sorted((-o, t.number, r.detection_id, t, r) for t in tracks for r in rows if t.seen[-1].class_name == r.class_name and (o := _overlap(t.box(), (r.bbox["x"], r.bbox["y"], r.bbox["width"], r.bbox["height"]))) >= least) if tracks and rows else []
+    """Pairs of one class by falling overlap; ties by track number, then detection."""
+    by_class: dict = {}
+    for r in rows:
+        b = r["bbox"]
+        by_class.setdefault(r["class_name"], []).append((r, (b["x"], b["y"], b["width"], b["height"])))
+    pairs = []
+    for t in tracks:
+        mine = t.box()
+        pairs += [(-o, t.number, r["detection_id"], t, r) for r, b in by_class.get(t.class_name, ()) if (o := _overlap(mine, b)) >= least]
     used_t, used_r, out = set(), set(), []
-    for _, number, detection, t, r in pairs:
+    for _, number, detection, t, r in sorted(pairs, key=lambda x: x[:3]):
         if number not in used_t and detection not in used_r:
             used_t.add(number)
             used_r.add(detection)
             out.append((t, r))
-    return out, [t for t in tracks if t.number not in used_t], [r for r in rows if r.detection_id not in used_r]
+    return out, [t for t in tracks if t.number not in used_t], [r for r in rows if r["detection_id"] not in used_r]
+
+
+class Association:
+    """The live tracks of a video between frames; holds nothing of tracks that have ended."""
+
+    def __init__(self) -> None:
+        self.live: list[_Track] = []
+        self.born, self.first, self.last = 0, 0, None
+
+    def step(self, frame: int, rows: list) -> list[tuple]:
+        """(detection_id, label) of the frame's detections that are part of a track; label is its first stretch's frame and its number there."""
+        if self.last is None or frame - self.last > MAX_MISSED:
+            self.live, self.born, self.first = [], 0, frame
+        else:
+            for t in self.live:
+                for _ in range(frame - self.last):
+                    t.predict()
+                    t.missed += 1
+            self.live = [t for t in self.live if t.missed <= MAX_MISSED]
+        self.last = frame
+        pairs, free, high = _matched(self.live, [r for r in rows if r["confidence"] >= HIGH], FIRST_IOU)
+        more, _, _ = _matched(free, [r for r in rows if LOW <= r["confidence"] < HIGH], SECOND_IOU)
+        out = []
+        for t, r in pairs + more:
+            t.update(r)
+            out.append((r["detection_id"], f"{self.first}-{t.number}"))
+        for r in high:
+            if r["confidence"] >= BIRTH:
+                self.live.append(_Track(self.born, r))
+                out.append((r["detection_id"], f"{self.first}-{self.born}"))
+                self.born += 1
+        return out
 
 
 def associate_tracks(detections: DataFrame) -> DataFrame:
@@ -126,33 +163,19 @@ def associate_tracks(detections: DataFrame) -> DataFrame:
 
     Confident detections are matched to predicted boxes first, then less confident ones to
     what is left; tracks start from confident detections and end after MAX_MISSED frames
-    without any. One video is one key: association cannot be cut inside it.
+    without any. A video is cut where it has no detection for longer than that, which ends
+    every track, and the stretches are dealt to tasks; within one, frames stream past the live
+    tracks, so no task holds more than these and a frame. Detections without video, frame,
+    confidence or box take no part; of rows that repeat a detection_id in a frame one counts.
     """
+    d = detections.where("video_id IS NOT NULL AND frame_number IS NOT NULL AND confidence IS NOT NULL AND bbox IS NOT NULL")
+    row = F.struct("detection_id", "class_name", "confidence", "bbox")
+    frames = d.groupBy("video_id", F.col("frame_number").cast("long").alias("frame_number")).agg(F.array_sort(F.collect_list(row)).alias("seen"))
+    w = Window.partitionBy("video_id").orderBy("frame_number")
+    frames = frames.withColumn("stretch", islands(F.coalesce(F.col("frame_number") - F.lag("frame_number").over(w) > MAX_MISSED, F.lit(False)), w))
 
-    def run(group):
-        rows = group.sort_values(["frame_number", "detection_id"])
-        live: list[_Track] = []
-        done: list[_Track] = []
-        n, last = 0, None
-        for frame, part in rows.groupby("frame_number", sort=True):
-            for t in live:
-                for _ in range(min(int(frame - last), MAX_MISSED + 1) if last is not None else 1):
-                    t.predict()
-                    t.missed += 1
-            last = frame
-            done += [t for t in live if t.missed > MAX_MISSED]
-            live = [t for t in live if t.missed <= MAX_MISSED]
-            seen = list(part.itertuples(index=False))
-            pairs, free, high = _matched(live, [r for r in seen if r.confidence >= HIGH], FIRST_IOU)
-            more, _, _ = _matched(free, [r for r in seen if LOW <= r.confidence < HIGH], SECOND_IOU)
-            for t, r in pairs + more:
-                t.update(r)
-            for r in high:
-                if r.confidence >= BIRTH:
-                    live.append(_Track(n, r))
-                    n += 1
-        out = [(r.video_id, r.detection_id, f"{r.video_id}-{t.number}", r.frame_number) for t in done + live for r in t.seen]
-        return pd.DataFrame(out, columns=["video_id", "detection_id", "track_id", "frame_number"])
-
-    d = detections.select("video_id", "detection_id", F.col("frame_number").cast("long").alias("frame_number"), "class_name", "confidence", "bbox")
-    return d.groupBy("video_id").applyInPandas(run, "video_id long, detection_id long, track_id string, frame_number long")
+    def step(state: Association, f) -> tuple[Association, list[tuple]]:
+        rows = list({r["detection_id"]: r for r in f.seen}.values())
+        return state, [(f.video_id, detection, f"{f.video_id}-{label}", f.frame_number) for detection, label in state.step(int(f.frame_number), rows)]
+
+    return ordered_fold(frames, ["video_id", "stretch"], ["frame_number"], Association, step, "video_id long, detection_id long, track_id string, frame_number long")

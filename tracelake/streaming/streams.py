@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,13 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tracelake.operators.events import MIN_SPEED, ZONE_GAP
 from tracelake.operators.fusion import FRAME_GAP, compatible
 from tracelake.operators.ranking import BUDGET_SECONDS, MAX_REQUESTS, MAX_TOKENS
+from tracelake.operators.tracks import Association
+
+
+
+def _mode(idle_ms: int | None) -> str:
+    """Timers and a time to live need processing time, in which a query runs on until it is stopped, even with an availableNow trigger."""
+    return "None" if idle_ms is None else "ProcessingTime"
 
 
 def stream_clusters(events: DataFrame, gap: str = "2500 milliseconds", late: str = "10 seconds") -> DataFrame:
@@ -27,8 +35,11 @@ def stream_duplicates(candidates: DataFrame, late: str = "60 seconds") -> DataFr
 class _Motion(StatefulProcessor):
     """Last point and whether it moved, of one track."""
 
+    def __init__(self, idle_ms: int | None) -> None:
+        self.idle_ms = idle_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "pts double, x double, y double, moving boolean")
+        self.last = handle.getValueState("last", "pts double, x double, y double, moving boolean", self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         state = self.last.get() if self.last.exists() else None
@@ -38,6 +49,8 @@ class _Motion(StatefulProcessor):
                 state = (row.pts, row.x, row.y, None)
                 continue
             pts, x, y, was = state
+            if row.pts < pts:  # behind what an earlier trigger has settled
+                continue
             moving = bool(((row.x - x) ** 2 + (row.y - y) ** 2) ** 0.5 / max(row.pts - pts, 0.001) >= MIN_SPEED)
             if was is not None and moving != was:
                 out.append((*key, "started_moving" if moving else "stopped_moving", row.pts))
@@ -52,8 +65,11 @@ class _Motion(StatefulProcessor):
 class _Zone(StatefulProcessor):
     """Whether a track is inside, since when, and its last transition."""
 
+    def __init__(self, idle_ms: int | None) -> None:
+        self.idle_ms = idle_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("zone", "inside boolean, last double, entered double")
+        self.state = handle.getValueState("zone", "inside boolean, last double, entered double", self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         inside, last, entered = self.state.get() if self.state.exists() else (False, -1.0, -1.0)
@@ -93,9 +109,13 @@ class _Budget(StatefulProcessor):
 
 
 class _Texts(StatefulProcessor):
-    """Open sightings of one text in a video: first and last frame, last box, rows and best confidence."""
+    """Open sightings of one text in a video: first and last frame, last box, rows and best confidence; a timer closes what is left."""
+
+    def __init__(self, idle_ms: int | None) -> None:
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.open = handle.getListState("open", "first long, last long, x double, y double, width double, height double, n long, confidence double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
@@ -113,40 +133,93 @@ class _Texts(StatefulProcessor):
             else:
                 held.append(new)
         self.open.put(held) if held else self.open.clear()
+        if self.idle_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.idle_ms)
         yield pd.DataFrame(out, columns=["video_id", "normalized_text", "first_frame", "last_frame", "n", "confidence"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = [tuple(c) for c in self.open.get()] if self.open.exists() else []
+        self.open.clear()
+        yield pd.DataFrame([(*key, *c[:2], *c[6:]) for c in held], columns=["video_id", "normalized_text", "first_frame", "last_frame", "n", "confidence"])
+
     def close(self) -> None:
         pass
 
 
+class _Association(StatefulProcessor):
+    """The live tracks of one video."""
+
+    def __init__(self, idle_ms: int | None) -> None:
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("tracks", "live binary", self.idle_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        live = pickle.loads(self.state.get()[0]) if self.state.exists() else Association()
+        out = []
+        for frame, part in pd.concat(list(rows)).sort_values(["frame_number", "detection_id"]).groupby("frame_number", sort=True):
+            if live.last is not None and frame <= live.last:  # behind what an earlier trigger has settled
+                continue
+            seen = [{"detection_id": r.detection_id, "class_name": r.class_name, "confidence": r.confidence, "bbox": {"x": r.x, "y": r.y, "width": r.width, "height": r.height}} for r in part.itertuples(index=False)]
+            out += [(*key, detection, f"{key[0]}-{label}", int(frame)) for detection, label in live.step(int(frame), seen)]
+        self.state.update((pickle.dumps(live),))
+        yield pd.DataFrame(out, columns=["video_id", "detection_id", "track_id", "frame_number"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_tracks(detections: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """(video_id, detection_id, track_id, frame_number), as associate_tracks, for a stream of detections.
+
+    detections: video_id, detection_id, frame_number, class_name, confidence, x, y, width,
+    height, without nulls. A frame comes whole in one trigger; rows of frames at or before
+    the last one of an earlier trigger are late and dropped. State holds live tracks
+    only; that of a video without rows for idle_ms is dropped.
+    """
+    return detections.groupBy("video_id").transformWithStateInPandas(_Association(idle_ms), "video_id long, detection_id long, track_id string, frame_number long", "Append", _mode(idle_ms))
+
+
 def stream_admit(requests: DataFrame) -> DataFrame:
     """(budget_key, request_id, admitted) for a stream of requests (budget_key string, request_id long, t, tokens)."""
     return requests.groupBy("budget_key").transformWithStateInPandas(_Budget(), "budget_key string, request_id long, admitted boolean", "Append", "None")
 
 
-def stream_text_fusion(ocr: DataFrame) -> DataFrame:
-    """Sightings of texts, given out when the text has a row over FRAME_GAP frames after them; what is open stays in state.
+def stream_text_fusion(ocr: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """Sightings of texts, given out when the text has a row over FRAME_GAP frames after them, or no row for idle_ms (None: what is open stays in state).
 
     ocr: video_id, normalized_text, observation_id, frame_number, x, y, width, height, confidence.
     """
-    return ocr.groupBy("video_id", "normalized_text").transformWithStateInPandas(_Texts(), "video_id long, normalized_text string, first_frame long, last_frame long, n long, confidence double", "Append", "None")
+    return ocr.groupBy("video_id", "normalized_text").transformWithStateInPandas(_Texts(idle_ms), "video_id long, normalized_text string, first_frame long, last_frame long, n long, confidence double", "Append", _mode(idle_ms))
 
 
-def stream_motion_events(points: DataFrame) -> DataFrame:
-    """started and stopped moving from a stream of points (video_id, track_id, pts, x, y); rows of a trigger may come in any order."""
-    return points.groupBy("video_id", "track_id").transformWithStateInPandas(_Motion(), "video_id long, track_id long, event_type string, start double", "Append", "None")
+def stream_motion_events(points: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """started and stopped moving from a stream of points (video_id, track_id, pts, x, y).
 
+    Rows of a trigger may come in any order; those before the last of an earlier trigger are late and dropped.
+    State of a track without rows for idle_ms is dropped.
+    """
+    return points.groupBy("video_id", "track_id").transformWithStateInPandas(_Motion(idle_ms), "video_id long, track_id long, event_type string, start double", "Append", _mode(idle_ms))
 
-def stream_zone_events(points: DataFrame) -> DataFrame:
-    """Zone entries and exits from a stream of (zone_id, video_id, track_id, pts, inside)."""
-    return points.groupBy("zone_id", "video_id", "track_id").transformWithStateInPandas(_Zone(), "zone_id string, video_id long, track_id long, event_type string, start double, dwell double", "Append", "None")
 
+def stream_zone_events(points: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """Zone entries and exits from a stream of (zone_id, video_id, track_id, pts, inside); state of a track without rows for idle_ms is dropped."""
+    return points.groupBy("zone_id", "video_id", "track_id").transformWithStateInPandas(_Zone(idle_ms), "zone_id string, video_id long, track_id long, event_type string, start double, dwell double", "Append", _mode(idle_ms))
 
-def stream_upsert(batches: DataFrame, path: str, key: str, checkpoint: str):
-    """Starts a query that writes each trigger's rows as a version of their keys; readers take the newest version of a key."""
+
+def stream_upsert(batches: DataFrame, path: str, key: str, checkpoint: str, order: str | None = None):
+    """Starts a query that writes each trigger's rows as a version of their keys; readers take the newest version of a key.
+
+    Of a key's rows in one trigger the one of largest `order` counts, ties and no order by the largest row.
+    """
 
     def put(df: DataFrame, epoch: int) -> None:
-        df.dropDuplicates([key]).withColumn("_version", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/version={epoch}")
+        names = [c for c in df.columns if c != key]
+        newest_first = F.struct(*([order] if order else []), *(c for c in names if c != order))
+        df.groupBy(key).agg(F.max_by(F.struct(*names), newest_first).alias("r")).select(key, "r.*").withColumn("_version", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/version={epoch}")
 
     return batches.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
