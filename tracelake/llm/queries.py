@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelake.llm import ann, chat, decontaminate, jaccard, langid, lines, mixing, secrets, tokens, toxicity
+from tracelake.llm import ann, chat, decontaminate, jaccard, langid, lines, manifest, mixing, secrets, tokens, toxicity
 
 QUERIES = {
     "op1_tokens": tokens.op1_tokens,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_langid": langid.op8_langid,
     "op9_secrets": secrets.op9_secrets,
     "op10_mixing": mixing.op10_mixing,
+    "op11_manifest": manifest.op11_manifest,
 }
 ORACLES = {
     "op2_jaccard_join": jaccard.ORACLE,
@@ -22,4 +23,5 @@ ORACLES = {
     "op4_line_dedup": lines.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_manifest": manifest.ORACLE,
 }
