@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelake.llm import ann, chat, decontaminate, jaccard, langid, lines, manifest, mixing, secrets, tokens, toxicity
+from tracelake.llm import ann, chat, decontaminate, jaccard, langid, lines, manifest, mixing, packing, secrets, tokens, toxicity
 
 QUERIES = {
     "op1_tokens": tokens.op1_tokens,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secrets": secrets.op9_secrets,
     "op10_mixing": mixing.op10_mixing,
     "op11_manifest": manifest.op11_manifest,
+    "op12_packing": packing.op12_packing,
 }
 ORACLES = {
     "op2_jaccard_join": jaccard.ORACLE,
