@@ -23,7 +23,7 @@ def whole(text):
 @pytest.mark.parametrize("seed", range(4))
 def test_words_encode_like_whole_texts(seed):
     rng = random.Random(seed)
-    bits = ["It's", "don't", " ", "  ", "\n", "\r\n", "\t", " ", " ", "é", "é", " ́", "Σ", "ΑΣ", "x9y", "42", "...", "<|endoftext|>", "<|END", "​", "日本", "ǅ", "İ", "", "a" * 90]
+    bits = ["It's", "don't", " ", "  ", "\n", "\r\n", "\t", " ", " ", "é", "é", " ́", "Σ", "ΑΣ", "x9y", "42", "...", "<|endoftext|>", "<|END", "​", "日本", "ǅ", "İ", "", "ÉTÉ", "ß", "ÿŸ", "´", "µ", "ª", "×", "a" * 90]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(60))) for _ in range(40)] + [None, "", " "]
     ids, at = packing.word_encoder(packing.tokenizer_path(packing.TOKENIZER)).encode(pa.array(texts), packing.END_ID)
     assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == [whole(t) for t in texts]
@@ -87,7 +87,7 @@ def test_costs_are_alike():
             take = min(n, packing.SEQUENCE - at % packing.SEQUENCE)
             in_order[at // packing.SEQUENCE] += packing.cost(take)
             at, n = at + take, n - take
-    assert full.max() / full.mean() < 1.12 and full.std() < in_order[: len(full)].std() / 2
+    assert full.max() / full.mean() < 1.05 and full.std() < in_order[: len(full)].std() * 0.7
 
 
 def test_pack(spark):

@@ -9,6 +9,7 @@ for the whole, so that every sequence is filled to its capacity and nothing is p
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,61 +29,119 @@ SEQUENCE = 2048
 LINEAR_WIDTH = 6 * 1024
 #: Tails of a shard, about; each has under SEQUENCE ids.
 SHARD_TAILS = 2048
-#: Distinct words whose ids a worker remembers, in each of two generations, and the longest that it does.
+#: Distinct chunks and words whose ids a worker remembers, in each of two generations, and the longest chunk that it does.
 MAX_WORDS, MAX_WORD = 1 << 18, 64
+#: Bytes of text that one pass encodes: a longer one meets fewer chunks twice.
+PASS_BYTES = 4 << 20
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ENCODED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
 
+#: Chunks of these characters have one normal form, and are cut here into what the tokenizer takes for words (fixed value) in lower case.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_WORD_END = "</w>"
+
+
 class WordEncoder:
     """Encodes texts as the whole-text call of a tokenizer that drops white space and never joins what it parts.
 
-    Texts are split at spaces and line breaks; a word that was met before is not encoded again.
+    Texts are split at spaces and line breaks; a chunk that was met before is not encoded
+    again. New chunks of plain Latin characters are cut into words, and unknown words are encoded many
+    in a call: an id that ends a word parts them. The tokenizer itself encodes all other chunks.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.encode("a b\nc", add_special_tokens=False).ids != [i for w in "abc" for i in self.tokenizer.encode(w, add_special_tokens=False).ids]:
-            raise ValueError("the tokenizer joins words or keeps white space")
-        self.narrow = self.tokenizer.get_vocab_size() <= 1 << 16  # ids fit 16 bits
-        self.young: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
-
-    def _ids_of(self, words: list[str]) -> list[np.ndarray]:
-        if len(self.young) > MAX_WORDS:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        new = [w for w in words if w not in young and w not in old]
-        own = {}
+        #: The same model without its normalizer and word rules, for words that are in lower case and cut.
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        probe = "it's a don't-Know 42 \n(x) ÉtÉ"
+        if [i for c in probe.split() for w in _WORDS.findall(c.lower()) for i in self.words.encode(w, add_special_tokens=False).ids] != self.tokenizer.encode(probe, add_special_tokens=False).ids:
+            raise ValueError("the tokenizer joins words, keeps white space or has other words")
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith(_WORD_END)
+        #: Ids of chunks and of words, as bytes; of each a young generation and an old one.
+        self.chunks: list[dict[str, bytes]] = [{}, {}]
+        self.known: list[dict[str, bytes]] = [{}, {}]
+
+    def _age(self, kept: list[dict[str, bytes]]) -> None:
+        if len(kept[0]) > MAX_WORDS:
+            kept[1], kept[0] = kept[0], {}
+
+    def _of_words(self, words: set[str]) -> None:
+        """Makes all of words known in the young generation."""
+        young, old = self.known
+        new = []
+        for w in words:
+            if w not in young:
+                if (x := old.get(w)) is None:
+                    new.append(w)
+                else:
+                    young[w] = x
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
-            for w, x in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                own[w] = np.array(x.ids, np.uint32)
-        kept = {w: x for w, x in own.items() if len(w) <= MAX_WORD}
-        found = [own[w] if w in own else young[w] if w in young else old[w] for w in words]
-        young.update(kept)
+            ids = np.array(self.words.encode(" ".join(some), add_special_tokens=False).ids, self.kind)
+            cuts = (self.kind.itemsize * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(some):
+                raise ValueError("the tokenizer ends a word within a word")
+            data = ids.tobytes()
+            young.update(zip(some, (data[i:j] for i, j in zip([0, *cuts], cuts, strict=False)), strict=True))
+
+    def _of_chunks(self, chunks: list[str]) -> list[bytes]:
+        self._age(self.chunks)
+        self._age(self.known)
+        young, old = self.chunks
+        found = list(map(young.get, chunks))
+        new, other = {}, []
+        for k, x in enumerate(found):
+            if x is None:
+                c = chunks[k]
+                if (x := old.get(c)) is not None:
+                    found[k] = young[c] = x
+                elif _PLAIN.fullmatch(c) and "<|" not in c:
+                    new[k] = _WORDS.findall(c.lower())
+                else:
+                    other.append(k)
+        self._of_words({w for words in new.values() for w in words})
+        known = self.known[0]
+        for k, words in new.items():
+            found[k] = b"".join([known[w] for w in words])
+        for at in range(0, len(other), 4096):
+            some = other[at : at + 4096]
+            for k, x in zip(some, self.tokenizer.encode_batch_fast([chunks[k] for k in some], add_special_tokens=False), strict=True):
+                found[k] = np.array(x.ids, self.kind).tobytes()
+        for k in (*new, *other):
+            if len(chunks[k]) <= MAX_WORD:
+                young[chunks[k]] = found[k]
         return found
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, each with the end id, and where each begins (one more entry); null is empty."""
         texts = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " ")
-        words = pc.split_pattern(texts, " ")
-        n_words = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = words.flatten().dictionary_encode()
-        ids = [*self._ids_of(coded.dictionary.to_pylist()), np.array([end_id], np.uint32)]
-        sizes = np.array([len(x) for x in ids], np.int64)
-        # units: each text's words, then the end
-        last = np.cumsum(n_words + 1) - 1
-        units = np.empty(len(coded) + len(n_words), np.int64)
+        chunks = pc.split_pattern(texts, " ")
+        n_chunks = pc.list_value_length(chunks).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = chunks.flatten().dictionary_encode()
+        names = coded.dictionary
+        # chunks hold no space: one join and one split make them strings
+        names = pc.binary_join(pa.LargeListArray.from_arrays([0, len(names)], names), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ") if len(names) else []
+        ids = [*self._of_chunks(names), np.array([end_id], self.kind).tobytes()]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+        # units: each text's chunks, then the end
+        last = np.cumsum(n_chunks + 1) - 1
+        units = np.empty(len(coded) + len(n_chunks), np.int64)
         is_end = np.zeros(len(units), bool)
         is_end[last] = True
         units[~is_end], units[is_end] = coded.indices.to_numpy(), len(ids) - 1
         size = sizes[units]
         upto = np.cumsum(size)
-        flat = np.concatenate(ids)
+        flat = np.frombuffer(b"".join(ids), self.kind)
         begins = np.cumsum(sizes) - sizes
         out = flat[np.repeat(begins[units] - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)]
         return out, np.concatenate(([0], upto[last]))
@@ -156,9 +215,9 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer_path(tokenizer))
         for batch in batches:
-            for own in passes(batch, "text"):
+            for own in passes(batch, "text", PASS_BYTES):
                 ids, at = encoder.encode(own.column(1), end_id)
-                wide, kept = ids.astype("<u4"), ids.astype("<u2" if encoder.narrow else "<u4")
+                wide, kept = ids.astype("<u4"), ids
                 columns: list[list] = [[] for _ in range(6)]
                 for doc_id, i, j in zip(own.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                     for k in range(i, j, size):
