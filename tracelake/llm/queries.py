@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelake.llm import ann, chat, decontaminate, jaccard, langid, lines, manifest, mixing, packing, secrets, tokens, toxicity
+from tracelake.llm import ann, chat, decontaminate, jaccard, langid, lines, manifest, mixing, packing, repair, secrets, tokens, toxicity
 
 QUERIES = {
     "op1_tokens": tokens.op1_tokens,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
     "op11_manifest": manifest.op11_manifest,
     "op12_packing": packing.op12_packing,
+    "op13_repair": repair.op13_repair,
 }
 ORACLES = {
     "op2_jaccard_join": jaccard.ORACLE,
