@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tracelake.functions.exprs import iou, tiou, wilson
+from tracelake.functions.matching import greedy, optimal, pieces
 from tracelake.functions.ordered import islands, range_join
+from tracelake.functions.shared import components, held
 
 MAX_DT, MIN_IOU, MIN_TIOU = 0.1, 0.5, 0.5
 
@@ -36,60 +40,73 @@ def event_pairs(gt: DataFrame, pred: DataFrame, min_tiou: float = MIN_TIOU) -> D
     return both.withColumn("weight", tiou(F.col("g_s"), F.col("g_e"), F.col("p_s"), F.col("p_e"))).where(F.col("weight") >= min_tiou).select("video_id", "class", "g_id", "p_id", F.least("g_s", "p_s").alias("t"), F.greatest("g_e", "p_e").alias("t_end"), "weight")
 
 
-def _assign(weights: dict[tuple, float], optimal: bool) -> list[tuple]:
-    """One-to-one pairs: by falling weight, or as many as can be and then of most weight (augmenting paths on negated weights)."""
-    if not optimal:
-        used_g, used_p, out = set(), set(), []
-        for (g, p), _ in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
-            if g not in used_g and p not in used_p:
-                used_g.add(g)
-                used_p.add(p)
-                out.append((g, p))
-        return out
-    gs = sorted({g for g, _ in weights})
-    match: dict = {}
-    while True:
-        # Bellman-Ford from all free ground truths; cost of a pair is its negative weight, taken pairs give it back
-        dist = {("g", g): 0.0 for g in gs if g not in match.values()}
-        back: dict = {}
-        for _ in range(2 * len(gs) + 2):
-            changed = False
-            for (g, p), w in weights.items():
-                if ("g", g) in dist and match.get(p) != g and dist[("g", g)] - w < dist.get(("p", p), float("inf")) - 1e-12:
-                    dist[("p", p)], back[("p", p)], changed = dist[("g", g)] - w, ("g", g), True
-            for p, g in match.items():
-                if ("p", p) in dist and dist[("p", p)] + weights[(g, p)] < dist.get(("g", g), float("inf")) - 1e-12:
-                    dist[("g", g)], back[("g", g)], changed = dist[("p", p)] + weights[(g, p)], ("p", p), True
-            if not changed:
-                break
-        free = [(d, k) for k, d in dist.items() if k[0] == "p" and k[1] not in match]
-        if not free:
-            return sorted((g, p) for p, g in match.items())
-        at = min(free)[1]
-        while at is not None:
-            g = back[at]
-            match[at[1]] = g[1]
-            at = back.get(g)
+#: Pairs of one video and class that reach each other through time, of which more are first cut into connected pieces; seconds of a bucket of time.
+MAX_STRETCH, BUCKET = 20_000, 10.0
 
 
-def match_pairs(pairs: DataFrame, strategy: str = "greedy") -> DataFrame:
-    """One-to-one matches of candidate pairs, `greedy` or `optimal` (most pairs, then most weight).
+def _stretches(pairs: DataFrame) -> DataFrame:
+    """pairs with `piece`: a video and class is cut where no pair reaches over a bucket's start. Only buckets are ordered, not pairs."""
+    keys, b = ["video_id", "class"], F.floor(F.col("t") / BUCKET).alias("_b")
+    w = Window.partitionBy(*keys).orderBy("_b")
+    buckets = pairs.groupBy(*keys, b).agg(F.max("t_end").alias("_e"))
+    reach = F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    buckets = buckets.withColumn("piece", islands(F.coalesce(F.col("_b") * BUCKET > reach, F.lit(True)), w)).drop("_e")
+    return pairs.withColumn("_b", b).join(buckets, [*keys, "_b"]).drop("_b")
 
-    Pairs of a video and class are cut where time leaves none open; most pieces are one
-    pair and need no solver, the others are solved each for itself.
-    """
-    w = Window.partitionBy("video_id", "class").orderBy("t", "t_end", "g_id", "p_id")
-    reach = F.max("t_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = pairs.withColumn("piece", islands(F.coalesce(F.col("t") > reach, F.lit(True)), w))
-    size = F.count("*").over(Window.partitionBy("video_id", "class", "piece"))
-    rows = rows.withColumn("_n", size)
 
-    def solve(g: pd.DataFrame) -> pd.DataFrame:
-        keep = set(_assign({(a, b): x for a, b, x in zip(g.g_id, g.p_id, g.weight, strict=True)}, strategy == "optimal"))
-        return g[[(a, b) in keep for a, b in zip(g.g_id, g.p_id, strict=True)]]
+def _connected(pairs: DataFrame) -> DataFrame:
+    """pairs with `piece`: the number of their connected piece, whatever time says. A hash that two ends share joins pieces, which changes no result."""
+    end = lambda side: F.xxhash64(F.lit(side), "video_id", "class", f"{side}_id")
+    ends = pairs.withColumn("_g", end("g"))
+    found = components(ends.select(F.col("_g").alias("a"), end("p").alias("b"))).toDF("_g", "piece")
+    return ends.join(found, "_g").drop("_g")
 
-    many = rows.where("_n > 1").groupBy("video_id", "class", "piece").applyInPandas(solve, rows.schema)
-    return rows.where("_n = 1").unionByName(many).drop("_n", "piece")
+
+def match_pairs(pairs: DataFrame, strategy: str = "greedy") -> DataFrame:
+    """One-to-one matches of candidate pairs, `greedy` (by falling weight, ties by ids) or `optimal` (most pairs, then most weight).
+
+    Pairs are a table in the shared folder. A video and class is cut where time leaves none
+    open; where one stretch has over MAX_STRETCH pairs, the pieces are the pair graph's connected
+    ones instead. Pieces are dealt by hash and stream through their task one after the other:
+    a pair without rivals passes as it is, the others are split into connected pieces and
+    solved; so only one connected piece must fit a task. Repeated pairs count once, the heaviest; no
+    pairs give no rows.
+    """
+    if strategy not in ("greedy", "optimal"):
+        raise ValueError(f"unknown strategy {strategy}")
+    choose = optimal if strategy == "optimal" else greedy
+    cut = held(_stretches(pairs.groupBy("video_id", "class", "g_id", "p_id").agg(F.max_by(F.struct("t", "t_end"), "weight").alias("_t"), F.max("weight").alias("weight")).select("video_id", "class", "g_id", "p_id", "_t.t", "_t.t_end", "weight")))
+    most = cut.groupBy("video_id", "class", "piece").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    cut = cut if most <= MAX_STRETCH else _connected(cut.drop("piece")).select(*cut.columns)
+    keys = ["video_id", "class", "piece"]
+
+    def solved(rows: list[dict]) -> list[dict]:
+        if len(rows) == 1:
+            return rows
+        weights = {(r["g_id"], r["p_id"]): r["weight"] for r in rows}
+        parts: dict[int, dict] = {}
+        for (pair, x), n in zip(weights.items(), pieces(weights), strict=True):
+            parts.setdefault(n, {})[pair] = x
+        kept = {pair for part in parts.values() for pair in choose(part)}
+        return [r for r in rows if (r["g_id"], r["p_id"]) in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, out, schema = None, [], [], None
+        for batch in batches:
+            schema = batch.schema
+            for row in batch.to_pylist():
+                now = tuple(row[k] for k in keys)
+                if now != key:
+                    out += solved(rows) if rows else []
+                    key, rows = now, []
+                rows.append(row)
+            if len(out) > 4000:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(out + solved(rows), schema)
+
+    return cut.repartition(*keys).sortWithinPartitions(*keys, "g_id", "p_id").mapInArrow(run, cut.schema).drop("piece")
 
 
 def prf(matches: DataFrame, gt: DataFrame, pred: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -114,39 +131,83 @@ def boundary_error(matches: DataFrame, gt: DataFrame, pred: DataFrame, keys: lis
 _EDITS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("substitutions", "deletions", "insertions")])
 
 
+def _aligned(x: np.ndarray, y: np.ndarray, band: int) -> tuple[int, int] | None:
+    """(cost, substitutions) of the best alignment within band of the diagonal, None if a better one may lie outside.
+
+    Of two rows of costs each cell also has the substitutions of its path, which is known from the
+    cell before it (ties: substitution, then deletion, then insertion), so no matrix is kept.
+    """
+    n, m = len(x), len(y)
+    far = n + m + 1
+    low, high = 0, min(m, band)  # columns of the row
+    cost, subs = np.arange(high + 1, dtype=np.int64), np.zeros(high + 1, np.int64)
+    for i in range(1, n + 1):
+        first, last = max(0, i - band), min(m, i + band)
+        # the row above, at this row's columns and the one before
+        above = np.full(last - first + 2, far, np.int64)
+        kept = np.zeros(last - first + 2, np.int64)
+        a, b = max(low, first - 1), min(high, last)
+        if a <= b:
+            above[a - first + 1 : b - first + 2], kept[a - first + 1 : b - first + 2] = cost[a - low : b - low + 1], subs[a - low : b - low + 1]
+        unlike = np.ones(last - first + 1, np.int64)
+        from_1 = max(first, 1)
+        unlike[from_1 - first :] = y[from_1 - 1 : last] != x[i - 1]
+        diagonal, down = above[:-1] + unlike, above[1:] + 1
+        steps = np.arange(last - first + 1)
+        best = np.minimum(diagonal, down)
+        cost = np.minimum.accumulate(best - steps) + steps
+        by_diagonal, by_down = cost == diagonal, cost == down
+        taken = np.where(by_diagonal, kept[:-1] + unlike, kept[1:])
+        # an insertion goes on from the last cell that was reached otherwise
+        source = np.maximum.accumulate(np.where(by_diagonal | by_down, steps, 0))
+        subs, low, high = taken[source], first, last
+    return (int(cost[m - low]), int(subs[m - low])) if cost[m - low] <= band or band >= max(n, m) else None
+
+
+#: Texts whose table has no more cells are aligned in one go; longer ones in a band of so many cells on either side first.
+SHORT_CELLS, FIRST_BAND = 1 << 24, 256
+
+
+def edit_counts(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
+    """(substitutions, deletions, insertions) of a best alignment of two arrays, in memory of one row.
+
+    An alignment of so many edits stays as near the diagonal, so the bands of longer texts grow
+    until the cost fits one: time is the texts' length times their distance.
+    """
+    most = max(len(x), len(y))
+    band, found = most if len(x) * len(y) <= SHORT_CELLS else max(FIRST_BAND, 2 * abs(len(x) - len(y))), None
+    while found is None:
+        found = _aligned(x, y, band)
+        band = min(4 * band, most)
+    cost, subs = found
+    deleted = (cost - subs + len(x) - len(y)) // 2
+    return subs, deleted, cost - subs - deleted
+
+
+def _units(a, b) -> tuple[np.ndarray, np.ndarray]:
+    if isinstance(a, str):
+        return np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32), np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)
+    code: dict = {}
+    x, y = (np.array([code.setdefault(u, len(code)) for u in s], np.uint32) for s in (a, b))
+    return x, y
+
+
 @F.pandas_udf(_EDITS)
 def _edits(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    """Edits between two sequences of units, counted on one best alignment; ties go to substitution, deletion, insertion."""
-
-    def one(a, b):
-        code = {u: k for k, u in enumerate({*a, *b})}
-        x, y = (np.array([code[u] for u in s], np.int32) for s in (a, b))
-        steps = np.arange(len(y) + 1, dtype=np.int32)
-        cost = np.empty((len(x) + 1, len(y) + 1), np.int32)
-        cost[0] = steps
-        for i in range(1, len(x) + 1):  # a row at a time; insertions are a running minimum
-            best = np.minimum(cost[i - 1, 1:] + 1, cost[i - 1, :-1] + (y != x[i - 1]))
-            cost[i] = np.minimum.accumulate(np.concatenate(([i], best)) - steps) + steps
-        i, j, s, d, n = len(x), len(y), 0, 0, 0
-        while i or j:
-            if i and j and cost[i, j] == cost[i - 1, j - 1] + (x[i - 1] != y[j - 1]):
-                s, i, j = s + int(x[i - 1] != y[j - 1]), i - 1, j - 1
-            elif i and cost[i, j] == cost[i - 1, j] + 1:
-                d, i = d + 1, i - 1
-            else:
-                n, j = n + 1, j - 1
-        return s, d, n
-
-    return pd.DataFrame([one(list(a), list(b)) for a, b in zip(ref, hyp, strict=True)], columns=["substitutions", "deletions", "insertions"])
+    """Edits between two texts by code points, or two arrays by elements."""
+    return pd.DataFrame([edit_counts(*_units(a, b)) for a, b in zip(ref, hyp, strict=True)], columns=["substitutions", "deletions", "insertions"])
 
 
 def error_rates(df: DataFrame, ref: str = "ref", hyp: str = "hyp", unit: str = "char") -> DataFrame:
-    """df with n_ref, edits by kind and error_rate by characters or words; an empty reference has rate 0 or 1."""
-    cut = (lambda c: F.filter(F.split(c, ""), lambda x: x != "")) if unit == "char" else (lambda c: F.filter(F.split(F.trim(c), r"\s+"), lambda x: x != ""))
+    """df with n_ref, edits by kind and error_rate by characters or words; an empty reference has rate 0 or 1, null is empty.
+
+    Memory is that of the two texts, time their length times their distance, however long they are.
+    """
+    cut, size = (lambda c: c, F.length) if unit == "char" else ((lambda c: F.filter(F.split(F.trim(c), r"\s+"), lambda x: x != "")), F.size)
     rows = df.withColumn("_r", cut(F.coalesce(ref, F.lit("")))).withColumn("_h", cut(F.coalesce(hyp, F.lit(""))))
-    rows = rows.withColumn("_e", _edits("_r", "_h")).withColumn("n_ref", F.size("_r"))
+    rows = rows.withColumn("_e", _edits("_r", "_h")).withColumn("n_ref", size("_r")).withColumn("_n", size("_h"))
     total = F.col("_e.substitutions") + F.col("_e.deletions") + F.col("_e.insertions")
-    return rows.select(*df.columns, "n_ref", "_e.substitutions", "_e.deletions", "_e.insertions", F.when(F.col("n_ref") > 0, total / F.col("n_ref")).otherwise(F.when(F.size("_h") > 0, 1.0).otherwise(0.0)).alias("error_rate"))
+    return rows.select(*df.columns, "n_ref", "_e.substitutions", "_e.deletions", "_e.insertions", F.when(F.col("n_ref") > 0, total / F.col("n_ref")).otherwise(F.when(F.col("_n") > 0, 1.0).otherwise(0.0)).alias("error_rate"))
 
 
 def qa_abstention(gt: DataFrame, pred: DataFrame) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracelake.functions.ordered import islands
+from tracelake.functions.ordered import islands, ordered_fold
 
+_BOX = ("x", "y", "width", "height")
 FRAME_GAP, MIN_IOU, MAX_DISTANCE, SPEECH_GAP = 5, 0.2, 60.0, 0.5
 
 
@@ -25,44 +25,53 @@ def compatible(a, b) -> float | None:
     return iou if iou >= MIN_IOU or (dx * dx + dy * dy) ** 0.5 <= MAX_DISTANCE else None
 
 
+class Sightings:
+    """The open sightings of one text: each a number, its last frame and its last box. Closed ones are forgotten."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[int, int, object]] = []
+        self.made = 0
+
+    def put(self, frame: int, box: object, frame_gap: int) -> int:
+        """The number of the sighting that a box joins: the open one that it fits best, the older one of equals, else a new one."""
+        best, at = None, None
+        self.open = [c for c in self.open if frame - c[1] <= frame_gap]
+        for i, (_, _, last) in enumerate(self.open):
+            if (fit := compatible(last, box)) is not None and (best is None or fit > best):
+                best, at = fit, i
+        if at is None:
+            self.open.append((self.made, frame, box))
+            self.made += 1
+            return self.made - 1
+        number, _, last = self.open[at]
+        self.open[at] = (number, frame, box if box is not None else last)
+        return number
+
+
 def fuse_text(ocr: DataFrame, frame_gap: int = FRAME_GAP) -> DataFrame:
     """ocr (video_id, observation_id, frame_number, pts, text, normalized_text, confidence, bbox) as one row per sighting of a text in a place.
 
-    Rows of one normalized text are first cut where no row follows within frame_gap, by a
-    window; only a piece that has several rows runs through the ordered fold, which puts a
-    row to the open cluster whose last box fits best.
+    The rows of a text stream in order of frame and observation past its open sightings, and each
+    joins the one whose last box fits best; a sighting closes frame_gap frames after its last
+    row. So a text that stands in every frame takes no more memory than one that is seen once.
+    Rows without a frame take no part; a missing box fits any.
     """
-    w = Window.partitionBy("video_id", "normalized_text").orderBy("frame_number", "observation_id")
-    far = F.col("frame_number") - F.lag("frame_number").over(w) > frame_gap
-    rows = ocr.withColumn("_island", islands(F.coalesce(far, F.lit(True)), w))
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[dict] = []
-        labels = []
-        group = group.sort_values(["frame_number", "observation_id"])
-        for row in group.itertuples(index=False):
-            best, at = None, None
-            for i, c in enumerate(clusters):
-                if row.frame_number - c["frame"] <= frame_gap and (fit := compatible(c["box"], row.bbox)) is not None and (best is None or fit > best):
-                    best, at = fit, i
-            if at is None:
-                at = len(clusters)
-                clusters.append({})
-            clusters[at] = {"frame": row.frame_number, "box": row.bbox if row.bbox is not None else clusters[at].get("box")}
-            labels.append(at)
-        return group.assign(_cluster=labels)
-
-    keys = ["video_id", "normalized_text", "_island"]
-    size = F.count("*").over(Window.partitionBy(*keys))
-    rows = rows.withColumn("_n", size)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", _cluster long"
-    many = rows.where("_n > 1").groupBy(*keys).applyInPandas(fold, schema)
-    out = rows.where("_n = 1").withColumn("_cluster", F.lit(0).cast("long")).unionByName(many)
+    names = ["video_id", "normalized_text", "observation_id", "frame_number", "pts", "text", "confidence"]
+    kinds = {f.name: f.dataType.simpleString() for f in ocr.schema}
+    seen = ocr.where("frame_number IS NOT NULL").select(*names, *(F.col(f"bbox.{c}").cast("double").alias(c) for c in _BOX))
+
+    def step(state: Sightings, row) -> tuple[Sightings, list[tuple]]:
+        box = {c: getattr(row, c) for c in _BOX}
+        return state, [(*row, state.put(int(row.frame_number), None if box["x"] is None or box["x"] != box["x"] else box, frame_gap))]
+
+    keys = names[:2]
+    rows = ordered_fold(seen, keys, ["frame_number", "observation_id"], Sightings, step, ", ".join(f"{c} {kinds[c]}" for c in names) + "".join(f", {c} double" for c in _BOX) + ", _cluster long")
+    rows = rows.withColumn("bbox", F.when(F.col("x").isNotNull() & ~F.isnan("x"), F.struct(*_BOX)))
     order = F.struct("frame_number", "observation_id")
-    return out.groupBy(*keys, "_cluster").agg(
+    return rows.groupBy(*keys, "_cluster").agg(
         F.max_by("text", F.struct("confidence", "frame_number", "observation_id")).alias("text"), F.min("frame_number").alias("first_frame"), F.max("frame_number").alias("last_frame"), F.min("pts").alias("first_seconds"), F.max("pts").alias("last_seconds"),
         F.array_sort(F.collect_list("observation_id")).alias("supporting_observation_ids"), F.struct(F.avg("confidence").alias("mean"), F.min("confidence").alias("min"), F.max("confidence").alias("max"), F.count("*").alias("count")).alias("confidence_summary"), F.max_by("bbox", order).alias("last_bbox"),
-    ).withColumn("observation_id", F.element_at("supporting_observation_ids", 1)).drop("_island", "_cluster")
+    ).withColumn("observation_id", F.element_at("supporting_observation_ids", 1)).drop("_cluster")
 
 
 def fuse_transcripts(segments: DataFrame, gap: float = SPEECH_GAP) -> DataFrame:

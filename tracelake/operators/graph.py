@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracelake.functions.exprs import cx, cy, edge_id, in_polygon, iou, node_id
+from tracelake.functions.exprs import cx, cy, edge_id, iou, node_id
 from tracelake.functions.ordered import range_join
+from tracelake.functions.shared import held
+from tracelake.functions.zones import points_in_zones
 
 NEAR_SECONDS, MIN_OVERLAP = 2.0, 0.1
 
@@ -106,10 +108,11 @@ def overlap_edges(detections: DataFrame, threshold: float = MIN_OVERLAP) -> Data
 
 
 def zone_edges(tracks: DataFrame, zones: DataFrame) -> DataFrame:
-    """OCCURS_IN from tracks to zones that hold the centre of their first or last box. zones are a small rule table."""
-    z = tracks.crossJoin(zones.select("zone_id", "polygon"))
-    hit = in_polygon(cx(F.col("start_bbox")), cy(F.col("start_bbox")), F.col("polygon")) | in_polygon(cx(F.col("end_bbox")), cy(F.col("end_bbox")), F.col("polygon"))
-    return edges_from(z.where(hit), "OCCURS_IN", node_id("track", F.col("track_id")), node_id("zone", F.col("zone_id")), "spatial")
+    """OCCURS_IN from tracks to zones that hold the centre of their first or last box; any number of zones, met by grid cells."""
+    centre = lambda b: F.struct(cx(F.col(b)).alias("x"), cy(F.col(b)).alias("y"))
+    ends = tracks.withColumn("_c", F.explode(F.array(centre("start_bbox"), centre("end_bbox")))).withColumn("_x", F.col("_c.x")).withColumn("_y", F.col("_c.y")).drop("_c")
+    z = points_in_zones(ends, zones, "_x", "_y").drop("_x", "_y").dropDuplicates(["video_id", "track_id", "zone_id"])
+    return edges_from(z, "OCCURS_IN", node_id("track", F.col("track_id")), node_id("zone", F.col("zone_id")), "spatial")
 
 
 def query_nodes(nodes: DataFrame, video_id=None, types: list[str] | None = None, source_ids: list[str] | None = None, start: float | None = None, end: float | None = None, label: str | None = None, limit: int | None = None) -> DataFrame:
@@ -158,7 +161,8 @@ def find_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 5, shortest_
     # paths grow from distinct sources, whatever the number of their targets
     part = pairs.select("source").distinct().select("source", F.col("source").alias("at"), F.array("source").alias("seen"), empty.alias("path"))
     for _ in range(max_depth):
-        part = part.join(hop, "at").where(~F.array_contains("seen", F.col("next"))).select("source", F.col("next").alias("at"), F.concat("seen", F.array("next")).alias("seen"), F.concat("path", F.array("edge_id")).alias("path")).checkpoint()
+        part = part.join(hop, "at").where(~F.array_contains("seen", F.col("next"))).select("source", F.col("next").alias("at"), F.concat("seen", F.array("next")).alias("seen"), F.concat("path", F.array("edge_id")).alias("path"))
+        part = held(part)
         found.append(part.withColumnRenamed("at", "target").join(pairs, ["source", "target"], "left_semi").select("source", "target", "path"))
     out = union_all(*found)
     if shortest_only:

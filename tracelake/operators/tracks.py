@@ -70,8 +70,8 @@ FIRST_IOU, SECOND_IOU = 0.2, 0.5
 class _Track:
     """Constant-velocity Kalman filter over centre and size of a box; each of the four runs for itself."""
 
-    def __init__(self, number: int, row):
-        self.number, self.missed, self.class_name = number, 0, row["class_name"]
+    def __init__(self, birth: tuple[int, object], row):
+        self.birth, self.missed, self.class_name = birth, 0, row["class_name"]
         self.x = [[v, 0.0] for v in _measure(row["bbox"])]
         self.p = [[100.0, 0.0, 0.0, 100.0] for _ in range(4)]
 
@@ -108,7 +108,7 @@ def _overlap(a, b) -> float:
 
 
 def _matched(tracks: list[_Track], rows: list, least: float) -> tuple[list[tuple[_Track, object]], list[_Track], list]:
-    """Pairs of one class by falling overlap; ties by track number, then detection."""
+    """Pairs of one class by falling overlap; ties by the track's birth, then detection."""
     by_class: dict = {}
     for r in rows:
         b = r["bbox"]
@@ -116,14 +116,14 @@ def _matched(tracks: list[_Track], rows: list, least: float) -> tuple[list[tuple
     pairs = []
     for t in tracks:
         mine = t.box()
-        pairs += [(-o, t.number, r["detection_id"], t, r) for r, b in by_class.get(t.class_name, ()) if (o := _overlap(mine, b)) >= least]
+        pairs += [(-o, t.birth, r["detection_id"], t, r) for r, b in by_class.get(t.class_name, ()) if (o := _overlap(mine, b)) >= least]
     used_t, used_r, out = set(), set(), []
-    for _, number, detection, t, r in sorted(pairs, key=lambda x: x[:3]):
-        if number not in used_t and detection not in used_r:
-            used_t.add(number)
+    for _, birth, detection, t, r in sorted(pairs, key=lambda x: x[:3]):
+        if birth not in used_t and detection not in used_r:
+            used_t.add(birth)
             used_r.add(detection)
             out.append((t, r))
-    return out, [t for t in tracks if t.number not in used_t], [r for r in rows if r["detection_id"] not in used_r]
+    return out, [t for t in tracks if t.birth not in used_t], [r for r in rows if r["detection_id"] not in used_r]
 
 
 class Association:
@@ -131,12 +131,12 @@ class Association:
 
     def __init__(self) -> None:
         self.live: list[_Track] = []
-        self.born, self.first, self.last = 0, 0, None
+        self.last: int | None = None
 
     def step(self, frame: int, rows: list) -> list[tuple]:
-        """(detection_id, label) of the frame's detections that are part of a track; label is its first stretch's frame and its number there."""
+        """(detection_id, label) of the frame's detections that are part of a track; label is the frame and the detection that it began with."""
         if self.last is None or frame - self.last > MAX_MISSED:
-            self.live, self.born, self.first = [], 0, frame
+            self.live = []
         else:
             for t in self.live:
                 for _ in range(frame - self.last):
@@ -149,12 +149,11 @@ class Association:
         out = []
         for t, r in pairs + more:
             t.update(r)
-            out.append((r["detection_id"], f"{self.first}-{t.number}"))
+            out.append((r["detection_id"], f"{t.birth[0]}-{t.birth[1]}"))
         for r in high:
             if r["confidence"] >= BIRTH:
-                self.live.append(_Track(self.born, r))
-                out.append((r["detection_id"], f"{self.first}-{self.born}"))
-                self.born += 1
+                self.live.append(_Track((frame, r["detection_id"]), r))
+                out.append((r["detection_id"], f"{frame}-{r['detection_id']}"))
         return out
 
 
@@ -163,19 +162,21 @@ def associate_tracks(detections: DataFrame) -> DataFrame:
 
     Confident detections are matched to predicted boxes first, then less confident ones to
     what is left; tracks start from confident detections and end after MAX_MISSED frames
-    without any. A video is cut where it has no detection for longer than that, which ends
-    every track, and the stretches are dealt to tasks; within one, frames stream past the live
-    tracks, so no task holds more than these and a frame. Detections without video, frame,
-    confidence or box take no part; of rows that repeat a detection_id in a frame one counts.
+    without any. Tracks of one class never meet another's, and a track is named by the frame and
+    detection that it began with; so each class of a video is associated by itself, and is cut
+    where it has no detection for longer than MAX_MISSED frames, which ends all its tracks. These
+    stretches are dealt to tasks; within one, frames stream past the live tracks, so no task
+    holds more than these and a frame. Detections without video, frame, confidence or box
+    take no part (a null class is one); of rows that repeat a detection_id in a frame and class one counts.
     """
     d = detections.where("video_id IS NOT NULL AND frame_number IS NOT NULL AND confidence IS NOT NULL AND bbox IS NOT NULL")
     row = F.struct("detection_id", "class_name", "confidence", "bbox")
-    frames = d.groupBy("video_id", F.col("frame_number").cast("long").alias("frame_number")).agg(F.array_sort(F.collect_list(row)).alias("seen"))
-    w = Window.partitionBy("video_id").orderBy("frame_number")
+    frames = d.groupBy("video_id", "class_name", F.col("frame_number").cast("long").alias("frame_number")).agg(F.array_sort(F.collect_list(row)).alias("seen"))
+    w = Window.partitionBy("video_id", "class_name").orderBy("frame_number")
     frames = frames.withColumn("stretch", islands(F.coalesce(F.col("frame_number") - F.lag("frame_number").over(w) > MAX_MISSED, F.lit(False)), w))
 
     def step(state: Association, f) -> tuple[Association, list[tuple]]:
         rows = list({r["detection_id"]: r for r in f.seen}.values())
         return state, [(f.video_id, detection, f"{f.video_id}-{label}", f.frame_number) for detection, label in state.step(int(f.frame_number), rows)]
 
-    return ordered_fold(frames, ["video_id", "stretch"], ["frame_number"], Association, step, "video_id long, detection_id long, track_id string, frame_number long")
+    return ordered_fold(frames, ["video_id", "class_name", "stretch"], ["frame_number"], Association, step, "video_id long, detection_id long, track_id string, frame_number long")
