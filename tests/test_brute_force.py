@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tracelake.functions import alignment, matching, shared, zones
 from tracelake.functions import exprs as ex
-from tracelake.functions import matching, shared, zones
 from tracelake.operators import evaluation as va
 from tracelake.operators import events as ev
 from tracelake.operators import fusion as fu
@@ -134,24 +134,26 @@ def full_table(a, b):
 
 
 @pytest.mark.parametrize("seed", range(40))
-def test_edits_against_the_whole_table(seed):
+def test_edits_against_the_whole_table(monkeypatch, seed):
     rng = random.Random(seed)
     a = [rng.randrange(3) for _ in range(rng.randrange(60))]
     b = [x if rng.random() < 0.7 else rng.randrange(4) for x in a if rng.random() < 0.9] if seed % 2 else [rng.randrange(3) for _ in range(rng.randrange(60))]
     want = full_table(a, b)
-    assert va.edit_counts(np.array(a, np.uint32), np.array(b, np.uint32)) == want
-    # a narrow band is only believed if the cost fits it
-    for band in (1, 2, 5, 100):
-        found = va._aligned(np.array(a, np.uint32), np.array(b, np.uint32), max(band, abs(len(a) - len(b))))
-        assert found is None or found == (sum(want), want[0])
-
-
-def test_edits_of_long_texts():
-    rng = np.random.default_rng(1)
-    a = rng.integers(0, 50, 200_000).astype(np.uint32)
-    b = np.delete(a, [5, 70_000])
-    b[150_000] = 99
-    assert va.edit_counts(a, b) == (1, 2, 0) and va.edit_counts(b, a) == (1, 0, 2)
+    assert alignment.edit_counts(a, b) == want
+    # few kept rows, few checkpoints, few units with bits of their own: the same
+    monkeypatch.setattr(alignment, "KEPT_BYTES", rng.choice([0, 8, 40]))
+    monkeypatch.setattr(alignment, "PARTS", rng.choice([2, 3]))
+    monkeypatch.setattr(alignment, "FREQUENT", 1)
+    assert alignment.edit_counts(a, b) == want
+
+
+def test_edits_of_long_texts(monkeypatch):
+    monkeypatch.setattr(alignment, "KEPT_BYTES", 1 << 20)
+    rng = random.Random(1)
+    a = [rng.randrange(50) for _ in range(20_000)]
+    b = a[:5] + a[6:7000] + a[7001:]
+    b[15_000] = 99
+    assert alignment.edit_counts(a, b) == (1, 2, 0) and alignment.edit_counts(b, a) == (1, 0, 2)
 
 
 def test_error_rates_by_code_point_and_word(spark):

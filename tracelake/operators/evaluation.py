@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tracelake.functions.alignment import edit_counts
 from tracelake.functions.exprs import iou, tiou, wilson
 from tracelake.functions.matching import greedy, optimal, pieces
 from tracelake.functions.ordered import islands, range_join
@@ -131,77 +131,17 @@ def boundary_error(matches: DataFrame, gt: DataFrame, pred: DataFrame, keys: lis
 _EDITS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("substitutions", "deletions", "insertions")])
 
 
-def _aligned(x: np.ndarray, y: np.ndarray, band: int) -> tuple[int, int] | None:
-    """(cost, substitutions) of the best alignment within band of the diagonal, None if a better one may lie outside.
-
-    Of two rows of costs each cell also has the substitutions of its path, which is known from the
-    cell before it (ties: substitution, then deletion, then insertion), so no matrix is kept.
-    """
-    n, m = len(x), len(y)
-    far = n + m + 1
-    low, high = 0, min(m, band)  # columns of the row
-    cost, subs = np.arange(high + 1, dtype=np.int64), np.zeros(high + 1, np.int64)
-    for i in range(1, n + 1):
-        first, last = max(0, i - band), min(m, i + band)
-        # the row above, at this row's columns and the one before
-        above = np.full(last - first + 2, far, np.int64)
-        kept = np.zeros(last - first + 2, np.int64)
-        a, b = max(low, first - 1), min(high, last)
-        if a <= b:
-            above[a - first + 1 : b - first + 2], kept[a - first + 1 : b - first + 2] = cost[a - low : b - low + 1], subs[a - low : b - low + 1]
-        unlike = np.ones(last - first + 1, np.int64)
-        from_1 = max(first, 1)
-        unlike[from_1 - first :] = y[from_1 - 1 : last] != x[i - 1]
-        diagonal, down = above[:-1] + unlike, above[1:] + 1
-        steps = np.arange(last - first + 1)
-        best = np.minimum(diagonal, down)
-        cost = np.minimum.accumulate(best - steps) + steps
-        by_diagonal, by_down = cost == diagonal, cost == down
-        taken = np.where(by_diagonal, kept[:-1] + unlike, kept[1:])
-        # an insertion goes on from the last cell that was reached otherwise
-        source = np.maximum.accumulate(np.where(by_diagonal | by_down, steps, 0))
-        subs, low, high = taken[source], first, last
-    return (int(cost[m - low]), int(subs[m - low])) if cost[m - low] <= band or band >= max(n, m) else None
-
-
-#: Texts whose table has no more cells are aligned in one go; longer ones in a band of so many cells on either side first.
-SHORT_CELLS, FIRST_BAND = 1 << 24, 256
-
-
-def edit_counts(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
-    """(substitutions, deletions, insertions) of a best alignment of two arrays, in memory of one row.
-
-    An alignment of so many edits stays as near the diagonal, so the bands of longer texts grow
-    until the cost fits one: time is the texts' length times their distance.
-    """
-    most = max(len(x), len(y))
-    band, found = most if len(x) * len(y) <= SHORT_CELLS else max(FIRST_BAND, 2 * abs(len(x) - len(y))), None
-    while found is None:
-        found = _aligned(x, y, band)
-        band = min(4 * band, most)
-    cost, subs = found
-    deleted = (cost - subs + len(x) - len(y)) // 2
-    return subs, deleted, cost - subs - deleted
-
-
-def _units(a, b) -> tuple[np.ndarray, np.ndarray]:
-    if isinstance(a, str):
-        return np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32), np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)
-    code: dict = {}
-    x, y = (np.array([code.setdefault(u, len(code)) for u in s], np.uint32) for s in (a, b))
-    return x, y
-
-
 @F.pandas_udf(_EDITS)
 def _edits(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     """Edits between two texts by code points, or two arrays by elements."""
-    return pd.DataFrame([edit_counts(*_units(a, b)) for a, b in zip(ref, hyp, strict=True)], columns=["substitutions", "deletions", "insertions"])
+    as_is = lambda s: s if isinstance(s, str) else list(s)
+    return pd.DataFrame([edit_counts(as_is(a), as_is(b)) for a, b in zip(ref, hyp, strict=True)], columns=["substitutions", "deletions", "insertions"])
 
 
 def error_rates(df: DataFrame, ref: str = "ref", hyp: str = "hyp", unit: str = "char") -> DataFrame:
     """df with n_ref, edits by kind and error_rate by characters or words; an empty reference has rate 0 or 1, null is empty.
 
-    Memory is that of the two texts, time their length times their distance, however long they are.
+    Memory is that of the two texts and KEPT_BYTES of alignment.py, however long they are.
     """
     cut, size = (lambda c: c, F.length) if unit == "char" else ((lambda c: F.filter(F.split(F.trim(c), r"\s+"), lambda x: x != "")), F.size)
     rows = df.withColumn("_r", cut(F.coalesce(ref, F.lit("")))).withColumn("_h", cut(F.coalesce(hyp, F.lit(""))))
