@@ -49,6 +49,13 @@ def dropped(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def apart(docs: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """docs with names of their own for all columns but the needed ones, so that none clashes with an operator's, and what gives the old names and order back."""
+    new = {c: c if c in needed else f"_kept{i}" for i, c in enumerate(docs.columns)}
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return docs.select(*(quoted(c).alias(n) for c, n in new.items())), [F.col(n).alias(c) for c, n in new.items()]
+
+
 class Scratch:
     """Staged tables of one job, deleted by name once nothing reads them any more."""
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import LOWER, bounded_batches, lean, mixed, passes, span_hashes, text_bytes, word_spans
+from tracelake.llm.common import apart, LOWER, bounded_batches, lean, mixed, passes, span_hashes, text_bytes, word_spans
 
 WINDOW = 10
 #: Benchmark bytes in one automaton (and so in one broadcast); larger benchmarks are streamed against several.
@@ -234,6 +234,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     there, follows the text. Clean documents stay as they are, null and empty texts and
     rows without doc_id among them; repeated rows are treated each by itself; an empty
     table gives no rows, an empty benchmark changes nothing."""
+    docs, given = apart(docs, ("doc_id", "text", "n_chars"))
     names = docs.columns
     found = match_items(docs, benchmark, window, shard_bytes, keep=tuple(names))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -241,7 +242,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     kept = found.where(~dirty | (n_hit <= F.lit(max_coverage) * F.col("n_words"))).withColumn("text", F.when(dirty, without_spans(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
     if "n_chars" in names:
         kept = kept.withColumn("n_chars", F.when(dirty, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return kept.select(*names)
+    return kept.select(*given)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

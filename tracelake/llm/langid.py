@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +19,8 @@ MAX_TRAIN_DOCS = 8000
 #: The broadcast matrix of float32 has a row for each bucket and a column for each language. Its size is bounded: from
 #: MATRIX / 2**BITS languages on, twice as many have half as many buckets.
 MATRIX = 1 << 24
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter is a character of Unicode category L.
+LETTER = regex.compile(r"\p{L}")
 
 _A, _B = np.uint32(2654435761), np.uint32(2246822519)
 

@@ -203,17 +203,20 @@ def fit_documents(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int, max_bytes: int) -> tuple[list[tuple[int, str]], float]:
-    """(toxic, text) of documents that are not held out; as many as the bounds allow, chosen by hash. A document with both labels is toxic.
+    """(toxic, text) of documents that are not held out; as many as the bounds allow, chosen by hash. A document with both labels is toxic; of rows that repeat a doc_id the least text counts.
 
     Also the log of how many times the sample's odds of being toxic are those of all labelled documents."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(~held_out())
-    sizes = {r.toxic: (r.n, r.b) for r in docs.select("doc_id", F.octet_length("text").alias("b")).join(known, "doc_id").groupBy("toxic").agg(F.count("*").alias("n"), F.sum("b").alias("b")).collect()}
+    texts = docs.select("doc_id", "text").where("text IS NOT NULL")
+    per_id = texts.select("doc_id", F.octet_length("text").alias("b")).groupBy("doc_id").agg(F.max("b").alias("b"))
+    sizes = {r.toxic: (r.n, r.b) for r in per_id.join(known, "doc_id").groupBy("toxic").agg(F.count("*").alias("n"), F.sum("b").alias("b")).collect()}
     share = {y: min(1.0, most / max(1, sizes.get(y, (0, 0))[0]), max_bytes / 2 / max(1, sizes.get(y, (0, 0))[1] or 0)) for y, most in ((1, max_toxic), (0, max_clean))}
     key = F.xxhash64("doc_id")
     # at most about max_toxic + max_clean ids whatever the number of labels, so their broadcast is bounded and no text is shuffled
     ids = known.where(F.when(F.col("toxic") == 1, chosen_share(key, share[1])).otherwise(chosen_share(key, share[0])))
-    chosen = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
-    return [(int(r.toxic == 1), r.text) for r in chosen.select("doc_id", "toxic", "text").collect() if r.toxic in (0, 1)], float(np.log(share[1] / share[0]))
+    # one text of each id, so that an id on many rows neither floods the sample nor empties it
+    chosen = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    return [(int(r.toxic == 1), r.text) for r in chosen.select("toxic", "text").collect() if r.toxic in (0, 1)], float(np.log(share[1] / share[0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES) -> Model:
