@@ -11,21 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import decontaminate, jaccard, langid, mixing, tokens
-from tracelake.llm.common import staged
+from tracelake.llm.common import apart, staged
 
 #: A document is rejected if its language is this unsure.
 MIN_LANG_SCORE = 0.5
 #: Near duplicates: words of a shingle, and the least similarity of the sets in percent.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
-#: Column of a row's own key within a stage.
+#: Column of a row's own key within a stage; the stages give other columns names of their own.
 ROW = "_row"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; a missing lang is filled in. Text without letters, and unsure text, goes."""
-    names = docs.columns
-    found = langid.identify(docs, langid.fit(docs), keep=tuple(names))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANG_SCORE)).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*names)
+    docs, given = apart(docs, ("doc_id", "text", "lang"))
+    found = langid.identify(docs, langid.fit(docs), keep=tuple(docs.columns))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANG_SCORE)).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*given)
 
 
 def numbered(docs: DataFrame, tag: str) -> DataFrame:
@@ -35,11 +35,12 @@ def numbered(docs: DataFrame, tag: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked ones: the one with the smallest doc_id, without doc_id only if none has one. Rows without words all stay."""
-    names, rows = docs.columns, numbered(docs, "near-rows")
+    docs, given = apart(docs, ("doc_id", "text"))
+    rows = numbered(docs, "near-rows")
     found = jaccard.jaccard_join(rows.select(F.col(ROW).alias("doc_id"), "text"), NEAR_WORDS, NEAR_PERCENT).select(F.col("doc_id").alias(ROW), "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))
     keep = rows.select(ROW, "doc_id").join(found, ROW).groupBy("component_id").agg(first.alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
-    return rows.join(keep, ROW, "left_semi").select(*names)
+    return rows.join(keep, ROW, "left_semi").select(*given)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +50,10 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the blocks of the mixture of sources hold them, every one at least once; null and repeated doc_ids stay."""
-    names, rows = docs.columns, numbered(docs, "mix-rows")
+    docs, given = apart(docs, ("doc_id", "text", "source", "n_chars"))
+    rows = numbered(docs, "mix-rows")
     copies = mixing.blocks(mixing.mix(rows, keep=(ROW,))).select(ROW)
-    return rows.join(copies, ROW).select(*names)
+    return rows.join(copies, ROW).select(*given)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
