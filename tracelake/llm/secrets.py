@@ -13,6 +13,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracelake.llm.common import chosen_share, staged
 
@@ -45,11 +46,15 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     A null text has no candidates; a document's repeated strings are candidates each.
     """
-    rows = docs.where(F.col("text").rlike(CANDIDATE)).select(F.col("doc_id").cast("long"), F.split("text", CANDIDATE, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"))
-    each = rows.select("doc_id", "gaps", "found", F.posexplode("found").alias("i", "candidate"))
-    # a candidate starts after the gaps and candidates before it; lengths are summed over the slice, texts are not copied
-    start = F.aggregate(F.slice("gaps", F.lit(1), F.col("i") + 1), F.lit(0).cast("long"), lambda n, x: n + F.length(x)) + F.aggregate(F.slice("found", F.lit(1), F.col("i")), F.lit(0).cast("long"), lambda n, x: n + F.length(x))
-    return each.select("doc_id", start.alias("start"), "candidate", F.right(F.get("gaps", F.col("i")), F.lit(CONTEXT)).alias("before"), F.left(F.get("gaps", F.col("i") + 1), F.lit(CONTEXT)).alias("after"))
+    rows = docs.where(F.col("text").rlike(CANDIDATE)).select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("_row"), F.split("text", CANDIDATE, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"))
+    # a candidate's row holds its own string, the gap's length and what stands beside it, never the text's arrays; so the rows of a text grow with its candidates
+    beside = F.transform("gaps", lambda g: F.struct(F.length(g).alias("n"), F.right(g, F.lit(CONTEXT)).alias("last"), F.left(g, F.lit(CONTEXT)).alias("first")))
+    rows = rows.select("doc_id", "_row", "found", beside.alias("gaps"))
+    rows = rows.select("doc_id", "_row", F.arrays_zip(F.col("found").alias("candidate"), F.slice("gaps", F.lit(1), F.size("found")).alias("left"), F.slice("gaps", F.lit(2), F.size("found")).alias("right")).alias("each"))
+    each = rows.select("doc_id", "_row", F.posexplode("each").alias("i", "e")).select("doc_id", "_row", "i", "e.candidate", F.col("e.left.n").alias("gap"), F.col("e.left.last").alias("before"), F.col("e.right.first").alias("after"))
+    w = Window.partitionBy("_row").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.sum((F.col("gap") + F.length("candidate")).cast("long")).over(w) - F.length("candidate")
+    return each.select("doc_id", start.alias("start"), "candidate", "before", "after")
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY_WORDS) -> list[str]:
