@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import alignment, matching, shared, zones
 from tracelake.functions import exprs as ex
+from tracelake.functions.ordered import thin
 from tracelake.operators import evaluation as va
 from tracelake.operators import events as ev
 from tracelake.operators import fusion as fu
@@ -356,3 +357,25 @@ def test_one_text_in_every_frame_keeps_one_sighting_open():
     s = fu.Sightings()
     assert {s.put(f, {"x": 0.0, "y": 0.0, "width": 9.0, "height": 9.0}, 5) for f in range(10_000)} == {0} and len(s.open) == 1
     assert [s.put(f, None, 5) for f in range(20_000, 40_000, 10)] == list(range(1, 2001)) and len(s.open) == 1
+
+
+# ---- thinning
+
+
+@pytest.mark.parametrize(("seed", "gap"), [(0, 0.3), (1, 5.0), (2, 0.0), (3, 1.0)])
+def test_thinning_against_a_fold(spark, seed, gap):
+    rng = random.Random(seed)
+    rows = [(rng.choice([1, 2, None]), rng.choice([round(rng.uniform(0, 40), 1), rng.uniform(-5, 40), rng.uniform(1e3, 1.1e3)]), i) for i in range(400)] + [(7, i * 0.1, 1000 + i) for i in range(700)] + [(8, None, 5000), (8, 4.0, 5001), (8, 4.0, 5000)]
+    want = []
+    for key in {r[0] for r in rows}:
+        last = None
+        for r in sorted((r for r in rows if r[0] == key and r[1] is not None), key=lambda r: (r[1], r[2])):
+            if last is None or r[1] - last >= gap - 1e-9:
+                want.append(r)
+                last = r[1]
+    df = spark.createDataFrame(rows, "k long, t double, i long")
+    found = thin(df, ["k"], "t", ["i"], gap)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "InArrow" not in plan
+    assert thin(df.limit(0), ["k"], "t", ["i"], gap).count() == 0

@@ -7,6 +7,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tracelake.functions.shared import held
+
+#: Differences of time by which two gaps still count as equal.
+_CLOSE = 1e-9
 
 
 def range_join(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str], slack: float = 0.0, bucket: float = 10.0) -> DataFrame:
@@ -50,16 +56,46 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callab
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
-def thin(df: DataFrame, keys: list[str], at: str, tie: list[str], gap: float) -> DataFrame:
-    """Keeps each key's first row, and then every row at least gap after the last one kept."""
-    names = df.columns
+#: A stretch of time in which rows find those before and after them, in gaps.
+STRETCH = 64
 
-    def step(last, row):
-        now = getattr(row, at)
-        return (now, [tuple(row)]) if last is None or now - last >= gap - 1e-9 else (last, [])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*names).schema)
-    return ordered_fold(df, keys, [at, *tie], lambda: None, step, schema)
+def thin(df: DataFrame, keys: list[str], at: str, tie: list[str], gap: float) -> DataFrame:
+    """Keeps each key's first row, and then every row at least gap after the last one kept; of rows at one time the first by tie.
+
+    A row with none less than gap before it is kept whatever came earlier. From each of these
+    a chain leads from a row to the first one at least gap later; chains are followed by pointers
+    that double in length each round, all keys at once. Rows meet within stretches of
+    time, so one busy key is many small groups. Rows without a time are dropped; null keys are a
+    key; with a gap of 0 all rows stay.
+    """
+    if gap <= _CLOSE:
+        return df.where(F.col(at).isNotNull())
+    names = df.columns
+    key = F.to_json(F.struct(*keys)).alias("_k")
+    first = F.min_by(F.struct(*names), F.struct(*tie)) if tie else F.first(F.struct(*names))
+    rows = held(df.where(F.col(at).isNotNull()).groupBy(key, F.col(at).cast("double").alias("_t")).agg(first.alias("_row")))
+    width = STRETCH * gap
+    # a row's own stretch, and the one before or after for rows that are within two gaps of it
+    mine = F.floor(F.col("_t") / width)
+    around = F.array_distinct(F.array(mine, F.floor((F.col("_t") - 2 * gap) / width), F.floor((F.col("_t") + 2 * gap) / width)))
+    spread = rows.select("_k", "_t", mine.alias("_mine"), F.explode(around).alias("_b"))
+    up = Window.partitionBy("_k", "_b").orderBy("_t")
+    # in falling order, the rows at least gap later come first, and the last of them is the nearest
+    later = F.expr(f"last(_t) OVER (PARTITION BY _k, _b ORDER BY _t DESC RANGE BETWEEN UNBOUNDED PRECEDING AND {gap - _CLOSE!r}D PRECEDING)")
+    linked = spread.select("_k", "_t", "_mine", "_b", F.coalesce(F.col("_t") - F.lag("_t").over(up) >= gap - _CLOSE, F.lit(True)).alias("_free"), later.alias("_next"))
+    linked = held(linked.where("_mine = _b").select("_k", "_t", "_free", "_next"))
+    kept = linked.where("_free").select("_k", "_t")
+    bound = linked.where("NOT _free").select("_k", F.col("_t").alias("_next"))
+    jumps = held(linked.join(bound, ["_k", "_next"]).select("_k", "_t", "_next"))
+    reached = kept
+    while not jumps.isEmpty():
+        new = held(reached.join(jumps, ["_k", "_t"]).select("_k", F.col("_next").alias("_t")))
+        if new.isEmpty():
+            break
+        reached = reached.unionByName(new)
+        jumps = held(jumps.join(jumps.select("_k", F.col("_t").alias("_next"), F.col("_next").alias("_far")), ["_k", "_next"]).select("_k", "_t", F.col("_far").alias("_next")))
+    return rows.join(reached, ["_k", "_t"]).select("_row.*")
 
 
 def islands(breaks: Column, window) -> Column:
