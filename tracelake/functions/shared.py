@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def held(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder and read from there: its lineage ends, and a lost executor costs no recomputation.
+    """df as a Parquet table in the checkpoint folder: its lineage ends, and a lost executor costs no recomputation.
 
     The folder is that of spark.checkpoint.dir; a local session without one gets a fresh one, on a cluster that is an error.
     """
@@ -19,7 +20,9 @@ def held(df: DataFrame) -> DataFrame:
         if not found and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    path = f"{context._jsc.sc().getCheckpointDir().get().rstrip('/')}/held-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(links: DataFrame) -> DataFrame:

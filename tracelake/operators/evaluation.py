@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tracelake.functions.alignment import edit_counts
-from tracelake.functions.exprs import iou, tiou, wilson
+from tracelake.functions.exprs import area, iou, tiou, wilson, x2, y2
 from tracelake.functions.matching import greedy, optimal, pieces
 from tracelake.functions.ordered import islands, range_join
 from tracelake.functions.shared import components, held
@@ -22,13 +23,23 @@ MAX_DT, MIN_IOU, MIN_TIOU = 0.1, 0.5, 0.5
 
 
 def detection_pairs(gt: DataFrame, pred: DataFrame, max_dt: float = MAX_DT, min_iou: float = MIN_IOU) -> DataFrame:
-    """(video_id, class, g_id, p_id, t, weight): boxes of one class at most max_dt apart that overlap enough.
+    """(video_id, class, g_id, p_id, t, t_end, weight): boxes of one class at most max_dt apart that overlap enough.
 
-    gt, pred: video_id, id, t, class_name, bbox.
+    gt, pred: video_id, id, t, class_name, bbox. Corners and areas are columns of each side, so that
+    the join's generated code stays small enough to be compiled. A threshold of 0 would admit disjoint boxes and is refused.
     """
-    side = lambda df, p: df.select("video_id", F.lower("class_name").alias("class"), F.col("id").alias(f"{p}_id"), F.col("t").alias(f"{p}_t"), F.col("bbox").alias(f"{p}_box"))
-    both = range_join(side(gt, "g").withColumn("g_e", F.col("g_t")), side(pred, "p").withColumn("p_e", F.col("p_t")), ["video_id", "class"], ("g_t", "g_e"), ("p_t", "p_e"), max_dt, bucket=1.0)
-    return both.withColumn("weight", iou(F.col("g_box"), F.col("p_box"))).where(F.col("weight") >= min_iou).select("video_id", "class", "g_id", "p_id", F.least("g_t", "p_t").alias("t"), F.greatest("g_t", "p_t").alias("t_end"), "weight")
+    if min_iou <= 0:
+        raise ValueError("the threshold must be over 0")
+
+    def side(df: DataFrame, p: str) -> DataFrame:
+        b = F.col("bbox")
+        corners = {"x": b["x"], "y": b["y"], "x2": x2(b), "y2": y2(b), "area": area(b)}
+        return df.where((b["width"] > 0) & (b["height"] > 0)).select("video_id", F.lower("class_name").alias("class"), F.col("id").alias(f"{p}_id"), F.col("t").alias(f"{p}_t"), F.col("t").alias(f"{p}_e"), *(c.alias(f"{p}_{n}") for n, c in corners.items()))
+
+    both = range_join(side(gt, "g"), side(pred, "p"), ["video_id", "class"], ("g_t", "g_e"), ("p_t", "p_e"), max_dt, bucket=1.0)
+    both = both.withColumn("w", F.least("g_x2", "p_x2") - F.greatest("g_x", "p_x")).withColumn("h", F.least("g_y2", "p_y2") - F.greatest("g_y", "p_y")).where("w > 0 AND h > 0")
+    weight = F.col("w") * F.col("h") / (F.col("g_area") + F.col("p_area") - F.col("w") * F.col("h"))
+    return both.select("video_id", "class", "g_id", "p_id", F.least("g_t", "p_t").alias("t"), F.greatest("g_t", "p_t").alias("t_end"), weight.alias("weight")).where(F.col("weight") >= min_iou)
 
 
 def event_pairs(gt: DataFrame, pred: DataFrame, min_tiou: float = MIN_TIOU) -> DataFrame:
@@ -65,7 +76,7 @@ def _connected(pairs: DataFrame) -> DataFrame:
 def match_pairs(pairs: DataFrame, strategy: str = "greedy") -> DataFrame:
     """One-to-one matches of candidate pairs, `greedy` (by falling weight, ties by ids) or `optimal` (most pairs, then most weight).
 
-    Pairs are a table in the shared folder. A video and class is cut where time leaves none
+    Pairs are tables in the shared folder. A video and class is cut where time leaves none
     open; where one stretch has over MAX_STRETCH pairs, the pieces are the pair graph's connected
     ones instead. Pieces are dealt by hash and stream through their task one after the other:
     a pair without rivals passes as it is, the others are split into connected pieces and
@@ -75,38 +86,52 @@ def match_pairs(pairs: DataFrame, strategy: str = "greedy") -> DataFrame:
     if strategy not in ("greedy", "optimal"):
         raise ValueError(f"unknown strategy {strategy}")
     choose = optimal if strategy == "optimal" else greedy
-    cut = held(_stretches(pairs.groupBy("video_id", "class", "g_id", "p_id").agg(F.max_by(F.struct("t", "t_end"), "weight").alias("_t"), F.max("weight").alias("weight")).select("video_id", "class", "g_id", "p_id", "_t.t", "_t.t_end", "weight")))
+    names = ["video_id", "class", "g_id", "p_id", "t", "t_end", "weight"]
+    cut = held(_stretches(held(pairs.select(*names))))
     most = cut.groupBy("video_id", "class", "piece").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     cut = cut if most <= MAX_STRETCH else _connected(cut.drop("piece")).select(*cut.columns)
-    keys = ["video_id", "class", "piece"]
-
-    def solved(rows: list[dict]) -> list[dict]:
-        if len(rows) == 1:
-            return rows
-        weights = {(r["g_id"], r["p_id"]): r["weight"] for r in rows}
-        parts: dict[int, dict] = {}
-        for (pair, x), n in zip(weights.items(), pieces(weights), strict=True):
-            parts.setdefault(n, {})[pair] = x
-        kept = {pair for part in parts.values() for pair in choose(part)}
-        return [r for r in rows if (r["g_id"], r["p_id"]) in kept]
+
+    def solved(rows: pa.Table) -> list[int]:
+        """Places of the rows that are kept, of whole pieces that have rivals in them."""
+        groups: dict[tuple, dict] = {}
+        for i, (*key, g, p, w) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("_piece", "video_id", "class", "g_id", "p_id", "weight")), strict=True)):
+            found = groups.setdefault(tuple(key), {})
+            if (g, p) not in found or w > found[g, p][0]:
+                found[g, p] = (w, i)
+        out = []
+        for found in groups.values():
+            weights = {pair: w for pair, (w, _) in found.items()}
+            parts: dict[int, dict] = {}
+            for (pair, x), n in zip(weights.items(), pieces(weights), strict=True):
+                parts.setdefault(n, {})[pair] = x
+            out += [found[pair][1] for part in parts.values() for pair in choose(part)]
+        return sorted(out)
+
+    def kept(held_back: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The matches of whole pieces; a row that is a piece of its own needs no solver."""
+        table = pa.Table.from_batches(held_back).combine_chunks()
+        piece = table.column("_piece").to_numpy()
+        first = np.concatenate(([True], piece[1:] != piece[:-1]))
+        alone = first & np.concatenate((first[1:], [True]))
+        many = np.flatnonzero(~alone)
+        places = np.sort(np.concatenate((np.flatnonzero(alone), many[np.array(solved(table.take(many)), np.int64)])))
+        yield from table.take(places).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, out, schema = None, [], [], None
+        back: list[pa.RecordBatch] = []
         for batch in batches:
-            schema = batch.schema
-            for row in batch.to_pylist():
-                now = tuple(row[k] for k in keys)
-                if now != key:
-                    out += solved(rows) if rows else []
-                    key, rows = now, []
-                rows.append(row)
-            if len(out) > 4000:
-                yield pa.RecordBatch.from_pylist(out, schema)
-                out = []
-        if rows:
-            yield pa.RecordBatch.from_pylist(out + solved(rows), schema)
-
-    return cut.repartition(*keys).sortWithinPartitions(*keys, "g_id", "p_id").mapInArrow(run, cut.schema).drop("piece")
+            piece = batch.column(0).to_numpy()
+            # the last piece of a batch may go on in the next one
+            start = int(np.searchsorted(piece, piece[-1])) if len(piece) else 0
+            if start or (back and len(piece) and back[-1].column(0)[-1].as_py() != piece[0]):
+                yield from kept([*back, batch.slice(0, start)])
+                back = []
+            back.append(batch.slice(start))
+        if sum(map(len, back)):
+            yield from kept(back)
+
+    dealt = cut.select(F.xxhash64("video_id", "class", "piece").alias("_piece"), *names).repartition("_piece").sortWithinPartitions("_piece")
+    return dealt.mapInArrow(run, dealt.schema).drop("_piece")
 
 
 def prf(matches: DataFrame, gt: DataFrame, pred: DataFrame, keys: list[str] | None = None) -> DataFrame:
