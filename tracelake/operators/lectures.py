@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracelake.functions.exprs import fmt_ts, latex_ok, slug
+from tracelake.functions.keywords import keyword_matches
 from tracelake.functions.ordered import islands, thin
 
 WINDOW_SECONDS, GAP, OVERLAP, MIN_WPM = 240.0, 2.0, 0.5, 50.0
@@ -20,17 +21,20 @@ def lecture_windows(segments: DataFrame, seconds: float = WINDOW_SECONDS) -> Dat
 
 
 def extract_items(segments: DataFrame, rules: DataFrame, word_boundary: bool = False) -> DataFrame:
-    """Items that a small rule table (kind, rule_no, keyword) finds in segments: the first rule of a kind that fires, with the segment as evidence."""
-    hit = F.lower("text").rlike(F.concat(F.lit(r"\b"), F.col("keyword"), F.lit(r"\b"))) if word_boundary else F.contains(F.lower("text"), F.col("keyword"))
-    found = segments.crossJoin(F.broadcast(rules)).where(hit)
-    return found.groupBy("video_id", "segment_id", "kind").agg(F.min_by("keyword", "rule_no").alias("keyword"), F.first("text").alias("text"), F.min("start").alias("start"), F.max("end").alias("end"))
+    """Items that a rule table (kind, rule_no, keyword) finds in segments: the first rule of a kind that fires, with the segment as evidence.
+
+    All rules are searched in one pass over each text, see keyword_matches. Null texts have no items; rows that repeat a segment count as one.
+    """
+    found = keyword_matches(segments.select("video_id", "segment_id", "start", "end", "text"), rules, word_boundary=word_boundary).join(rules.select("kind", "rule_no", "keyword"), "keyword")
+    return found.groupBy("video_id", "segment_id", "kind").agg(F.min_by("keyword", F.struct("rule_no", "keyword")).alias("keyword"), F.min("text").alias("text"), F.min("start").alias("start"), F.max("end").alias("end"))
 
 
 def sections(windows: DataFrame, items: DataFrame, title_rules: DataFrame) -> DataFrame:
     """One row per window: bounds, title by the first rule (rule_no, keyword, title) that fires, opening and closing text, and the middle segment where no item was found."""
     o = F.struct("start", "segment_id")
     s = windows.groupBy("video_id", "window").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("text", o).alias("opening"), F.max_by("text", o).alias("closing"), F.count("*").alias("n_segments"))
-    titles = windows.crossJoin(F.broadcast(title_rules)).where(F.contains(F.lower("text"), F.col("keyword"))).groupBy("video_id", "window").agg(F.min_by("title", "rule_no").alias("title"))
+    fired = keyword_matches(windows.select("video_id", "window", "text"), title_rules).join(title_rules.select("rule_no", "keyword", "title"), "keyword")
+    titles = fired.groupBy("video_id", "window").agg(F.min_by("title", F.struct("rule_no", "title")).alias("title"))
     mid = windows.withColumn("_r", F.row_number().over(Window.partitionBy("video_id", "window").orderBy("start", "segment_id"))).withColumn("_n", F.count("*").over(Window.partitionBy("video_id", "window"))).where(F.col("_r") == F.floor(F.col("_n") / 2) + 1).select("video_id", "window", F.col("segment_id").alias("middle"))
     has = windows.join(items.select("video_id", "segment_id").distinct(), ["video_id", "segment_id"], "left_semi").select("video_id", "window").distinct()
     bare = mid.join(has, ["video_id", "window"], "left_anti").withColumnRenamed("middle", "fallback_segment")

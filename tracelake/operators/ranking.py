@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracelake.functions.keywords import keyword_matches
 from tracelake.functions.ordered import islands, ordered_fold, range_join, thin
 
 CLUSTER_GAP, MIN_SALIENCY, MIN_RELEVANCE = 2.5, 0.4, 0.5
@@ -35,14 +36,27 @@ def score_clusters(events: DataFrame, type_weights: DataFrame, severity_weights:
     return c.select("video_id", "cluster", "start", "end", "n_events", "event_ids", F.round(saliency + 1e-9, 4).alias("saliency_score"), why.alias("reasons"))
 
 
-def query_relevance(clusters: DataFrame, queries: DataFrame, stop_words: list[str]) -> DataFrame:
-    """clusters (video_id, cluster, corpus) against a small table of queries (query_id, query): share of the query's distinct words that its text holds."""
+def query_relevance(clusters: DataFrame, queries: DataFrame, stop_words: list[str], all_pairs: bool = True) -> DataFrame:
+    """Share of the distinct words of each query (query_id, query) that a cluster's text holds (video_id, cluster, corpus; ids unique and not null).
+
+    The words of all queries are searched in one pass over each text. all_pairs=False gives the
+    pairs with a share above 0 only: use it with many queries, as all pairs are by definition
+    clusters times queries. A pair left out is no candidate unless its cluster has a saliency of 1.
+    A query without words has 1 with every cluster and is in both forms.
+    """
     every = F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(r"[\p{L}\p{N}_]{3,}"), F.lit(0)))
-    useful = F.array_except(every, F.array(*map(F.lit, stop_words)))
-    q = queries.select("query_id", F.when(F.size(useful) > 0, useful).otherwise(every).alias("words"))
-    pairs = clusters.crossJoin(F.broadcast(q))
-    hits = F.size(F.filter("words", lambda w: F.contains(F.lower("corpus"), w)))
-    return pairs.select("video_id", "cluster", "query_id", F.round(F.when(F.size("words") > 0, hits / F.size("words")).otherwise(1.0), 4).alias("query_relevance_score"))
+    useful = F.array_except(every, F.array(*map(F.lit, stop_words)).cast("array<string>"))
+    words = F.coalesce(F.when(F.size(useful) > 0, useful).otherwise(every), F.array().cast("array<string>"))
+    q = queries.select("query_id", words.alias("words"))
+    each = q.select("query_id", F.explode("words").alias("keyword"), F.size("words").alias("_n"))
+    keys = ["video_id", "cluster"]
+    found = keyword_matches(clusters.select(*keys, "corpus"), each, "corpus").select(*keys, "keyword")
+    hits = found.join(each, "keyword").groupBy(*keys, "query_id").agg(F.round(F.count("*") / F.first("_n"), 4).alias("query_relevance_score"))
+    bare = clusters.select(*keys).crossJoin(q.where(F.size("words") == 0).select("query_id")).withColumn("query_relevance_score", F.lit(1.0))
+    if all_pairs:
+        pairs = clusters.select(*keys).crossJoin(q.where(F.size("words") > 0).select("query_id"))
+        hits = pairs.join(hits, [*keys, "query_id"], "left").withColumn("query_relevance_score", F.coalesce("query_relevance_score", F.lit(0.0)))
+    return hits.unionByName(bare)
 
 
 def candidates(scored: DataFrame, relevance: DataFrame | None = None) -> DataFrame:
