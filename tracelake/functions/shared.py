@@ -5,22 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def held(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the checkpoint folder: its lineage ends, and a lost executor costs no recomputation.
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A path not taken yet in the folder of spark.checkpoint.dir, which driver and executors share.
 
-    The folder is that of spark.checkpoint.dir; a local session without one gets a fresh one, on a cluster that is an error.
+    A local session without one gets a fresh one, on a cluster that is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        found = spark.conf.get("spark.checkpoint.dir", None)
         if not found and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-"))
-    path = f"{context._jsc.sc().getCheckpointDir().get().rstrip('/')}/held-{uuid.uuid4().hex}"
+    return f"{context._jsc.sc().getCheckpointDir().get().rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: its lineage ends, and a lost executor costs no recomputation."""
+    path = shared_folder(df.sparkSession, "held")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

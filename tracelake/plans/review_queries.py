@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracelake.functions import exprs as ex
+from tracelake.functions.shared import shared_folder
 from tracelake.operators import evaluation as va
 from tracelake.operators import lectures as le
 from tracelake.operators import lookups as lo
@@ -14,6 +15,7 @@ from tracelake.operators import ranking as ra
 from tracelake.plans.queries import query
 from tracelake.sources import adapters as ad
 from tracelake.sources import io
+from tracelake.sources.versions import VersionedTable
 
 _IV = "i AS (SELECT track_id, event_id, event_type, pts AS s, pts + value / 100 AS e, confidence FROM p)"
 _CL = """cl AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + 2.5 THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY s, e, event_id) AS cluster
@@ -229,3 +231,14 @@ def src7(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = o.where("o_orderkey % 3 = 0")
     writes = new.select("o_orderkey", F.lit("new").alias("status"), F.lit(2).alias("at")).unionByName(new.select("o_orderkey", F.lit("overwritten").alias("status"), F.lit(1).alias("at")))
     return io.upsert_by_key(o, writes, "o_orderkey", "at")
+
+
+@query("str6_versions", """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'v4' WHEN o_orderkey % 4 = 0 THEN 'v3' WHEN o_orderkey % 3 = 0 THEN 'v2' WHEN o_orderkey % 2 = 0 THEN 'v1' ELSE o_orderstatus END AS status FROM orders""")
+def str6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders, then four epochs that each rewrite every second to fifth order, merged on the way."""
+    o = ad.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    t = VersionedTable(spark, shared_folder(spark, "versions"), "o_orderkey", buckets=8, fanout=2)
+    t.put(o, 0)
+    for epoch in range(1, 5):
+        t.put(o.where(F.col("o_orderkey") % (epoch + 1) == 0).withColumn("status", F.lit(f"v{epoch}")), epoch)
+    return t.read()

@@ -14,7 +14,7 @@ from tracelake.operators.events import MIN_SPEED, ZONE_GAP
 from tracelake.operators.fusion import FRAME_GAP, compatible
 from tracelake.operators.ranking import BUDGET_SECONDS, MAX_REQUESTS, MAX_TOKENS
 from tracelake.operators.tracks import Association
-
+from tracelake.sources.versions import VersionedTable
 
 
 def _mode(idle_ms: int | None) -> str:
@@ -210,13 +210,18 @@ def stream_zone_events(points: DataFrame, idle_ms: int | None = None) -> DataFra
     return points.groupBy("zone_id", "video_id", "track_id").transformWithStateInPandas(_Zone(idle_ms), "zone_id string, video_id long, track_id long, event_type string, start double, dwell double", "Append", _mode(idle_ms))
 
 
-def stream_upsert(batches: DataFrame, path: str, key: str, checkpoint: str, order: str | None = None):
+def stream_upsert(batches: DataFrame, path: str, key: str, checkpoint: str, order: str | None = None, table: VersionedTable | None = None):
     """Starts a query that writes each trigger's rows as a version of their keys; readers take the newest version of a key.
 
     Of a key's rows in one trigger the one of largest `order` counts, ties and no order by the largest row.
+    With `table` (of the same path and key) versions are its runs, which are merged as they grow many, and
+    its read() takes the place of newest(); without, every version stays and is read.
     """
 
     def put(df: DataFrame, epoch: int) -> None:
+        if table is not None:
+            table.put(df, epoch, order)
+            return
         names = [c for c in df.columns if c != key]
         newest_first = F.struct(*([order] if order else []), *(c for c in names if c != order))
         df.groupBy(key).agg(F.max_by(F.struct(*names), newest_first).alias("r")).select(key, "r.*").withColumn("_version", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/version={epoch}")
