@@ -110,3 +110,49 @@ def test_association(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
     assert {(r.detection_id, r.track_id) for r in drained(st.stream_tracks(stream), tmp_path, "tracks").collect()} == batch
     assert associate_tracks(df.limit(0).withColumn("bbox", ex.box("x", "y", "width", "height"))).count() == 0
+
+
+def test_event_time_orders_rows_and_drops_late_ones(spark, tmp_path):
+    """Shuffled rows over many triggers give what the batch gives for all that the watermark has passed; a row behind it changes nothing."""
+    p = points(spark).withColumn("ts", F.timestamp_seconds(F.lit(1_000_000) + F.col("pts")))
+    order = [*range(0, 30, 2), *range(1, 30, 2)]
+    for part in range(6):  # frames 0..9, then 10..19, then 20..29, each out of order in two files
+        mine = [f for f in order if f // 10 == part // 2 and f % 2 == part % 2]
+        p.where(F.col("frame_number").isin(mine)).coalesce(1).write.mode("append").parquet(src := str(tmp_path / "p"))
+    p.where("frame_number = 3").withColumn("x", F.lit(1e6)).coalesce(1).write.mode("append").parquet(src)  # far too late
+    end = p.limit(1).select("video_id", F.lit(99).cast("long").alias("track_id"), "frame_number", "pts", "x", "y", F.timestamp_seconds(F.lit(1_000_100)).alias("ts"))
+    end.coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    got = [tuple(r) for r in drained(st.stream_motion_events(stream, event_time="ts", late="10 seconds"), tmp_path, "timed_motion").collect()]
+    boxes = p.withColumn("bbox", ex.box("x", "y", F.lit(0.0), F.lit(0.0))).withColumn("confidence", F.lit(0.5))
+    want = [(r.video_id, r.track_id, r.event_type, r.start) for r in ev.motion_events(boxes, boxes.select("video_id", "track_id", "confidence").distinct()).collect()]
+    assert sorted(got) == sorted(want) and want
+
+
+def test_event_time_closes_texts(spark, tmp_path):
+    """Time in the data closes sightings, also in a query that ends; a pause over idle_ms parts them as the batch's frame gap would."""
+    rows = [(1, t, i, f, 0.0, 0.0, 20.0, 10.0, 0.5) for i, (t, f) in enumerate([("a", 0), ("b", 1), ("a", 2), ("a", 1), ("a", 40), ("b", 41), ("z", 100)])]
+    df = spark.createDataFrame(rows, "video_id long, normalized_text string, observation_id long, frame_number long, x double, y double, width double, height double, confidence double").withColumn("ts", F.timestamp_seconds(F.lit(5000) + F.col("frame_number")))
+    late = df.where("observation_id = 1").withColumn("observation_id", F.lit(99).cast("long"))
+    none = df.where("observation_id = 1").withColumn("ts", F.lit(None).cast("timestamp"))
+    src = str(tmp_path / "t")
+    for part in ("observation_id < 3", "observation_id = 3", "observation_id IN (4, 5)", "observation_id = 6"):
+        df.where(part).coalesce(1).write.mode("append").parquet(src)
+    late.unionByName(none).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    got = drained(st.stream_text_fusion(stream, 20_000, "ts", "5 seconds"), tmp_path, "timed_texts").collect()
+    assert sorted((r.normalized_text, r.first_frame, r.last_frame, r.n) for r in got) == [("a", 0, 2, 3), ("a", 40, 40, 1), ("b", 1, 1, 1), ("b", 41, 41, 1)]
+
+
+def test_event_time_zone(spark, tmp_path):
+    p = points(spark).withColumn("bbox", ex.box("x", "y", F.lit(2.0), F.lit(2.0)))
+    zones = spark.range(1).select(F.lit("z").alias("zone_id"), ex.rect_zone(-10, -10, 60, 60).alias("polygon"))
+    marked = p.crossJoin(zones).select("zone_id", "video_id", "track_id", "pts", ex.in_polygon(F.col("x") + 1, F.col("y") + 1, F.col("polygon")).alias("inside"), F.timestamp_seconds(F.lit(1000) + F.col("pts")).alias("ts"))
+    src = str(tmp_path / "z")
+    for keep in ("pts % 3 = 1", "pts % 3 = 0", "pts % 3 = 2"):
+        marked.where(keep).coalesce(1).write.mode("append").parquet(src)
+    marked.limit(1).withColumn("track_id", F.lit(99).cast("long")).withColumn("ts", F.timestamp_seconds(F.lit(2000))).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(marked.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    got = [tuple(r) for r in drained(st.stream_zone_events(stream, event_time="ts", late="60 seconds"), tmp_path, "timed_zone").collect()]
+    want = [(r.zone_id, r.video_id, r.track_id, r.event_type, r.start, r.dwell) for r in ev.zone_events(p, zones).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and want

@@ -35,6 +35,8 @@ def stream_duplicates(candidates: DataFrame, late: str = "60 seconds") -> DataFr
 class _Motion(StatefulProcessor):
     """Last point and whether it moved, of one track."""
 
+    columns = ("pts", "x", "y")
+
     def __init__(self, idle_ms: int | None) -> None:
         self.idle_ms = idle_ms
 
@@ -58,6 +60,10 @@ class _Motion(StatefulProcessor):
         self.last.update(tuple(state))
         yield pd.DataFrame(out, columns=["video_id", "track_id", "event_type", "start"])
 
+    def flush(self, key) -> pd.DataFrame:
+        self.last.clear()
+        return pd.DataFrame([], columns=["video_id", "track_id", "event_type", "start"])
+
     def close(self) -> None:
         pass
 
@@ -65,6 +71,8 @@ class _Motion(StatefulProcessor):
 class _Zone(StatefulProcessor):
     """Whether a track is inside, since when, and its last transition."""
 
+    columns = ("pts", "inside")
+
     def __init__(self, idle_ms: int | None) -> None:
         self.idle_ms = idle_ms
 
@@ -82,6 +90,10 @@ class _Zone(StatefulProcessor):
         self.state.update((inside, last, entered))
         yield pd.DataFrame(out, columns=["zone_id", "video_id", "track_id", "event_type", "start", "dwell"])
 
+    def flush(self, key) -> pd.DataFrame:
+        self.state.clear()
+        return pd.DataFrame([], columns=["zone_id", "video_id", "track_id", "event_type", "start", "dwell"])
+
     def close(self) -> None:
         pass
 
@@ -111,6 +123,8 @@ class _Budget(StatefulProcessor):
 class _Texts(StatefulProcessor):
     """Open sightings of one text in a video: first and last frame, last box, rows and best confidence; a timer closes what is left."""
 
+    columns = ("observation_id", "frame_number", "x", "y", "width", "height", "confidence")
+
     def __init__(self, idle_ms: int | None) -> None:
         self.idle_ms = idle_ms
 
@@ -129,7 +143,7 @@ class _Texts(StatefulProcessor):
             new = (int(row.frame_number), int(row.frame_number), *map(float, box.values()), 1, float(row.confidence))
             if fits:
                 i = -max(fits)[1]
-                held[i] = (held[i][0], *new[1:6], held[i][6] + 1, max(held[i][7], new[7]))
+                held[i] = (min(held[i][0], new[0]), max(held[i][1], new[1]), *new[2:6], held[i][6] + 1, max(held[i][7], new[7]))
             else:
                 held.append(new)
         self.open.put(held) if held else self.open.clear()
@@ -140,9 +154,12 @@ class _Texts(StatefulProcessor):
         yield pd.DataFrame(out, columns=["video_id", "normalized_text", "first_frame", "last_frame", "n", "confidence"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self.flush(key)
+
+    def flush(self, key) -> pd.DataFrame:
         held = [tuple(c) for c in self.open.get()] if self.open.exists() else []
         self.open.clear()
-        yield pd.DataFrame([(*key, *c[:2], *c[6:]) for c in held], columns=["video_id", "normalized_text", "first_frame", "last_frame", "n", "confidence"])
+        return pd.DataFrame([(*key, *c[:2], *c[6:]) for c in held], columns=["video_id", "normalized_text", "first_frame", "last_frame", "n", "confidence"])
 
     def close(self) -> None:
         pass
@@ -172,6 +189,76 @@ class _Association(StatefulProcessor):
         pass
 
 
+class _InOrder(StatefulProcessor):
+    """Holds a key's rows until the watermark has passed them and hands them to another processor in the order of their event time.
+
+    After idle_ms of event time without rows the other processor's flush() gives out what is open and its state goes.
+    """
+
+    def __init__(self, inner: StatefulProcessor, schema: str, idle_ms: int | None) -> None:
+        self.inner, self.schema, self.idle_ms = inner, schema, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.inner.init(handle)
+        self.handle = handle
+        self.names = [c.strip().split(" ")[0] for c in self.schema.split(",")]
+        self.waiting = handle.getListState("waiting", self.schema)
+        self.settled = handle.getValueState("settled", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        new = new[new["at_ms"] > timers.getCurrentWatermarkInMs()]  # null and late rows go
+        if len(new):
+            new = new[self.names].astype({"at_ms": "int64"}).astype(object)
+            self.waiting.appendList([tuple(r) for r in new.where(new.notna(), None).itertuples(index=False)])
+            self.handle.registerTimer(int(new["at_ms"].min()))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        at = self.names.index("at_ms")
+        ready, later = [r for r in held if r[at] <= passed], [r for r in held if r[at] > passed]
+        if ready:
+            self.waiting.put(later) if later else self.waiting.clear()
+            ready.sort(key=lambda r: r[at])
+            newest = ready[-1][at]
+            for first, last in self._stretches([r[at] for r in ready]):
+                yield from self.inner.handleInputRows(key, iter([pd.DataFrame(ready[first:last], columns=self.names)]), timerValues)
+                if last < len(ready):
+                    yield self.inner.flush(key)
+            self.settled.update((newest,))
+        if later:
+            self.handle.registerTimer(min(r[at] for r in later))
+        if self.idle_ms is None or not self.settled.exists():
+            return
+        due = self.settled.get()[0] + self.idle_ms
+        if due > passed:
+            self.handle.registerTimer(due)
+        elif not any(r[at] <= due for r in later):
+            self.settled.clear()
+            yield self.inner.flush(key)
+
+    def _stretches(self, times: list[int]) -> list[tuple[int, int]]:
+        """Ranges of sorted times that no pause of over idle_ms parts; the first one also ends where the last settled row is that far back."""
+        cuts = [] if self.idle_ms is None else [i for i in range(1, len(times)) if times[i] - times[i - 1] > self.idle_ms]
+        if self.idle_ms is not None and self.settled.exists() and times[0] - self.settled.get()[0] > self.idle_ms:
+            cuts = [0, *cuts]
+        return list(zip([0, *cuts], [*cuts, len(times)], strict=True))
+
+    def close(self) -> None:
+        self.inner.close()
+
+
+def _run(df: DataFrame, keys: list[str], processor, schema: str, idle_ms: int | None, event_time: str | None, late: str) -> DataFrame:
+    """df through a processor: rows as triggers bring them, or with an event_time column in its order behind a watermark."""
+    if event_time is None:
+        return df.groupBy(*keys).transformWithStateInPandas(processor(idle_ms), schema, "Append", _mode(idle_ms))
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in processor.columns)
+    rows = df.withWatermark(event_time, late).select(*keys, *processor.columns, event_time, F.unix_millis(F.col(event_time).cast("timestamp")).alias("at_ms"))
+    return rows.groupBy(*keys).transformWithStateInPandas(_InOrder(processor(None), f"{kinds}, at_ms long", idle_ms), schema, "Append", "EventTime")
+
+
 def stream_tracks(detections: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """(video_id, detection_id, track_id, frame_number), as associate_tracks, for a stream of detections.
 
@@ -188,26 +275,33 @@ def stream_admit(requests: DataFrame) -> DataFrame:
     return requests.groupBy("budget_key").transformWithStateInPandas(_Budget(), "budget_key string, request_id long, admitted boolean", "Append", "None")
 
 
-def stream_text_fusion(ocr: DataFrame, idle_ms: int | None = None) -> DataFrame:
+def stream_text_fusion(ocr: DataFrame, idle_ms: int | None = None, event_time: str | None = None, late: str = "10 seconds") -> DataFrame:
     """Sightings of texts, given out when the text has a row over FRAME_GAP frames after them, or no row for idle_ms (None: what is open stays in state).
 
     ocr: video_id, normalized_text, observation_id, frame_number, x, y, width, height, confidence.
+    With an event_time column, which rises with frame_number, rows may come in any order within `late`,
+    later ones and those without a time are dropped, idle_ms counts event time, and so the data close what
+    is open: the query ends with an availableNow trigger, and rows at its watermark's side of the end stay in state.
     """
-    return ocr.groupBy("video_id", "normalized_text").transformWithStateInPandas(_Texts(idle_ms), "video_id long, normalized_text string, first_frame long, last_frame long, n long, confidence double", "Append", _mode(idle_ms))
+    return _run(ocr, ["video_id", "normalized_text"], _Texts, "video_id long, normalized_text string, first_frame long, last_frame long, n long, confidence double", idle_ms, event_time, late)
 
 
-def stream_motion_events(points: DataFrame, idle_ms: int | None = None) -> DataFrame:
+def stream_motion_events(points: DataFrame, idle_ms: int | None = None, event_time: str | None = None, late: str = "10 seconds") -> DataFrame:
     """started and stopped moving from a stream of points (video_id, track_id, pts, x, y).
 
     Rows of a trigger may come in any order; those before the last of an earlier trigger are late and dropped.
-    State of a track without rows for idle_ms is dropped.
+    State of a track without rows for idle_ms is dropped. event_time and late as in stream_text_fusion, rising with pts.
     """
-    return points.groupBy("video_id", "track_id").transformWithStateInPandas(_Motion(idle_ms), "video_id long, track_id long, event_type string, start double", "Append", _mode(idle_ms))
+    return _run(points, ["video_id", "track_id"], _Motion, "video_id long, track_id long, event_type string, start double", idle_ms, event_time, late)
+
 
+def stream_zone_events(points: DataFrame, idle_ms: int | None = None, event_time: str | None = None, late: str = "10 seconds") -> DataFrame:
+    """Zone entries and exits from a stream of (zone_id, video_id, track_id, pts, inside); state of a track without rows for idle_ms is dropped.
 
-def stream_zone_events(points: DataFrame, idle_ms: int | None = None) -> DataFrame:
-    """Zone entries and exits from a stream of (zone_id, video_id, track_id, pts, inside); state of a track without rows for idle_ms is dropped."""
-    return points.groupBy("zone_id", "video_id", "track_id").transformWithStateInPandas(_Zone(idle_ms), "zone_id string, video_id long, track_id long, event_type string, start double, dwell double", "Append", _mode(idle_ms))
+    Without event_time a row that comes behind a later one of its track, but after the last transition, is taken as it
+    comes; event_time and late as in stream_text_fusion, rising with pts, put rows in order first.
+    """
+    return _run(points, ["zone_id", "video_id", "track_id"], _Zone, "zone_id string, video_id long, track_id long, event_type string, start double, dwell double", idle_ms, event_time, late)
 
 
 def stream_upsert(batches: DataFrame, path: str, key: str, checkpoint: str, order: str | None = None, table: VersionedTable | None = None):
