@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracelake.functions.keywords import keyword_matches
 from tracelake.operators.lookups import lookup
 
 
@@ -35,9 +36,12 @@ def lookup_objects(requests: DataFrame, detections: DataFrame, tracks: DataFrame
     one = named.join(d, F.col("object_id") == F.col("d_id")).select("request_id", F.lit("detection").alias("kind"), "object_id", "class_name")
     t = tracks.select(text("track_id").alias("object_id"), "class_name")
     other = named.join(one.select("request_id", "object_id").distinct(), ["request_id", "object_id"], "left_anti").join(t, "object_id").select("request_id", F.lit("track").alias("kind"), "object_id", "class_name")
-    free = requests.where("object_id IS NULL").select("request_id", F.col("video_id").alias("d_video"), F.lower(F.coalesce("class_part", F.lit(""))).alias("part"))
-    many = free.join(d, "d_video").where(F.contains(F.lower("class_name"), F.col("part")) | (F.col("part") == "")).select("request_id", F.lit("detection").alias("kind"), F.col("d_id").alias("object_id"), "class_name")
-    return one.unionByName(other).unionByName(many)
+    free = requests.where("object_id IS NULL").select("request_id", F.col("video_id").alias("d_video"), F.lower(F.coalesce("class_part", F.lit(""))).alias("keyword"))
+    named = keyword_matches(detections.select("class_name").distinct(), free.where("keyword <> ''"), "class_name")
+    some = free.where("keyword <> ''").join(named, "keyword").join(d, ["d_video", "class_name"])
+    many = some.select("request_id", F.lit("detection").alias("kind"), F.col("d_id").alias("object_id"), "class_name")
+    whole = free.where("keyword = ''").join(d, "d_video").select("request_id", F.lit("detection").alias("kind"), F.col("d_id").alias("object_id"), "class_name")
+    return one.unionByName(other).unionByName(many).unionByName(whole)
 
 
 def lookup_frames(requests: DataFrame, frames: DataFrame) -> DataFrame:
@@ -60,9 +64,20 @@ def lookup_scenes(requests: DataFrame, scenes: DataFrame) -> DataFrame:
 def query_graph(requests: DataFrame, nodes: DataFrame, limit: int = 50) -> DataFrame:
     """The first `limit` nodes by id for each of requests (request_id, video_id, node_type, label); a null node_type or label asks for any.
 
-    label is a substring in any case. Each request is cut to its limit before rows are shuffled.
+    label is a substring in any case. Requests that ask for the same are answered once: all parts of
+    labels are searched in one pass over the nodes, so that a request meets only nodes that hold its
+    part; those that ask for any label meet the first `limit` nodes of each type of their video.
     """
     r = requests.select("request_id", "video_id", F.col("node_type").alias("_type"), F.lower("label").alias("_part"))
-    hit = r.join(nodes, "video_id").where(F.col("_type").isNull() | (F.col("_type") == F.col("node_type"))).where(F.col("_part").isNull() | F.contains(F.lower("label"), F.col("_part")))
-    w = Window.partitionBy("request_id").orderBy("node_id")
-    return hit.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r", "_type", "_part")
+    asked = r.where("video_id IS NOT NULL").select("video_id", "_type", "_part").distinct()
+    fits = F.col("_type").isNull() | (F.col("_type") == F.col("node_type"))
+    parts = asked.where("_part IS NOT NULL")
+    named = keyword_matches(nodes, parts.select(F.col("_part").alias("keyword")), "label").withColumnRenamed("keyword", "_part").join(parts, ["video_id", "_part"]).where(fits)
+
+    def first(df: DataFrame, *keys: str) -> DataFrame:
+        return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("node_id"))).where(F.col("_r") <= limit).drop("_r")
+
+    free = asked.where("_part IS NULL").join(first(nodes, "video_id", "node_type"), "video_id").where(fits)
+    found = first(named.unionByName(free), "video_id", "_type", "_part").withColumnsRenamed({"video_id": "_v", "_type": "_t", "_part": "_p"})
+    met = r.join(found, (F.col("video_id") == F.col("_v")) & F.col("_type").eqNullSafe(F.col("_t")) & F.col("_part").eqNullSafe(F.col("_p")))
+    return met.drop("_v", "_t", "_p", "_type", "_part")

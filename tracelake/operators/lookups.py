@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracelake.functions.keywords import keyword_matches
 from tracelake.functions.ordered import range_join
 
 #: Question categories in the order in which their rules are tried: words that the lower-case question contains (fixed values).
@@ -67,7 +68,14 @@ def search_events(requests: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def search_text(requests: DataFrame, texts: DataFrame) -> DataFrame:
-    return search_window(requests, texts, ("first_seconds", "last_seconds"), F.col("contains").isNull() | F.contains(F.lower("text"), F.lower("contains")))
+    """Texts that are seen in a request's window and hold its `contains` in any case (null: any text).
+
+    The parts of all requests are searched in one pass over the texts; rows meet by video, part and time.
+    """
+    span = ("first_seconds", "last_seconds")
+    parts = requests.where("contains IS NOT NULL").withColumn("keyword", F.lower("contains"))
+    held = range_join(parts, keyword_matches(texts, parts), ["video_id", "keyword"], ("w_start", "w_end"), span, bucket=30.0).drop("keyword")
+    return held.unionByName(search_window(requests.where("contains IS NULL"), texts, span))
 
 
 def lookup(requests: DataFrame, rows: DataFrame, key: str, fallback: DataFrame | None = None) -> DataFrame:

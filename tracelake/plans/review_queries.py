@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -242,3 +242,53 @@ def str6(spark: SparkSession, sf_dir: str) -> DataFrame:
     for epoch in range(1, 5):
         t.put(o.where(F.col("o_orderkey") % (epoch + 1) == 0).withColumn("status", F.lit(f"v{epoch}")), epoch)
     return t.read()
+
+
+def _json_lines(df: DataFrame) -> str:
+    """Writes df's rows as JSON lines and returns the folder."""
+    path = shared_folder(df.sparkSession, "json")
+    df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).write.text(path)
+    return path
+
+
+def _hundreds(spark: SparkSession, sf_dir: str, items: Column) -> DataFrame:
+    """(video_id, block, items): the turns of each conversation by the hundred."""
+    c = ad.transcript_segments(spark, sf_dir).withColumn("block", F.floor(F.col("segment_id") / 100))
+    return c.groupBy(F.col("video_id").cast("string").alias("video_id"), "block").agg(F.collect_list(items).alias("items"))
+
+
+@query("src1_annotations", f"WITH {ad.SEGMENTS} SELECT video_id::VARCHAR AS video_id, segment_id::VARCHAR AS transcript_id, \"start\" AS start_seconds, \"end\" AS end_seconds, text AS reference_text FROM s")
+def src1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = F.struct(F.col("segment_id").cast("string").alias("transcript_id"), F.col("start").alias("start_seconds"), F.col("end").alias("end_seconds"), F.col("text").alias("reference_text"))
+    docs = _hundreds(spark, sf_dir, item).select(F.array(F.struct("video_id", F.struct(F.lit("annotated").alias("status"), "items").alias("transcripts"))).alias("videos"))
+    return io.read_annotations(spark, _json_lines(docs), lines=True)["transcripts"]
+
+
+@query("src1_status", """WITH v AS (SELECT DISTINCT conv_id AS v, turn // 100 AS b FROM conversations), m AS (SELECT unnest(['detections', 'events', 'qa', 'ocr', 'transcripts']) AS modality)
+SELECT v::VARCHAR AS video_id, modality, CASE WHEN modality = 'ocr' AND v % 2 = 0 THEN 'annotated' WHEN modality = 'ocr' THEN 'pending' ELSE 'not_annotated' END AS status, CASE WHEN modality = 'ocr' AND v % 2 = 0 THEN 0 END AS n FROM v, m""")
+def src1_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A modality annotated as empty, one pending without items and four that are missing stay apart."""
+    none = F.array().cast("array<struct<ocr_id:string>>")
+    even = F.col("video_id").cast("long") % 2 == 0
+    ocr = F.when(even, F.struct(F.lit("annotated").alias("status"), none.alias("items"))).otherwise(F.struct(F.lit("pending").alias("status"), F.lit(None).cast("array<struct<ocr_id:string>>").alias("items")))
+    docs = _hundreds(spark, sf_dir, F.lit(1)).select(F.array(F.struct("video_id", ocr.alias("ocr"))).alias("videos"))
+    return io.read_annotations(spark, _json_lines(docs), lines=True)["status"]
+
+
+@query("src2_predictions", f"WITH {ad.SEGMENTS} SELECT video_id::VARCHAR AS video_id, segment_id::VARCHAR AS event_id, CASE WHEN segment_id % 3 = 0 THEN 0.25 ELSE 1 END::DOUBLE AS confidence, \"start\" AS start_seconds FROM s")
+def src2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both shapes: a list for even ids, a map for odd ones; a missing confidence is 1."""
+    item = F.struct(F.col("segment_id").cast("string").alias("event_id"), F.when(F.col("segment_id") % 3 == 0, 0.25).alias("confidence"), F.col("start").alias("start_seconds"))
+    v, even = _hundreds(spark, sf_dir, item), F.col("video_id").cast("long") % 2 == 0
+    listed = v.where(even).select(F.array(F.struct("video_id", F.col("items").alias("events"))).alias("videos"))
+    path = _json_lines(listed)
+    v.where(~even).select(F.to_json(F.create_map("video_id", F.struct(F.col("items").alias("events"))))).write.mode("append").text(path)
+    return io.read_predictions(spark, path, lines=True)["events"].select("video_id", "event_id", "confidence", "start_seconds")
+
+
+@query("src5_catalog", "SELECT 'doc-' || doc_id AS video_id, n_chars / 10.0::DOUBLE AS duration_seconds, doc_id % 2 = 0 AS has_audio, (doc_id % 4)::INT AS n_scenes FROM documents")
+def src5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scenes = F.slice(F.array(*(F.struct(F.lit(i).alias("scene_index")) for i in range(3))), 1, (F.col("doc_id") % 4).cast("int"))
+    video = F.struct(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".mp4")).alias("filename"), (F.col("n_chars") / 10.0).alias("duration_seconds"), (F.col("doc_id") % 2 == 0).alias("has_audio"), scenes.alias("scenes"))
+    docs = ad.table(spark, sf_dir, "documents").select(F.array(video).alias("videos"))
+    return io.video_catalog(spark, _json_lines(docs), lines=True).select("video_id", "duration_seconds", "has_audio", "n_scenes")

@@ -18,10 +18,14 @@ _ITEMS = {
 }
 
 
-def read_annotations(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """One table per modality and `status` (video_id, modality, status, n; n null where items are missing) of ground-truth JSON."""
+def read_annotations(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
+    """One table per modality and `status` (video_id, modality, status, n; n null where items are missing) of ground-truth JSON.
+
+    A file is one document; with lines each of its lines is one, so that many tasks read a large file. A video
+    may be spread over documents, and has a status row for each.
+    """
     video = "video_id string, duration_seconds double, " + ", ".join(f"{m} struct<status:string,items:array<struct<{f}>>>" for m, f in _ITEMS.items())
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"videos array<struct<{video.replace(' string', ':string').replace(' double', ':double').replace(' struct', ':struct')}>>").alias("d"))
+    raw = spark.read.text(path, wholetext=not lines).select(F.from_json("value", f"videos array<struct<{video.replace(' string', ':string').replace(' double', ':double').replace(' struct', ':struct')}>>").alias("d"))
     v = raw.select(F.explode("d.videos").alias("v")).select("v.*")
     out = {m: v.select("video_id", F.explode(f"{m}.items").alias("i")).select("video_id", "i.*") for m in _ITEMS}
     status = [v.select("video_id", F.lit(m).alias("modality"), F.coalesce(f"{m}.status", F.lit("not_annotated")).alias("status"), F.when(F.col(f"{m}.items").isNotNull(), F.size(f"{m}.items")).alias("n")) for m in _ITEMS]
@@ -31,11 +35,14 @@ def read_annotations(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return out
 
 
-def read_predictions(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Predictions of either shape, {videos: [...]} or {video_id: {...}}; confidence defaults to 1, null stays apart from empty in `status`."""
+def read_predictions(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
+    """Predictions of either shape, {videos: [...]} or {video_id: {...}}; confidence defaults to 1, null stays apart from empty in `status`.
+
+    lines as in read_annotations.
+    """
     kinds = {m: f"array<struct<{_ITEMS[m]}>>" for m in ("detections", "events", "qa")} | {"ocr": "array<string>", "transcripts": "array<string>"}
     fields = ",".join(f"{m}:{k}" for m, k in kinds.items())
-    raw = spark.read.text(path, wholetext=True)
+    raw = spark.read.text(path, wholetext=not lines)
     listed = raw.select(F.from_json("value", f"videos array<struct<video_id:string,{fields}>>").alias("d")).where("d.videos IS NOT NULL").select(F.explode("d.videos").alias("v")).select("v.*")
     keyed = raw.where(F.get_json_object("value", "$.videos").isNull()).select(F.from_json("value", f"map<string,struct<{fields}>>").alias("m")).select(F.explode("m").alias("video_id", "v")).select("video_id", "v.*")
     v = listed.unionByName(keyed)
@@ -77,9 +84,10 @@ def resolve_transcripts(segments: DataFrame, priority: tuple[str, ...] = ("json"
     return segments.join(best, ["video_id", "provider"], "left_semi")
 
 
-def video_catalog(spark: SparkSession, path: str) -> DataFrame:
+def video_catalog(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The videos of manifest JSON with their id (the file's name without its ending) and number of scenes (0 where missing); lines as in read_annotations."""
     kinds = "videos array<struct<filename:string,duration_seconds:double,width:int,height:int,fps:double,frame_count:long,has_audio:boolean,is_vfr:boolean,timing_mode:string,scenes:array<struct<scene_index:int,start_frame:long,end_frame:long>>>>"
-    v = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kinds)["videos"]).alias("v")).select("v.*")
+    v = spark.read.text(path, wholetext=not lines).select(F.explode(F.from_json("value", kinds)["videos"]).alias("v")).select("v.*")
     return v.select(F.regexp_extract("filename", r"^(.*?)(\.\w+)?$", 1).alias("video_id"), "*", F.coalesce(F.size("scenes"), F.lit(0)).alias("n_scenes"))
 
 
