@@ -234,3 +234,14 @@ def test_lint_corpus(spark):
     pred = spark.createDataFrame([(1, 0, True), (1, 1, False), (2, 0, True)], "qa_id long, position int, did_abstain boolean")
     r = qa_abstention(gt, pred).first()
     assert (r.tp, r.fp, r.fn, r.tn, r.missing, r.accuracy) == (1, 0, 0, 1, 1, 1.0) and r.recall_ci.high == 1.0
+
+
+def test_rates_and_references(spark):
+    rows = [(1, "event_recall", "available", 3, 4, 0.75), (2, "event_recall", "available", 0, 0, None), (3, "event_recall", "missing_modality", 9, 9, 1.0), (1, "asr_wer", "available", 6, 4, 1.5), (2, "asr_wer", "available", None, None, None), (1, "ocr_cer", "not_annotated", 1, 1, 1.0), (1, "event_f1", "available", 0, 0, None)]
+    got = {r.metric: tuple(r)[1:] for r in va.aggregate_rates(spark.createDataFrame(rows, "video_id long, metric string, status string, part long, whole long, value double")).collect()}
+    assert got == {"event_recall": (0.75, 0.75, 4, 2, 1, 0.3006, 0.9544), "asr_wer": (1.5, 1.5, 4, 2, 1, None, None), "event_f1": (0.0, 0.0, 0, 1, 0, None, None)}
+    events = spark.createDataFrame([(1, 10, 0, 5.0), (1, 11, 1, 4.0), (1, 12, 2, 4.0), (2, 13, 0, -2.0), (2, 14, 1, None)], "video_id long, event_id long, position long, start double")
+    cites = spark.createDataFrame([(10, 1, None, 3, 0.0), (11, 2, 5, None, -1.0), (12, None, None, None, None)], "event_id long, track_id long, observation_id long, segment_id long, timestamp_seconds double")
+    ids = lambda name, *v: spark.createDataFrame([(x,) for x in v], f"{name} long")
+    out = va.audit_references(events, cites, ids("track_id", 1, 1), ids("observation_id", 6, None), ids("segment_id"))
+    assert sorted(map(tuple, out.collect())) == [("negative_evidence_time", "11"), ("non_monotonic", "11"), ("non_monotonic", "13"), ("ungrounded_segment", "10"), ("ungrounded_text", "11"), ("ungrounded_track", "11")]

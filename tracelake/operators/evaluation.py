@@ -20,6 +20,8 @@ from tracelake.functions.ordered import islands, range_join
 from tracelake.functions.shared import components, held
 
 MAX_DT, MIN_IOU, MIN_TIOU = 0.1, 0.5, 0.5
+#: Metrics that are hits of trials, so that an interval can be given.
+PROPORTIONS = ("detection_precision", "detection_recall", "event_precision", "event_recall", "qa_abstention_accuracy")
 
 
 def detection_pairs(gt: DataFrame, pred: DataFrame, max_dt: float = MAX_DT, min_iou: float = MIN_IOU) -> DataFrame:
@@ -215,6 +217,27 @@ def aggregate_metrics(per_video: DataFrame) -> DataFrame:
     return a.select("*", div(F.col("tp"), F.col("tp") + F.col("fp")).alias("micro_precision"), div(F.col("tp"), F.col("tp") + F.col("fn")).alias("micro_recall"), div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("micro_f1"))
 
 
+def aggregate_rates(per_video: DataFrame, proportions: tuple[str, ...] = PROPORTIONS) -> DataFrame:
+    """Micro and macro value of each metric over its available rows, with a Wilson interval where the metric is a share of trials.
+
+    per_video: video_id, metric, status, part, whole, value; a rate is part of whole (edits of reference
+    length, right decisions of all, twice the hits of 2 tp + fp + fn), value the video's own.
+    micro is the sum of parts by the sum of wholes, 0 without any; macro the mean of the values that are
+    not null, 0 without any. sample_size: sum of wholes; n_videos, n_values: available rows, and those
+    with a value. A metric without an available row has none. Null parts and wholes count 0.
+    """
+    a = per_video.where("status = 'available'").groupBy("metric").agg(
+        F.coalesce(F.sum("part"), F.lit(0)).alias("_part"), F.coalesce(F.sum("whole"), F.lit(0)).alias("sample_size"), F.coalesce(F.avg("value"), F.lit(0.0)).alias("_mean"), F.count("*").alias("n_videos"), F.count("value").alias("n_values"),
+    )
+    some = F.col("sample_size") > 0
+    bounds = wilson(F.col("_part"), F.col("sample_size"))
+    share = some & F.col("metric").isin(*proportions)
+    return a.select(
+        "metric", F.round(F.when(some, F.col("_part") / F.col("sample_size")).otherwise(0.0), 4).alias("micro"), F.round("_mean", 4).alias("macro"), "sample_size", "n_videos", "n_values",
+        F.when(share, bounds["low"]).alias("low"), F.when(share, bounds["high"]).alias("high"),
+    )
+
+
 def _issues(df: DataFrame, keys: list[str], rules: dict[str, Column]) -> DataFrame:
     return df.select(*keys, F.explode(F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in rules.items())), lambda x: x.isNotNull())).alias("issue"))
 
@@ -268,6 +291,24 @@ def audit_run(events: DataFrame, candidates: DataFrame, evidence: DataFrame) ->
     return reduce(DataFrame.unionByName, (e, ungrounded, lost, wild))
 
 
+def audit_references(events: DataFrame, citations: DataFrame, tracks: DataFrame, texts: DataFrame, segments: DataFrame) -> DataFrame:
+    """(issue, id) of a run's timelines: events out of order, and citations of unknown tracks, texts and segments or at negative times.
+
+    events: video_id, event_id, position, start; one that starts before the one ahead of it in its
+    video, by position, is non_monotonic, and the first of a video is where it starts below -1.
+    citations: event_id, track_id, observation_id, segment_id, timestamp_seconds, of which any may
+    be null; each gives its own issues. id is the event's, as text.
+    """
+    w = Window.partitionBy("video_id").orderBy("position", "event_id")
+    broken = events.withColumn("_ahead", F.coalesce(F.lag("start").over(w), F.lit(-1.0))).where("start < _ahead").select(F.lit("non_monotonic").alias("issue"), F.col("event_id").cast("string").alias("id"))
+    early = citations.where("timestamp_seconds < 0").select(F.lit("negative_evidence_time").alias("issue"), F.col("event_id").cast("string").alias("id"))
+    out = broken.unionByName(early)
+    for issue, key, known in (("ungrounded_track", "track_id", tracks), ("ungrounded_text", "observation_id", texts), ("ungrounded_segment", "segment_id", segments)):
+        lost = citations.where(F.col(key).isNotNull()).join(known.select(key).distinct(), key, "left_anti")
+        out = out.unionByName(lost.select(F.lit(issue).alias("issue"), F.col("event_id").cast("string").alias("id")))
+    return out
+
+
 def corpus_report(**tables: DataFrame) -> DataFrame:
     """Rows of each table by video; 0 where a video has none."""
     rows = reduce(DataFrame.unionByName, (df.groupBy("video_id").agg(F.count("*").alias("n")).withColumn("what", F.lit(name)) for name, df in tables.items()))

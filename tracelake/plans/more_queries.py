@@ -144,3 +144,28 @@ def src4(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = ad.table(spark, sf_dir, "documents").select((F.col("doc_id") % 100).alias("video_id"), F.col("lang").alias("provider"))
     rank = F.when(F.col("provider") == "en", 1).when(F.col("provider") == "de", 2).when(F.col("provider") == "fr", 3).otherwise(4)
     return resolve_transcripts(d, ("en", "de", "fr")).groupBy("video_id").agg(F.min(rank).alias("best"), F.count("*").alias("n"))
+
+
+@query("eva9_rates", """WITH c AS (SELECT doc_id % 20 AS v, count(*) FILTER (quality = 1 AND toxic = 1) AS tp, count(*) FILTER (toxic = 1) AS t, count(*) FILTER (quality = toxic) AS same, count(*) AS n FROM labels GROUP BY 1),
+m AS (SELECT v, 'detection_precision' AS metric, tp AS part, t AS whole FROM c UNION ALL SELECT v, 'qa_abstention_accuracy', same, n FROM c UNION ALL SELECT v, 'ocr_cer', 3 * t, n FROM c),
+a AS (SELECT metric, sum(part) AS part, sum(whole)::BIGINT AS n, coalesce(avg(CASE WHEN whole > 0 THEN part / whole END), 0) AS mean, count(*) AS n_videos, count(CASE WHEN whole > 0 THEN 1 END) AS n_values FROM m WHERE v % 7 <> 3 GROUP BY 1),
+w AS (SELECT *, part / n AS p, n::DOUBLE AS d FROM a), i AS (SELECT *, (p + 1.96 * 1.96 / (2 * d)) / (1 + 1.96 * 1.96 / d) AS mid, 1.96 * sqrt(p * (1 - p) / d + 1.96 * 1.96 / (4 * d * d)) / (1 + 1.96 * 1.96 / d) AS half FROM w WHERE metric <> 'ocr_cer')
+SELECT w.metric, round(w.p, 4) AS micro, round(w.mean, 4) AS macro, w.n AS sample_size, w.n_videos, w.n_values, CASE WHEN mid IS NOT NULL THEN round(greatest(mid - half, 0), 4)::DOUBLE END AS low, CASE WHEN mid IS NOT NULL THEN round(least(mid + half, 1), 4)::DOUBLE END AS high FROM w LEFT JOIN i USING (metric)""")
+def eva9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of three kinds by video; the videos of one rest are not available."""
+    c = ad.table(spark, sf_dir, "labels").groupBy((F.col("doc_id") % 20).alias("video_id")).agg(F.count_if((F.col("quality") == 1) & (F.col("toxic") == 1)).alias("tp"), F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("quality") == F.col("toxic")).alias("same"), F.count("*").alias("n"))
+    each = [F.struct(F.lit(m).alias("metric"), p.alias("part"), F.col(w).alias("whole")) for m, p, w in (("detection_precision", F.col("tp"), "t"), ("qa_abstention_accuracy", F.col("same"), "n"), ("ocr_cer", 3 * F.col("t"), "n"))]
+    m = c.select("video_id", F.explode(F.array(*each)).alias("m")).select("video_id", "m.*")
+    status = F.when(F.col("video_id") % 7 == 3, "missing_modality").otherwise("available")
+    return va.aggregate_rates(m.select("*", status.alias("status"), F.when(F.col("whole") > 0, F.col("part") / F.col("whole")).alias("value")))
+
+
+@query("eva14_references", f"""WITH {ad.POINTS}, e AS (SELECT track_id AS v, event_id, frame_number AS i, pts - CASE WHEN event_id % 9 = 0 THEN 1000 ELSE 0 END AS s FROM p)
+SELECT 'non_monotonic' AS issue, event_id::VARCHAR AS id FROM (SELECT event_id, s, coalesce(lag(s) OVER (PARTITION BY v ORDER BY i, event_id), -1) AS ahead FROM e) WHERE s < ahead
+UNION ALL SELECT 'negative_evidence_time', event_id::VARCHAR FROM p WHERE event_id % 6 = 0 UNION ALL SELECT 'ungrounded_track', event_id::VARCHAR FROM p WHERE event_id % 4 = 0 UNION ALL SELECT 'ungrounded_text', event_id::VARCHAR FROM p WHERE event_id % 7 = 0 UNION ALL SELECT 'ungrounded_segment', event_id::VARCHAR FROM p WHERE event_id % 5 = 0""")
+def eva14_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, i = ad.trajectory_points(spark, sf_dir), F.col("event_id")
+    e = p.select(F.col("track_id").alias("video_id"), "event_id", F.col("frame_number").alias("position"), (F.col("pts") - F.when(i % 9 == 0, 1000).otherwise(0)).alias("start"))
+    track = F.when(i % 4 == 0, F.lit(-1)).when(i % 4 != 1, F.col("track_id"))
+    cites = p.select("event_id", track.alias("track_id"), i.alias("observation_id"), F.when(i % 5 == 0, -1).otherwise(i).alias("segment_id"), (F.col("pts") - F.when(i % 6 == 0, 1e9).otherwise(0)).alias("timestamp_seconds"))
+    return va.audit_references(e, cites, p, p.where(i % 7 != 0).select(i.alias("observation_id")), p.select(i.alias("segment_id")))
