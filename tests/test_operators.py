@@ -245,3 +245,14 @@ def test_rates_and_references(spark):
     ids = lambda name, *v: spark.createDataFrame([(x,) for x in v], f"{name} long")
     out = va.audit_references(events, cites, ids("track_id", 1, 1), ids("observation_id", 6, None), ids("segment_id"))
     assert sorted(map(tuple, out.collect())) == [("negative_evidence_time", "11"), ("non_monotonic", "11"), ("non_monotonic", "13"), ("ungrounded_segment", "10"), ("ungrounded_text", "11"), ("ungrounded_track", "11")]
+
+
+def test_bundle_evidence(spark):
+    from tracelake.operators import ranking as ra
+
+    c = spark.createDataFrame([(1, "c", 10.0, 20.0, ["e2", "nil", "e1"], ["b", "b"]), (1, "bare", 50.0, 50.0, [], None)], "video_id long, candidate_id string, start double, end double, source_event_ids array<string>, evidence_ids array<string>")
+    e = spark.createDataFrame([("e1", "EXIT", "hi", "yard", ["a", "b"]), ("e2", "STOP", "", "", None), ("e3", "no", "no", "no", ["n"])], "event_id string, text string, speech_text string, zone_name string, evidence_ids array<string>")
+    x = spark.createDataFrame([(1, 7, 20.0, 30.0, "STOP"), (1, 8, 0.0, 10.0, "GO"), (1, 9, 21.0, 22.0, "EXIT"), (2, 1, 10.0, 20.0, "far")], "video_id long, observation_id long, first_seconds double, last_seconds double, text string")
+    s = spark.createDataFrame([(1, 4, 12.0, 13.0, "hi"), (1, 5, 50.0, 51.0, None)], "video_id long, segment_id long, start double, end double, text string")
+    got = {r.candidate_id: ([tuple(t) for t in r.texts], [tuple(t) for t in r.speech], r.zones, r.evidence_ids) for r in ra.bundle_evidence(c, e, x, s).collect()}
+    assert got == {"c": ([("8", "GO"), ("7", "STOP"), ("e1", "EXIT")], [("4", "hi")], ["yard"], ["b", "b", "a"]), "bare": ([], [("5", None)], [], [])}

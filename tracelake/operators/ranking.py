@@ -91,6 +91,36 @@ def bundles(candidates: DataFrame, texts: DataFrame, segments: DataFrame) -> Dat
     return candidates.join(seen, ["video_id", "candidate_id"], "left").join(heard, ["video_id", "candidate_id"], "left")
 
 
+def bundle_evidence(candidates: DataFrame, events: DataFrame, texts: DataFrame, segments: DataFrame) -> DataFrame:
+    """(candidate_id, texts, speech, zones, evidence_ids): what a candidate's window and its source events tell.
+
+    candidates: video_id, candidate_id (unique), start, end, source_event_ids, evidence_ids; events:
+    event_id, text, speech_text, zone_name, evidence_ids; texts: video_id, observation_id,
+    first_seconds, last_seconds, text; segments: video_id, segment_id, start, end, text.
+    texts and speech (id, text) hold what meets the window, ends included, by start and id, and then the
+    words of source events that are not among these, by the event's place. zones are sorted; evidence
+    ids are the candidate's, then those of its events as they first come. Unknown events, null or empty
+    words and zones give nothing; arrays without entries are empty.
+    """
+    support = candidates.select("candidate_id", F.posexplode("source_event_ids").alias("_pos", "event_id")).join(events.select("event_id", "text", "speech_text", "zone_name", F.col("evidence_ids").alias("_ids")), "event_id")
+    windows = candidates.select("video_id", "candidate_id", F.col("start").alias("_w0"), F.col("end").alias("_w1"))
+
+    def words(rows: DataFrame, key: str, span: tuple[str, str], told: str, name: str) -> DataFrame:
+        rows = rows.select("video_id", F.col(key).cast("string").alias("id"), F.col(span[0]).alias("_t0"), F.col(span[1]).alias("_t1"), "text")
+        met = range_join(windows, rows, ["video_id"], ("_w0", "_w1"), ("_t0", "_t1")).select("candidate_id", F.lit(0).alias("late"), F.col("_t0").alias("at"), "id", "text")
+        of_events = support.where(F.col(told) != "").groupBy("candidate_id", F.col(told).alias("text")).agg(F.min(F.struct(F.col("_pos").cast("double").alias("at"), F.col("event_id").cast("string").alias("id"))).alias("e"))
+        more = of_events.join(met.select("candidate_id", "text").distinct(), ["candidate_id", "text"], "left_anti").select("candidate_id", F.lit(1).alias("late"), "e.at", "e.id", "text")
+        in_order = F.sort_array(F.collect_list(F.struct("late", "at", "id", "text")))
+        return met.unionByName(more).groupBy("candidate_id").agg(F.transform(in_order, lambda x: F.struct(x["id"].alias("id"), x["text"].alias("text"))).alias(name))
+
+    told = support.groupBy("candidate_id").agg(F.sort_array(F.collect_set(F.nullif("zone_name", F.lit("")))).alias("zones"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_pos", "_ids"))), lambda x: F.coalesce(x["_ids"], F.array().cast("array<string>")))).alias("_more"))
+    out = candidates.select("candidate_id", F.coalesce("evidence_ids", F.array().cast("array<string>")).alias("_own")).join(told, "candidate_id", "left")
+    out = out.join(words(texts, "observation_id", ("first_seconds", "last_seconds"), "text", "texts"), "candidate_id", "left").join(words(segments, "segment_id", ("start", "end"), "speech_text", "speech"), "candidate_id", "left")
+    none = F.array().cast("array<string>")
+    pairs = F.array().cast("array<struct<id:string,text:string>>")
+    return out.select("candidate_id", F.coalesce("texts", pairs).alias("texts"), F.coalesce("speech", pairs).alias("speech"), F.coalesce("zones", none).alias("zones"), F.concat("_own", F.array_except(F.coalesce("_more", none), "_own")).alias("evidence_ids"))
+
+
 def estimate_tokens(bundles: DataFrame) -> DataFrame:
     """Tokens that a bundle (n_crops, start, end, texts, n_trajectories) takes in a request."""
     words = F.aggregate("texts", F.lit(0), lambda n, t: n + 2 * F.size(F.split(F.trim(t), r"\s+")))

@@ -169,3 +169,25 @@ def eva14_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     track = F.when(i % 4 == 0, F.lit(-1)).when(i % 4 != 1, F.col("track_id"))
     cites = p.select("event_id", track.alias("track_id"), i.alias("observation_id"), F.when(i % 5 == 0, -1).otherwise(i).alias("segment_id"), (F.col("pts") - F.when(i % 6 == 0, 1e9).otherwise(0)).alias("timestamp_seconds"))
     return va.audit_references(e, cites, p, p.where(i % 7 != 0).select(i.alias("observation_id")), p.select(i.alias("segment_id")))
+
+
+@query("sem7_evidence", f"""WITH {ad.SEGMENTS}, c AS (SELECT video_id AS v, segment_id AS k, "start" - 2 AS a, "end" + 2 AS b FROM s WHERE segment_id % 2 = 0),
+src AS (SELECT v, k, 1 AS i, k + 1 AS g FROM c UNION ALL SELECT v, k, 2, k FROM c UNION ALL SELECT v, k, 3, k + 1 FROM c), sup AS (SELECT src.* FROM src JOIN s ON video_id = v AND segment_id = g),
+ids AS (SELECT v, k, 0 AS o, 'e1' AS id FROM c UNION ALL SELECT v, k, i * 10, 'e' || (g % 6) FROM sup UNION ALL SELECT v, k, i * 10 + 1, 'e' || (g % 4) FROM sup),
+ev AS (SELECT v, k, string_agg(id, ',' ORDER BY o) AS evidence_ids FROM (SELECT v, k, id, min(o) AS o FROM ids GROUP BY ALL) GROUP BY ALL),
+seen AS (SELECT v, k, 0 AS o, "start" AS t, segment_id::VARCHAR AS id, 'note ' || (segment_id % 4) AS x FROM c JOIN s ON video_id = v AND "start" <= b AND "start" + 1 >= a WHERE segment_id % 2 = 1),
+told AS (SELECT v, k, 1 AS o, min(i)::DOUBLE AS t, arg_min(v || ':' || g, i) AS id, 'note ' || (g % 4) AS x FROM sup WHERE g % 3 = 0 AND NOT EXISTS (FROM seen WHERE seen.v = sup.v AND seen.k = sup.k AND seen.x = 'note ' || (g % 4)) GROUP BY v, k, g % 4),
+tx AS (SELECT v, k, string_agg(id || '=' || x, ',' ORDER BY o, t, id) AS texts FROM (FROM seen UNION ALL FROM told) GROUP BY ALL),
+zo AS (SELECT v, k, string_agg(z, ',' ORDER BY z) AS zones FROM (SELECT DISTINCT v, k, 'z' || (g % 2) AS z FROM sup WHERE g % 5 = 0) GROUP BY ALL)
+SELECT c.v || ':' || c.k AS candidate_id, coalesce(texts, '') AS texts, coalesce(zones, '') AS zones, evidence_ids FROM c JOIN ev USING (v, k) LEFT JOIN tx USING (v, k) LEFT JOIN zo USING (v, k)""")
+def sem7_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second turn is a candidate that names its follower, itself and its follower again as sources."""
+    s, g = ad.transcript_segments(spark, sf_dir), F.col("segment_id")
+    text = lambda *c: F.concat(*(x.cast("string") for x in c))
+    at = lambda n: text(F.col("video_id"), F.lit(":"), n)
+    note = text(F.lit("note "), g % 4)
+    e = s.select(at(g).alias("event_id"), F.when(g % 3 == 0, note).alias("text"), F.lit(None).cast("string").alias("speech_text"), F.when(g % 5 == 0, text(F.lit("z"), g % 2)).alias("zone_name"), F.array(text(F.lit("e"), g % 6), text(F.lit("e"), g % 4)).alias("evidence_ids"))
+    c = s.where(g % 2 == 0).select("video_id", at(g).alias("candidate_id"), (F.col("start") - 2).alias("start"), (F.col("end") + 2).alias("end"), F.array(at(g + 1), at(g), at(g + 1)).alias("source_event_ids"), F.array(F.lit("e1")).alias("evidence_ids"))
+    seen = s.where(g % 2 == 1).select("video_id", g.alias("observation_id"), F.col("start").alias("first_seconds"), (F.col("start") + 1).alias("last_seconds"), note.alias("text"))
+    out = ra.bundle_evidence(c, e, seen, s.limit(0))
+    return out.select("candidate_id", F.array_join(F.transform("texts", lambda x: F.concat(x["id"], F.lit("="), x["text"])), ",").alias("texts"), F.array_join("zones", ",").alias("zones"), F.array_join("evidence_ids", ",").alias("evidence_ids"))
