@@ -66,8 +66,10 @@ def frame_to_time(queries: DataFrame, frames: DataFrame) -> DataFrame:
 def time_to_frame(queries: DataFrame, frames: DataFrame, slack: float = OUT_OF_RANGE) -> DataFrame:
     """queries (video_id, query_id, t) with the nearest frame, the earlier of two as near; an error beyond slack of the recording.
 
-    One union and two windows: the last frame before a query and the first after it.
+    One union and two windows: the last frame before a query and the first after it. Of frames with
+    one time the first by number stands for all.
     """
+    frames = frames.groupBy("video_id", "pts").agg(F.min("frame_number").alias("frame_number"))
     f = frames.select("video_id", F.col("pts").alias("t"), F.lit(None).cast("long").alias("query_id"), F.struct("pts", "frame_number").alias("f"))
     q = queries.select("video_id", F.col("t").cast("double").alias("t"), F.col("query_id").cast("long").alias("query_id"), F.lit(None).cast("struct<pts:double,frame_number:long>").alias("f"))
     w = Window.partitionBy("video_id").orderBy("t", F.col("f").isNull(), "f.frame_number")

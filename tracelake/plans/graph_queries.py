@@ -49,7 +49,7 @@ def tim3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("tim4_time_to_frame", f"""WITH {ad.POINTS}, q AS (SELECT track_id, event_id AS query_id, pts + (event_id % 7) * 0.5 AS t FROM p), j AS (
-  SELECT q.track_id AS video_id, query_id, t, p.frame_number, row_number() OVER (PARTITION BY query_id ORDER BY abs(p.pts - t), p.pts) AS r, max(p.pts) OVER (PARTITION BY q.track_id, query_id) AS hi, min(p.pts) OVER (PARTITION BY q.track_id, query_id) AS lo FROM q JOIN p USING (track_id))
+  SELECT q.track_id AS video_id, query_id, t, p.frame_number, row_number() OVER (PARTITION BY query_id ORDER BY abs(p.pts - t), p.pts, p.frame_number) AS r, max(p.pts) OVER (PARTITION BY q.track_id, query_id) AS hi, min(p.pts) OVER (PARTITION BY q.track_id, query_id) AS lo FROM q JOIN p USING (track_id))
 SELECT video_id, query_id, t, CASE WHEN t BETWEEN lo - 0.05 AND hi + 0.05 THEN frame_number END AS frame_number, CASE WHEN t NOT BETWEEN lo - 0.05 AND hi + 0.05 THEN 'time_out_of_range' END AS error FROM j WHERE r = 1""")
 def tim4(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = ad.trajectory_points(spark, sf_dir)
