@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -99,30 +100,103 @@ def _measure(b) -> tuple[float, float, float, float]:
     return b["x"] + b["width"] / 2, b["y"] + b["height"] / 2, b["width"], b["height"]
 
 
-def _overlap(a, b) -> float:
-    w = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
-    h = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
-    if w <= 0 or h <= 0:
-        return 0.0
-    return w * h / (a[2] * a[3] + b[2] * b[3] - w * h)
+#: Places of boxes that are compared at once.
+BLOCK = 1 << 20
+
+
+def _overlapping(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of a, rows of b, overlap) of the boxes (x, y, width, height) that overlap by at least `least`, over 0.
+
+    Boxes of b lie by their corners in cells as large as the largest of them; a box of a looks into
+    the cells that it can reach, of which each column is one run of the sorted boxes. Boxes without
+    area and ones that are not finite overlap none.
+    """
+    good = [np.flatnonzero(np.isfinite(m).all(axis=1) & (m[:, 2] > 0) & (m[:, 3] > 0)) for m in (a, b)]
+    none = np.empty(0, np.int64)
+    if not len(good[0]) or not len(good[1]):
+        return none, none, np.empty(0)
+    a, b = a[good[0]], b[good[1]]
+    low = b[:, :2].min(axis=0)
+    span = b[:, :2].max(axis=0) - low
+    size = np.maximum(b[:, 2:].max(axis=0) * (1 + 1e-9), span / (1 << 20)) + 1e-300
+    cell = np.floor((b[:, :2] - low) / size).astype(np.int64)
+    rows = int(cell[:, 1].max()) + 1
+    key = cell[:, 0] * rows + cell[:, 1]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    last = cell.max(axis=0)
+    first_at = np.clip(np.floor((a[:, :2] - low) / size) - 1, 0, last + 1).astype(np.int64)
+    last_at = np.clip(np.floor((a[:, :2] + a[:, 2:] - low) / size), -1, last).astype(np.int64)
+    found: list[tuple] = []
+    for column in range(int((last_at[:, 0] - first_at[:, 0]).max()) + 1):
+        mine = np.flatnonzero((first_at[:, 0] + column <= last_at[:, 0]) & (first_at[:, 1] <= last_at[:, 1]))
+        base = (first_at[mine, 0] + column) * rows
+        start, end = np.searchsorted(key, base + first_at[mine, 1]), np.searchsorted(key, base + last_at[mine, 1], "right")
+        total = np.cumsum(end - start)
+        cuts = np.searchsorted(total, np.arange(BLOCK, int(total[-1]) if len(total) else 0, BLOCK)) + 1
+        for part in np.split(np.arange(len(mine)), np.unique(cuts)):
+            n = end[part] - start[part]
+            i = np.repeat(mine[part], n)
+            j = order[np.repeat(start[part] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+            w = np.minimum(a[i, 0] + a[i, 2], b[j, 0] + b[j, 2]) - np.maximum(a[i, 0], b[j, 0])
+            h = np.minimum(a[i, 1] + a[i, 3], b[j, 1] + b[j, 3]) - np.maximum(a[i, 1], b[j, 1])
+            k = np.flatnonzero((w > 0) & (h > 0))
+            i, j, w, h = i[k], j[k], w[k], h[k]
+            o = w * h / (a[i, 2] * a[i, 3] + b[j, 2] * b[j, 3] - w * h)
+            k = np.flatnonzero(o >= least)
+            found.append((good[0][i[k]], good[1][j[k]], o[k]))
+    if not found:
+        return none, none, np.empty(0)
+    i, j, o = (np.concatenate(x) for x in zip(*found, strict=True))
+    return i, j, o
+
+
+def _taken(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Places of the pairs that a pass in this order takes, each as long as both of its ends are free.
+
+    A pair that is the first of both its ends is taken in any case; rounds take these all at once and
+    drop what they have closed. What long chains leave after some rounds goes one by one.
+    """
+    at, out = np.arange(len(left)), []
+    for _ in range(20):
+        if not len(at):
+            break
+        first = [np.zeros(len(at), bool), np.zeros(len(at), bool)]
+        for f, x in zip(first, (left[at], right[at]), strict=True):
+            f[np.unique(x, return_index=True)[1]] = True
+        now = at[first[0] & first[1]]
+        out.append(now)
+        at = at[~np.isin(left[at], left[now]) & ~np.isin(right[at], right[now])]
+    used: tuple[set, set] = (set(), set())
+    for n, g, p in zip(at.tolist(), left[at].tolist(), right[at].tolist(), strict=True):
+        if g not in used[0] and p not in used[1]:
+            used[0].add(g)
+            used[1].add(p)
+            out.append(np.array([n]))
+    return np.sort(np.concatenate(out)) if out else at
 
 
 def _matched(tracks: list[_Track], rows: list, least: float) -> tuple[list[tuple[_Track, object]], list[_Track], list]:
-    """Pairs of one class by falling overlap; ties by the track's birth, then detection."""
+    """Pairs of one class by falling overlap; ties by the track's birth, then detection. Boxes meet by cells."""
     by_class: dict = {}
     for r in rows:
-        b = r["bbox"]
-        by_class.setdefault(r["class_name"], []).append((r, (b["x"], b["y"], b["width"], b["height"])))
-    pairs = []
+        by_class.setdefault(r["class_name"], ([], []))[1].append(r)
     for t in tracks:
-        mine = t.box()
-        pairs += [(-o, t.birth, r["detection_id"], t, r) for r, b in by_class.get(t.class_name, ()) if (o := _overlap(mine, b)) >= least]
+        if t.class_name in by_class:
+            by_class[t.class_name][0].append(t)
     used_t, used_r, out = set(), set(), []
-    for _, birth, detection, t, r in sorted(pairs, key=lambda x: x[:3]):
-        if birth not in used_t and detection not in used_r:
-            used_t.add(birth)
-            used_r.add(detection)
-            out.append((t, r))
+    for mine, seen in by_class.values():
+        if not mine:
+            continue
+        # in order of birth and of detection, so that places break ties
+        mine, seen = sorted(mine, key=lambda t: t.birth), sorted(seen, key=lambda r: r["detection_id"])
+        i, j, o = _overlapping(np.array([t.box() for t in mine], float), np.array([[r["bbox"][c] for c in ("x", "y", "width", "height")] for r in seen], float), least)
+        order = np.lexsort((j, i, -o))
+        i, j = i[order], j[order]
+        for n in _taken(i, j):
+            out.append((mine[i[n]], seen[j[n]]))
+            used_t.add(mine[i[n]].birth)
+            used_r.add(seen[j[n]]["detection_id"])
     return out, [t for t in tracks if t.birth not in used_t], [r for r in rows if r["detection_id"] not in used_r]
 
 
