@@ -42,13 +42,15 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callab
     names = [part.split()[0] for part in schema.replace("\n", " ").split(",")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, state = None, None
+        at, state, raw = None, None, None
         for frame in frames:
             out: list[tuple] = []
             for row in frame.itertuples(index=False):
-                key = tuple(None if pd.isna(v := getattr(row, k)) else v for k in keys)
-                if key != at:
-                    at, state = key, start()
+                now = tuple([getattr(row, k) for k in keys])
+                if now != raw:  # nulls may differ from themselves
+                    raw, key = now, tuple(None if pd.isna(v) else v for v in now)
+                    if key != at:
+                        at, state = key, start()
                 state, rows = step(state, row)
                 out.extend(rows)
             yield pd.DataFrame(out, columns=names)

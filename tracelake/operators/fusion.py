@@ -33,18 +33,44 @@ class Sightings:
         self.made = 0
 
     def put(self, frame: int, box: object, frame_gap: int) -> int:
-        """The number of the sighting that a box joins: the open one that it fits best, the older one of equals, else a new one."""
+        """The number of the sighting that a box joins: the open one that it fits best, the older one of equals, else a new one.
+
+        As `compatible` says, with a box's corners and centre worked out once; boxes that lie well
+        beyond MAX_DISTANCE and apart in height are passed over.
+        """
         best, at = None, None
-        self.open = [c for c in self.open if frame - c[1] <= frame_gap]
+        if self.open and any(frame - c[1] > frame_gap for c in self.open):
+            self.open = [c for c in self.open if frame - c[1] <= frame_gap]
+        far = MAX_DISTANCE * 1.0001
+        if box is not None:
+            x, y, half_w, half_h = box["x"], box["y"], box["width"] / 2, box["height"] / 2
+            right, bottom, area = x + box["width"], y + box["height"], box["width"] * box["height"]
         for i, (_, _, last) in enumerate(self.open):
-            if (fit := compatible(last, box)) is not None and (best is None or fit > best):
+            if last is None or box is None:
+                fit = 0.0
+            else:
+                left, top, last_right, last_bottom, last_area, cx, cy = last
+                dy = cy - y - half_h
+                h = (bottom if bottom < last_bottom else last_bottom) - (y if y > top else top)
+                if h <= 0 and (dy > far or dy < -far):
+                    continue
+                w = (right if right < last_right else last_right) - (x if x > left else left)
+                both = w * h if w > 0 and h > 0 else 0.0
+                union = last_area + area - both
+                fit = both / union if union > 0 else 0.0
+                if fit < MIN_IOU:
+                    dx = cx - x - half_w
+                    if not (dx * dx + dy * dy) ** 0.5 <= MAX_DISTANCE:
+                        continue
+            if best is None or fit > best:
                 best, at = fit, i
+        kept = None if box is None else (x, y, right, bottom, area, x + half_w, y + half_h)
         if at is None:
-            self.open.append((self.made, frame, box))
+            self.open.append((self.made, frame, kept))
             self.made += 1
             return self.made - 1
         number, _, last = self.open[at]
-        self.open[at] = (number, frame, box if box is not None else last)
+        self.open[at] = (number, frame, kept if kept is not None else last)
         return number
 
 
@@ -61,7 +87,7 @@ def fuse_text(ocr: DataFrame, frame_gap: int = FRAME_GAP) -> DataFrame:
     seen = ocr.where("frame_number IS NOT NULL").select(*names, *(F.col(f"bbox.{c}").cast("double").alias(c) for c in _BOX))
 
     def step(state: Sightings, row) -> tuple[Sightings, list[tuple]]:
-        box = {c: getattr(row, c) for c in _BOX}
+        box = {"x": row.x, "y": row.y, "width": row.width, "height": row.height}
         return state, [(*row, state.put(int(row.frame_number), None if box["x"] is None or box["x"] != box["x"] else box, frame_gap))]
 
     keys = names[:2]
