@@ -69,12 +69,12 @@ def thin(df: DataFrame, keys: list[str], at: str, tie: list[str], gap: float) ->
     a chain leads from a row to the first one at least gap later; chains are followed by pointers
     that double in length each round, all keys at once. Rows meet within stretches of
     time, so one busy key is many small groups. Rows without a time are dropped; null keys are a
-    key; with a gap of 0 all rows stay.
+    key; with a gap of 0 all rows stay. Between rounds keys are 16 bytes of their SHA-256, however long they are.
     """
     if gap <= _CLOSE:
         return df.where(F.col(at).isNotNull())
     names = df.columns
-    key = F.to_json(F.struct(*keys)).alias("_k")
+    key = F.unhex(F.substring(F.sha2(F.to_json(F.struct(*keys)), 256), 1, 32)).alias("_k")
     first = F.min_by(F.struct(*names), F.struct(*tie)) if tie else F.first(F.struct(*names))
     rows = held(df.where(F.col(at).isNotNull()).groupBy(key, F.col(at).cast("double").alias("_t")).agg(first.alias("_row")))
     width = STRETCH * gap

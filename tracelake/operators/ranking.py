@@ -147,8 +147,8 @@ def admit(requests: DataFrame, max_requests: int = MAX_REQUESTS, max_tokens: int
 
 def dedup_candidates(candidates: DataFrame, seconds: float = 60.0) -> DataFrame:
     """The first of candidates with the same video and participants, and then those at least seconds after the last one kept."""
-    sign = candidates.withColumn("signature", F.sha2(F.concat_ws("|", F.col("video_id").cast("string"), F.array_join(F.array_sort("participant_ids"), ",")), 256)).drop("participant_ids")
-    return thin(sign, ["signature"], "start", ["candidate_id"], seconds)
+    sign = candidates.withColumn("signature", F.unhex(F.sha2(F.concat_ws("|", F.col("video_id").cast("string"), F.array_join(F.array_sort("participant_ids"), ",")), 256))).drop("participant_ids")
+    return thin(sign, ["signature"], "start", ["candidate_id"], seconds).withColumn("signature", F.lower(F.hex("signature")))
 
 
 def reuse_results(requests: DataFrame, results: DataFrame, ttl: float = RESULT_TTL) -> DataFrame:
