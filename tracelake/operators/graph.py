@@ -150,22 +150,33 @@ def neighbors(nodes: DataFrame, edges: DataFrame, ids: DataFrame, direction: str
     return found.join(nodes.select(F.col("node_id").alias("other")).distinct(), "other", "left_semi").select("node_id", "other")
 
 
+#: Rows of one partition where found paths meet the pairs asked for.
+PATH_ROWS = 200_000
+
+
 def find_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 5, shortest_only: bool = False) -> DataFrame:
     """Every simple outbound path of up to max_depth edges for each pair (source, target), as an array of edge ids; empty where both are one.
 
-    max_depth rounds of joins; each round's partial paths are checkpointed to the shared folder.
+    max_depth rounds of joins; the pairs and each round's partial paths are tables in the shared folder. Paths of all
+    rounds meet the pairs in one join of as many partitions as their rows need, so no task holds more with more rows.
     """
     hop = edges.select(F.col("source_node_id").alias("at"), F.col("target_node_id").alias("next"), "edge_id")
     empty = F.array().cast("array<string>")
-    pairs = pairs.select("source", "target").distinct()
-    found = [pairs.where("source = target").select("source", "target", empty.alias("path"))]
+    pairs = held(pairs.select("source", "target").distinct())
     # paths grow from distinct sources, whatever the number of their targets
     part = pairs.select("source").distinct().select("source", F.col("source").alias("at"), F.array("source").alias("seen"), empty.alias("path"))
+    found, rows = [], pairs.count()
     for _ in range(max_depth):
         part = part.join(hop, "at").where(~F.array_contains("seen", F.col("next"))).select("source", F.col("next").alias("at"), F.concat("seen", F.array("next")).alias("seen"), F.concat("path", F.array("edge_id")).alias("path"))
         part = held(part)
-        found.append(part.withColumnRenamed("at", "target").join(pairs, ["source", "target"], "left_semi").select("source", "target", "path"))
-    out = union_all(*found)
+        found.append(part.select("source", F.col("at").alias("target"), "path"))
+        rows += part.count()
+    out = pairs.where("source = target").select("source", "target", empty.alias("path"))
+    if found:
+        n = max(edges.sparkSession.sparkContext.defaultParallelism, -(-rows // PATH_ROWS))
+        # planned sizes are those of compressed files, too low for a broadcast; pairs are distinct, and a semi join would be moved below the repartition
+        asked = pairs.repartition(n, "source", "target").hint("merge")
+        out = out.unionByName(union_all(*found).repartition(n, "source", "target").join(asked, ["source", "target"]))
     if shortest_only:
         out = out.withColumn("_m", F.min(F.size("path")).over(Window.partitionBy("source", "target"))).where(F.size("path") == F.col("_m")).drop("_m")
     return out
