@@ -28,7 +28,8 @@ def detection_pairs(gt: DataFrame, pred: DataFrame, max_dt: float = MAX_DT, min_
     """(video_id, class, g_id, p_id, t, t_end, weight): boxes of one class at most max_dt apart that overlap enough.
 
     gt, pred: video_id, id, t, class_name, bbox. Corners and areas are columns of each side, so that
-    the join's generated code stays small enough to be compiled. A threshold of 0 would admit disjoint boxes and is refused.
+    the join's generated code stays small enough to be compiled. Buckets are twice max_dt long, and the join is dealt over
+    all tasks, as its pairs are many more than its rows. A threshold of 0 would admit disjoint boxes and is refused.
     """
     if min_iou <= 0:
         raise ValueError("the threshold must be over 0")
@@ -38,7 +39,7 @@ def detection_pairs(gt: DataFrame, pred: DataFrame, max_dt: float = MAX_DT, min_
         corners = {"x": b["x"], "y": b["y"], "x2": x2(b), "y2": y2(b), "area": area(b)}
         return df.where((b["width"] > 0) & (b["height"] > 0)).select("video_id", F.lower("class_name").alias("class"), F.col("id").alias(f"{p}_id"), F.col("t").alias(f"{p}_t"), F.col("t").alias(f"{p}_e"), *(c.alias(f"{p}_{n}") for n, c in corners.items()))
 
-    both = range_join(side(gt, "g"), side(pred, "p"), ["video_id", "class"], ("g_t", "g_e"), ("p_t", "p_e"), max_dt, bucket=1.0)
+    both = range_join(side(gt, "g"), side(pred, "p").hint("merge"), ["video_id", "class"], ("g_t", "g_e"), ("p_t", "p_e"), max_dt, bucket=2 * max_dt or 1.0)
     both = both.withColumn("w", F.least("g_x2", "p_x2") - F.greatest("g_x", "p_x")).withColumn("h", F.least("g_y2", "p_y2") - F.greatest("g_y", "p_y")).where("w > 0 AND h > 0")
     weight = F.col("w") * F.col("h") / (F.col("g_area") + F.col("p_area") - F.col("w") * F.col("h"))
     return both.select("video_id", "class", "g_id", "p_id", F.least("g_t", "p_t").alias("t"), F.greatest("g_t", "p_t").alias("t_end"), weight.alias("weight")).where(F.col("weight") >= min_iou)
