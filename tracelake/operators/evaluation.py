@@ -335,20 +335,28 @@ def audit_run(events: DataFrame, candidates: DataFrame, evidence: DataFrame) ->
     return reduce(DataFrame.unionByName, (e, ungrounded, lost, wild))
 
 
+#: Citations of one partition where they meet what they cite.
+CITED_ROWS = 400_000
+
+
 def audit_references(events: DataFrame, citations: DataFrame, tracks: DataFrame, texts: DataFrame, segments: DataFrame) -> DataFrame:
     """(issue, id) of a run's timelines: events out of order, and citations of unknown tracks, texts and segments or at negative times.
 
     events: video_id, event_id, position, start; one that starts before the one ahead of it in its
     video, by position, is non_monotonic, and the first of a video is where it starts below -1.
     citations: event_id, track_id, observation_id, segment_id, timestamp_seconds, of which any may
-    be null; each gives its own issues. id is the event's, as text.
+    be null; each gives its own issues. id is the event's, as text. Many citations are dealt to as many
+    partitions as their rows need, so no task holds more of them with more rows.
     """
+    n = -(-citations.count() // CITED_ROWS)
+    many = n > citations.sparkSession.sparkContext.defaultParallelism
     w = Window.partitionBy("video_id").orderBy("position", "event_id")
     broken = events.withColumn("_ahead", F.coalesce(F.lag("start").over(w), F.lit(-1.0))).where("start < _ahead").select(F.lit("non_monotonic").alias("issue"), F.col("event_id").cast("string").alias("id"))
     early = citations.where("timestamp_seconds < 0").select(F.lit("negative_evidence_time").alias("issue"), F.col("event_id").cast("string").alias("id"))
     out = broken.unionByName(early)
     for issue, key, known in (("ungrounded_track", "track_id", tracks), ("ungrounded_text", "observation_id", texts), ("ungrounded_segment", "segment_id", segments)):
-        lost = citations.where(F.col(key).isNotNull()).join(known.select(key).distinct(), key, "left_anti")
+        cited = citations.where(F.col(key).isNotNull()).select("event_id", key)
+        lost = (cited.repartition(n, key) if many else cited).join(known.select(key).distinct(), key, "left_anti")
         out = out.unionByName(lost.select(F.lit(issue).alias("issue"), F.col("event_id").cast("string").alias("id")))
     return out
 
