@@ -9,32 +9,50 @@ each set's number of links and as many links as connect the same sets, not the p
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import lean
+from tracelake.llm.common import Scratch, lean
 
 #: Sets of a block, and shingles that its sets hold together (one larger set is a block of its own), about.
 FAMILY_BLOCK, FAMILY_SHINGLES = 256, 1 << 19
 #: Columns of an incidence matrix at a time.
 COLUMNS = 4096
+#: Heads of a set's lists that may lead it.
+CANDIDATES = 4
 
 
-def leaders(lists: DataFrame, percent: int) -> DataFrame:
+def leaders(lists: DataFrame, percent: int, close: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
     """(set_id, leader, blocks, block) of the sets that a leader stands for, leaders of two sets or more only.
 
-    lists: (token, set_id, n). The smallest set of a token's list is its head. A set's
-    leader is the head of most of its lists, if that is the head of at least half of its
-    prefix; ties go to the smaller. Which leader a set has affects time and no result.
+    lists: (token, set_id, n). The smallest set of a token's list is its head; close keeps
+    the rows whose set_id and leader have near sketches. A set's leader is the smallest
+    close one of the heads that most of its lists have, or else the head of at least half
+    of its prefix. Then the lists name their smallest leader instead, so that families of
+    the same copies become one and copies that share few lists with a head join them.
+    Which leader a set has affects time and no result.
     """
-    lists = lists.join(lists.groupBy("token").agg(F.min("set_id").alias("head")), "token")
+    lists = lists.select("token", "set_id", "n")
     prefix = F.floor(F.col("n") * (100 - percent) / 100) + 1
-    votes = lists.groupBy("set_id", "n", F.col("head").alias("leader")).agg(F.count("*").alias("votes")).where(2 * F.col("votes") >= prefix)
-    best = votes.groupBy("set_id", "n").agg(F.min(F.struct((-F.col("votes")).alias("votes"), "leader"))["leader"].alias("leader"))
+
+    def named(heads: DataFrame) -> DataFrame:
+        votes = lists.join(heads, "token").groupBy("set_id", "n", "leader").agg(F.count("*").alias("votes"))
+        most = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("votes"), "leader"))), 1, CANDIDATES)
+        return votes.groupBy("set_id", "n").agg(most.alias("most"))
+
+    first = scratch.put(named(lists.groupBy("token").agg(F.min("set_id").alias("leader"))), "heads")
+    half = first.where(-2 * F.col("most")[0]["votes"] >= prefix).select("set_id", F.col("most")[0]["leader"].alias("half"))
+    chosen = close(first.select("set_id", F.explode("most.leader").alias("leader"))).groupBy("set_id").agg(F.min("leader").alias("leader"))
+    best = chosen.join(half, "set_id", "full").select("set_id", F.coalesce("leader", "half").alias("leader"))
+    # a set that only stands for itself names no family
+    best = scratch.put(best.join(best.groupBy("leader").agg(F.count("*").alias("k")).where("k > 1").select("leader"), "leader").select("set_id", "leader"), "first-leaders")
+    again = named(lists.join(best, "set_id").groupBy("token").agg(F.min("leader").alias("leader")))
+    moved = close(again.select("set_id", F.explode("most.leader").alias("leader"))).groupBy("set_id").agg(F.min("leader").alias("moved"))
+    best = scratch.put(lists.select("set_id", "n").distinct().join(best, "set_id", "left").join(moved, "set_id", "left").select("set_id", "n", F.coalesce(F.least("leader", "moved"), "leader", "moved").alias("leader")).where("leader IS NOT NULL"), "leaders")
     sizes = best.groupBy("leader").agg(F.count("*").alias("k"), F.sum("n").alias("total")).where("k > 1")
     blocks = F.greatest(F.ceil(F.col("k") / FAMILY_BLOCK), F.ceil(F.col("total") / FAMILY_SHINGLES)).cast("int")
     return best.join(sizes.select("leader", blocks.alias("blocks")), "leader").select("set_id", "leader", "blocks", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int").alias("block"))

@@ -39,6 +39,8 @@ FREQUENT_DOCS = 64
 SHORT_LIST, BLOCK = 48, 256
 #: Tokens by which a pair is told to have left an earlier list.
 BEFORE = 8
+#: How many times the distance of a link a set's sketch may have from its leader's.
+CLOSE = 2
 #: Counters of a sketch. Sets of over FINE elements a counter have a finer one too, of at least one counter for FINE elements.
 SKETCH, FINE = 128, 8
 #: Positions of the bitmap of documents whose sets are compared: 1 MB.
@@ -229,7 +231,7 @@ def scanned_pairs(rows: DataFrame, percent: int, boundary: int = 0) -> DataFrame
 
     Each pair of blocks of a list is a group of its own of at most about 2 BLOCK rows. A
     pair leaves the list of its first common prefix token, and others only if none of the
-    tokens in `before` (the BEFORE smallest of a prefix) is common; and only if the
+    tokens in `before` (those of the BEFORE smallest long lists of a set that are smaller) is common; and only if the
     sketches let the sets differ little enough.
     """
     left = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -292,15 +294,18 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, s
     # a light set may link to a heavy one of nearly its size: such sets go both ways, but pairs of two light ones do not
     heavy = shared.where(f"100 * n >= {percent} * {boundary + 1}")
     short, long = heavy.where(f"size <= {SHORT_LIST}"), heavy.where(f"size > {SHORT_LIST}")
-    led = scratch.put(leaders(long, percent), "led")
+    described = sets.select("set_id", "n", "sketch", "fine")
+    led = scratch.put(leaders(long, percent, lambda pairs: near_sketches(pairs, described, "set_id", "leader", percent, CLOSE), scratch), "led")
+    scratch.drop("heads", "first-leaders", "leaders")
     x, y = short.select("token", F.col("set_id").alias("a"), F.col("n").alias("na")), short.select("token", F.col("set_id").alias("b"), F.col("n").alias("nb"))
     pairs = x.join(y, "token").where(f"a < b AND greatest(na, nb) > {boundary} AND {_near('na', 'nb', percent)}").select("a", "b")
     # a list that one family has to itself is not scanned
     named = scratch.put(long.join(led.select("set_id", "leader"), "set_id", "left").select("token", "set_id", "n", "size", "leader"), "named")
     open_lists = named.groupBy("token").agg(F.count("leader").alias("k"), F.count("*").alias("n"), F.min("leader").alias("l"), F.max("leader").alias("h")).where("k < n OR l <> h").select("token")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = named.join(open_lists, "token").join(sets.select("set_id", "sketch", F.array_sort("prefix").alias("prefix")), "set_id")
-    before = F.slice(F.filter("prefix", lambda t: t < F.col("token")), 1, BEFORE)
+    firsts = named.groupBy("set_id").agg(F.slice(F.array_sort(F.collect_list("token")), 1, BEFORE).alias("firsts"))
+    rows = named.join(open_lists, "token").join(firsts, "set_id").join(sets.select("set_id", "sketch"), "set_id")
+    before = F.filter("firsts", lambda t: t < F.col("token"))
     rows = rows.select("token", "set_id", "n", "leader", "sketch", before.alias("before"), F.pmod(F.xxhash64("set_id"), blocks).cast("int").alias("block"), blocks.alias("blocks"))
     pairs = scratch.put(pairs.unionByName(scanned_pairs(rows, percent, boundary)).distinct(), "pairs")
     scratch.drop("lists", "named")
@@ -336,8 +341,8 @@ def id_bitmap(ids: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that the sketches don't rule out and that no family holds: sets (set_id, n, sketch, fine, leader)."""
+def near_sketches(pairs: DataFrame, sets: DataFrame, a: str, b: str, percent: int, times: int = 1) -> DataFrame:
+    """The pairs (columns a and b) whose sketches differ by no more than `times` what those of linked sets may: sets (set_id, n, sketch, fine)."""
 
     @F.pandas_udf("boolean")
     def may_link(sa, na, sb, nb, fa, fb):
@@ -345,16 +350,23 @@ def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             return na.astype(bool)
         x = np.frombuffer(b"".join(sa), np.uint8).reshape(-1, SKETCH).astype(np.int16)
         y = np.frombuffer(b"".join(sb), np.uint8).reshape(-1, SKETCH).astype(np.int16)
-        most = ((na + nb) * (100 - percent)).to_numpy()
+        most = ((na + nb) * (100 - percent) * times).to_numpy()
         out = np.abs(x - y).sum(axis=1, dtype=np.int64) * (100 + percent) <= most
         for k in np.flatnonzero(out).tolist():
             if fa[k] and fb[k]:
                 out[k] = sketch_distance(fa[k], fb[k]) * (100 + percent) <= most[k]
         return pd.Series(out)
 
-    a = sets.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("fine").alias("fa"), F.col("leader").alias("la"))
-    b = sets.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("fine").alias("fb"), F.col("leader").alias("lb"))
-    return pairs.join(a, "a").join(b, "b").where("la IS NULL OR lb IS NULL OR la <> lb").where(may_link("sa", "na", "sb", "nb", "fa", "fb")).select("a", "b")
+    x = sets.select(F.col("set_id").alias(a), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("fine").alias("fa"))
+    y = sets.select(F.col("set_id").alias(b), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("fine").alias("fb"))
+    return pairs.join(x, a).join(y, b).where(may_link("sa", "na", "sb", "nb", "fa", "fb")).select(*pairs.columns)
+
+
+def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the sketches don't rule out and that no family holds: sets (set_id, n, sketch, fine, leader)."""
+    a, b = (sets.select(F.col("set_id").alias(c), F.col("leader").alias(f"l{c}")) for c in "ab")
+    apart = pairs.join(a, "a").join(b, "b").where("la IS NULL OR lb IS NULL OR la <> lb").select("a", "b")
+    return near_sketches(apart, sets, "a", "b", percent)
 
 
 def whole_sets(docs: DataFrame, table: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
