@@ -29,8 +29,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def numbered(docs: DataFrame, tag: str) -> DataFrame:
-    """docs with a key of each row in ROW, written so that it stays the same: doc_id may be null or repeat."""
-    return staged(docs.withColumn(ROW, F.monotonically_increasing_id()), tag)
+    """docs with a key of each row in ROW, written so that it stays the same: doc_id may be null or repeat. The whole texts stay on disk, so they are packed well."""
+    return staged(docs.withColumn(ROW, F.monotonically_increasing_id()), tag, codec="zstd")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

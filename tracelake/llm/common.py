@@ -35,10 +35,11 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tracelake-{tag}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def staged(df: DataFrame, tag: str, partition_by: tuple[str, ...] = (), codec: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and reads it back, so that a lost executor costs no recomputation."""
     path = shared_path(df.sparkSession, tag)
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+    out = df.write.option("compression", codec)
+    out.partitionBy(*partition_by).parquet(path) if partition_by else out.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
