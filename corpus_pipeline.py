@@ -33,6 +33,13 @@ def numbered(docs: DataFrame, tag: str) -> DataFrame:
     return staged(docs.withColumn(ROW, F.monotonically_increasing_id()), tag, codec="zstd")
 
 
+def chosen(rows: DataFrame, keep: DataFrame) -> DataFrame:
+    """The numbered rows that keep names, once each. Runs of 64 numbers are one row of bits, small enough that whole texts need no exchange to meet them."""
+    bits = keep.groupBy(F.shiftright(ROW, 6).alias("_run")).agg(F.expr(f"bit_or(shiftleft(1L, CAST({ROW} & 63 AS INT)))").alias("_bits"))
+    met = rows.withColumn("_run", F.shiftright(ROW, 6)).join(staged(bits, "near-bits"), "_run")
+    return met.where(F.expr(f"getbit(_bits, CAST({ROW} & 63 AS INT)) = 1")).select(*rows.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked ones: the one with the smallest doc_id, without doc_id only if none has one. Rows without words all stay."""
     docs, given = apart(docs, ("doc_id", "text"))
@@ -40,7 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = jaccard.jaccard_join(rows.select(F.col(ROW).alias("doc_id"), "text"), NEAR_WORDS, NEAR_PERCENT).select(F.col("doc_id").alias(ROW), "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))
     keep = rows.select(ROW, "doc_id").join(found, ROW).groupBy("component_id").agg(first.alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
-    return rows.join(keep, ROW, "left_semi").select(*given)
+    return chosen(rows, keep).select(*given)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

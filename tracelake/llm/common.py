@@ -74,6 +74,16 @@ class Scratch:
             dropped(self.spark, *self.paths.pop(name, ()))
 
 
+#: Parts that many rows go by, at most, and from how many rows on there is one more.
+PARTS, PART_ROWS = 4, 1 << 22
+
+
+def in_parts(df: DataFrame, key: str, rows: int) -> list[DataFrame]:
+    """df's rows by parts of a column of hashes, few where they are few: what shuffles them holds one part on disk at a time."""
+    n = min(PARTS, 1 + rows // PART_ROWS)
+    return [df.where(F.pmod(key, F.lit(n)) == i) for i in range(n)] if n > 1 else [df]
+
+
 def chosen_share(key: Column, share: float) -> Column:
     """True for about that share of all 64-bit hashes, however small it is: a sample of bounded size from any number of rows."""
     return F.lit(True) if share >= 1 else key < F.lit(int(share * 2.0**64) - (1 << 63)).cast("long")
@@ -85,6 +95,11 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def freed_shuffles(spark: SparkSession) -> None:
+    """Lets each statement's shuffle files go when it ends, not when the driver happens to collect garbage; what is needed later is staged."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, giving freed memory back to the system when a task ends: workers are reused, and an executor's memory is shared."""
 

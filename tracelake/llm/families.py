@@ -2,7 +2,7 @@
 
 A family has a leader, and a set of it is described by its difference from the leader's
 set. The overlap of two sets of a family follows from these differences alone:
-|A and B| = |L| - |L - A| - |L - B| + |(A xor L) and (B xor L)|. Blocks of sets are compared
+|A and B| = |L| - |L - A| - |L - B| + |(L - A) and (L - B)| + |(A - L) and (B - L)|. Blocks of sets are compared
 with each other, a product of incidence matrices each, and what leaves a comparison is
 each set's number of links and as many links as connect the same sets, not the pairs.
 """
@@ -10,13 +10,14 @@ each set's number of links and as many links as connect the same sets, not the p
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import Scratch, lean
+from tracelake.llm.common import Scratch, in_parts, lean
 
 #: Sets of a block, and shingles that its sets hold together (one larger set is a block of its own), about.
 FAMILY_BLOCK, FAMILY_SHINGLES = 256, 1 << 19
@@ -58,8 +59,22 @@ def leaders(lists: DataFrame, percent: int, close: Callable[[DataFrame], DataFra
     return best.join(sizes.select("leader", blocks.alias("blocks")), "leader").select("set_id", "leader", "blocks", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int").alias("block"))
 
 
+def packed(places: np.ndarray, of: int) -> bytes:
+    """Places below `of` as a bit each, or as 4 bytes each where these are fewer."""
+    if 32 * len(places) < of:
+        return places.astype(np.uint32).tobytes()
+    bits = np.zeros(of, np.uint8)
+    bits[places] = 1
+    return np.packbits(bits).tobytes()
+
+
+def unpacked(data: bytes, n: int, of: int) -> np.ndarray:
+    """The n places that packed has put away."""
+    return np.frombuffer(data, np.uint32).astype(np.uint64) if 32 * n < of else np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8), count=of)).astype(np.uint64)
+
+
 def differences(members: DataFrame, elements: DataFrame) -> DataFrame:
-    """(leader, blocks, block, set_id, n, m, delta): each set's and its leader's size, and the sorted elements that only one of the two holds.
+    """(leader, blocks, block, set_id, n, m, gaps, missing, extra): each set's and its leader's size, how many and (packed) which places of the leader's sorted elements a set lacks, and the elements that it alone of the two holds.
 
     members as of leaders, elements (set_id, elements) of all members and leaders. A
     leader's elements go to every block of its family, so that no family is one task.
@@ -70,15 +85,30 @@ def differences(members: DataFrame, elements: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, m, deltas = [], [], []
+            n, m, gaps, missing, extra = [], [], [], [], []
             for own, base in zip(batch.column(4), batch.column(5), strict=True):
                 own, base = np.frombuffer(own.as_buffer(), np.uint64), np.frombuffer(base.as_buffer(), np.uint64)
+                places = np.flatnonzero(np.isin(base, own, assume_unique=True, invert=True))
                 n.append(len(own))
                 m.append(len(base))
-                deltas.append(np.setxor1d(own, base, assume_unique=True).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(deltas, pa.binary())], [*batch.schema.names[:4], "n", "m", "delta"])
+                gaps.append(len(places))
+                missing.append(packed(places, len(base)))
+                extra.append(np.setdiff1d(own, base, assume_unique=True).view(np.int64))
+            counts = [pa.array(c, pa.int64()) for c in (n, m, gaps)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *counts, pa.array(missing, pa.binary()), pa.array(extra, pa.list_(pa.int64()))], [*batch.schema.names[:4], "n", "m", "gaps", "missing", "extra"])
+
+    return rows.mapInArrow(lean(run), "leader long, blocks int, block int, set_id long, n long, m long, gaps long, missing binary, extra array<long>")
+
 
-    return rows.mapInArrow(lean(run), "leader long, blocks int, block int, set_id long, n long, m long, delta binary")
+def recurring(deltas: DataFrame, scratch: Scratch) -> DataFrame:
+    """deltas, with those elements in `extra` that another set of the family has too: what one set holds alone is in no intersection, and need not go to every block."""
+    each = deltas.select("leader", "set_id", F.explode("extra").alias("e"))
+    total, found = deltas.agg(F.sum(F.size("extra"))).first()[0] or 0, []
+    for own in in_parts(each, "e", total):
+        often = own.groupBy("leader", "e").agg(F.count("*").alias("k")).where("k > 1").select("leader", "e")
+        found.append(scratch.put(own.join(often, ["leader", "e"]).groupBy("set_id").agg(F.collect_list("e").alias("e")), "extras"))
+    again = reduce(DataFrame.unionByName, found).groupBy("set_id").agg(F.flatten(F.collect_list("e")).alias("_extra"))
+    return deltas.join(again, "set_id", "left").withColumn("extra", F.coalesce("_extra", F.array().cast("array<long>"))).drop("_extra")
 
 
 def common_counts(deltas: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -117,20 +147,20 @@ def forest(adjacent: np.ndarray) -> list[tuple[int, int]]:
 
 
 def family_links(deltas: DataFrame, percent: int, boundary: int) -> DataFrame:
-    """(a, b, k) rows: links between sets of a family that connect all that its links connect (k null), and numbers of links k of sets a (b null).
+    """(a, b, k) rows: links between sets of a family that connect all that its links connect (k null), and numbers of links k of sets a (b null). deltas as of recurring.
 
     A pair counts if one of its sets is larger than the boundary. Each pair of blocks is a group of its own.
     """
     rows = deltas.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "n", "m", "delta")
+    rows = rows.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "n", "m", "gaps", "missing", "extra")
 
     def scan(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        block, ids, n, m = (table.column(c).to_numpy() for c in ("block", "set_id", "n", "m"))
-        own = [np.frombuffer(d.as_buffer(), np.uint64) for d in table.column("delta")]
+        block, ids, n, m, gaps = (table.column(c).to_numpy() for c in ("block", "set_id", "n", "m", "gaps"))
+        missing = [unpacked(d.as_py(), k, m[0]) for d, k in zip(table.column("missing"), gaps.tolist(), strict=True)]
+        extra = [np.array(e.as_py(), np.int64).view(np.uint64) for e in table.column("extra")]
         x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        left = (m + np.array([len(d) for d in own], np.int64) - n) // 2  # elements of the leader that a set leaves out
-        overlap = m[0] - left[x][:, None] - left[y][None, :] + common_counts(own, x, y)
+        overlap = m[0] - gaps[x][:, None] - gaps[y][None, :] + common_counts(missing, x, y) + common_counts(extra, x, y)
         link = ((100 + percent) * overlap >= percent * (n[x][:, None] + n[y][None, :])) & (np.maximum(n[x][:, None], n[y][None, :]) > boundary)
         adjacent = np.zeros((len(ids), len(ids)), bool)
         if i == j:

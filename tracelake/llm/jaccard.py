@@ -14,6 +14,7 @@ are exact: every candidate's whole sets are intersected.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -24,9 +25,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import LOWER, Scratch, bounded_batches, lean, mixed, passes, span_hashes, staged, text_bytes, word_spans
+from tracelake.llm.common import LOWER, Scratch, bounded_batches, freed_shuffles, in_parts, lean, mixed, passes, span_hashes, staged, text_bytes, word_spans
 from tracelake.llm.components import components
-from tracelake.llm.families import differences, family_links, leaders
+from tracelake.llm.families import differences, family_links, leaders, recurring
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -266,6 +267,15 @@ def scanned_pairs(rows: DataFrame, percent: int, boundary: int = 0) -> DataFrame
     return left.groupBy("token", "i", "j").applyInArrow(scan, "a long, b long")
 
 
+def shared_lists(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(token, set_id, n, size) of the prefix tokens that two sets or more have; most tokens are one set's alone."""
+    tokens, out = sets.select("set_id", "n", F.explode("prefix").alias("token")), []
+    for own in in_parts(tokens, "token", sets.agg(F.sum(F.size("prefix"))).first()[0] or 0):
+        lists = own.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
+        out.append(scratch.put(own.join(lists, "token").select("token", "set_id", "n", "size"), "lists"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(table, links, degrees) of links between different sets with 100 |A and B| >= percent |A or B|.
 
@@ -274,14 +284,13 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, s
     all of them; no table has a row for every pair of a large group.
     """
     bounded_batches(docs.sparkSession)
+    freed_shuffles(docs.sparkSession)
     scratch = scratch or Scratch(docs.sparkSession)
     whole = scratch.put(set_table(docs, frequent_shingles(docs, words), words, percent), "sets")
     table = scratch.put(whole.select("doc_id", "n", "set_id"), "documents")
     sets = scratch.put(whole.where("n > 0 AND doc_id IS NOT NULL").select("set_id", "n", "prefix", "sketch", "fine", "small").dropDuplicates(["set_id"]), "classes")
     scratch.drop("sets")
-    tokens = sets.select("set_id", "n", F.explode("prefix").alias("token"))
-    lists = tokens.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-    shared = scratch.put(tokens.join(lists, "token").select("token", "set_id", "n", "size"), "lists")
+    shared = shared_lists(sets, scratch)
 
     # the boundary: up to which size is it cheaper to enumerate subsets than to scan lists
     scan_cost = {r.n: r.cost for r in shared.where(F.col("n") <= MAX_LIGHT).groupBy("n").agg(F.sum("size").alias("cost")).collect()}
@@ -317,8 +326,8 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, s
     found = scratch.put(overlapping(pairs, elements, percent), "verified")
     deltas = scratch.put(differences(led, elements), "differences")
     scratch.drop("likely", "elements")
-    within = scratch.put(family_links(deltas, percent, boundary), "families")
-    scratch.drop("differences", "led")
+    within = scratch.put(family_links(scratch.put(recurring(deltas, scratch), "recurring"), percent, boundary), "families")
+    scratch.drop("differences", "led", "extras", "recurring")
     one = F.lit(1).cast("long").alias("n_links")
     degrees = light_degrees.unionByName(found.select(F.explode(F.array("a", "b")).alias("set_id"), one)).unionByName(within.where("k IS NOT NULL").select(F.col("a").alias("set_id"), F.col("k").alias("n_links")))
     degrees = scratch.put(degrees.groupBy("set_id").agg(F.sum("n_links").alias("n_links")), "degrees")
