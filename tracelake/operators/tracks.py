@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracelake.functions.exprs import compass8, cx, cy, heading
-from tracelake.functions.ordered import islands, ordered_fold, range_join
+from tracelake.functions.matching import greedy_classes
+from tracelake.functions.ordered import islands, range_join
 
 KEY = ["video_id", "track_id"]
 
@@ -68,38 +72,6 @@ HIGH, LOW, BIRTH, MAX_MISSED = 0.5, 0.1, 0.6, 30
 FIRST_IOU, SECOND_IOU = 0.2, 0.5
 
 
-class _Track:
-    """Constant-velocity Kalman filter over centre and size of a box; each of the four runs for itself."""
-
-    def __init__(self, birth: tuple[int, object], row):
-        self.birth, self.missed, self.class_name = birth, 0, row["class_name"]
-        self.x = [[v, 0.0] for v in _measure(row["bbox"])]
-        self.p = [[100.0, 0.0, 0.0, 100.0] for _ in range(4)]
-
-    def predict(self) -> None:
-        for s, p in zip(self.x, self.p, strict=True):
-            s[0] += s[1]
-            a, b, c, d = p
-            p[:] = [a + b + c + d + 1.0, b + d, c + d, d + 0.1]
-
-    def update(self, row) -> None:
-        for s, p, z in zip(self.x, self.p, _measure(row["bbox"]), strict=True):
-            a, b, c, d = p
-            k0, k1, r = a / (a + 4.0), c / (a + 4.0), z - s[0]
-            s[0] += k0 * r
-            s[1] += k1 * r
-            p[:] = [(1 - k0) * a, (1 - k0) * b, c - k1 * a, d - k1 * b]
-        self.missed, self.class_name = 0, row["class_name"]
-
-    def box(self) -> tuple[float, float, float, float]:
-        (x, _), (y, _), (w, _), (h, _) = self.x
-        return x - w / 2, y - h / 2, max(w, 1e-3), max(h, 1e-3)
-
-
-def _measure(b) -> tuple[float, float, float, float]:
-    return b["x"] + b["width"] / 2, b["y"] + b["height"] / 2, b["width"], b["height"]
-
-
 #: Places of boxes that are compared at once.
 BLOCK = 1 << 20
 
@@ -176,61 +148,138 @@ def _taken(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate(out)) if out else at
 
 
-def _matched(tracks: list[_Track], rows: list, least: float) -> tuple[list[tuple[_Track, object]], list[_Track], list]:
-    """Pairs of one class by falling overlap; ties by the track's birth, then detection. Boxes meet by cells."""
-    by_class: dict = {}
-    for r in rows:
-        by_class.setdefault(r["class_name"], ([], []))[1].append(r)
-    for t in tracks:
-        if t.class_name in by_class:
-            by_class[t.class_name][0].append(t)
-    used_t, used_r, out = set(), set(), []
-    for mine, seen in by_class.values():
-        if not mine:
-            continue
-        # in order of birth and of detection, so that places break ties
-        mine, seen = sorted(mine, key=lambda t: t.birth), sorted(seen, key=lambda r: r["detection_id"])
-        i, j, o = _overlapping(np.array([t.box() for t in mine], float), np.array([[r["bbox"][c] for c in ("x", "y", "width", "height")] for r in seen], float), least)
-        order = np.lexsort((j, i, -o))
-        i, j = i[order], j[order]
-        for n in _taken(i, j):
-            out.append((mine[i[n]], seen[j[n]]))
-            used_t.add(mine[i[n]].birth)
-            used_r.add(seen[j[n]]["detection_id"])
-    return out, [t for t in tracks if t.birth not in used_t], [r for r in rows if r["detection_id"] not in used_r]
+def _alike(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of m's rows with equal rows together, each of these rising, and where each run of equal ones starts (one more entry)."""
+    order = np.lexsort(m.T)
+    rows = m[order]
+    return order, np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1), [True]))) if len(m) else np.zeros(1, np.int64)
+
+
+#: Pairs of boxes that are sorted at once; if equal boxes make more, they are matched as one with their members.
+MAX_PAIRS = 1 << 20
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (places in a and in b) by falling overlap, ties by place in a, then in b, as long as both are free. Overlaps of equal boxes are worked out once."""
+    (order_a, start_a), (order_b, start_b) = _alike(a), _alike(b)
+    i, j, o = _overlapping(a[order_a[start_a[:-1]]], b[order_b[start_b[:-1]]], least)
+    many_a, many_b = np.diff(start_a)[i], np.diff(start_b)[j]
+    n = many_a * many_b
+    if n.sum() <= max(MAX_PAIRS, 4 * len(n)):
+        k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        across = np.repeat(many_b, n)
+        left, right = order_a[np.repeat(start_a[i], n) + k // across], order_b[np.repeat(start_b[j], n) + k % across]
+        order = np.lexsort((right, left, -np.repeat(o, n)))
+        taken = order[_taken(left[order], right[order])]
+        return left[taken], right[taken]
+    members = lambda of, order, start: {x: order[start[x] : start[x + 1]].tolist() for x in np.unique(of).tolist()}
+    found = greedy_classes(dict(zip(zip(i.tolist(), j.tolist(), strict=True), o.tolist(), strict=True)), members(i, order_a, start_a), members(j, order_b, start_b))
+    return np.array([x for *_, x, _ in found], np.int64), np.array([x for *_, x in found], np.int64)
 
 
 class Association:
-    """The live tracks of a video between frames; holds nothing of tracks that have ended."""
+    """The live tracks of a video between frames; holds nothing of tracks that have ended.
+
+    A track is a constant-velocity Kalman filter over centre and size of a box; each of the four runs for itself,
+    and as they are updated together they share one covariance. Tracks are rows of arrays, in the order of their birth.
+    """
 
     def __init__(self) -> None:
-        self.live: list[_Track] = []
         self.last: int | None = None
+        self.classes: dict = {}
+        self.kind, self.missed, self.birth = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, object)
+        self.x, self.v, self.p = np.empty((0, 4)), np.empty((0, 4)), np.empty((0, 4))
+
+    def _keep(self, mask: np.ndarray) -> None:
+        for name in ("kind", "missed", "birth", "x", "v", "p"):
+            setattr(self, name, getattr(self, name)[mask])
+
+    def _matched(self, tracks: np.ndarray, rows: np.ndarray, kind: np.ndarray, boxes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(tracks, rows) of the pairs of one class by falling overlap; ties by the track's birth, then detection."""
+        w, h = np.maximum(self.x[tracks, 2], 1e-3), np.maximum(self.x[tracks, 3], 1e-3)
+        own = np.column_stack((self.x[tracks, 0] - self.x[tracks, 2] / 2, self.x[tracks, 1] - self.x[tracks, 3] / 2, w, h))
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for k in np.unique(kind[rows]):
+            mine, seen = np.flatnonzero(self.kind[tracks] == k), rows[kind[rows] == k]
+            if len(mine):
+                i, j = _pairs(own[mine], boxes[seen], least)
+                found.append((tracks[mine[i]], seen[j]))
+        return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
     def step(self, frame: int, rows: list) -> list[tuple]:
         """(detection_id, label) of the frame's detections that are part of a track; label is the frame and the detection that it began with."""
+        rows = sorted({(r["detection_id"], r["class_name"]): r for r in rows}.values(), key=lambda r: r["detection_id"])
+        boxes = np.array([[r["bbox"][c] for c in ("x", "y", "width", "height")] for r in rows], float).reshape(-1, 4)
+        return self.advance(frame, [r["detection_id"] for r in rows], [r["class_name"] for r in rows], np.array([r["confidence"] for r in rows], float), boxes)
+
+    def advance(self, frame: int, ids: list, classes: list, confidence: np.ndarray, boxes: np.ndarray) -> list[tuple]:
+        """The same for columns of rows (boxes: x, y, width, height) in the order of their ids."""
         if self.last is None or frame - self.last > MAX_MISSED:
-            self.live = []
+            self._keep(np.zeros(len(self.kind), bool))
         else:
-            for t in self.live:
-                for _ in range(frame - self.last):
-                    t.predict()
-                    t.missed += 1
-            self.live = [t for t in self.live if t.missed <= MAX_MISSED]
+            for _ in range(frame - self.last):
+                a, b, c, d = self.p.T
+                self.x, self.p = self.x + self.v, np.column_stack((a + b + c + d + 1.0, b + d, c + d, d + 0.1))
+            self.missed = self.missed + (frame - self.last)
+            self._keep(self.missed <= MAX_MISSED)
         self.last = frame
-        pairs, free, high = _matched(self.live, [r for r in rows if r["confidence"] >= HIGH], FIRST_IOU)
-        more, _, _ = _matched(free, [r for r in rows if LOW <= r["confidence"] < HIGH], SECOND_IOU)
-        out = []
-        for t, r in pairs + more:
-            t.update(r)
-            out.append((r["detection_id"], f"{t.birth[0]}-{t.birth[1]}"))
-        for r in high:
-            if r["confidence"] >= BIRTH:
-                self.live.append(_Track((frame, r["detection_id"]), r))
-                out.append((r["detection_id"], f"{frame}-{r['detection_id']}"))
+        kind = np.array([self.classes.setdefault(c, len(self.classes)) for c in classes], np.int64)
+        high = np.flatnonzero(confidence >= HIGH)
+        tracks, seen = self._matched(np.arange(len(self.kind)), high, kind, boxes, FIRST_IOU)
+        free = np.setdiff1d(np.arange(len(self.kind)), tracks)
+        more = self._matched(free, np.flatnonzero((confidence >= LOW) & (confidence < HIGH)), kind, boxes, SECOND_IOU)
+        born = np.setdiff1d(high, seen)
+        born = born[confidence[born] >= BIRTH]
+        tracks, seen = np.concatenate((tracks, more[0])), np.concatenate((seen, more[1]))
+        measured = np.column_stack((boxes[:, 0] + boxes[:, 2] / 2, boxes[:, 1] + boxes[:, 3] / 2, boxes[:, 2], boxes[:, 3]))
+        a, b, c, d = self.p[tracks].T
+        k0, k1, r = a / (a + 4.0), c / (a + 4.0), measured[seen] - self.x[tracks]
+        self.x[tracks] += k0[:, None] * r
+        self.v[tracks] += k1[:, None] * r
+        self.p[tracks] = np.column_stack(((1 - k0) * a, (1 - k0) * b, c - k1 * a, d - k1 * b))
+        self.missed[tracks] = 0
+        out = [(ids[j], label) for j, label in zip(seen.tolist(), self.birth[tracks], strict=True)]
+        labels = np.array([f"{frame}-{ids[j]}" for j in born.tolist()], object)
+        out += [(ids[j], label) for j, label in zip(born.tolist(), labels, strict=True)]
+        new = {"kind": kind[born], "missed": np.zeros(len(born), np.int64), "birth": labels, "x": measured[born], "v": np.zeros((len(born), 4)), "p": np.tile([100.0, 0.0, 0.0, 100.0], (len(born), 1))}
+        for name, rows in new.items():
+            setattr(self, name, np.concatenate((getattr(self, name), rows)))
         return out
 
 
+def _associated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (video_id, class_name, stretch, frame_number, detection_id, confidence, x, y, width, height) in the order of these columns, frame after frame."""
+    key, live, held = None, Association(), []
+
+    def frame_done() -> list[tuple]:
+        ids = [x for part in held for x in part[0]]
+        confidence, boxes = (np.concatenate([part[n] for part in held]) for n in (1, 2))
+        last = [n for n in range(len(ids)) if n + 1 == len(ids) or ids[n] != ids[n + 1]]  # of rows that repeat an id the last counts
+        video, name, _, frame = key
+        return [(video, d, f"{video}-{label}", frame) for d, label in live.advance(frame, [ids[n] for n in last], [name] * len(last), confidence[last], boxes[last])]
+
+    def table(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], ["video_id", "detection_id", "track_id", "frame_number"])
+
+    for batch in batches:
+        keys = list(zip(*(batch.column(n).to_pylist() for n in range(4)), strict=True))
+        ids, confidence = batch.column(4).to_pylist(), batch.column(5).to_numpy(zero_copy_only=False)
+        boxes = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in range(6, 10)]).astype(float)
+        starts, out = [n for n in range(len(keys)) if not n or keys[n] != keys[n - 1]], []
+        for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
+            if held and keys[a] != key:
+                out += frame_done()
+                held = []
+            if key is None or keys[a][:3] != key[:3]:
+                live = Association()
+            key = keys[a]
+            held.append((ids[a:b], confidence[a:b], boxes[a:b]))
+        yield table(out)
+    if held:
+        yield table(frame_done())
+
+
 def associate_tracks(detections: DataFrame) -> DataFrame:
     """(video_id, detection_id, track_id, frame_number): detections of a video joined into tracks, frame after frame.
 
@@ -239,18 +288,17 @@ def associate_tracks(detections: DataFrame) -> DataFrame:
     without any. Tracks of one class never meet another's, and a track is named by the frame and
     detection that it began with; so each class of a video is associated by itself, and is cut
     where it has no detection for longer than MAX_MISSED frames, which ends all its tracks. These
-    stretches are dealt to tasks; within one, frames stream past the live tracks, so no task
+    stretches are dealt to tasks; within one, detections stream past the live tracks, so no task
     holds more than these and a frame. Detections without video, frame, confidence or box
     take no part (a null class is one); of rows that repeat a detection_id in a frame and class one counts.
     """
     d = detections.where("video_id IS NOT NULL AND frame_number IS NOT NULL AND confidence IS NOT NULL AND bbox IS NOT NULL")
-    row = F.struct("detection_id", "class_name", "confidence", "bbox")
-    frames = d.groupBy("video_id", "class_name", F.col("frame_number").cast("long").alias("frame_number")).agg(F.array_sort(F.collect_list(row)).alias("seen"))
+    box = [F.col("bbox")[c].cast("double").alias(c) for c in ("x", "y", "width", "height")]
+    d = d.select(F.col("video_id").cast("long"), "class_name", F.col("frame_number").cast("long"), F.col("detection_id").cast("long"), F.col("confidence").cast("double"), *box)
     w = Window.partitionBy("video_id", "class_name").orderBy("frame_number")
-    frames = frames.withColumn("stretch", islands(F.coalesce(F.col("frame_number") - F.lag("frame_number").over(w) > MAX_MISSED, F.lit(False)), w))
-
-    def step(state: Association, f) -> tuple[Association, list[tuple]]:
-        rows = list({r["detection_id"]: r for r in f.seen}.values())
-        return state, [(f.video_id, detection, f"{f.video_id}-{label}", f.frame_number) for detection, label in state.step(int(f.frame_number), rows)]
-
-    return ordered_fold(frames, ["video_id", "class_name", "stretch"], ["frame_number"], Association, step, "video_id long, detection_id long, track_id string, frame_number long")
+    cuts = d.select("video_id", "class_name", "frame_number").distinct().withColumn("stretch", islands(F.coalesce(F.col("frame_number") - F.lag("frame_number").over(w) > MAX_MISSED, F.lit(False)), w))
+    cuts = cuts.toDF("_video", "_class", "_frame", "stretch")
+    rows = d.join(cuts, (F.col("video_id") == F.col("_video")) & F.col("class_name").eqNullSafe(F.col("_class")) & (F.col("frame_number") == F.col("_frame")))
+    order = ["video_id", "class_name", "stretch", "frame_number", "detection_id", "confidence", "x", "y", "width", "height"]
+    rows = rows.select(*order).repartition("video_id", "class_name", "stretch").sortWithinPartitions(*order)
+    return rows.mapInArrow(_associated, "video_id long, detection_id long, track_id string, frame_number long")
